@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+Every input of the analyses is a finished table or file: there is no stream
+source, watermark, event-time window or stateful operator to rebuild, so this
+package is intentionally empty.  All queries run as batch DataFrame jobs.
+"""
