@@ -20,7 +20,7 @@ def hour_boundaries(start: str | Column, end: str | Column) -> Column:
     Spark's ``timestampdiff`` counts elapsed hours; truncating both ends first
     makes the two agree.
     """
-    return F.timestampdiff("HOUR", F.date_trunc("HOUR", col(start)), F.date_trunc("HOUR", col(end)))
+    return F.timestamp_diff("HOUR", F.date_trunc("HOUR", col(start)), F.date_trunc("HOUR", col(end)))
 
 
 def day_of(c: str | Column) -> Column:

@@ -109,7 +109,7 @@ VIEW_SQL: dict[str, str] = {
                CASE WHEN event_id % 4 <> 1 THEN value * 0.7 END AS estimated_commission_reported_after_cancellations_updated_eur,
                CASE WHEN event_id % 4 <> 2 THEN value * 0.6 END AS estimated_group_commission_direct_after_cancellations_updated_eur,
                CASE WHEN event_id % 4 NOT IN (2, 3) THEN value * 0.5 END AS estimated_commission_reported_direct_after_cancellations_updated_eur,
-               value * 0.05 AS revenue_add_ons,
+               value * 0.1 AS revenue_add_ons,
                CAST(NULL AS DOUBLE) AS revenue_service_fee,
                CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS booking_quantity_before_cancellations
         FROM events""",

@@ -17,6 +17,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -64,7 +65,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def apply_session_conf(spark: SparkSession) -> None:
     """Apply the runtime-settable part of BASE_CONF to an existing session."""
     for k, v in BASE_CONF.items():
-        if k == "spark.ui.enabled":
+        if k.startswith("spark.ui."):
             continue
         try:
             spark.conf.set(k, v)

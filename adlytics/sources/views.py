@@ -195,7 +195,7 @@ class Views:
             F.when(m4 != 1, E("value") * 0.7).alias("estimated_commission_reported_after_cancellations_updated_eur"),
             F.when(m4 != 2, E("value") * 0.6).alias("estimated_group_commission_direct_after_cancellations_updated_eur"),
             F.when(~m4.isin(2, 3), E("value") * 0.5).alias("estimated_commission_reported_direct_after_cancellations_updated_eur"),
-            (E("value") * 0.05).alias("revenue_add_ons"),
+            (E("value") * 0.1).alias("revenue_add_ons"),
             F.lit(None).cast("double").alias("revenue_service_fee"),
             F.when(E("event_type") == "purchase", 1).otherwise(0).alias("booking_quantity_before_cancellations"),
         )
