@@ -75,4 +75,5 @@ def bounded_bucket(c: str | Column, lo: float | Column, hi: float | Column, n: i
     """Equal-width histogram bin 1..n; the maximum goes into bin n (numpy)."""
     lo_c = lo if isinstance(lo, Column) else F.lit(float(lo))
     hi_c = hi if isinstance(hi, Column) else F.lit(float(hi))
-    return F.least(F.width_bucket(col(c), lo_c, hi_c, F.lit(n)), F.lit(n))
+    # width_bucket written out so that the arithmetic is the same in every engine
+    return F.least(F.floor((col(c) - lo_c) / (hi_c - lo_c) * F.lit(n)) + 1, F.lit(n))

@@ -66,3 +66,38 @@ def day_index(df: DataFrame, date_col: str, partition: list[str] | None = None,
     w = Window.partitionBy(*(partition or [])).orderBy(date_col)
     return df.withColumns({out: F.row_number().over(w) - 1,
                            "week_day": F.date_format(F.col(date_col), "EEEE")})
+
+
+def split_lag(df: DataFrame, keys: list[str], ts: str, value: str, out: str,
+              direction: int = -1) -> DataFrame:
+    """``lag(value, 1)`` (direction -1) or ``lead(value, 1)`` (+1) over
+    ``partition by keys order by ts`` without a whole-key window partition.
+
+    Rows are windowed inside (keys, day) partitions; a day's first row (last
+    row for lead) takes its value from the neighbouring non-empty day of the
+    same key, read from a table with one row per (key, day).  Exact for any
+    key skew: a key holding a third of all rows is spread over its days.
+    """
+    day = "_split_day"
+    base = df.withColumn(day, F.to_date(F.col(ts)))
+    w_in = Window.partitionBy(*keys, day).orderBy(ts)
+    shift = F.lag(value, 1) if direction < 0 else F.lead(value, 1)
+    base = base.withColumn("_in", shift.over(w_in))
+    edge_fn = F.max_by if direction < 0 else F.min_by
+    edges = (base.groupBy(*keys, day).agg(edge_fn(value, ts).alias("_edge")))
+    w_days = Window.partitionBy(*keys).orderBy(day)
+    edge_shift = F.lag("_edge", 1) if direction < 0 else F.lead("_edge", 1)
+    edges = (edges.withColumn("_nb", edge_shift.over(w_days))
+                  .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                          F.col(day).alias("_eday"), "_nb"))
+    # first (last) row of each day: take the neighbouring day's edge value.
+    # Keys may be NULL, so the join is null-safe.
+    pos = F.row_number().over(Window.partitionBy(*keys, day).orderBy(
+        F.col(ts).asc() if direction < 0 else F.col(ts).desc()))
+    base = base.withColumn("_pos", pos)
+    cond = base[day] == edges["_eday"]
+    for i, k in enumerate(keys):
+        cond = cond & base[k].eqNullSafe(edges[f"_k{i}"])
+    res = (base.join(edges, cond, "left")
+               .withColumn(out, F.when(F.col("_pos") == 1, F.col("_nb")).otherwise(F.col("_in"))))
+    return res.drop(day, "_eday", "_in", "_nb", "_pos", *[f"_k{i}" for i in range(len(keys))])

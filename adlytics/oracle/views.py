@@ -233,5 +233,8 @@ def rounded(body: str, cols: dict[str, int]) -> str:
     """Wrap a query so that the named float columns are rounded."""
     if not cols:
         return body
-    rep = ", ".join(f"round({c}, {d}) AS {c}" for c, d in cols.items())
+    # round(x * 10^d) / 10^d, half away from zero on the scaled double: the
+    # same arithmetic as the Spark side (registry.round_half_away); "+ 0.0"
+    # turns a negative zero into zero.
+    rep = ", ".join(f"round({c} * 1e{d}) / 1e{d} + 0.0 AS {c}" for c, d in cols.items())
     return f"SELECT * REPLACE ({rep}) FROM (\n{body}\n) q__"

@@ -26,6 +26,13 @@ def views_for(spark: SparkSession, sf_dir: str) -> Views:
     return _VIEWS[key]
 
 
+def round_half_away(c, d: int):
+    """round(x * 10^d) / 10^d on the scaled double (ties away from zero),
+    identical in Spark and DuckDB; negative zero becomes zero."""
+    scale = float(10 ** d)
+    return F.round(c.cast("double") * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
+
+
 @dataclass
 class Query:
     name: str
@@ -37,7 +44,7 @@ class Query:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(views_for(spark, sf_dir))
         if self.floats:
-            df = df.withColumns({c: F.round(F.col(c), d) for c, d in self.floats.items()})
+            df = df.withColumns({c: round_half_away(F.col(c), d) for c, d in self.floats.items()})
         return df
 
     def oracle_sql(self) -> str | None:
