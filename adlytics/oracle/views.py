@@ -199,7 +199,7 @@ VIEW_SQL: dict[str, str] = {
     "keyword_master": """
         SELECT CASE WHEN p_size % 2 = 0 THEN 'city' ELSE 'region' END AS object_type,
                'tpl' || CAST(p_size % 3 AS VARCHAR) AS template,
-               '  ' || upper(p_name) || ' ' AS keyword,
+               p_name AS keyword,
                CASE WHEN p_size % 2 = 0 THEN 'city' ELSE 'region' END || ' ' || p_name AS object_type_keyword,
                p_partkey AS location_id,
                p_type AS location_name,
@@ -216,6 +216,23 @@ VIEW_SQL: dict[str, str] = {
                CAST(DATE '2022-06-01' + to_months(CAST(p_partkey % 18 AS INTEGER)) AS DATE) AS year_month,
                CAST(p_size AS BIGINT) AS google_search_volume
         FROM part""",
+    "search_terms_raw": """
+        SELECT CASE WHEN p_partkey % 7 = 0 THEN t0 || ' extra' ELSE t0 END AS search_term,
+               CASE WHEN impr >= 1000 THEN CAST(impr // 1000 AS VARCHAR) || ',' || lpad(CAST(impr % 1000 AS VARCHAR), 3, '0')
+                    ELSE CAST(impr AS VARCHAR) END AS impr,
+               CAST(p_size AS VARCHAR) AS clicks,
+               CASE WHEN p_partkey % 5 = 0 THEN ' --' ELSE CAST(p_size % 10 AS VARCHAR) || '.5%' END AS cr,
+               CASE WHEN p_partkey % 6 = 0 THEN ' --' ELSE CAST(p_size * 3 AS VARCHAR) || '%' END AS roas,
+               CASE WHEN p_partkey % 4 = 0 THEN ' --' ELSE CAST(p_size % 3 AS VARCHAR) END AS bookings,
+               '€' || CASE WHEN cents // 100 >= 1000
+                           THEN CAST(cents // 100 // 1000 AS VARCHAR) || ',' || lpad(CAST(cents // 100 % 1000 AS VARCHAR), 3, '0')
+                           ELSE CAST(cents // 100 AS VARCHAR) END
+                   || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS revenue
+        FROM (SELECT p_partkey, p_size, CAST(p_size AS BIGINT) * 113 AS impr,
+                     CAST(round(p_retailprice * 100) AS BIGINT) AS cents,
+                     CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN ' ' || p_name || '  '
+                          ELSE p_name END AS t0
+              FROM part WHERE length(p_name) % 2 = 0) q""",
 }
 
 

@@ -337,7 +337,7 @@ class Views:
         return p.select(
             F.when(E("p_size") % 2 == 0, "city").otherwise("region").alias("object_type"),
             F.concat(F.lit("tpl"), _str(E("p_size") % 3)).alias("template"),
-            F.concat(F.lit("  "), F.upper(E("p_name")), F.lit(" ")).alias("keyword"),
+            E("p_name").alias("keyword"),
             F.concat(F.when(E("p_size") % 2 == 0, "city").otherwise("region"), F.lit(" "), E("p_name")).alias("object_type_keyword"),
             E("p_partkey").alias("location_id"),
             E("p_type").alias("location_name"),
@@ -357,3 +357,32 @@ class Views:
             F.add_months(F.lit("2022-06-01").cast("date"), (E("p_partkey") % 18).cast("int")).alias("year_month"),
             E("p_size").cast("bigint").alias("google_search_volume"),
         )
+
+    def _build_search_terms_raw(self) -> DataFrame:
+        """Search-term report rows as raw text, the way the ad console
+        exports them: thousands separators, ' --' for missing, percent and
+        currency signs, mixed case and blanks around the term; several
+        campaign rows per term, half of the keyword names plus unknown terms."""
+        p = self.t.part.filter(F.length("p_name") % 2 == 0)
+        k = E("p_partkey")
+        term = (F.when(k % 3 == 0, F.upper("p_name"))
+                 .when(k % 3 == 1, F.concat(F.lit(" "), E("p_name"), F.lit("  ")))
+                 .otherwise(E("p_name")))
+        term = F.when(k % 7 == 0, F.concat(term, F.lit(" extra"))).otherwise(term)
+
+        def thousands(x: Column) -> Column:
+            return F.when(x >= 1000, F.concat((x / 1000).cast("bigint").cast("string"), F.lit(","),
+                                              F.lpad((x % 1000).cast("string"), 3, "0"))).otherwise(x.cast("string"))
+
+        impr = E("p_size").cast("bigint") * 113
+        cents = F.round(E("p_retailprice") * 100).cast("bigint")
+        return p.select(
+            term.alias("search_term"),
+            thousands(impr).alias("impr"),
+            E("p_size").cast("string").alias("clicks"),
+            F.when(k % 5 == 0, " --").otherwise(F.concat((E("p_size") % 10).cast("string"), F.lit(".5%"))).alias("cr"),
+            F.when(k % 6 == 0, " --").otherwise(F.concat((E("p_size") * 3).cast("string"), F.lit("%"))).alias("roas"),
+            F.when(k % 4 == 0, " --").otherwise((E("p_size") % 3).cast("string")).alias("bookings"),
+            F.concat(F.lit("€"), thousands((cents / 100).cast("bigint")), F.lit("."),
+                     F.lpad((cents % 100).cast("string"), 2, "0")).alias("revenue"),
+        )
