@@ -39,3 +39,14 @@ def sql_hash_int(seed_sql: str, *parts_sql: str) -> str:
     """DuckDB text of :func:`hash_int` (for the oracle)."""
     key = " || '-' || ".join([f"CAST({seed_sql} AS VARCHAR)"] + [f"CAST({p} AS VARCHAR)" for p in parts_sql])
     return f"CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT)"
+
+
+TWO_53 = 9007199254740992.0
+
+
+def fast_uniform(seed, *parts) -> Column:
+    """Uniform in [0, 1) from Spark's native ``xxhash64`` of (seed, parts):
+    no string building, stays in codegen.  Used by the samplers, which are
+    compared with the quadrature rather than with SQL."""
+    cols = [F.lit(seed)] + [p if isinstance(p, Column) else F.lit(p) for p in parts]
+    return F.pmod(F.xxhash64(*cols), F.lit(9007199254740992)).cast("double") / F.lit(TWO_53)
