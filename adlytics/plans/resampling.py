@@ -1 +1,92 @@
-"""placeholder"""
+"""Bootstrap resampling of the daily revenue series (X-1 .. X-3, X-8, A-11)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from adlytics.functions.compat import half_even
+from adlytics.functions.draws import sql_hash_int
+from adlytics.operators import resample as R
+from adlytics.operators.reshape import fill_calendar
+from adlytics.oracle.views import with_views
+from adlytics.plans import installs as I
+from adlytics.plans.registry import register
+from adlytics.plans.revenue import revenue_input
+from adlytics.sources.views import Views
+
+E = F.col
+
+METRIC = "booking_revenues"
+CUTOFF = "1998-07-04"
+IID_REPS = 20
+BLOCK_REPS = 49
+SEED = 42
+
+
+def daily_series(v: Views, metric: str = METRIC, cutoff: str = CUTOFF) -> DataFrame:
+    """A-11 + R-4: per region, the rounded (half-even) daily sum of the metric
+    before the cut-off on a gap-free calendar (missing days 0), indexed."""
+    r = revenue_input(v).filter(E("date") < F.lit(cutoff).cast("date"))
+    d = (r.groupBy(E("site_global_region").alias("series"), "date")
+          .agg(half_even(F.sum(metric), 0).alias("value")))
+    d = fill_calendar(d, ["series"], "date", ["value"])
+    w = Window.partitionBy("series").orderBy("date")
+    return d.withColumn("idx", F.row_number().over(w) - 1).select("series", "date", "idx", "value")
+
+
+_SERIES_SQL = f"""
+, d0 AS (
+  SELECT site_global_region AS series, date, round_even(sum(est_revenue_before_cancellations), 0) AS value
+  FROM main_revenues WHERE date < DATE '{CUTOFF}' GROUP BY 1, 2)
+, b AS (SELECT series, min(date) AS lo, max(date) AS hi FROM d0 GROUP BY 1)
+, sp AS (SELECT series, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b)
+, s AS (
+  SELECT sp.series, sp.date, row_number() OVER (PARTITION BY sp.series ORDER BY sp.date) - 1 AS idx,
+         coalesce(d0.value, 0) AS value
+  FROM sp LEFT JOIN d0 USING (series, date))
+, n AS (SELECT series, count(*) AS n FROM s GROUP BY 1)"""
+
+register("x01_daily_revenue_series", floats={"value": 2},
+         oracle=with_views(_SERIES_SQL + "\nSELECT series, date, idx, value FROM s", "main_revenues"))(daily_series)
+
+
+def iid_bootstrap(v: Views) -> DataFrame:
+    return R.iid_bootstrap(daily_series(v).select("series", "idx", "value"), IID_REPS, SEED)
+
+
+register("x02_iid_bootstrap", floats={"value": 2}, oracle=with_views(_SERIES_SQL + f"""
+, d AS (SELECT series, n, unnest(range(0, {IID_REPS})) AS rep FROM n)
+, d2 AS (SELECT series, n, rep, unnest(range(0, n)) AS idx FROM d)
+, d3 AS (SELECT *, {sql_hash_int(str(SEED), 'series', 'rep', 'idx')} % n AS src FROM d2)
+SELECT d3.series, rep, d3.idx, src, s.value FROM d3 JOIN s ON s.series = d3.series AND s.idx = d3.src""",
+    "main_revenues"))(iid_bootstrap)
+
+
+def block_bootstrap(v: Views) -> DataFrame:
+    return R.circular_block_bootstrap(daily_series(v).select("series", "idx", "value"), BLOCK_REPS, SEED)
+
+
+register("x03_block_bootstrap", floats={"value": 2}, oracle=with_views(_SERIES_SQL + f"""
+, nb AS (SELECT series, n, CAST(floor(pow(n, 0.2)) AS INTEGER) AS b FROM n)
+, nb2 AS (SELECT *, CAST(ceil(n / b) AS INTEGER) AS nblk FROM nb)
+, d AS (SELECT series, n, b, nblk, unnest(range(0, {BLOCK_REPS})) AS rep FROM nb2)
+, d2 AS (SELECT series, n, b, rep, unnest(range(0, nblk)) AS blk FROM d)
+, d3 AS (SELECT *, {sql_hash_int(str(SEED), 'series', 'rep', 'blk')} % n AS start FROM d2)
+, d4 AS (SELECT *, unnest(range(0, b)) AS off FROM d3)
+, d5 AS (SELECT series, rep, blk * b + off AS idx, (start + off) % n AS src FROM d4 WHERE blk * b + off < n)
+SELECT d5.series, rep, d5.idx, src, s.value FROM d5 JOIN s ON s.series = d5.series AND s.idx = d5.src""",
+    "main_revenues"))(block_bootstrap)
+
+
+def holdout(v: Views) -> DataFrame:
+    """X-8 on the paid/organic daily table: 15 % test days per platform."""
+    d = I.paid_organic_daily(v).withColumn("day_key", F.date_format("dt", "yyyy-MM-dd"))
+    return R.holdout_split(d, ["platform"], "day_key", 0.15, SEED).drop("day_key")
+
+
+register("x04_holdout_split", oracle=with_views(I._PO_SQL + f"""
+, hs AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY
+                    {sql_hash_int(str(SEED), 'platform', "strftime(dt, '%Y-%m-%d')")}, strftime(dt, '%Y-%m-%d')) AS r,
+                count(*) OVER (PARTITION BY platform) AS n FROM po)
+SELECT dt, platform, paid, organic, r <= ceil(n * 0.15) AS is_test FROM hs""", "installs"))(holdout)
