@@ -1 +1,274 @@
-"""placeholder"""
+"""Model fits of the analyses (C-13, C-21, C-23, C-35)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from adlytics.functions.draws import sql_hash_int
+from adlytics.operators import curves as CV
+from adlytics.operators import regress as RG
+from adlytics.operators.windows import first_difference
+from adlytics.oracle.views import with_views
+from adlytics.plans import bidding as BD
+from adlytics.plans import cases as CS
+from adlytics.plans import delay as DL
+from adlytics.plans import installs as I
+from adlytics.plans import resampling as RS
+from adlytics.plans.registry import register
+from adlytics.sources.views import Views
+
+E = F.col
+
+
+# -------------------------------------------------------------------- C-13
+def strategy_curves(v: Views) -> DataFrame:
+    """Cost -> conversion value power curve exp(a) x^b per strategy type,
+    parameters bounded to [0, 1] (start at the library default 1, 1)."""
+    d = BD.with_strategy(v).select("bidding_strategy_type", "mkt_cost", "conversions_value")
+    p0 = d.select("bidding_strategy_type").distinct().withColumns({"a": F.lit(1.0), "b": F.lit(1.0)})
+    return CV.lm_fit(d, ["bidding_strategy_type"], "mkt_cost", "conversions_value", "power", p0, bounds=(0.0, 1.0))
+
+
+register("c13_strategy_curves", note="nonlinear least squares; checked in tests")(strategy_curves)
+
+
+# -------------------------------------------------------------------- C-21
+def _split(v: Views) -> DataFrame:
+    return RS.holdout(v).withColumns({"paid": E("paid").cast("double"), "organic": E("organic").cast("double")})
+
+
+def _scored(v: Views, params: DataFrame, curve: str) -> DataFrame:
+    test = _split(v).filter(E("is_test"))
+    pred = CV.predict(test, params, ["platform"], "paid", curve)
+    return params.join(CV.score(pred, ["platform"], "organic", "pred"), "platform")
+
+
+def fit_linear(v: Views) -> DataFrame:
+    train = _split(v).filter(~E("is_test"))
+    p = CV.linear_fit(train, ["platform"], "paid", "organic")
+    return _scored(v, p, "linear")
+
+
+_LIN_FLOATS = {c: 6 for c in ("a", "b", "se_a", "se_b", "a_lower", "a_upper", "b_lower", "b_upper", "r2", "rmse")}
+register("c21_fit_linear", floats=_LIN_FLOATS, oracle=with_views(I._PO_SQL + f"""
+, hs AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY
+                    {sql_hash_int('42', 'platform', "strftime(dt, '%Y-%m-%d')")}, strftime(dt, '%Y-%m-%d')) AS r,
+                count(*) OVER (PARTITION BY platform) AS nn FROM po)
+, sp AS (SELECT platform, CAST(paid AS DOUBLE) AS x, CAST(organic AS DOUBLE) AS y, r <= ceil(nn * 0.15) AS is_test FROM hs)
+, f AS (
+  SELECT platform, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy,
+         regr_slope(y, x) AS b, regr_intercept(y, x) AS a
+  FROM sp WHERE NOT is_test GROUP BY 1)
+, f2 AS (SELECT *, (syy - sxy * sxy / sxx) / (n - 2) AS s2 FROM f)
+, f3 AS (SELECT *, sqrt(s2 / sxx) AS se_b, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS se_a FROM f2)
+, sc AS (
+  SELECT sp.platform, 1 - sum((y - (a + b * x)) ^ 2) / (sum(y * y) - sum(y) ^ 2 / count(*)) AS r2,
+         sqrt(avg((y - (a + b * x)) ^ 2)) AS rmse
+  FROM sp JOIN f3 USING (platform) WHERE is_test GROUP BY 1)
+SELECT platform, n, a, b, se_a, se_b, a - 1.96 * se_a AS a_lower, a + 1.96 * se_a AS a_upper,
+       b - 1.96 * se_b AS b_lower, b + 1.96 * se_b AS b_upper, r2, rmse
+FROM f3 JOIN sc USING (platform)""", "installs"))(fit_linear)
+
+
+def linear_band(v: Views) -> DataFrame:
+    """M-14 with the 95 % parameter bounds: the line and the lines of the
+    lower and upper parameters on 50 points over the training range."""
+    train = _split(v).filter(~E("is_test"))
+    p = CV.linear_fit(train, ["platform"], "paid", "organic")
+    b = train.groupBy("platform").agg(F.min("paid").alias("lo"), F.max("paid").alias("hi"))
+    g = CV.curve_grid(b, p, ["platform"], "linear")
+    lo = p.select("platform", E("a_lower").alias("a"), E("b_lower").alias("b"))
+    hi = p.select("platform", E("a_upper").alias("a"), E("b_upper").alias("b"))
+    g = CV.predict(g, lo, ["platform"], "x", "linear", "y_lower")
+    g = CV.predict(g, hi, ["platform"], "x", "linear", "y_upper")
+    return g.select("platform", "i", "x", "y", "y_lower", "y_upper")
+
+
+register("c21_linear_band", note="50-point curve grid; checked in tests")(linear_band)
+
+
+def fit_polynomial(v: Views) -> DataFrame:
+    train = _split(v).filter(~E("is_test"))
+    return _scored(v, CV.quadratic_fit(train, ["platform"], "paid", "organic"), "polynomial")
+
+
+register("c21_fit_polynomial", note="closed form; checked in tests")(fit_polynomial)
+
+
+def fit_logarithm(v: Views) -> DataFrame:
+    train = _split(v).filter(~E("is_test"))
+    return _scored(v, CV.log_fit(train, ["platform"], "paid", "organic", c=1.0, d=5.0), "logarithm")
+
+
+register("c21_fit_logarithm", note="closed form; checked in tests")(fit_logarithm)
+
+
+def fit_gauss(v: Views) -> DataFrame:
+    """Start [1, weighted mean of x, weighted sd of x] with y as weights."""
+    train = _split(v).filter(~E("is_test"))
+    w = train.groupBy("platform").agg((F.sum(E("paid") * E("organic")) / F.sum("organic")).alias("x0"))
+    p0 = (train.join(w, "platform").groupBy("platform", "x0")
+          .agg(F.sqrt(F.sum(E("organic") * (E("paid") - E("x0")) ** 2) / F.sum("organic")).alias("sigma"))
+          .withColumn("a", F.lit(1.0)))
+    p = CV.lm_fit(train, ["platform"], "paid", "organic", "gauss", p0, max_iter=200)
+    return _scored(v, p, "gauss")
+
+
+register("c21_fit_gauss", note="nonlinear least squares; checked in tests")(fit_gauss)
+
+
+def fit_sigmoid(v: Views) -> DataFrame:
+    """Start (max y, 0.1, median x, min y) in the order of the signature
+    (A, k, x0, offset)."""
+    train = _split(v).filter(~E("is_test"))
+    p0 = train.groupBy("platform").agg(F.max("organic").alias("A"), F.lit(0.1).alias("k"),
+                                       F.median("paid").alias("x0"), F.min("organic").alias("offset"))
+    p = CV.lm_fit(train, ["platform"], "paid", "organic", "sigmoid", p0, max_iter=200)
+    return _scored(v, p, "sigmoid")
+
+
+register("c21_fit_sigmoid", note="nonlinear least squares; checked in tests")(fit_sigmoid)
+
+
+# -------------------------------------------------------------------- C-23
+def _diffed_cases(v: Views) -> DataFrame:
+    d = CS.cases_vs_bookings(v).withColumn(
+        "onsite_bookings_without_paym", E("onsite_bookings") - E("onsite_bookings_with_payment"))
+    cols = ["onsite_bookings_with_payment", "onsite_bookings", "onsite_bookings_without_paym", "cases"]
+    # weekly table (one row per week): a global order is a small window
+    return first_difference(d, "dt", cols).filter(E("cases").isNotNull())
+
+
+DESIGNS = {1: ["onsite_bookings_with_payment", "onsite_bookings"],
+           2: ["onsite_bookings_with_payment", "onsite_bookings_without_paym"],
+           3: ["onsite_bookings"]}
+
+
+def cases_regressions(v: Views) -> DataFrame:
+    """Gaussian GLMs of the weekly first differences, three designs."""
+    d = _diffed_cases(v)
+    out = None
+    for k, xs in DESIGNS.items():
+        t = RG.glm(d, "cases", xs, "gaussian").withColumn("design", F.lit(k))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+register("c23_cases_regressions", note="GLM; checked in tests against least squares")(cases_regressions)
+
+
+def cases_differences(v: Views) -> DataFrame:
+    return _diffed_cases(v)
+
+
+register("c23_cases_differences", oracle=with_views(CS._CASES_SQL + """
+, j AS (SELECT coalesce(created_date, conversion_date) AS dt, onsite_bookings_with_payment, onsite_bookings, cases,
+               onsite_bookings - onsite_bookings_with_payment AS onsite_bookings_without_paym
+        FROM ob LEFT JOIN cases_w c ON ob.conversion_date = c.created_date)
+SELECT * FROM (
+SELECT dt,
+       onsite_bookings_with_payment - lag(onsite_bookings_with_payment) OVER w AS onsite_bookings_with_payment,
+       onsite_bookings - lag(onsite_bookings) OVER w AS onsite_bookings,
+       cases - lag(cases) OVER w AS cases,
+       onsite_bookings_without_paym - lag(onsite_bookings_without_paym) OVER w AS onsite_bookings_without_paym
+FROM j
+WINDOW w AS (ORDER BY dt)) q WHERE cases IS NOT NULL""", "cases", "conversions"))(cases_differences)
+
+
+# -------------------------------------------------------------------- C-35
+WARMUP_ROWS = 5        # rows dropped before the GLM (the original drops 50 of ~1 100 days; the stand-in has 30)
+CHOW_SPLITS = [(9, 10), (14, 15), (19, 20), (4, 5), (24, 25)]
+
+
+def delay_frame(v: Views) -> DataFrame:
+    """The daily delay table with log revenue, revenue per click and the
+    row index (the position used as regressor by the break test)."""
+    d = DL.delay_daily(v)
+    d = RG.with_index(d, "dt")
+    return d.withColumns({"log_rev": RG.safe_ln(E("revenue")),
+                          "rev_per_click": E("revenue") / E("clicks")})
+
+
+def delay_chow(v: Views) -> DataFrame:
+    """M-4: break tests of log revenue on the day index at the split points."""
+    d = delay_frame(v).filter(E("log_rev").isNotNull())
+    return RG.chow_test(d, "idx", "log_rev", CHOW_SPLITS)
+
+
+_CHOW_FLOATS = {"rss_pooled": 6, "rss_before": 6, "rss_after": 6, "f_stat": 6}
+
+
+def _chow_sql() -> str:
+    arms = " UNION ALL ".join(f"SELECT {a} AS last_index, {b} AS first_index" for a, b in CHOW_SPLITS)
+    parts = {"p": "TRUE", "1": "x <= last_index", "2": "x >= first_index"}
+    aggs = []
+    for nm, c in parts.items():
+        aggs += [f"count(*) FILTER (WHERE {c}) AS n{nm}", f"sum(x) FILTER (WHERE {c}) AS sx{nm}",
+                 f"sum(y) FILTER (WHERE {c}) AS sy{nm}", f"sum(x * x) FILTER (WHERE {c}) AS sxx{nm}",
+                 f"sum(x * y) FILTER (WHERE {c}) AS sxy{nm}", f"sum(y * y) FILTER (WHERE {c}) AS syy{nm}"]
+    rss = ", ".join(
+        f"(syy{nm} - sy{nm} * sy{nm} / n{nm}) - (sxy{nm} - sx{nm} * sy{nm} / n{nm}) ^ 2 / (sxx{nm} - sx{nm} * sx{nm} / n{nm}) AS rss_{nm}"
+        for nm in parts)
+    return DL._DELAY_SQL.format(allowance=DL.ALLOWANCE_DAILY) + f"""
+, dd AS (SELECT * FROM cte_delay_f FULL JOIN ads USING (dt) WHERE dt < DATE '{DL.AS_OF}')
+, ix AS (SELECT CAST(row_number() OVER (ORDER BY dt) - 1 AS DOUBLE) AS x, ln(revenue) AS y FROM dd)
+, pts AS (SELECT x, y FROM ix WHERE y IS NOT NULL)
+, sp AS ({arms})
+, s AS (SELECT last_index, first_index, {', '.join(aggs)} FROM pts, sp GROUP BY 1, 2)
+, rr AS (SELECT *, {rss} FROM s)
+SELECT last_index, first_index, n1 AS n_before, n2 AS n_after, rss_p AS rss_pooled, rss_1 AS rss_before,
+       rss_2 AS rss_after,
+       CASE WHEN (rss_1 + rss_2) / (n1 + n2 - 4) > 0
+            THEN ((rss_p - (rss_1 + rss_2)) / 2.0) / ((rss_1 + rss_2) / CAST(n1 + n2 - 4 AS DOUBLE)) END AS f_stat,
+       2.0 AS df1, CAST(n1 + n2 - 4 AS DOUBLE) AS df2
+FROM rr"""
+
+
+register("c35_delay_chow", floats=_CHOW_FLOATS,
+         oracle=with_views(_chow_sql(), "uploads", "ads_report"))(delay_chow)
+
+
+def delay_chow_significance(v: Views) -> DataFrame:
+    return RG.chow_significance(delay_chow(v), 0.05)
+
+
+register("c35_delay_chow_significance", note="F-distribution p-values; checked in tests")(delay_chow_significance)
+
+
+def delay_glm(v: Views) -> DataFrame:
+    """M-2: Gamma GLM (inverse link) of revenue per click on delay, clicks
+    and spend, after the warm-up rows; missing values 0 as in the original,
+    then rows with a non-positive response are left out (Gamma support)."""
+    d = delay_frame(v).na.fill(0, ["delay", "clicks", "spend", "revenue", "rev_per_click"])
+    d = d.filter(E("idx") >= WARMUP_ROWS).filter(E("rev_per_click") > 0)
+    return RG.glm(d, "rev_per_click", ["delay", "clicks", "spend"], "gamma", "inverse")
+
+
+register("c35_delay_glm", note="Gamma GLM; checked in tests")(delay_glm)
+
+
+def weekly_design(v: Views) -> DataFrame:
+    """M-3: the weekly lagged design (delay lags 1, 2, 4, 8, logs, ratios)."""
+    w = DL.delay_weekly(v)
+    w = RG.lagged(w, "week", "delay_in_week", [1, 2, 4, 8])
+    return w.withColumns({"log_clicks": RG.safe_ln(E("clicks").cast("double")), "log_spend": RG.safe_ln(E("spend")),
+                          "rev_per_click": E("revenue") / E("clicks").cast("double"),
+                          "rev_per_spend": E("revenue") / E("spend")})
+
+
+register("c35_weekly_design", floats={"spend": 4, "revenue": 4, "log_clicks": 6, "log_spend": 6,
+                                      "rev_per_click": 6, "rev_per_spend": 6},
+         oracle=with_views(DL._DELAY_SQL.format(allowance=DL.ALLOWANCE_WEEKLY) + f"""
+, f AS (
+  SELECT CAST(date_trunc('week', dt) AS DATE) AS week,
+         CASE WHEN sum(delay) > 0 THEN 1 ELSE 0 END AS delay_in_week,
+         sum(spend) AS spend, CAST(sum(clicks) AS BIGINT) AS clicks, sum(revenue) AS revenue
+  FROM cte_delay_f FULL JOIN ads USING (dt) GROUP BY ALL)
+, g AS (SELECT * FROM f WHERE week < DATE '{DL.AS_OF}')
+SELECT *, lag(delay_in_week, 1) OVER w AS delay_in_week_lag1, lag(delay_in_week, 2) OVER w AS delay_in_week_lag2,
+       lag(delay_in_week, 4) OVER w AS delay_in_week_lag4, lag(delay_in_week, 8) OVER w AS delay_in_week_lag8,
+       CASE WHEN clicks > 0 THEN ln(CAST(clicks AS DOUBLE)) END AS log_clicks,
+       CASE WHEN spend > 0 THEN ln(spend) END AS log_spend,
+       revenue / CAST(clicks AS DOUBLE) AS rev_per_click, revenue / spend AS rev_per_spend
+FROM g WINDOW w AS (ORDER BY week)""", "uploads", "ads_report"))(weekly_design)
