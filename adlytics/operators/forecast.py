@@ -1,0 +1,289 @@
+"""Seasonal decomposition and exponential-smoothing forecasts (T-1 .. T-9).
+
+Parallelism is by key: a raw revenue table is first reduced to one value per
+(series, day) by a distributed aggregate, so one series holds at most a few
+thousand points whatever the input size, while the number of independent
+keys (cut-off x series x metric x replicate) is what grows.  Each key is one
+``applyInPandas`` group running small numpy code:
+
+* ``stl``: robust STL (LOESS, degree 1; cycle-subseries, low-pass and trend
+  smoothers; bisquare robustness weights from 6 x median |residual|);
+* ``holt_winters``: damped additive trend + additive season, parameters by
+  a grid (vectorised over the grid) minimising one-step squared errors;
+  initial level / trend / season from the first two seasons.
+
+These numerical kernels are approximations of the library routines used in
+the original analysis (same model family, own estimation), not bit-equal.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+
+
+# ------------------------------------------------------------------ LOESS
+def loess(y: np.ndarray, q: int, w: np.ndarray | None = None, x: np.ndarray | None = None,
+          x_out: np.ndarray | None = None) -> np.ndarray:
+    """Local linear regression with tricube weights over the q nearest
+    points (q >= n: all points, bandwidth widened by q / n)."""
+    n = len(y)
+    x = np.arange(n, dtype=float) if x is None else x.astype(float)
+    x_out = x if x_out is None else x_out.astype(float)
+    w = np.ones(n) if w is None else w
+    out = np.empty(len(x_out))
+    for j, x0 in enumerate(x_out):
+        d = np.abs(x - x0)
+        if q < n:
+            idx = np.argpartition(d, q - 1)[:q]
+            h = d[idx].max()
+        else:
+            idx = np.arange(n)
+            h = d.max() * q / n
+        h = max(h, 1e-12)
+        u = np.clip(d[idx] / h, 0, 1)
+        ww = w[idx] * (1 - u ** 3) ** 3
+        sw = ww.sum()
+        if sw <= 0:
+            out[j] = np.nan
+            continue
+        xm = (ww * x[idx]).sum() / sw
+        ym = (ww * y[idx]).sum() / sw
+        sxx = (ww * (x[idx] - xm) ** 2).sum()
+        b = (ww * (x[idx] - xm) * (y[idx] - ym)).sum() / sxx if sxx > 1e-12 else 0.0
+        out[j] = ym + b * (x0 - xm)
+    return out
+
+
+def _ma(x: np.ndarray, k: int) -> np.ndarray:
+    c = np.cumsum(np.insert(x, 0, 0.0))
+    return (c[k:] - c[:-k]) / k
+
+
+_TRI_CACHE: dict = {}
+
+
+def _tricube_block(n: int, q: int, st: int, rows: tuple) -> tuple:
+    """Tricube weights of ``rows`` over the window [st, st + q): they depend
+    only on positions, so repeated passes of STL reuse them."""
+    key = (n, q, st, rows)
+    hit = _TRI_CACHE.get(key)
+    if hit is None:
+        r = np.array(rows, dtype=float)
+        xw = np.arange(st, st + q, dtype=float)
+        c = xw.mean()
+        d = np.abs(xw[None, :] - r[:, None])
+        h = np.maximum(d.max(axis=1), 1e-12)
+        tri = (1 - np.clip(d / h[:, None], 0, 1) ** 3) ** 3
+        if len(_TRI_CACHE) > 64:
+            _TRI_CACHE.clear()
+        hit = _TRI_CACHE[key] = (tri, xw - c, c)
+    return hit
+
+
+def _loess_rows(y: np.ndarray, w: np.ndarray, q: int, rows: np.ndarray) -> np.ndarray:
+    """LOESS at the given positions (x = 0..n-1), each with the window of its
+    q nearest positions.  Rows are grouped by window start; rows sharing a
+    window (all edge rows do) get their weighted sums from one matrix
+    product of the tricube weights with the window's moment columns."""
+    n = len(y)
+    out = np.empty(len(rows))
+    starts = np.clip(rows - (q - 1) // 2, 0, n - q)
+    for st in np.unique(starts):
+        sel = np.flatnonzero(starts == st)
+        r = rows[sel].astype(float)
+        tri, xc, c = _tricube_block(n, q, int(st), tuple(rows[sel].tolist()))
+        ww, yy = w[st:st + q], y[st:st + q]
+        M = tri @ np.column_stack([ww, ww * xc, ww * xc * xc, ww * yy, ww * xc * yy])
+        zero = M[:, 0] <= 0
+        if zero.any():   # all robustness weights 0: tricube only
+            one = np.ones(q)
+            M[zero] = tri[zero] @ np.column_stack([one, xc, xc * xc, yy, xc * yy])
+        S0, S1, S2, T0, T1 = M.T
+        den = S0 * S2 - S1 * S1
+        bsl = np.where(den > 1e-12 * np.maximum(S0 * S2, 1e-300), (S0 * T1 - S1 * T0) / np.where(den != 0, den, 1.0), 0.0)
+        out[sel] = (T0 - bsl * S1) / S0 + bsl * (r - c)
+    return out
+
+
+def loess_grid(y: np.ndarray, q: int, w: np.ndarray | None = None) -> np.ndarray:
+    """``loess`` on x = 0..n-1 at the same points.  Interior points have a
+    centred window, so their weighted sums are correlations with a fixed
+    tricube kernel (O(n q) in C); the (q - 1) / 2 points at each edge use
+    the shifted-window matrix."""
+    n = len(y)
+    w = np.ones(n) if w is None else w
+    if q >= n:
+        return loess(y, q, w)
+    q = q if q % 2 else q + 1
+    if q >= n:
+        return loess(y, q, w)
+    half = (q - 1) // 2
+    off = np.arange(-half, half + 1, dtype=float)
+    K = (1 - np.clip(np.abs(off) / max(half, 1), 0, 1) ** 3) ** 3
+    wy = w * y
+    S0 = np.correlate(w, K, "valid")
+    S1 = np.correlate(w, K * off, "valid")
+    S2 = np.correlate(w, K * off * off, "valid")
+    T0 = np.correlate(wy, K, "valid")
+    T1 = np.correlate(wy, K * off, "valid")
+    den = S0 * S2 - S1 * S1
+    ok = (S0 > 0) & (den > 1e-12 * np.maximum(S0 * S2, 1e-300))
+    bsl = np.where(ok, (S0 * T1 - S1 * T0) / np.where(ok, den, 1.0), 0.0)
+    out = np.empty(n)
+    inner = np.where(S0 > 0, (T0 - bsl * S1) / np.where(S0 > 0, S0, 1.0), np.nan)
+    out[half:n - half] = inner
+    bad = np.concatenate([np.arange(half), np.arange(n - half, n), half + np.flatnonzero(~(S0 > 0))])
+    if len(bad):
+        out[bad] = _loess_rows(y, w, q, bad)
+    return out
+
+
+def _subseries_smooth(det: np.ndarray, rw: np.ndarray, period: int, ns: int) -> np.ndarray:
+    """Cycle-subseries smoothing, extended one period on both ends:
+    returns C of length n + 2 * period (C[t + period] ~ seasonal at t)."""
+    n = len(det)
+    C = np.empty(n + 2 * period)
+    by_len: dict[int, list[int]] = {}
+    for p in range(period):
+        by_len.setdefault(len(range(p, n, period)), []).append(p)
+    for L, phases in by_len.items():
+        if L == 0:
+            continue
+        ph = np.array(phases)
+        rows = ph[:, None] + period * np.arange(L)[None, :]          # phases x L time indices
+        Y, W = det[rows], rw[rows]
+        x = np.arange(L, dtype=float)
+        xo = np.arange(-1, L + 1, dtype=float)
+        if ns >= L:
+            out = np.empty((len(ph), L + 2))
+            for j, x0 in enumerate(xo):
+                d = np.abs(x - x0)
+                h = max(d.max() * ns / L, 1e-12)
+                u = np.clip(d / h, 0, 1)
+                tri = (1 - u ** 3) ** 3
+                ww = W * tri
+                sw = ww.sum(axis=1)
+                # a subseries whose robustness weights are all 0 falls back to tricube only
+                ww = np.where(sw[:, None] > 0, ww, tri[None, :] * np.ones_like(W))
+                sw = ww.sum(axis=1)
+                xm = (ww * x).sum(axis=1) / sw
+                ym = (ww * Y).sum(axis=1) / sw
+                sxx = (ww * (x - xm[:, None]) ** 2).sum(axis=1)
+                sxy = (ww * (x - xm[:, None]) * (Y - ym[:, None])).sum(axis=1)
+                b = np.where(sxx > 1e-12, sxy / np.where(sxx > 1e-12, sxx, 1.0), 0.0)
+                out[:, j] = ym + b * (x0 - xm)
+        else:
+            out = np.vstack([loess(Y[r], ns, W[r], x, xo) for r in range(len(ph))])
+        cidx = ph[:, None] + period * np.arange(L + 2)[None, :]
+        C[cidx] = out
+    return C
+
+
+def stl(y: np.ndarray, period: int, seasonal: int = 13, robust: bool = True,
+        inner: int | None = None, outer: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Returns (trend, seasonal, resid) with y = trend + seasonal + resid.
+    Defaults as the common robust STL: inner 2 / outer 15 passes, trend
+    window = smallest odd > 1.5 period / (1 - 1.5 / seasonal), low-pass
+    window = smallest odd >= period."""
+    n = len(y)
+    inner = inner or (2 if robust else 5)
+    outer = outer if outer is not None else (15 if robust else 0)
+    ns = seasonal if seasonal % 2 else seasonal + 1
+    nt = int(np.ceil(1.5 * period / (1 - 1.5 / ns)))
+    nt += 0 if nt % 2 else 1
+    nl = period + 1 if period % 2 == 0 else period
+    T = np.zeros(n)
+    S = np.zeros(n)
+    rw = np.ones(n)
+    for it in range(outer + 1):
+        for _ in range(inner):
+            C = _subseries_smooth(y - T, rw, period, ns)
+            L = loess_grid(_ma(_ma(_ma(C, period), period), 3), nl)
+            S = C[period:period + n] - L
+            T = loess_grid(y - S, nt, rw)
+        if it < outer and robust:
+            r = np.abs(y - T - S)
+            h = 6 * np.median(r)
+            u = np.clip(r / max(h, 1e-12), 0, 1)
+            rw = (1 - u ** 2) ** 2
+    return T, S, y - T - S
+
+
+# ------------------------------------------------------------ Holt-Winters
+ALPHAS = np.array([0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])
+BETAS = np.array([0.001, 0.01, 0.05, 0.1, 0.2])
+GAMMAS = np.array([0.001, 0.01, 0.05, 0.1, 0.3])
+PHIS = np.array([0.8, 0.9, 0.95, 0.98])
+
+
+def _grid() -> np.ndarray:
+    g = np.array(np.meshgrid(ALPHAS, BETAS, GAMMAS, PHIS, indexing="ij")).reshape(4, -1).T
+    keep = (g[:, 1] <= g[:, 0]) & (g[:, 2] <= 1 - g[:, 0])
+    return g[keep]
+
+
+def holt_winters(y: np.ndarray, m: int, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """Damped additive Holt-Winters with additive season of length m.
+    Returns (forecast of ``horizon`` steps, chosen (alpha, beta, gamma, phi))."""
+    n = len(y)
+    g = _grid()
+    a, b, gm, ph = g[:, 0], g[:, 1], g[:, 2], g[:, 3]
+    k = len(g)
+    if n >= 2 * m:
+        l0 = y[:m].mean()
+        t0 = (y[m:2 * m].mean() - l0) / m
+        s0 = y[:m] - l0
+    else:
+        l0, t0, s0 = y[: max(1, min(n, m))].mean(), 0.0, np.zeros(m)
+    lvl = np.full(k, l0)
+    tr = np.full(k, t0)
+    seas = np.tile(s0, (k, 1)).T.copy()          # m x k
+    sse = np.zeros(k)
+    for t in range(n):
+        s = seas[t % m]
+        pred = lvl + ph * tr + s
+        e = y[t] - pred
+        sse += e * e
+        new_l = a * (y[t] - s) + (1 - a) * (lvl + ph * tr)
+        new_t = b * (new_l - lvl) + (1 - b) * ph * tr
+        seas[t % m] = gm * (y[t] - lvl - ph * tr) + (1 - gm) * s
+        lvl, tr = new_l, new_t
+    best = int(np.nanargmin(sse))
+    steps = np.arange(1, horizon + 1)
+    damp = np.cumsum(ph[best] ** steps)
+    fc = lvl[best] + damp * tr[best] + seas[(n + steps - 1) % m, best]
+    return fc, g[best]
+
+
+def stl_frame(pdf: pd.DataFrame, period: int, seasonal: int = 13, outer: int | None = None) -> pd.DataFrame:
+    """applyInPandas kernel: one series (sorted by idx) -> its components."""
+    pdf = pdf.sort_values("idx")
+    y = pdf["value"].to_numpy(dtype=float)
+    if len(y) < 2 * period:
+        return pdf.iloc[0:0].assign(trend=[], seasonal=[], resid=[])
+    T, S, R = stl(y, period, seasonal, robust=True, outer=outer)
+    return pdf.assign(trend=T, seasonal=S, resid=R)
+
+
+def hw_frame(pdf: pd.DataFrame, period: int, key_cols: list[str], start_col: str, end_col: str) -> pd.DataFrame:
+    """applyInPandas kernel: one (key, replicate) series -> daily forecasts
+    from ``start`` to ``end`` (the forecast origin is the last training day)."""
+    pdf = pdf.sort_values("date")
+    y = pdf["value"].to_numpy(dtype=float)
+    start = pd.Timestamp(pdf[start_col].iloc[0])
+    end = pd.Timestamp(pdf[end_col].iloc[0])
+    last = pd.Timestamp(pdf["date"].iloc[-1])
+    horizon = int((end - last).days)
+    first = int((start - last).days)
+    out = {c: [] for c in [*key_cols, "date", "prediction", "alpha", "beta", "gamma", "phi"]}
+    if horizon >= 1 and len(y) > 0:
+        fc, prm = holt_winters(y, period, horizon)
+        for h in range(max(first, 1), horizon + 1):
+            for c in key_cols:
+                out[c].append(pdf[c].iloc[0])
+            out["date"].append((last + pd.Timedelta(days=h)).date())
+            out["prediction"].append(float(fc[h - 1]))
+            for nm, v in zip(("alpha", "beta", "gamma", "phi"), prm):
+                out[nm].append(float(v))
+    return pd.DataFrame(out)
