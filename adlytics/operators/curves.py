@@ -119,8 +119,31 @@ def log_fit(df: DataFrame, group: list[str], x: str, y: str, c: float = 1.0, d:
 
 
 # ---------------------------------------------------------- Levenberg-Marquardt
+def bounded_step(jtj: np.ndarray, jtr: np.ndarray, lam: float, p: np.ndarray, bounds) -> np.ndarray:
+    """Damped Gauss-Newton step; with bounds, parameters sitting on a bound
+    whose step points outward are held fixed and the reduced system is
+    solved again (active set), then the result is clipped into the box."""
+    k = len(p)
+    A = jtj + lam * np.diag(np.maximum(np.diag(jtj), 1e-12))
+    free = np.ones(k, dtype=bool)
+    step = np.zeros(k)
+    for _ in range(k + 1):
+        step = np.zeros(k)
+        if free.any():
+            step[free] = np.linalg.solve(A[np.ix_(free, free)], jtr[free])
+        if bounds is None:
+            return p + step
+        lo, hi = bounds
+        out = free & (((p <= lo) & (step < 0)) | ((p >= hi) & (step > 0)))
+        if not out.any():
+            break
+        free &= ~out
+    return np.clip(p + step, bounds[0], bounds[1])
+
+
 def lm_fit(df: DataFrame, group: list[str], x: str, y: str, curve: str, p0: DataFrame,
-           bounds: tuple[float, float] | None = None, max_iter: int = 100, tol: float = 1e-10) -> DataFrame:
+           bounds: tuple[float, float] | None = None, max_iter: int = 100, tol: float = 1.49012e-8,
+           xtol: float = 1.49012e-8) -> DataFrame:
     """Least squares of ``curve`` per group.  ``p0``: one row per group with
     the start values (columns named as the curve's parameters).  Returns
     params, SSR, n, parameter sd (sqrt diag of s^2 (J'J)^-1) and status."""
@@ -140,12 +163,32 @@ def lm_fit(df: DataFrame, group: list[str], x: str, y: str, curve: str, p0: Data
     iters = 0
 
     def stats_at(params: dict) -> dict:
-        rows = [(*g, *map(float, p)) for g, p in params.items() if not done[g]]
-        if not rows:
+        live = {g: p for g, p in params.items() if not done[g]}
+        if not live:
             return {}
-        ptab = spark.createDataFrame(rows, [*group, *[f"_p{i}" for i in range(k)]])
-        j = data.join(F.broadcast(ptab), group)
-        p = [E(f"_p{i}") for i in range(k)]
+        if len(live) <= 64:
+            # few groups: parameters as literal CASE columns (no join, no
+            # driver -> cluster table per iteration)
+            match = {g: F.lit(True) for g in live}
+            for g in live:
+                for col_name, val in zip(group, g):
+                    match[g] = match[g] & (E(col_name) == F.lit(val))
+            keep = None
+            for g in live:
+                keep = match[g] if keep is None else (keep | match[g])
+            j = data.filter(keep)
+            p = []
+            for i in range(k):
+                expr = None
+                for g, pv in live.items():
+                    expr = (F.when(match[g], F.lit(float(pv[i]))) if expr is None
+                            else expr.when(match[g], F.lit(float(pv[i]))))
+                p.append(expr)
+        else:
+            rows = [(*g, *map(float, pv)) for g, pv in live.items()]
+            ptab = spark.createDataFrame(rows, [*group, *[f"_p{i}" for i in range(k)]])
+            j = data.join(F.broadcast(ptab), group)
+            p = [E(f"_p{i}") for i in range(k)]
         r = E("_y") - cv.f(E("_x"), p)
         g = cv.grads(E("_x"), p)
         aggs = [F.sum(r * r).alias("ssr"), F.count(F.lit(1)).alias("n")]
@@ -180,16 +223,13 @@ def lm_fit(df: DataFrame, group: list[str], x: str, y: str, curve: str, p0: Data
                 if lam[g] > 1e12 or g not in best_jtj:
                     done[g] = True
                     continue
-            A = best_jtj[g] + lam[g] * np.diag(np.maximum(np.diag(best_jtj[g]), 1e-12))
             try:
-                step = np.linalg.solve(A, best_jtr[g])
+                nxt = bounded_step(best_jtj[g], best_jtr[g], lam[g], best[g], bounds)
             except np.linalg.LinAlgError:
                 done[g] = True
                 continue
-            nxt = best[g] + step
-            if bounds is not None:
-                nxt = np.clip(nxt, bounds[0], bounds[1])
-            if np.allclose(nxt, best[g], rtol=1e-12, atol=0):
+            # relative parameter change below xtol: converged (as MINPACK's xtol)
+            if np.linalg.norm(nxt - best[g]) <= xtol * (np.linalg.norm(best[g]) + xtol):
                 done[g] = True
             trial[g] = nxt
     data.unpersist()
@@ -244,3 +284,89 @@ def curve_grid(bounds: DataFrame, params: DataFrame, group: list[str], curve: st
     g = bounds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     g = g.withColumn("x", E("lo") + (E("hi") - E("lo")) * E("i") / (points - 1))
     return predict(g, params, group, "x", curve, "y")
+
+
+# ------------------------------------------------------ per-group (small) fits
+def lm_numpy(f, x: np.ndarray, y: np.ndarray, p0: np.ndarray, bounds=None, maxfev: int = 1000,
+             ftol: float = 1.49012e-8, xtol: float = 1.49012e-8) -> tuple[np.ndarray, float, np.ndarray | None, int]:
+    """Levenberg-Marquardt with a forward-difference Jacobian (the MINPACK
+    scheme behind ``curve_fit``), at most ``maxfev`` function evaluations.
+    Returns (params, SSR, covariance s^2 (J'J)^-1 or None, evaluations)."""
+    p = np.asarray(p0, dtype=float).copy()
+    k = len(p)
+    nfev = 0
+
+    def res(q):
+        nonlocal nfev
+        nfev += 1
+        with np.errstate(all="ignore"):
+            return y - f(x, *q)
+
+    r = res(p)
+    ssr = float(r @ r) if np.all(np.isfinite(r)) else np.inf
+    lam = 1e-3
+    J = None
+    while nfev < maxfev:
+        eps = np.sqrt(np.finfo(float).eps) * np.maximum(np.abs(p), 1.0)
+        J = np.empty((len(y), k))
+        for i in range(k):
+            q = p.copy()
+            q[i] += eps[i]
+            J[:, i] = (r - res(q)) / eps[i]          # d f / d p_i
+        if not np.all(np.isfinite(J)):
+            break
+        jtj, jtr = J.T @ J, J.T @ r
+        improved = False
+        while nfev < maxfev:
+            try:
+                nxt = bounded_step(jtj, jtr, lam, p, bounds)
+            except np.linalg.LinAlgError:
+                break
+            rn = res(nxt)
+            sn = float(rn @ rn) if np.all(np.isfinite(rn)) else np.inf
+            if sn <= ssr:
+                small_x = np.linalg.norm(nxt - p) <= xtol * (np.linalg.norm(p) + xtol)
+                small_f = (ssr - sn) <= ftol * max(sn, 1e-300)
+                p, r, ssr = nxt, rn, sn
+                lam = max(lam / 10, 1e-12)
+                improved = True
+                if small_x or small_f:
+                    improved = False
+                break
+            lam *= 10
+            if lam > 1e16:
+                break
+        if not improved:
+            break
+    cov = None
+    if J is not None and len(y) > k and np.all(np.isfinite(J)):
+        try:
+            cov = ssr / (len(y) - k) * np.linalg.inv(J.T @ J)
+        except np.linalg.LinAlgError:
+            cov = None
+    return p, ssr, cov, nfev
+
+
+def lm_fit_groups(df: DataFrame, group: list[str], x: str, y: str, curve: str, p0: DataFrame,
+                  bounds=None, maxfev: int = 1000) -> DataFrame:
+    """Per-group least squares for inputs that are small per group (a
+    day-level table): each group is one ``applyInPandas`` task running
+    :func:`lm_numpy`; groups run in parallel.  Same output as ``lm_fit``."""
+    import pandas as pd
+    cv = CURVES[curve]
+    k = len(cv.params)
+    start = p0.select(*group, *[E(q).cast("double").alias(f"_p0_{q}") for q in cv.params])
+    d = df.select(*group, E(x).cast("double").alias("_x"), E(y).cast("double").alias("_y")).join(start, group)
+    cols = [*group, *cv.params, *[f"sd_{q}" for q in cv.params], "ssr", "n", "iterations"]
+    schema = ", ".join([f"`{c}` string" for c in group] + [f"`{c}` double" for c in cols[len(group):-2]]
+                       + ["`n` bigint", "`iterations` int"])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        p0v = np.array([pdf[f"_p0_{q}"].iloc[0] for q in cv.params], dtype=float)
+        p, ssr, cov, nfev = lm_numpy(cv.np_f, pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), p0v, bounds, maxfev)
+        sd = [float(np.sqrt(v)) if cov is not None and v >= 0 else None for v in (np.diag(cov) if cov is not None else [None] * k)]
+        row = {**{g: str(pdf[g].iloc[0]) for g in group}, **dict(zip(cv.params, map(float, p))),
+               **{f"sd_{q}": s for q, s in zip(cv.params, sd)}, "ssr": float(ssr), "n": len(pdf), "iterations": nfev}
+        return pd.DataFrame([row], columns=cols)
+
+    return d.groupBy(*group).applyInPandas(fit, schema)

@@ -111,7 +111,8 @@ def fit_gauss(v: Views) -> DataFrame:
     p0 = (train.join(w, "platform").groupBy("platform", "x0")
           .agg(F.sqrt(F.sum(E("organic") * (E("paid") - E("x0")) ** 2) / F.sum("organic")).alias("sigma"))
           .withColumn("a", F.lit(1.0)))
-    p = CV.lm_fit(train, ["platform"], "paid", "organic", "gauss", p0, max_iter=200)
+    # the day-level table is small per platform: one task per platform
+    p = CV.lm_fit_groups(train, ["platform"], "paid", "organic", "gauss", p0, maxfev=1000)
     return _scored(v, p, "gauss")
 
 
@@ -124,7 +125,7 @@ def fit_sigmoid(v: Views) -> DataFrame:
     train = _split(v).filter(~E("is_test"))
     p0 = train.groupBy("platform").agg(F.max("organic").alias("A"), F.lit(0.1).alias("k"),
                                        F.median("paid").alias("x0"), F.min("organic").alias("offset"))
-    p = CV.lm_fit(train, ["platform"], "paid", "organic", "sigmoid", p0, max_iter=200)
+    p = CV.lm_fit_groups(train, ["platform"], "paid", "organic", "sigmoid", p0, maxfev=1000)
     return _scored(v, p, "sigmoid")
 
 
