@@ -248,6 +248,7 @@ def hdi(draws: DataFrame, value: str, key: list[str], alpha: float = 0.05) -> Da
     right = d.select(*key, E("_r").alias("_r2"), E(value).alias("_hi"))
     pos = left.withColumn("_rr", E("_r") + E("_inc")).filter(E("_rr") < E("_n"))
     j = pos.join(right.withColumnRenamed("_r2", "_rr"), [*key, "_rr"])
+    # narrowest window; ties go to the lowest position (numpy argmin)
     best = j.groupBy(*key).agg(F.min_by(F.struct(E("_lo").alias("hdi_lower"), E("_hi").alias("hdi_upper")),
-                                        E("_hi") - E("_lo")).alias("s"))
+                                        F.struct((E("_hi") - E("_lo")).alias("w"), E("_r"))).alias("s"))
     return best.select(*key, "s.hdi_lower", "s.hdi_upper")

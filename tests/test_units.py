@@ -53,8 +53,8 @@ def test_split_lag_equals_lag(spark):
     df = spark.createDataFrame(rows, "k int, ts timestamp, v double")
     want = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("ts")))
     got = split_lag(df, ["k"], "ts", "v", "p")
-    a = sorted(tuple(r) for r in want.collect())
-    b = sorted(tuple(r) for r in got.select("k", "ts", "v", "p").collect())
+    a = sorted((tuple(r) for r in want.collect()), key=str)
+    b = sorted((tuple(r) for r in got.select("k", "ts", "v", "p").collect()), key=str)
     assert a == b
 
 
@@ -64,7 +64,8 @@ def test_global_lead_equals_lead(spark):
     want = df.select("ts", F.lead("ts").over(Window.orderBy("ts")).alias("next"),
                      F.lead("ts").over(Window.partitionBy(F.to_date("ts")).orderBy("ts")).alias("next_intraday"))
     got = global_lead(df, "ts")
-    assert sorted(tuple(r) for r in want.collect()) == sorted(tuple(r) for r in got.select("ts", "next", "next_intraday").collect())
+    assert (sorted((tuple(r) for r in want.collect()), key=str)
+            == sorted((tuple(r) for r in got.select("ts", "next", "next_intraday").collect()), key=str))
 
 
 def test_posterior_params(spark):
