@@ -101,3 +101,45 @@ def split_lag(df: DataFrame, keys: list[str], ts: str, value: str, out: str,
     res = (base.join(edges, cond, "left")
                .withColumn(out, F.when(F.col("_pos") == 1, F.col("_nb")).otherwise(F.col("_in"))))
     return res.drop(day, "_eday", "_in", "_nb", "_pos", *[f"_k{i}" for i in range(len(keys))])
+
+
+def rolling_prev_rows(df: DataFrame, keys: list[str], ts: str, value: str, n: int,
+                      outputs: dict[str, str]) -> DataFrame:
+    """Aggregates over ``ROWS BETWEEN n PRECEDING AND 1 PRECEDING`` of
+    ``partition by keys order by ts`` without a whole-key window partition.
+
+    ``outputs`` maps output column -> aggregate name ('avg', 'stddev').
+    Rows are windowed inside (keys, day) partitions.  Each day also receives
+    a carry-over: the last n rows of the key before that day.  The carry is
+    found without pairing days: the last n rows of every (key, day) form a
+    tail table (at most n rows per key-day), numbered in time order per key;
+    day c needs tail positions P_c - n .. P_c - 1, where P_c counts the tail
+    rows of earlier days; those n positions are exploded per day and
+    equi-joined on (key, position).  Exact for any skew; the extra rows are
+    at most n per (key, day)."""
+    day = "_rday"
+    base = df.withColumn(day, F.to_date(F.col(ts))).withColumn("_carry", F.lit(0))
+    tail = (base.withColumn("_rk", F.row_number().over(Window.partitionBy(*keys, day).orderBy(F.col(ts).desc())))
+                .filter(F.col("_rk") <= n).select(*keys, day, ts, value))
+    w_key = Window.partitionBy(*keys).orderBy(day, ts)
+    tail = tail.withColumn("_pos", F.row_number().over(w_key) - 1)       # ≤ n rows per key-day
+    days = tail.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_m"))
+    run = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_P", F.coalesce(F.sum("_m").over(run), F.lit(0)))
+    need = (days.filter(F.col("_P") > 0)
+                .withColumn("_pos", F.explode(F.sequence(F.greatest(F.col("_P") - n, F.lit(0)), F.col("_P") - 1)))
+                .select(*keys, F.col(day).alias("_target"), "_pos"))
+    t2 = tail.drop(day).select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)],
+                               F.col("_pos").alias("_tpos"), ts, value)
+    cond = need["_pos"] == t2["_tpos"]
+    for i, k in enumerate(keys):
+        cond = cond & need[k].eqNullSafe(t2[f"_t{i}"])          # a NULL key is one partition too
+    carry = (need.join(t2, cond)
+                 .select(*keys, F.col("_target").alias(day), ts, value)
+                 .withColumn("_carry", F.lit(1)))
+    cols = [*keys, day, ts, value, "_carry"]
+    allrows = base.unionByName(carry.select(*cols), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, day).orderBy(ts, "_carry").rowsBetween(-n, -1)
+    fns = {"avg": F.avg, "stddev": F.stddev_samp}
+    out = allrows.withColumns({o: fns[a](value).over(w) for o, a in outputs.items()})
+    return out.filter(F.col("_carry") == 0).drop(day, "_carry")

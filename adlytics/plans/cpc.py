@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlytics.functions.compat import bounded_bucket, safe_div
-from adlytics.operators.windows import split_lag
+from adlytics.operators.windows import rolling_prev_rows, split_lag
 from adlytics.oracle.views import with_views
 from adlytics.plans.registry import register
 from adlytics.sources.views import Views
@@ -112,8 +112,9 @@ def cpc_profile(v: Views, as_of: str = AS_OF) -> DataFrame:
                  F.stddev_samp("revenue_cpc").alias("std_revenue_cpc")))
     m = _clicks(v, 91, as_of).select(*OBJECT_KEYS, "object", "click_id_timestamp", "revenue_cpc")
     j = m.join(prof, OBJECT_KEYS)
-    w = Window.partitionBy("object").orderBy("click_id_timestamp").rowsBetween(-7, -1)
-    return (j.withColumn("avg_7d", F.avg("revenue_cpc").over(w))
+    # 7 previous clicks per object, computed in (object, day) partitions
+    j = rolling_prev_rows(j, ["object"], "click_id_timestamp", "revenue_cpc", 7, {"avg_7d": "avg"})
+    return (j
              .select("click_id_timestamp", "object", "revenue_cpc", "avg_7d",
                      (E("avg_7d") - E("revenue_cpc")).alias("cpc_mismatch"),
                      "avg_revenue_cpc", "median_revenue_cpc", "std_revenue_cpc"))
@@ -147,9 +148,11 @@ FROM mm WINDOW w AS (PARTITION BY object ORDER BY click_id_timestamp ROWS BETWEE
 # -------------------------------------------------------------- C-16, C-17
 def _band(df: DataFrame) -> DataFrame:
     """Prediction band from the previous 7 clicks of the same object."""
-    w = Window.partitionBy("object").orderBy("click_id_timestamp").rowsBetween(-7, -1)
-    return (df.withColumn("avg_7clicks", F.coalesce(F.avg("revenue_cpc").over(w), F.lit(0.0)))
-              .withColumn("std_7clicks", F.coalesce(F.stddev_samp("revenue_cpc").over(w), F.lit(0.0)))
+    r = rolling_prev_rows(df, ["object"], "click_id_timestamp", "revenue_cpc", 7,
+                          {"_avg7": "avg", "_std7": "stddev"})
+    return (r.withColumn("avg_7clicks", F.coalesce(F.col("_avg7"), F.lit(0.0)))
+              .withColumn("std_7clicks", F.coalesce(F.col("_std7"), F.lit(0.0)))
+              .drop("_avg7", "_std7")
               .withColumn("lower_bound_revenue_cpc", E("avg_7clicks") - 1.96 * E("std_7clicks"))
               .withColumn("upper_bound_revenue_cpc", E("avg_7clicks") + 1.96 * E("std_7clicks"))
               .withColumn("cpc_mismatch", E("avg_7clicks") - E("revenue_cpc"))

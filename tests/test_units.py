@@ -128,3 +128,22 @@ def test_lgamma_column(spark):
     got = spark.createDataFrame([(x,) for x in xs], "x double").select(lgamma(F.col("x")).alias("l")).collect()
     for x, r in zip(xs, got):
         assert abs(r.l - math.lgamma(x)) < 1e-8 * max(1.0, abs(math.lgamma(x)))
+
+
+def test_rolling_prev_rows_equals_window(spark):
+    import random
+    from adlytics.operators.windows import rolling_prev_rows
+    rnd = random.Random(0)
+    rows = []
+    t0 = dt.datetime(2024, 1, 1)
+    for k, n in (("hot", 400), ("b", 30), ("c", 3), (None, 12)):
+        for i in range(n):
+            rows.append((k, t0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 20)), rnd.random()))
+    rows = list({(k, t): (k, t, v) for k, t, v in rows}.values())
+    df = spark.createDataFrame(rows, "k string, ts timestamp, v double")
+    w = Window.partitionBy("k").orderBy("ts").rowsBetween(-7, -1)
+    want = df.select("k", "ts", F.avg("v").over(w).alias("a"), F.stddev_samp("v").over(w).alias("s"))
+    got = rolling_prev_rows(df, ["k"], "ts", "v", 7, {"a": "avg", "s": "stddev"}).select("k", "ts", "a", "s")
+    norm = lambda rs: sorted(((r.k, r.ts, None if r.a is None else round(r.a, 9),
+                               None if r.s is None else round(r.s, 9)) for r in rs), key=str)
+    assert norm(want.collect()) == norm(got.collect())
