@@ -281,3 +281,30 @@ register("c06_overlay_clicks", oracle=with_views(f"""
 SELECT id, count(DISTINCT s.session_id) AS sessions, count(DISTINCT o.interactions_key) AS app_install_large_overlay
 FROM s LEFT JOIN o USING (session_id)
 GROUP BY ALL""", "ab_sessions", "interactions"))(overlay_clicks)
+
+
+# ------------------------------------------------------- S-1 .. S-3 (SQL text)
+OVERLAY_SQL = """
+SELECT to_date(install_time) AS dt,
+       count(DISTINCT CASE WHEN campaign_name IN (:overlay_a, :overlay_b) THEN app_user_id END) AS overlay_installs,
+       count(DISTINCT app_user_id) AS total_installs
+FROM installs
+WHERE activity_kind = 'install' AND install_time > to_timestamp(:start)
+GROUP BY 1
+"""
+
+
+def overlay_installs_sql(v: Views, start: str = INSTALL_START) -> DataFrame:
+    """C-5 as SQL text over a registered view with named parameters
+    (``spark.sql(text, args=...)``: values are bound, never pasted)."""
+    v.register("installs")
+    return v.spark.sql(OVERLAY_SQL, args={"overlay_a": OVERLAY[0], "overlay_b": OVERLAY[1], "start": start})
+
+
+register("c05_overlay_installs_sql", oracle=with_views(f"""
+SELECT CAST(install_time AS DATE) AS dt,
+       count(DISTINCT CASE WHEN campaign_name IN ('{OVERLAY[0]}', '{OVERLAY[1]}') THEN app_user_id END) AS overlay_installs,
+       count(DISTINCT app_user_id) AS total_installs
+FROM installs
+WHERE activity_kind = 'install' AND install_time > TIMESTAMP '{INSTALL_START}'
+GROUP BY 1""", "installs"))(overlay_installs_sql)

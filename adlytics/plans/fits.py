@@ -273,3 +273,111 @@ SELECT *, lag(delay_in_week, 1) OVER w AS delay_in_week_lag1, lag(delay_in_week,
        CASE WHEN spend > 0 THEN ln(spend) END AS log_spend,
        revenue / CAST(clicks AS DOUBLE) AS rev_per_click, revenue / spend AS rev_per_spend
 FROM g WINDOW w AS (ORDER BY week)""", "uploads", "ads_report"))(weekly_design)
+
+
+# ---------------------------------------------------------------- X-5, X-6
+BOOT_TRIALS = 100
+
+
+def bootstrap_linear_refit(v: Views, trials: int = BOOT_TRIALS) -> DataFrame:
+    """X-6: refit the line on ``trials`` paired bootstrap samples of the
+    training days (X-5 index draws, md5-seeded), one row per (platform,
+    replicate); the replicate is just another grouping key of the closed
+    form."""
+    from adlytics.operators import resample as R
+    train = _split(v).filter(~E("is_test"))
+    w = Window.partitionBy("platform").orderBy("dt")
+    s = train.withColumn("idx", F.row_number().over(w) - 1)
+    pairs = s.select(E("platform").alias("series"), "idx", F.struct("paid", "organic").alias("value"))
+    boot = R.iid_bootstrap(pairs, trials, seed=11)
+    d = boot.select(E("series").alias("platform"), "rep", E("value.paid").alias("paid"),
+                    E("value.organic").alias("organic"))
+    return CV.linear_fit(d, ["platform", "rep"], "paid", "organic").select("platform", "rep", "a", "b")
+
+
+register("c21_bootstrap_refit", note="paired bootstrap refits; checked in tests")(bootstrap_linear_refit)
+
+
+def bootstrap_refit_summary(v: Views) -> DataFrame:
+    r = bootstrap_linear_refit(v)
+    return r.groupBy("platform").agg(F.avg("a").alias("mean_a"), F.stddev_samp("a").alias("sd_a"),
+                                     F.avg("b").alias("mean_b"), F.stddev_samp("b").alias("sd_b"),
+                                     F.count(F.lit(1)).alias("trials"))
+
+
+register("c21_bootstrap_refit_summary", note="paired bootstrap refits; checked in tests")(bootstrap_refit_summary)
+
+
+# -------------------------------------------------------------------- T-10
+N_CHANGEPOINTS = 25
+CHANGEPOINT_RANGE = 0.8
+YEARLY_ORDER, WEEKLY_ORDER = 10, 3
+INTERVAL_Z = 1.2816          # 80 % band
+
+
+def _trend_design(v: Views) -> tuple[DataFrame, list[str]]:
+    """Day-level design: scaled time, hinge terms at 25 candidate
+    changepoints spread over the first 80 % of the history, yearly (order
+    10) and weekly (order 3) Fourier terms."""
+    import math
+    d = delay_frame(v).filter(E("log_rev").isNotNull()).select("dt", E("log_rev").alias("y"))
+    allw = Window.partitionBy()           # day-level table: one small partition
+    d = d.withColumns({"_i": F.row_number().over(Window.orderBy("dt")) - 1, "_n": F.count(F.lit(1)).over(allw),
+                       "_d0": F.min("dt").over(allw), "_d1": F.max("dt").over(allw)})
+    d = d.withColumn("t", F.datediff("dt", "_d0") / F.greatest(F.datediff("_d1", "_d0"), F.lit(1)))
+    feats = ["t"]
+    h = F.floor(E("_n") * CHANGEPOINT_RANGE)
+    for j in range(1, N_CHANGEPOINTS + 1):
+        cj = F.round(F.lit(j) * (h - 1) / N_CHANGEPOINTS).cast("int")
+        tj = F.first(F.when(E("_i") == cj, E("t")), ignorenulls=True).over(allw)
+        d = d.withColumns({f"cp{j}_t": tj, f"cp{j}": F.greatest(E("t") - tj, F.lit(0.0))})
+        feats.append(f"cp{j}")
+    day = F.datediff("dt", F.lit("1970-01-01").cast("date")).cast("double")
+    for name, period, order in (("yearly", 365.25, YEARLY_ORDER), ("weekly", 7.0, WEEKLY_ORDER)):
+        for k in range(1, order + 1):
+            ang = 2 * math.pi * k * day / period
+            d = d.withColumns({f"{name}_sin{k}": F.sin(ang), f"{name}_cos{k}": F.cos(ang)})
+            feats += [f"{name}_sin{k}", f"{name}_cos{k}"]
+    return d, feats
+
+
+def _trend_model(v: Views):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    d, feats = _trend_design(v)
+    va = VectorAssembler(inputCols=feats, outputCol="_f")
+    x = va.transform(d)
+    model = LinearRegression(featuresCol="_f", labelCol="y", elasticNetParam=1.0, regParam=0.001,
+                             standardization=True, maxIter=200).fit(x)
+    return d, feats, x, model
+
+
+def trend_forecast(v: Views) -> DataFrame:
+    """T-10: fitted trend + seasonality of log revenue with an 80 % band
+    from the residual spread (a lasso on hinge + Fourier features stands in
+    for the Bayesian trend model of the original; same role, not equal)."""
+    _, _, x, model = _trend_model(v)
+    p = model.transform(x).withColumnRenamed("prediction", "yhat")
+    sd = F.stddev_samp(E("y") - E("yhat")).over(Window.partitionBy())
+    return p.select("dt", "y", "yhat", (E("yhat") - INTERVAL_Z * sd).alias("yhat_lower"),
+                    (E("yhat") + INTERVAL_Z * sd).alias("yhat_upper"))
+
+
+register("c35_trend_forecast", note="trend + changepoints model; checked in tests")(trend_forecast)
+
+
+def trend_changepoints(v: Views) -> DataFrame:
+    """Changepoint dates whose hinge coefficient is not zero."""
+    d, feats, _, model = _trend_model(v)
+    coefs = dict(zip(feats, model.coefficients.toArray().tolist()))
+    rows = [(j, float(coefs[f"cp{j}"])) for j in range(1, N_CHANGEPOINTS + 1)]
+    cdf = v.spark.createDataFrame(rows, "j int, delta double")
+    cps = d.select(F.explode(F.array(*[F.struct(F.lit(j).alias("j"), E(f"cp{j}_t").alias("t_cp"))
+                                        for j in range(1, N_CHANGEPOINTS + 1)])).alias("c"),
+                   "_d0", "_d1").select("c.j", "c.t_cp", "_d0", "_d1").distinct()
+    cps = cps.withColumn("changepoint", F.date_add("_d0", F.round(E("t_cp") * F.datediff("_d1", "_d0")).cast("int")))
+    return (cps.join(F.broadcast(cdf), "j").filter(F.abs("delta") > 1e-9)
+               .select("j", "changepoint", "delta"))
+
+
+register("c35_trend_changepoints", note="trend + changepoints model; checked in tests")(trend_changepoints)

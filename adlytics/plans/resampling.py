@@ -90,3 +90,45 @@ register("x04_holdout_split", oracle=with_views(I._PO_SQL + f"""
                     {sql_hash_int(str(SEED), 'platform', "strftime(dt, '%Y-%m-%d')")}, strftime(dt, '%Y-%m-%d')) AS r,
                 count(*) OVER (PARTITION BY platform) AS n FROM po)
 SELECT dt, platform, paid, organic, r <= ceil(n * 0.15) AS is_test FROM hs""", "installs"))(holdout)
+
+
+# --------------------------------------------------------------------- T-2
+LOESS_Q = 31
+
+
+def loess_native(v: Views, q: int = LOESS_Q) -> DataFrame:
+    """T-2: LOESS (degree 1, tricube, q nearest days) of each daily series
+    in native columns: every day explodes its q-day window (shifted at the
+    ends), neighbours are fetched by an equi join on (series, idx), and the
+    local line comes from grouped weighted sums.  Rows = series x days x q."""
+    s = daily_series(v).select("series", "idx", "value")
+    n = s.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+    c = s.join(n, "series").withColumn("st", F.greatest(F.least(E("idx") - (q - 1) // 2, E("n") - q), F.lit(0)))
+    c = c.withColumn("j", F.explode(F.sequence(E("st"), F.least(E("st") + q, E("n")) - 1)))
+    c = c.withColumn("h", F.greatest(E("idx") - E("st"), F.least(E("st") + q, E("n")) - 1 - E("idx")))
+    nb = s.select("series", E("idx").alias("j"), E("value").alias("yj"))
+    d = c.select("series", "idx", "j", "h").join(nb, ["series", "j"])
+    u = F.least(F.abs(E("j") - E("idx")) / F.greatest(E("h"), F.lit(1e-12)), F.lit(1.0))
+    d = d.withColumn("w", F.pow(1 - F.pow(u, 3), 3)).withColumn("x", (E("j") - E("idx")).cast("double"))
+    g = d.groupBy("series", "idx").agg(
+        F.sum("w").alias("s0"), F.sum(E("w") * E("x")).alias("s1"), F.sum(E("w") * E("x") * E("x")).alias("s2"),
+        F.sum(E("w") * E("yj")).alias("t0"), F.sum(E("w") * E("x") * E("yj")).alias("t1"))
+    den = E("s0") * E("s2") - E("s1") * E("s1")
+    b = F.when(den > 1e-12, (E("s0") * E("t1") - E("s1") * E("t0")) / den).otherwise(0.0)
+    return g.select("series", "idx", ((E("t0") - b * E("s1")) / E("s0")).alias("smoothed"))
+
+
+register("t02_loess_native", floats={"smoothed": 4}, oracle=with_views(_SERIES_SQL + f"""
+, c0 AS (SELECT s.series, s.idx, n.n, greatest(least(s.idx - {(LOESS_Q - 1) // 2}, n.n - {LOESS_Q}), 0) AS st
+         FROM s JOIN n USING (series))
+, c1 AS (SELECT series, idx, st, least(st + {LOESS_Q}, n) - 1 AS en FROM c0)
+, c2 AS (SELECT series, idx, greatest(idx - st, en - idx) AS h, unnest(range(st, en + 1)) AS j FROM c1)
+, d AS (SELECT c2.series, c2.idx, c2.j, c2.h, s.value AS yj FROM c2 JOIN s ON s.series = c2.series AND s.idx = c2.j)
+, d2 AS (SELECT *, pow(1 - pow(least(abs(j - idx) / greatest(h, 1e-12), 1.0), 3), 3) AS w,
+                CAST(j - idx AS DOUBLE) AS x FROM d)
+, g AS (SELECT series, idx, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(w * yj) AS t0,
+               sum(w * x * yj) AS t1 FROM d2 GROUP BY 1, 2)
+SELECT series, idx,
+       (t0 - CASE WHEN s0 * s2 - s1 * s1 > 1e-12 THEN (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) ELSE 0 END * s1) / s0
+         AS smoothed
+FROM g""", "main_revenues"))(loess_native)

@@ -167,3 +167,32 @@ def test_report_reader_and_cleaning(spark, queries):
     assert np.allclose(cleaned.revenue, direct.revenue)
     out = os.path.join(d, "utf8")
     assert text.transcode_report(spark, path, out) == len(raw)
+
+
+def test_loess_native_matches_numpy(spark, queries):
+    from adlytics.plans import resampling as RS
+    from adlytics.plans.registry import views_for
+    v = views_for(spark, SF_MID)
+    ln = queries["t02_loess_native"].build(v).toPandas()
+    ser = RS.daily_series(v).toPandas()
+    for name, g in ser.groupby("series"):
+        ref = FC.loess_grid(g.sort_values("idx").value.to_numpy(), RS.LOESS_Q)
+        got = ln[ln.series == name].sort_values("idx").smoothed.to_numpy()
+        assert np.abs(ref - got).max() <= 1e-9 * max(1.0, np.abs(ref).max())
+
+
+def test_bootstrap_refit_spread_matches_standard_error(spark, queries):
+    b = queries["c21_bootstrap_refit_summary"].run(spark, SF_MID).toPandas().set_index("platform")
+    f = queries["c21_fit_linear"].run(spark, SF_MID).toPandas().set_index("platform")
+    assert (b.trials == 100).all()
+    ratio = b.sd_b / f.se_b
+    assert ((ratio > 0.5) & (ratio < 2.0)).all()
+
+
+def test_trend_model(spark, queries):
+    t = queries["c35_trend_forecast"].run(spark, SF_MID).toPandas()
+    assert (t.yhat_lower < t.yhat).all() and (t.yhat < t.yhat_upper).all()
+    resid = t.y - t.yhat
+    assert resid.std() < t.y.std()
+    cps = queries["c35_trend_changepoints"].run(spark, SF_MID).toPandas()
+    assert len(cps) <= 25 and (cps.delta.abs() > 0).all()
