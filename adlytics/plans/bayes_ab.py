@@ -169,3 +169,18 @@ def bookings_lift_hdi(v: Views) -> DataFrame:
 
 
 register("c34_bayes_lift_hdi", note="posterior draws; checked in tests")(bookings_lift_hdi)
+
+
+def daily_cvr(v: Views) -> DataFrame:
+    """B-11: daily conversion rate per arm (the plotted series)."""
+    d = bookings_daily(v)
+    return d.select("arm", "date", "day", "week_day", "n", "k", (E("k") / E("n")).alias("cvr"))
+
+
+register("c34_daily_cvr", floats={"cvr": 6}, oracle=with_views(_BOOKINGS_DAILY + f"""
+, arms AS (SELECT CASE WHEN id = '{CONTROL}' THEN 'control' ELSE 'variant' END AS arm, dt AS date,
+                  CAST(sum(users) AS BIGINT) AS n, CAST(sum(onsite_bookings) AS BIGINT) AS k
+           FROM d WHERE id IN ('{CONTROL}', '{VARIANT}') GROUP BY 1, 2)
+SELECT arm, date, CAST(row_number() OVER (PARTITION BY arm ORDER BY date) - 1 AS INTEGER) AS day,
+       dayname(date) AS week_day, n, k, k / n AS cvr
+FROM arms""", "ab_sessions"))(daily_cvr)

@@ -381,3 +381,23 @@ def trend_changepoints(v: Views) -> DataFrame:
 
 
 register("c35_trend_changepoints", note="trend + changepoints model; checked in tests")(trend_changepoints)
+
+
+def linear_residuals(v: Views) -> DataFrame:
+    """M-16: residuals y - f(x) of the training days under the fitted line."""
+    train = _split(v).filter(~E("is_test"))
+    p = CV.linear_fit(train, ["platform"], "paid", "organic")
+    r = CV.predict(train, p, ["platform"], "paid", "linear")
+    return r.select("platform", "dt", "paid", "organic", (E("organic") - E("pred")).alias("residual"))
+
+
+register("c21_linear_residuals", floats={"paid": 6, "organic": 6, "residual": 6}, oracle=with_views(I._PO_SQL + f"""
+, hs AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY
+                    {sql_hash_int('42', 'platform', "strftime(dt, '%Y-%m-%d')")}, strftime(dt, '%Y-%m-%d')) AS r,
+                count(*) OVER (PARTITION BY platform) AS nn FROM po)
+, tr AS (SELECT platform, dt, CAST(paid AS DOUBLE) AS paid, CAST(organic AS DOUBLE) AS organic FROM hs
+         WHERE NOT (r <= ceil(nn * 0.15)))
+, f AS (SELECT platform, avg(paid) AS mx, avg(organic) AS my, regr_sxy(organic, paid) / regr_sxx(organic, paid) AS b
+        FROM tr GROUP BY 1)
+SELECT platform, dt, paid, organic, organic - ((my - b * mx) + b * paid) AS residual FROM tr JOIN f USING (platform)""",
+    "installs"))(linear_residuals)

@@ -128,3 +128,15 @@ register("c33_match_counts", oracle=with_views(_MASTER_SQL + _SEM_SQL + """
 SELECT count(*) AS rows, count_if(search_term IS NOT NULL AND keyword IS NOT NULL) AS matched,
        count_if(search_term IS NULL) AS keywords_without_sem, count_if(keyword IS NULL) AS terms_without_keyword
 FROM m""", "keyword_volume", "keyword_master", "search_terms_raw"))(match_counts)
+
+
+def keywords_without_search_data(v: Views, market: str = MARKET) -> DataFrame:
+    """J-11: master keywords with no search-term row (anti join)."""
+    h = keywords_with_volume(v, market).withColumn("keyword", F.lower(F.trim("keyword")))
+    return h.join(search_terms(v), h.keyword == E("search_term"), "left_anti")
+
+
+register("c33_keywords_without_sem", oracle=with_views(_MASTER_SQL + _SEM_SQL + """
+, h AS (SELECT * REPLACE (lower(trim(keyword)) AS keyword) FROM herodb)
+SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM sem WHERE sem.search_term = h.keyword)""",
+    "keyword_volume", "keyword_master", "search_terms_raw"))(keywords_without_search_data)
