@@ -50,9 +50,13 @@ def posterior_params(daily: DataFrame, alpha: float = 1.0, beta: float = 1.0, da
     w = Window.partitionBy("arm").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     c = daily.withColumns({"N": F.sum("n").over(w), "K": F.sum("k").over(w)})
     c = c.withColumns({"a": F.lit(float(alpha)) + E("K"), "b": F.lit(float(beta)) + E("N") - E("K")})
-    one = lambda arm, p: (c.filter(E("arm") == arm)
-                           .select("day", *[E(x).alias(f"{x}_{p}") for x in ("date", "N", "K", "a", "b")]))
-    j = one("control", "c").join(one("variant", "v"), "day")      # inner: days present in both arms
+    # one row per day with both arms side by side: a conditional aggregate
+    # (one pass, no self join); days present in both arms only
+    cols = ("date", "N", "K", "a", "b")
+    j = (c.groupBy("day")
+          .agg(*[F.max(F.when(E("arm") == arm, E(x))).alias(f"{x}_{p}")
+                 for arm, p in (("control", "c"), ("variant", "v")) for x in cols])
+          .filter(E("a_c").isNotNull() & E("a_v").isNotNull()))
     if days is not None:
         j = j.filter(E("day") < days)
     for p in ("c", "v"):
@@ -73,16 +77,19 @@ def quadrature(post: DataFrame, grid: int = 20000, key: list[str] | None = None)
     g = post.withColumns({
         "lo": F.greatest(F.least(E("mean_c") - 10 * sd("c"), E("mean_v") - 10 * sd("v")), F.lit(0.0)),
         "hi": F.least(F.greatest(E("mean_c") + 10 * sd("c"), E("mean_v") + 10 * sd("v")), F.lit(1.0))})
-    g = g.withColumn("h", (E("hi") - E("lo")) / grid)
-    pts = (g.select(*key, "lo", "h", "a_c", "b_c", "a_v", "b_v",
+    from adlytics.functions.special import lbeta
+    g = g.withColumns({"h": (E("hi") - E("lo")) / grid,
+                       "lb_c": lbeta(E("a_c"), E("b_c")), "lb_v": lbeta(E("a_v"), E("b_v"))})   # per day, not per cell
+    extra = [c for c in post.columns if c not in key and c not in ("a_c", "b_c", "a_v", "b_v")]
+    pts = (g.select(*key, "lo", "h", "a_c", "b_c", "a_v", "b_v", "lb_c", "lb_v", *extra,
                     F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
             .withColumn("x", E("lo") + (E("i") + 0.5) * E("h"))
             .withColumns({"lc": _log_kernel(E("x"), E("a_c"), E("b_c")),
                           "lv": _log_kernel(E("x"), E("a_v"), E("b_v"))}))
-    day_w = Window.partitionBy(*key)
-    pts = pts.withColumns({"wc": F.exp(E("lc") - F.max("lc").over(day_w)),
-                           "wv": F.exp(E("lv") - F.max("lv").over(day_w))})
-    pts = pts.withColumns({"pc": E("wc") / F.sum("wc").over(day_w), "pv": E("wv") / F.sum("wv").over(day_w)})
+    # cell masses from the exact density: log kernel - log Beta(a, b) (no
+    # window pass for a numerical normaliser; the grid covers +-10 sd)
+    pts = pts.withColumns({"pc": F.exp(E("lc") - E("lb_c")) * E("h"),
+                           "pv": F.exp(E("lv") - E("lb_v")) * E("h")})
     run = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     pts = pts.withColumns({"Ec": F.sum("pc").over(run), "Ev": F.sum("pv").over(run),
                            "Sc": F.sum(E("pc") * E("x")).over(run), "Sv": F.sum(E("pv") * E("x")).over(run)})
@@ -96,7 +103,9 @@ def quadrature(post: DataFrame, grid: int = 20000, key: list[str] | None = None)
         return F.min(F.when(E(f"E{p}") >= level, F.struct("i", E(f"E{p}").alias("e"), E(f"p{p}").alias("m"),
                                                            "lo", "h")))
 
+    carry = [c for c in post.columns if c not in key]
     agg = pts.groupBy(*key).agg(
+        *[F.first(c).alias(c) for c in carry if c in pts.columns],
         F.sum(E("pv") * E("Fc")).alias("prob_variant_better_than_control"),
         F.sum(E("pv") * (E("x") * E("Fc") - E("Mc"))).alias("control_expected_loss"),
         F.sum(E("pc") * (E("x") * E("Fv") - E("Mv"))).alias("variant_expected_loss"),
@@ -114,8 +123,8 @@ def bayes_by_day(daily: DataFrame, alpha: float = 1.0, beta: float = 1.0, days:
                  grid: int = 20000) -> DataFrame:
     """The per-day record: losses, probability, means and 95 % intervals."""
     post = posterior_params(daily, alpha, beta, days)
-    qd = quadrature(post, grid)
-    return (post.join(qd, "day")
+    qd = quadrature(post, grid)          # carries the per-day posterior columns
+    return (qd
                 .select("day", E("date_c").alias("date"),
                         "variant_expected_loss", "control_expected_loss", "prob_variant_better_than_control",
                         E("mean_c").alias("control_cvr"), "control_cvr_lower", "control_cvr_upper",

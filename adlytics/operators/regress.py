@@ -122,7 +122,10 @@ def glm(df: DataFrame, y: str, xs: list[str], family: str = "gaussian", link: st
     kw = dict(family=family, featuresCol="_features", labelCol=y, maxIter=max_iter, fitIntercept=True)
     if link:
         kw["link"] = link
-    model = GeneralizedLinearRegression(**kw).fit(va.transform(d))
+    # IRLS and the summary statistics are several passes over the design:
+    # keep it (one row per period) instead of recomputing its lineage each pass
+    x = va.transform(d).select("_features", y).persist()
+    model = GeneralizedLinearRegression(**kw).fit(x)
     s = model.summary
     coefs = [float(model.intercept)] + [float(c) for c in model.coefficients]
     names = ["const", *xs]
@@ -136,6 +139,7 @@ def glm(df: DataFrame, y: str, xs: list[str], family: str = "gaussian", link: st
         se = tv = pv = [None] * len(names)
     rows = [(n, c, e, t, p, float(s.deviance), float(s.dispersion), float(s.aic), int(s.numInstances))
             for n, c, e, t, p in zip(names, coefs, se, tv, pv)]
+    x.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "term string, coef double, std_err double, t_value double, p_value double, "
               "deviance double, dispersion double, aic double, n bigint")

@@ -72,8 +72,8 @@ def _bayes_sql(daily_cte: str, n: str, k: str) -> str:
 , p1 AS (SELECT day, lo, (hi - lo) / {GRID} AS h, a_c, b_c, a_v, b_v, unnest(range(0, {GRID})) AS i FROM g)
 , p2 AS (SELECT *, lo + (i + 0.5) * h AS x FROM p1)
 , p3 AS (SELECT *, (a_c - 1) * ln(x) + (b_c - 1) * ln(1 - x) AS lc, (a_v - 1) * ln(x) + (b_v - 1) * ln(1 - x) AS lv FROM p2)
-, p4 AS (SELECT *, exp(lc - max(lc) OVER (PARTITION BY day)) AS wc, exp(lv - max(lv) OVER (PARTITION BY day)) AS wv FROM p3)
-, p5 AS (SELECT *, wc / sum(wc) OVER (PARTITION BY day) AS pc, wv / sum(wv) OVER (PARTITION BY day) AS pv FROM p4)
+, p5 AS (SELECT *, exp(lc - (lgamma(a_c) + lgamma(b_c) - lgamma(a_c + b_c))) * h AS pc,
+                exp(lv - (lgamma(a_v) + lgamma(b_v) - lgamma(a_v + b_v))) * h AS pv FROM p3)
 , p6 AS (SELECT *, sum(pc) OVER r AS ec, sum(pv) OVER r AS ev, sum(pc * x) OVER r AS sc, sum(pv * x) OVER r AS sv
          FROM p5 WINDOW r AS (PARTITION BY day ORDER BY i ROWS UNBOUNDED PRECEDING))
 , p7 AS (SELECT *, ec - pc / 2 AS fc, ev - pv / 2 AS fv, sc - pc * x / 2 AS mc, sv - pv * x / 2 AS mv FROM p6)
