@@ -155,13 +155,24 @@ def importance_sampling(post: DataFrame, n_draws: int = 500000, simulations: int
     f_c f_v / (g_c g_v) (0 outside (0, 1)), averages over the half planes.
     Draws are hash-based (seed, simulation, day, i), so the estimate is
     repeatable under any partitioning; rows = days x simulations x draws."""
-    sims = post.withColumn("simulation", F.explode(F.sequence(F.lit(1), F.lit(simulations))))
-    d = sims.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    sc, sv = 1.25 * F.sqrt(E("var_c")), 1.25 * F.sqrt(E("var_v"))
-    d = d.withColumns({"xc": E("mean_c") + sc * normal_draw(seed, E("simulation"), E("day"), E("i"), "c"),
-                       "xv": E("mean_v") + sv * normal_draw(seed, E("simulation"), E("day"), E("i"), "v")})
-    lw = (log_beta_pdf(E("xc"), E("a_c"), E("b_c")) + log_beta_pdf(E("xv"), E("a_v"), E("b_v"))
-          - log_normal_pdf(E("xc"), E("mean_c"), sc) - log_normal_pdf(E("xv"), E("mean_v"), sv))
+    from adlytics.functions.special import lbeta
+    # per-day constants first (one row per day), then the draws
+    sims = (post.withColumn("simulation", F.explode(F.sequence(F.lit(1), F.lit(simulations))))
+                .withColumns({"sc": 1.25 * F.sqrt(E("var_c")), "sv": 1.25 * F.sqrt(E("var_v")),
+                              "lb_c": lbeta(E("a_c"), E("b_c")), "lb_v": lbeta(E("a_v"), E("b_v"))}))
+    # two-level explode (blocks of 1024) instead of one n_draws-long array per row
+    blk = 1024
+    d = (sims.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((n_draws - 1) // blk))))
+             .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blk - 1))))
+             .withColumn("i", E("_b") * blk + E("_o")).filter(E("i") < n_draws).drop("_b", "_o"))
+    d = d.withColumns({"xc": E("mean_c") + E("sc") * normal_draw(seed, E("simulation"), E("day"), E("i"), "c"),
+                       "xv": E("mean_v") + E("sv") * normal_draw(seed, E("simulation"), E("day"), E("i"), "v")})
+
+    def lpdf(x, a, b, lb):
+        return F.when((x > 0) & (x < 1), _log_kernel(x, a, b) - lb)
+
+    lw = (lpdf(E("xc"), E("a_c"), E("b_c"), E("lb_c")) + lpdf(E("xv"), E("a_v"), E("b_v"), E("lb_v"))
+          - log_normal_pdf(E("xc"), E("mean_c"), E("sc")) - log_normal_pdf(E("xv"), E("mean_v"), E("sv")))
     d = d.withColumn("y", F.coalesce(F.exp(lw), F.lit(0.0)))
     better = E("xv") >= E("xc")
     n = float(n_draws)

@@ -69,13 +69,23 @@ def cutoff_series(v: Views, cutoffs: list[str], metric: str = METRIC, group_mark
     return s.withColumn("idx", F.row_number().over(Window.partitionBy("key").orderBy("date")) - 1)
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the grouping keys into a fixed number of partitions
+    (2 x the cluster's parallelism).  The grouped-map steps are CPU-heavy on
+    little data: without this, adaptive coalescing would pack all keys into
+    one or two tasks.  An explicit partition count is not coalesced, and the
+    following groupBy on the same keys needs no further shuffle."""
+    n = max(8, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def decompose(series: DataFrame, period: int = PERIOD_STL) -> DataFrame:
     """T-1: robust STL per key (one applyInPandas group per key).  The
     components feed both the residual bootstrap and the re-assembly, so
     they are checkpointed to the shared checkpoint folder: the Python step
     runs once and a lost executor does not re-run it."""
     fn = partial(FC.stl_frame, period=period, seasonal=SEASONAL)
-    comp = (series.select("key", "cutoff", "series", "date", "idx", "value")
+    comp = (_spread(series.select("key", "cutoff", "series", "date", "idx", "value"), "key")
                   .groupBy("key").applyInPandas(fn, SERIES_SCHEMA))
     return comp.checkpoint(eager=True)
 
@@ -107,7 +117,7 @@ def holt_winters(rep: DataFrame, period: int, mode: str = "cutoff") -> DataFrame
         r = r.withColumns({"start": F.trunc("_last", "month"), "end": F.last_day("_last")})
     r = r.filter(E("date") < E("start")).drop("_last")
     fn = partial(FC.hw_frame, period=period, key_cols=["key", "rep"], start_col="start", end_col="end")
-    return (r.select("key", "rep", "date", "value", "start", "end")
+    return (_spread(r.select("key", "rep", "date", "value", "start", "end"), "key", "rep")
              .groupBy("key", "rep").applyInPandas(fn, HW_SCHEMA))
 
 
