@@ -54,7 +54,7 @@ def _bayes_sql(daily_cte: str, n: str, k: str) -> str:
 , arms AS (SELECT CASE WHEN id = '{CONTROL}' THEN 'control' ELSE 'variant' END AS arm, dt AS date,
                   sum({n}) AS n, sum({k}) AS k
            FROM d WHERE id IN ('{CONTROL}', '{VARIANT}') GROUP BY 1, 2)
-, idx AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY date) - 1 AS day FROM arms)
+, idx AS (SELECT *, CAST(row_number() OVER (PARTITION BY arm ORDER BY date) - 1 AS INTEGER) AS day FROM arms)
 , cum AS (SELECT *, sum(n) OVER w AS nn, sum(k) OVER w AS kk FROM idx
           WINDOW w AS (PARTITION BY arm ORDER BY day ROWS UNBOUNDED PRECEDING))
 , post AS (

@@ -222,7 +222,7 @@ SELECT last_index, first_index, n1 AS n_before, n2 AS n_after, rss_p AS rss_pool
        rss_2 AS rss_after,
        CASE WHEN (rss_1 + rss_2) / (n1 + n2 - 4) > 0
             THEN ((rss_p - (rss_1 + rss_2)) / 2.0) / ((rss_1 + rss_2) / CAST(n1 + n2 - 4 AS DOUBLE)) END AS f_stat,
-       2.0 AS df1, CAST(n1 + n2 - 4 AS DOUBLE) AS df2
+       CAST(2.0 AS DOUBLE) AS df1, CAST(n1 + n2 - 4 AS DOUBLE) AS df2
 FROM rr"""
 
 

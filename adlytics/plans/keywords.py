@@ -125,8 +125,9 @@ def match_counts(v: Views, market: str = MARKET) -> DataFrame:
 register("c33_match_counts", oracle=with_views(_MASTER_SQL + _SEM_SQL + """
 , h AS (SELECT * REPLACE (lower(trim(keyword)) AS keyword) FROM herodb)
 , m AS (SELECT * FROM h FULL JOIN sem ON h.keyword = sem.search_term)
-SELECT count(*) AS rows, count_if(search_term IS NOT NULL AND keyword IS NOT NULL) AS matched,
-       count_if(search_term IS NULL) AS keywords_without_sem, count_if(keyword IS NULL) AS terms_without_keyword
+SELECT count(*) AS rows, CAST(count_if(search_term IS NOT NULL AND keyword IS NOT NULL) AS BIGINT) AS matched,
+       CAST(count_if(search_term IS NULL) AS BIGINT) AS keywords_without_sem,
+       CAST(count_if(keyword IS NULL) AS BIGINT) AS terms_without_keyword
 FROM m""", "keyword_volume", "keyword_master", "search_terms_raw"))(match_counts)
 
 

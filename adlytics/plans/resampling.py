@@ -42,7 +42,7 @@ _SERIES_SQL = f"""
 , b AS (SELECT series, min(date) AS lo, max(date) AS hi FROM d0 GROUP BY 1)
 , sp AS (SELECT series, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b)
 , s AS (
-  SELECT sp.series, sp.date, row_number() OVER (PARTITION BY sp.series ORDER BY sp.date) - 1 AS idx,
+  SELECT sp.series, sp.date, CAST(row_number() OVER (PARTITION BY sp.series ORDER BY sp.date) - 1 AS INTEGER) AS idx,
          coalesce(d0.value, 0) AS value
   FROM sp LEFT JOIN d0 USING (series, date))
 , n AS (SELECT series, count(*) AS n FROM s GROUP BY 1)"""
@@ -59,7 +59,8 @@ register("x02_iid_bootstrap", floats={"value": 2}, oracle=with_views(_SERIES_SQL
 , d AS (SELECT series, n, unnest(range(0, {IID_REPS})) AS rep FROM n)
 , d2 AS (SELECT series, n, rep, unnest(range(0, n)) AS idx FROM d)
 , d3 AS (SELECT *, {sql_hash_int(str(SEED), 'series', 'rep', 'idx')} % n AS src FROM d2)
-SELECT d3.series, rep, d3.idx, src, s.value FROM d3 JOIN s ON s.series = d3.series AND s.idx = d3.src""",
+SELECT d3.series, CAST(rep AS INTEGER) AS rep, CAST(d3.idx AS INTEGER) AS idx, src, s.value
+FROM d3 JOIN s ON s.series = d3.series AND s.idx = d3.src""",
     "main_revenues"))(iid_bootstrap)
 
 
@@ -75,7 +76,8 @@ register("x03_block_bootstrap", floats={"value": 2}, oracle=with_views(_SERIES_S
 , d3 AS (SELECT *, {sql_hash_int(str(SEED), 'series', 'rep', 'blk')} % n AS start FROM d2)
 , d4 AS (SELECT *, unnest(range(0, b)) AS off FROM d3)
 , d5 AS (SELECT series, rep, blk * b + off AS idx, (start + off) % n AS src FROM d4 WHERE blk * b + off < n)
-SELECT d5.series, rep, d5.idx, src, s.value FROM d5 JOIN s ON s.series = d5.series AND s.idx = d5.src""",
+SELECT d5.series, CAST(rep AS INTEGER) AS rep, CAST(d5.idx AS INTEGER) AS idx, src, s.value
+FROM d5 JOIN s ON s.series = d5.series AND s.idx = d5.src""",
     "main_revenues"))(block_bootstrap)
 
 

@@ -38,3 +38,23 @@ def test_entry_contract(spark):
     qs, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(qs)
     assert len(qs) >= 60
+
+
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "DateType()": "DATE", "BooleanType()": "BOOLEAN",
+                 "TimestampType()": "TIMESTAMP", "TimestampNTZType()": "TIMESTAMP",
+                 "DecimalType(10,4)": "DECIMAL(10,4)"}
+
+
+def test_oracle_column_types(spark, queries):
+    """Same column names and types on both sides (schema part of the gate)."""
+    con = duck(SF_SMALL)
+    bad = []
+    for name in WITH_ORACLE:
+        q = queries[name]
+        sp = {f.name: str(f.dataType) for f in q.run(spark, SF_SMALL).schema.fields}
+        rel = con.sql(q.oracle_sql())
+        dk = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        assert set(sp) == set(dk), name
+        bad += [(name, c, t, dk[c]) for c, t in sp.items() if SPARK_TO_DUCK.get(t, t) != dk[c]]
+    assert not bad, bad
