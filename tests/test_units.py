@@ -147,3 +147,32 @@ def test_rolling_prev_rows_equals_window(spark):
     norm = lambda rs: sorted(((r.k, r.ts, None if r.a is None else round(r.a, 9),
                                None if r.s is None else round(r.s, 9)) for r in rs), key=str)
     assert norm(want.collect()) == norm(got.collect())
+
+
+def test_reshape_helpers(spark):
+    from adlytics.operators.reshape import expand_trials, melt, pivot_values, fill_calendar
+    t = expand_trials(spark.createDataFrame([(10, 3)], "n int, k int"), "n", "k")
+    r = t.agg(F.count("*").alias("n"), F.sum("trial").alias("k")).first()
+    assert (r.n, r.k) == (10, 3)
+    d = spark.createDataFrame([("s1", "a", 1), ("s1", "b", 2), ("s2", "a", 3)], "src string, arm string, u int")
+    p = {r.src: (r.a, r.b) for r in pivot_values(d, ["src"], "arm", ["a", "b"], "count", "u").collect()}
+    assert p == {"s1": (1, 1), "s2": (1, 0)}
+    w = spark.createDataFrame([("x", 1.0, None)], "g string, m1 double, m2 double")
+    assert melt(w, ["g"], ["m1", "m2"]).count() == 1
+    c = spark.createDataFrame([("s", dt.date(2024, 1, 1), 5), ("s", dt.date(2024, 1, 4), 7)], "k string, d date, v int")
+    f = fill_calendar(c, ["k"], "d", ["v"]).orderBy("d").collect()
+    assert [r.v for r in f] == [5, 0, 0, 7]
+
+
+def test_parquet_cache(spark):
+    from adlytics.sources.text import cached
+    name = f"unit-{dt.datetime.now().strftime('%H%M%S%f')}"
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(5).withColumnRenamed("id", "x")
+
+    a = cached(spark, name, build)
+    b = cached(spark, name, build)
+    assert a.count() == 5 and b.count() == 5 and len(calls) == 1
