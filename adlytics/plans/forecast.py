@@ -162,8 +162,7 @@ def backtest(v: Views, cutoffs: list[str]) -> DataFrame:
     # days before the cut-off come from the actuals (the original also kept
     # the forecast of the last training day, counting that day twice)
     after = fc.filter(E("date") >= E("cutoff")).select("cutoff", "series", "date", "predicted", "lower", "upper")
-    keys = before.select("cutoff", "series").union(after.select("cutoff", "series")).distinct()
-    spliced = before.unionByName(after).join(keys, ["cutoff", "series"], "left_semi")
+    spliced = before.unionByName(after)
     j = spliced.join(act.select("cutoff", "series", "date", "actual_booking_revenues"),
                      ["cutoff", "series", "date"], "left")
     w = Window.partitionBy("cutoff", "series").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
