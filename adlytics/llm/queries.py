@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from adlytics.llm import op6_mixing, op8_url_filter
+from adlytics.llm import op5_byte_bpe, op6_mixing, op7_exact_search, op8_url_filter
 
 QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe.op5_byte_bpe,
     "op6_mix_sources": op6_mixing.op6_mix_sources,
+    "op7_exact_search": op7_exact_search.op7_exact_search,
     "op8_url_filter": op8_url_filter.op8_url_filter,
 }
 ORACLE = {
     "op6_mix_sources": op6_mixing.ORACLE,
+    "op7_exact_search": op7_exact_search.ORACLE,
     "op8_url_filter": op8_url_filter.ORACLE,
 }
