@@ -35,6 +35,7 @@ DOT, SEP, CUT, NEUTRAL = "\ue000", "\ue001", "\ue002", "\ue003"  # private-use c
 MIN_TEXTS, MIN_SHARE, MIN_BITS = 5, 0.5, 4.0
 REACH, NEAR_WORDS = 64, 3     # code points and words looked at on either side of a span
 MAX_BROADCAST = 100_000
+RUN = 64
 
 LOCAL = rf"[A-Za-z0-9._%+\-{DOT}]"
 # The leftmost match starts where a run of local signs starts, or where the last match ended.
@@ -52,18 +53,38 @@ def clean(text: Column) -> Column:
     return F.when(text.rlike(f"[{DOT}-{CUT}]"), F.regexp_replace(text, f"[{DOT}-{CUT}]", NEUTRAL)).otherwise(text)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where body uses it inside
+    the functions of arrays."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def find(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, body>> of the matches."""
+    """array<struct<start, end, body>> of the matches, in time linear in the
+    text: starts are prefix sums over the pieces, RUN pieces at a time."""
     pieces = F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.lit(f"{CUT}$1{CUT}")), CUT, -1)
+    total = lambda lengths: F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n)
+
+    def spans(p):
+        def place(n):
+            runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / RUN).cast("int")),
+                               lambda c: total(F.slice(n, c * RUN + 1, F.lit(RUN))))
+            bases = lambda r: F.transform(r, lambda _, c: total(F.slice(r, F.lit(1), c)))
+
+            def one(base):
+                def span(j):
+                    i = j * 2 + 1  # every other piece is a match
+                    c = F.floor(i / RUN).cast("int")
+                    start = F.get(base, c) + total(F.slice(n, c * RUN + 1, i - c * RUN))
+                    return F.struct(start.alias("start"), (start + F.get(n, i)).alias("end"), F.get(p, i).alias("body"))
+
+                return F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / 2).cast("int") - 1), span)
+
+            return let(let(runs, bases), one)
 
-    def step(acc, x):
-        end = acc["pos"] + F.length(x)
-        span = F.array(F.struct(acc["pos"].alias("start"), end.alias("end"), x.alias("body")))
-        return F.struct(end.alias("pos"), (~acc["inside"]).alias("inside"),
-                        F.when(acc["inside"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.when(F.size(p) > 1, let(F.transform(p, lambda x: F.length(x).cast("long")), place).cast(f"array<{SPAN}>")).otherwise(none())
 
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(False).alias("inside"), none().alias("spans"))
-    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
+    return let(pieces, spans)
 
 
 def none() -> Column:
@@ -75,8 +96,8 @@ def digits(body: Column) -> Column:
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    """Valid spans by kind; a cheap test skips texts that cannot hold the kind."""
-    text = clean(text)
+    """Valid spans by kind of a cleaned text; a cheap test skips texts that
+    cannot hold the kind."""
     dotted = F.regexp_replace(text, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT)
     joined = F.regexp_replace(text, "(?<=[0-9])[ -](?=[0-9])", SEP)
     n = lambda s: F.length(digits(s["body"]))
@@ -97,14 +118,15 @@ def names(spans: Column, kind: str) -> Column:
 
 def with_base(docs: DataFrame) -> DataFrame:
     """docs with one array column of spans per kind and text_key, the text's hash."""
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    return docs.withColumns({**base_spans(F.col("text")), "text_key": F.xxhash64("text")})
+    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_clean", clean(F.col("text")))
+    return docs.withColumns({**base_spans(F.col("_clean")), "text_key": F.xxhash64("text")}).drop("_clean")
 
 
 def near_words(based: DataFrame) -> DataFrame:
     """text_key, doc_id, entity, term, start, end: the words around each base span."""
     spans = reduce(lambda a, b: F.concat(a, b), [F.col(k) for k in KINDS])
-    rows = (based.filter(F.size(spans) > 0).select("doc_id", "text_key", "text", F.explode(spans).alias("s"))
+    # the outer form, since a filter on the arrays would be pushed down and compute them twice
+    rows = (based.select("doc_id", "text_key", "text", F.explode_outer(spans).alias("s")).filter(F.col("s").isNotNull())
             .select("doc_id", "text_key", "text", F.translate(F.lower("s.body"), DOT + SEP, ".").alias("entity"),
                     F.col("s.start").alias("a"), F.col("s.end").alias("b")))
     left = F.greatest(F.col("a") - REACH, F.lit(0).cast("long"))
