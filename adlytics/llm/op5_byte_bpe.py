@@ -234,8 +234,8 @@ def _shared(spark: SparkSession, vocabulary: str):
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, ids (binary, little-endian uint32 per token), n_tokens and
-    decoded (binary: the ids decoded again)."""
+    """keep columns, ids (array<int>), n_tokens and round_trip: whether the
+    decoded ids are the text's bytes again."""
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     shared = _shared(docs.sparkSession, vocabulary)
 
@@ -245,16 +245,17 @@ def encode(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...]
         for batch in batches:
             for first, last, data, offsets in text_blocks(batch):
                 ids = encode_block(data, offsets, symbols, cache)
-                yield _rows(batch, first, last, keep,
-                            ids=pa.array(ids, pa.binary()),
-                            n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()),
-                            decoded=pa.array([decode(x, tokens) for x in ids], pa.binary()))
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)),
+                                                 pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                same = [decode(x, tokens) == data[a:b].tobytes() for x, a, b in zip(ids, offsets[:-1], offsets[1:])]
+                yield _rows(batch, first, last, keep, ids=lists, n_tokens=pa.array(n), round_trip=pa.array(same, pa.bool_()))
 
-    return docs.select(*keep, "text").mapInArrow(step, _schema(docs, keep, "ids binary, n_tokens long, decoded binary"))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(step, _schema(docs, keep, "ids array<int>, n_tokens long, round_trip boolean"))
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """As ``encode``, with SHA-256 digests instead of ids and decoded bytes,
+    """As ``encode``, with SHA-256 digests of the ids and of the decoded bytes,
     so that neither leaves the task that made it."""
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     shared = _shared(docs.sparkSession, vocabulary)
@@ -273,7 +274,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...
                             ids_sha256=pa.array([sha(x) for x in ids], pa.string()),
                             decoded_sha256=pa.array([sha(decode(x, tokens)) for x in ids], pa.string()))
 
-    return docs.select(*keep, "text").mapInArrow(step, _schema(docs, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(step, _schema(docs, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def _rows(batch: pa.RecordBatch, first: int, last: int, keep, **new) -> pa.RecordBatch:

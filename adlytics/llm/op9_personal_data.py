@@ -151,8 +151,12 @@ def disclosing(docs: DataFrame) -> DataFrame | None:
     """doc_id, text_key, terms: spans of disclosing words (None if there are none)."""
     based = with_base(docs.select("doc_id", "text"))
     near = checkpoint(near_words(based))
-    pairs = near.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
-    pairs = checkpoint(pairs.filter(F.col("together") >= MIN_TEXTS))
+    together = near.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
+    # a word stands in at least as many texts as it stands near any entity, which
+    # already rules out most words
+    anywhere = near.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("at_least"))
+    pairs = checkpoint(together.filter(F.col("together") >= MIN_TEXTS).join(anywhere, "term")
+                       .filter(F.col("together") >= MIN_SHARE * F.col("at_least")).drop("at_least"))
     if pairs.isEmpty():
         return None
     wanted = small(pairs.select("term").distinct())
