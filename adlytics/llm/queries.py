@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from adlytics.llm import (
-    op2_fingerprint, op3_quality, op4_jaccard_join, op5_byte_bpe, op6_mixing, op7_exact_search, op8_url_filter, op9_personal_data,
+    op1_suffix_dedup, op2_fingerprint, op3_quality, op4_jaccard_join, op5_byte_bpe, op6_mixing, op7_exact_search, op8_url_filter, op9_personal_data,
     op10_language_id,
 )
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup.op1_suffix_dedup,
     "op2_fingerprint": op2_fingerprint.op2_fingerprint,
     "op3_quality": op3_quality.op3_quality,
     "op4_jaccard_join": op4_jaccard_join.op4_jaccard_join,
