@@ -23,9 +23,11 @@ A byte goes if a string of LENGTH bytes that covers it starts anywhere else, too
    contain it, so the repeated ones cover one interval around it.  The union
    of the intervals of all anchors is exactly what has to go.
 
-An anchor string with more than HOT occurrences would fill one bucket, so its
-windows are counted one by one by a grouping with map-side combine instead; the
-result is the same.
+Equal contexts are one entry, and its places in a row of text that lie within
+LENGTH of each other are one chain, so copies and periodic texts stay small.  An anchor
+string with more than HOT different contexts would still fill one bucket; the
+windows of its contexts are counted one by one instead, by a grouping with map-side
+combine.  The result is the same.
 
 A null text is empty; texts under LENGTH bytes keep all bytes.  Repeated rows (equal
 doc_id and text) repeat each other, as any equal texts do.  Extra columns are ignored.
@@ -34,7 +36,7 @@ doc_id and text) repeat each other, as any equal texts do.  Extra columns are ig
 from __future__ import annotations
 
 import hashlib
-import io
+import struct
 
 import numpy as np
 import pandas as pd
@@ -49,7 +51,8 @@ LENGTH = 200          # bytes of a repeat
 GRAM = 16             # bytes hashed to choose anchors
 WINDOW = 160          # positions among which the anchor is chosen
 CORE = LENGTH - WINDOW
-HOT = 100_000         # occurrences of one anchor string
+HOT = 100_000         # different contexts of one anchor string
+BUCKETS = 2           # per shuffle partition
 RUN_BYTES = 48 << 20  # contexts held by a task before it emits its runs
 GRAM_SEED = 7
 NO_ID = -(2 ** 63)
@@ -123,39 +126,41 @@ def anchor_rows(texts: DataFrame, with_place: bool) -> DataFrame:
 
 # ------------------------------------------------------------ front-coded runs
 
-def pack_run(rights: list[bytes], lefts: list[bytes], groups: list[list[tuple[int, int, int]]]) -> bytes:
+def pack_run(rights: list[bytes], lefts: list[bytes], times: list[int], groups: list[list[list[int]]]) -> bytes:
     """A sorted run: per suffix the bytes shared with its predecessor and the
-    rest, its left context, and its occurrences (k1, k2, pos)."""
+    rest, its left context, how often it occurs, and the chains of its places
+    (k1, k2, first, last)."""
     shared = common_prefixes(rights)
-    arrays = {
-        "shared": shared.astype(np.uint8),
-        "rest": np.array([len(r) for r in rights], np.int64).astype(np.uint8) - shared.astype(np.uint8),
-        "tails": np.frombuffer(b"".join(r[h:] for r, h in zip(rights, shared.tolist())), np.uint8),
-        "left_size": np.array([len(x) for x in lefts], np.uint8),
-        "lefts": np.frombuffer(b"".join(lefts), np.uint8),
-        "times": np.array([len(g) for g in groups], np.int32),
-        "places": np.array([p for g in groups for p in g], np.int64).reshape(-1, 3),
-    }
-    out = io.BytesIO()
-    for a in arrays.values():
-        np.save(out, a, allow_pickle=False)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+    size = np.array([len(r) for r in rights], np.int64)
+    parts = (
+        shared.astype(np.uint8).tobytes(),
+        (size - shared).astype(np.uint8).tobytes(),
+        b"".join([r[h:] for r, h in zip(rights, shared.tolist())]),
+        np.array([len(x) for x in lefts], np.uint8).tobytes(),
+        b"".join(lefts),
+        np.array(times, np.int64).tobytes(),
+        np.array([len(g) for g in groups], np.int32).tobytes(),
+        np.array([p for g in groups for p in g], np.int64).tobytes(),
+    )
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<8q", *map(len, parts)) + b"".join(parts))
 
 
 def unpack_run(raw: bytes):
-    """Iterator of (shared, suffix), left contexts, times, places of a run."""
-    src = io.BytesIO(zstandard.ZstdDecompressor().decompress(raw))
-    shared, rest, tails, left_size, lefts, times, places = (np.load(src, allow_pickle=False) for _ in range(7))
-    tails = tails.tobytes()
+    """Iterator of (shared, suffix), left sizes and contexts, times, number of
+    chains, chains of a run."""
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    cuts = np.cumsum([64, *struct.unpack_from("<8q", raw)])
+    shared, rest, tails, left_size, lefts, times, chains, places = (raw[a:b] for a, b in zip(cuts, cuts[1:]))
 
     def suffixes():
         last, at = b"", 0
-        for h, r in zip(shared.tolist(), rest.tolist()):
+        for h, r in zip(shared, rest):
             last = last[:h] + tails[at:at + r]
             at += r
             yield h, last
 
-    return suffixes(), left_size, lefts, times, places
+    return (suffixes(), np.frombuffer(left_size, np.uint8), np.frombuffer(lefts, np.uint8), np.frombuffer(times, np.int64),
+            np.frombuffer(chains, np.int32), np.frombuffer(places, np.int64).reshape(-1, 4))
 
 
 def common_prefixes(strings: list[bytes]) -> np.ndarray:
@@ -169,12 +174,22 @@ def common_prefixes(strings: list[bytes]) -> np.ndarray:
     return np.concatenate([[0], np.minimum(same, np.minimum(size[1:], size[:-1]))])
 
 
+def contexts(batches):
+    """(core, right, left) context and (k1, k2, pos) of every anchor of the rows."""
+    for batch in batches:
+        k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
+        for i, (text, found) in enumerate(zip(batch.column("text"), batch.column("found"))):
+            text = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            for pos, core in sorted({(f["pos"], f["core"]) for f in found.as_py()}):
+                yield (core, text[pos:pos + LENGTH], text[max(0, pos - WINDOW + 1):pos][::-1]), k1[i], k2[i], pos
+
+
 def _runs(n_buckets: int):
     """Task step: sorted, front-coded runs by bucket of the rows' anchors."""
     def emit(held):
         by_bucket: dict[int, list] = {}
-        for (bucket, right, left), group in held.items():
-            by_bucket.setdefault(bucket, []).append((right, left, group))
+        for (core, right, left), (times, chains) in held.items():
+            by_bucket.setdefault(core % n_buckets, []).append((right, left, times, chains))
         rows = []
         for bucket, entries in by_bucket.items():
             entries.sort(key=lambda e: (e[0], e[1]))
@@ -184,21 +199,22 @@ def _runs(n_buckets: int):
 
     def step(batches):
         held, size = {}, 0
-        for batch in batches:
-            k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
-            for i, (text, found) in enumerate(zip(batch.column("text"), batch.column("found"))):
-                text = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                for pos, bucket in sorted({(f["pos"], f["core"] % n_buckets) for f in found.as_py()}):
-                    name = (bucket, text[pos:pos + LENGTH], text[max(0, pos - WINDOW + 1):pos][::-1])
-                    group = held.get(name)
-                    if group is None:
-                        held[name] = group = []
-                        size += 2 * LENGTH
-                    group.append((k1[i], k2[i], pos))
-                    size += 24
-                if size > RUN_BYTES:
-                    yield emit(held)
-                    held, size = {}, 0
+        for context, k1, k2, pos in contexts(batches):
+            entry = held.get(context)
+            if entry is None:
+                held[context] = entry = [0, []]
+                size += 3 * LENGTH
+            entry[0] += 1
+            chains = entry[1]
+            # places of one row come in order; near ones give one interval
+            if chains and chains[-1][0] == k1 and chains[-1][1] == k2 and 0 < pos - chains[-1][3] <= LENGTH:
+                chains[-1][3] = pos
+            else:
+                chains.append([k1, k2, pos, pos])
+                size += 150
+            if size > RUN_BYTES:
+                yield emit(held)
+                held, size = {}, 0
         if held:
             yield emit(held)
 
@@ -337,48 +353,65 @@ def resolve(blobs: list[bytes]) -> pd.DataFrame:
     for i in range(len(runs)):
         at[order == i] = base[i] + np.arange(len(lengths[i]))
     join = lambda j: np.concatenate([r[j] for r in runs])
-    left_size, times = join(1).astype(np.int64), join(3).astype(np.int64)
+    left_size, times, chains = join(1).astype(np.int64), join(3), join(4)
     left = np.zeros((len(order), WINDOW - 1), np.uint8)
     left[np.arange(WINDOW - 1)[None, :] < left_size[:, None]] = join(2)
     right = np.concatenate([np.array(x, np.int64) for x in lengths])
     low, high = repeated_depths(np.array(shared, np.int64), right[at], left[at], left_size[at], times[at])
     by_entry_low, by_entry_high = np.empty_like(low), np.empty_like(high)
     by_entry_low[at], by_entry_high[at] = low, high
-    places = join(4)
-    entry = np.repeat(np.arange(len(times)), times)
+    places = join(5)
+    entry = np.repeat(np.arange(len(times)), chains)
     hit = by_entry_high[entry] > 0
     p, e = places[hit], entry[hit]
-    return pd.DataFrame({"k1": p[:, 0], "k2": p[:, 1], "start": p[:, 2] - (LENGTH - by_entry_low[e]), "end": p[:, 2] + by_entry_high[e]})
+    return pd.DataFrame({"k1": p[:, 0], "k2": p[:, 1], "start": p[:, 2] - (LENGTH - by_entry_low[e]), "end": p[:, 3] + by_entry_high[e]})
 
 
 # ------------------------------------------------- anchors of very common strings
 
-def _window_hashes(batches):
-    """window, k1, k2, pos, depth for every window of the rows' anchors."""
+def _name(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\0".join([b"%d" % len(p) for p in parts] + list(parts)), digest_size=8).digest(), "little", signed=True)
+
+
+def _context_rows(batches):
+    """core, context: each context once per batch of rows."""
     for batch in batches:
-        k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
-        for i, (text, found) in enumerate(zip(batch.column("text"), batch.column("found"))):
-            data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-            for pos in sorted({f["pos"] for f in found.as_py()}):
-                l = np.arange(min(WINDOW - 1, pos) + 1)
-                l = l[pos - l + LENGTH <= len(data)]
-                if not len(l):
-                    continue
-                names = [hashlib.blake2b(data[pos - x:pos - x + LENGTH].tobytes(), digest_size=8).digest() for x in l.tolist()]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.frombuffer(b"".join(names), np.int64)), pa.array(np.full(len(l), k1[i])), pa.array(np.full(len(l), k2[i])),
-                    pa.array(np.full(len(l), pos, np.int32)), pa.array((LENGTH - l).astype(np.int32))],
-                    names=["window", "k1", "k2", "pos", "depth"])
+        seen = {(c[0], _name(c[1], c[2])) for c, _, _, _ in contexts([batch])}
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.int64()) for k in (0, 1)], names=["core", "context"])
+
+
+def _place_rows(batches):
+    """context, k1, k2, pos."""
+    for batch in batches:
+        rows = [(_name(c[1], c[2]), k1, k2, pos) for c, k1, k2, pos in contexts([batch])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["context", "k1", "k2", "pos"])
+
+
+def _window_rows(batches):
+    """window, context, depth, times: the windows of each context of a batch."""
+    for batch in batches:
+        held: dict[tuple[bytes, bytes], int] = {}
+        for c, _, _, _ in contexts([batch]):
+            held[c[1:]] = held.get(c[1:], 0) + 1
+        for (right, left), times in held.items():
+            whole, at = left[::-1] + right, len(left)
+            depths = [d for d in range(LENGTH, CORE, -1) if LENGTH - d <= at and d <= len(right)]
+            names = [_name(whole[at - (LENGTH - d):at + d]) for d in depths]
+            n = len(depths)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(names, pa.int64()), pa.array([_name(right, left)] * n, pa.int64()), pa.array(depths, pa.int32()),
+                pa.array([times] * n, pa.int64())], names=["window", "context", "depth", "times"])
 
 
 def hot_intervals(rows: DataFrame) -> DataFrame:
     """As the buckets give, for anchors that are too common for one."""
-    windows = rows.mapInArrow(_window_hashes, "window long, k1 long, k2 long, pos int, depth int")
-    again = windows.groupBy("window", "depth").agg(F.count("*").alias("n")).filter("n > 1").select("window", "depth")
-    hit = windows.join(again, ["window", "depth"], "left_semi").groupBy("k1", "k2", "pos").agg(
-        F.min("depth").alias("low"), F.max("depth").alias("high"))
-    return hit.select("k1", "k2", (F.col("pos") - (LENGTH - F.col("low"))).cast("long").alias("start"),
-                      (F.col("pos") + F.col("high")).cast("long").alias("end"))
+    windows = rows.mapInArrow(_window_rows, "window long, context long, depth int, times long")
+    again = windows.groupBy("window", "depth").agg(F.sum("times").alias("n")).filter("n > 1").select("window", "depth")
+    hit = (windows.select("window", "depth", "context").join(again, ["window", "depth"], "left_semi").groupBy("context")
+           .agg(F.min("depth").alias("low"), F.max("depth").alias("high")))
+    places = rows.mapInArrow(_place_rows, "context long, k1 long, k2 long, pos long")
+    return places.join(hit, "context").select(
+        "k1", "k2", (F.col("pos") - (LENGTH - F.col("low"))).alias("start"), (F.col("pos") + F.col("high")).alias("end"))
 
 
 # --------------------------------------------------------------------- operator
@@ -402,10 +435,16 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
                  .agg(F.collect_list(F.struct("pos", "core")).alias("found")))
         return texts.join(found, ["k1", "k2"]).select("k1", "k2", "text", "found")
 
-    runs = rows_with(common.filter(F.col("n") <= hot)).mapInArrow(_runs(8 * shuffle_width(spark)), "bucket int, run binary")
+    # many occurrences may still be few contexts, so contexts are counted where it matters
+    often, very = common.filter(F.col("n") > hot), None
+    if not often.isEmpty():
+        seen = rows_with(often).mapInArrow(_context_rows, "core long, context long").distinct().groupBy("core").count()
+        very = checkpoint(seen.filter(F.col("count") > hot).select("core"))
+        very = None if very.isEmpty() else very
+    usual = common if very is None else common.join(very, "core", "left_anti")
+    runs = rows_with(usual).mapInArrow(_runs(BUCKETS * shuffle_width(spark)), "bucket int, run binary")
     spans = runs.groupBy("bucket").applyInPandas(lambda f: resolve(list(f["run"])), "k1 long, k2 long, start long, end long")
-    very = common.filter(F.col("n") > hot)
-    if not very.isEmpty():
+    if very is not None:
         spans = spans.unionByName(hot_intervals(rows_with(very)))
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return texts.join(spans, ["k1", "k2"], "left")
