@@ -10,17 +10,24 @@ PartEnum: the feature domain is cut into n1 partitions and each of those into
 n2 cells.  Of n1 = floor(k/2) + 1 + spare partitions at least 1 + spare hold at most
 one differing feature, hence at most one differing cell, so that the set of
 some n2 - 1 cells is the same for both.  Each such subset of cells gives a signature;
-linked sets share one.  A subset of fewer than LIGHT features says little: a set that
-has such subsets in at most ``spare`` partitions leaves them out, which the
-partitions to spare make up for (both sets see the same subset, so they agree).
-
-Classes that share a signature form a bucket.  Only connectivity is asked for,
-so a bucket is not expanded into its pairs: its first class is verified against
-the others, components are formed, and only buckets that still span several
-components go on, with 1, 2, 4, ... more pivots a round against members of other
-components, until every such pair has been verified.  A bucket that is
-large and still mixed is first split by the signatures of a second, independent
-PartEnum: linked sets share one there, too.
+linked sets share one.
+
+The spare partitions allow signatures that say little to be left out: subsets of
+fewer than LIGHT features, and signatures that more than HOT classes share (a
+passage that many documents hold).  A set that meets such signatures in no more
+than ``spare`` partitions drops them; one that meets them in more keeps them all.
+Both sets of a pair see the same subset and the same bucket, so a linked pair
+keeps a common signature.
+
+* Buckets of at most HOT classes give their pairs (28 a bucket at most).  A
+  sketch, the counts of features by cell of a coarse partition, bounds the
+  difference from below and rules most false pairs out; the others are verified
+  on the sets.
+* The larger buckets that are kept give families: components of the classes that
+  share them.  A family is compared in blocks of at most about BLOCK features: within a
+  block, or a pair of blocks, sets are candidates if they share one of their rarest
+  features (as many as similar sets cannot all differ in), and candidates not
+  yet in one component are verified.  No block pair returns more rows than it has sets.
 
 Shingles and classes are 64-bit hashes.  Null texts and texts without words have
 an empty set and link with nothing.  Repeated rows share a class.  Extra columns are ignored.
@@ -31,6 +38,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,19 +47,23 @@ from adlytics.llm.common import byte_table, checkpoint, load, mix64, span_hashes
 from adlytics.llm.components import components
 
 LIGHT = 3
+HOT = 8
 BAND_RATIO = 1.5
+SKETCH = 128              # cells of a sketch, one byte each
+BLOCK = 3_000_000         # features of a family's block
 MAX_BROADCAST = 500_000   # rows of one or two longs
-LARGE_BUCKET = 64
 WORD_SEED = 41
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Words per shingle and the threshold num/den; cells per partition."""
+    """Words per shingle, the threshold num/den, cells per partition, and the
+    share of spare partitions in percent."""
     words: int = 3
     num: int = 9
     den: int = 10
     cells: int = 3
+    spare: int = 20
 
 
 def set_blocks(batch: pa.RecordBatch, words: int, table: np.ndarray):
@@ -93,8 +105,15 @@ def band_edges(limit: int = 1 << 40) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) pairs."""
+def sketch(s: np.ndarray) -> bytes:
+    """Features by cell of a coarse partition, up to 255 in a cell."""
+    cell = (mix64(s + np.uint64(5)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
+    """(signature, index of the set, band and partition, partitions the set may
+    still do without)."""
     size = np.array([len(s) for s in sets], np.int64)
     own = np.searchsorted(edges, size, side="right") - 1
     top = np.searchsorted(edges, size * rule.den // rule.num, side="right") - 1
@@ -103,23 +122,24 @@ def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray, seed: int)
     inst_set = np.concatenate([some, extra])
     band = np.concatenate([own[some], own[extra] + 1])
     if not len(inst_set):
-        return np.zeros(0, np.uint64), inst_set
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     hi = edges[band + 1] - 1
     k = 2 * hi * (rule.den - rule.num) // (rule.den + rule.num)
     base = k // 2 + 1
-    spare = np.where(base >= 5, -(-base // 10), 0)
+    spare = np.where(base >= 5, -(-base * rule.spare // 100), 0)
     n1 = np.where(k == 0, 1, base + spare)
     m = rule.cells
     start = np.concatenate([[0], np.cumsum(n1 * m)])
     n_feat = size[inst_set]
     features = np.concatenate([sets[i] for i in inst_set.tolist()])
     inst = np.repeat(np.arange(len(inst_set)), n_feat)
-    place = mix64(features + np.uint64(seed * 1000 + 1))
+    place = mix64(features + np.uint64(1001))
     part = ((place >> np.uint64(32)) % n1[inst].astype(np.uint64)).astype(np.int64)
     cell = ((place & np.uint64(0xFFFFFFFF)) % np.uint64(m)).astype(np.int64)
     at = start[inst] + part * m + cell
     sums = np.zeros(start[-1], np.uint64)
-    np.add.at(sums, at, mix64(features + np.uint64(seed * 1000 + 2)))
+    np.add.at(sums, at, mix64(features + np.uint64(1002)))
     count = np.bincount(at, minlength=start[-1]).reshape(-1, m)
     sums = sums.reshape(-1, m)
     # a subset leaves one cell out
@@ -128,33 +148,38 @@ def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray, seed: int)
     row_inst = np.repeat(np.arange(len(inst_set)), n1)
     row_part = np.arange(len(row_inst)) - np.repeat(start[:-1] // m, n1)
     light = sub_count < LIGHT
-    n_light = np.bincount(row_inst, weights=light.any(axis=1), minlength=len(inst_set))
+    n_light = np.bincount(row_inst, weights=light.any(axis=1), minlength=len(inst_set)).astype(np.int64)
     drop = light & (n_light <= spare)[row_inst][:, None]
+    left = np.where(n_light <= spare, spare - n_light, spare)
     zero_k = (k == 0)[row_inst]
-    name = (band[row_inst] << 40) + (row_part << 4)
-    sig = mix64(sub_sum + mix64(((name[:, None] + np.arange(m)[None, :]) * 8 + seed).astype(np.uint64)) + sub_count.astype(np.uint64))
-    keep = ~drop & ~zero_k[:, None]
-    row, _ = np.nonzero(keep)
-    whole = np.flatnonzero(zero_k)
-    whole_sig = mix64(sums[whole].sum(axis=1, dtype=np.uint64) + mix64((name[whole] * 8 + 7 + seed).astype(np.uint64)))
-    return np.concatenate([sig[keep], whole_sig]), inst_set[row_inst[np.concatenate([row, whole])]]
+    name = (band[row_inst] << 32) + row_part
+    sig = mix64(sub_sum + mix64((name[:, None] * 8 + np.arange(m)[None, :]).astype(np.uint64)) + sub_count.astype(np.uint64))
+    row, col = np.nonzero(~drop & ~zero_k[:, None])
+    whole = np.flatnonzero(zero_k)  # linked sets are equal: one signature, of the whole set
+    whole_sig = mix64(sums[whole].sum(axis=1, dtype=np.uint64) + mix64((name[whole] * 8 + 7).astype(np.uint64)))
+    row = np.concatenate([row, whole])
+    sig = np.concatenate([sig[row[:len(col)], col], whole_sig])
+    of = row_inst[row]
+    return sig, inst_set[of], name[row], left[of]
 
 
 def class_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, class (null for an empty set)."""
+    """doc_id, n, class (null for an empty set), sketch."""
     def step(batches):
         table = byte_table(WORD_SEED)
         for batch in batches:
             for first, last, sets in set_blocks(batch, rule.words, table):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([int(class_of(s)) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "class"])
+                    pa.array([int(class_of(s)) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "class", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(step, "doc_id long, n long, class long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        step, "doc_id long, n long, class long, sketch binary")
 
 
 def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """sig, class: each class once per task that meets it."""
+    """sig, class, part, left: each class once per task that meets it."""
     def step(batches):
         table, edges, met = byte_table(WORD_SEED), band_edges(), set()
         for batch in batches:
@@ -169,18 +194,24 @@ def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                             met.add(c)
                             fresh.append(s)
                             classes.append(c)
-                sig, of = signatures(fresh, rule, edges, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.array(classes, np.int64)[of])], names=["sig", "class"])
+                sig, of, part, left = signatures(fresh, rule, edges)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(sig.view(np.int64)), pa.array(np.array(classes, np.int64)[of]), pa.array(part),
+                    pa.array(left.astype(np.int32))], names=["sig", "class", "part", "left"])
 
-    return docs.select("text").mapInArrow(step, "sig long, class long")
+    return docs.select("text").mapInArrow(step, "sig long, class long, part long, left int")
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """sig, class, place: the signatures that several classes share, classes in order."""
+def kept_rows(rows: DataFrame) -> DataFrame:
+    """sig, class, hot: the shared signatures that the classes keep."""
     by_sig = Window.partitionBy("sig")
     rows = (rows.withColumn("lo", F.min("class").over(by_sig)).withColumn("hi", F.max("class").over(by_sig))
-            .filter("lo < hi").select("sig", "class").distinct())
-    return checkpoint(rows.withColumn("place", F.row_number().over(by_sig.orderBy("class"))))
+            .filter("lo < hi").select("sig", "class", "part", "left").distinct()
+            .withColumn("hot", F.count("*").over(by_sig) > HOT))
+    rows = checkpoint(rows.withColumn("band", F.shiftright("part", 32)))
+    met = rows.filter("hot").groupBy("class", "band").agg(F.count_distinct("part").alias("met"))
+    rows = rows.join(met, ["class", "band"], "left")
+    return checkpoint(rows.filter(~F.col("hot") | (F.col("met") > F.col("left"))).select("sig", "class", "hot"))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -188,93 +219,156 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
 
 
+def bucket_pairs(kept: DataFrame) -> DataFrame:
+    """(a, b) classes that share a signature few classes have."""
+    lists = kept.filter("not hot").groupBy("sig").agg(F.collect_set("class").alias("l"))
+    pairs = lists.select(F.explode("l").alias("a"), "l").select("a", F.explode(F.filter("l", lambda x: x > F.col("a"))).alias("b"))
+    return pairs.distinct()
+
+
+def near_sketches(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose sizes and sketches allow the similarity."""
+    def step(batches):
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sa", "sb"))
+            apart = np.abs(sa - sb).sum(axis=1)
+            ok = (np.minimum(na, nb) * rule.den >= np.maximum(na, nb) * rule.num) & (
+                apart <= (na + nb) * (rule.den - rule.num) // (rule.den + rule.num))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
+
+    one = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return checkpoint(pairs.join(one, "a").join(two, "b").mapInArrow(step, "a long, b long"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough."""
     one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
-    na, nb = F.size("sa"), F.size("sb")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    near = F.least(na, nb) * rule.den >= F.greatest(na, nb) * rule.num
-    alike = F.when(near, shared * rule.den >= (na + nb - shared) * rule.num).otherwise(False)
-    return checkpoint(pairs.join(one, "a").join(two, "b").filter(alike).select("a", "b"))
+    alike = shared * rule.den >= (F.size("sa") + F.size("sb") - shared) * rule.num
+    return pairs.join(one, "a").join(two, "b").filter(alike).select("a", "b")
 
 
-def second_signatures(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """sig, class: the rows' buckets split by the signatures of another PartEnum."""
+# ------------------------------------------------------------------- families
+
+def link_block(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, rule: Rule) -> np.ndarray:
+    """A forest of links within ``sets_a`` (``sets_b`` None) or between the two
+    lists: (links, 2) positions in their concatenation."""
+    sets = sets_a + (sets_b or [])
+    n, first = len(sets), len(sets_a)
+    size = np.array([len(s) for s in sets], np.int64)
+    start = np.concatenate([[0], np.cumsum(size)])
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # each set's features from the rarest on: similar sets share one of the first
+    doc = np.repeat(np.arange(n), size)
+    place = np.lexsort((ids, often[ids], doc))
+    ids = ids[place]
+    depth = size - -(-size * rule.num // rule.den) + 1
+    early = (np.arange(len(ids)) - start[doc] < depth[doc]) & (often[ids] > 1)
+    listed = doc < first if sets_b is not None else np.ones(len(doc), bool)
+    by_feature = np.flatnonzero(early & listed)
+    by_feature = by_feature[np.argsort(ids[by_feature], kind="stable")]
+    post_doc, post_start = doc[by_feature], np.searchsorted(ids[by_feature], np.arange(len(often) + 1))
+    mark = np.zeros(len(often), bool)
+    parent = np.arange(n)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for d in range(first if sets_b is not None else 1, n):
+        mine = ids[start[d]:start[d + 1]]
+        found = [post_doc[post_start[f]:post_start[f + 1]] for f in mine[:depth[d]] if post_start[f] < post_start[f + 1]]
+        if not found:
+            continue
+        c = np.unique(np.concatenate(found))
+        c = c[c < d]
+        c = c[np.minimum(size[c], size[d]) * rule.den >= np.maximum(size[c], size[d]) * rule.num]
+        mark[mine] = True
+        while len(c):
+            # some at a time, since a link makes others of its component needless
+            some, c = c[:64], c[64:]
+            spans = [ids[start[x]:start[x + 1]] for x in some.tolist()]
+            shared = np.add.reduceat(mark[np.concatenate(spans)], np.concatenate([[0], np.cumsum(size[some])[:-1]]), dtype=np.int64)
+            for x in some[shared * rule.den >= (size[some] + size[d] - shared) * rule.num].tolist():
+                if root(x) != root(d):
+                    parent[root(x)] = root(d)
+                    links.append((x, d))
+            if len(c) and links and links[-1][1] == d:
+                c = c[np.array([root(x) for x in c.tolist()]) != root(d)]
+        mark[mine] = False
+    return np.array(links, np.int64).reshape(-1, 2)
+
+
+def family_links(sets: DataFrame, rule: Rule, family: DataFrame) -> DataFrame:
+    """(a, b): verified links that connect what is connected within each family."""
+    members = sets.join(family, "class").withColumn("n", F.size("shingles"))
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    members = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        sizes = f["n"].to_numpy("<i8")
+        return pd.DataFrame({"family": [f["family"].iloc[0]], "block": [f["block"].iloc[0]], "classes": [f["class"].to_numpy("<i8").tobytes()],
+                             "sizes": [sizes.tobytes()], "features": [b"".join(np.asarray(x, "<i8").tobytes() for x in f["shingles"])]})
+
+    packed = checkpoint(members.select("family", "block", "class", "n", "shingles").groupBy("family", "block").applyInPandas(
+        pack, "family long, block long, classes binary, sizes binary, features binary"))
+    other = packed.select("family", F.col("block").alias("block2"), F.col("classes").alias("classes2"),
+                          F.col("sizes").alias("sizes2"), F.col("features").alias("features2"))
+    # a block with itself needs no second copy
+    alone = packed.withColumns({"classes2": F.lit(None).cast("binary"), "sizes2": F.lit(None).cast("binary"), "features2": F.lit(None).cast("binary")})
+    columns = ["classes", "sizes", "features", "classes2", "sizes2", "features2"]
+    jobs = alone.select(*columns).unionByName(packed.join(other, "family").filter("block < block2").select(*columns))
+
+    def unpack(sizes, features):
+        cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))])
+        features = np.frombuffer(features, "<u8")
+        return [features[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
     def step(batches):
-        edges = band_edges()
         for batch in batches:
-            flat = batch.column("shingles")
-            off = flat.offsets.to_numpy()
-            values = flat.values.to_numpy().view(np.uint64)
-            sig, of = signatures([values[a:b] for a, b in zip(off[:-1], off[1:])], rule, edges, 2)
-            outer = batch.column("sig").to_numpy().view(np.uint64)[of]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(mix64(sig + mix64(outer)).view(np.int64)), batch.column("class").take(pa.array(of))], names=["sig", "class"])
-
-    return rows.join(sets, "class").select("sig", "class", "shingles").mapInArrow(step, "sig long, class long")
-
-
-def linked_classes(found: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
-    """(node, label) of the classes that have links (None if there are none)."""
-    edges, labels, pivots, split, done = None, None, 1, False, 0
-    rows = found  # buckets that may still hold an unverified pair of two components
-    while True:
-        pivot = (F.col("place") > done) & (F.col("place") <= done + pivots)
-        a = rows.filter(pivot).select("sig", F.col("class").alias("a"), F.col("place").alias("pa"))
-        if labels is None:
-            pairs = a.join(rows, "sig").filter("place > pa")
-        else:
-            la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-            lb = labels.select(F.col("node").alias("class"), F.col("label").alias("lb"))
-            pairs = (a.join(la, "a", "left").join(rows.join(lb, "class", "left"), "sig").filter("place > pa")
-                     .filter(F.coalesce("la", "a") != F.coalesce("lb", "class")))
-        pairs = pairs.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-        new = verified(pairs, sets, rule)
-        if not new.isEmpty():
-            # a component's label stands for its classes from the second round on
-            edges = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-            labels = checkpoint(components(edges))
-        done += pivots
-        named = rows.withColumn("label", F.col("class"))
-        if labels is not None:
-            named = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        mixed = (named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("place").alias("members"))
-                 .filter((F.col("x") < F.col("y")) & (F.col("members") > done + 1)))
-        mixed = checkpoint(mixed.select("sig", "members"))
-        if mixed.isEmpty():
-            return labels
-        rows = rows.join(mixed, "sig")
-        if not split:
-            split = True
-            large = rows.filter(F.col("members") > LARGE_BUCKET).select("sig", "class")
-            if not large.isEmpty():
-                # start over on the pieces of the large buckets; the others go on as they are
-                pieces = buckets(second_signatures(large, sets, rule)).withColumn("place", F.col("place") + done)
-                rows = rows.filter(F.col("members") <= LARGE_BUCKET).drop("members").unionByName(pieces.select("sig", "class", "place"))
-        rows = checkpoint(rows.select("sig", "class", "place"))
-        pivots *= 2
+            for i in range(batch.num_rows):
+                classes, sizes, features, classes2, sizes2, features2 = (batch.column(c)[i].as_py() for c in columns)
+                names = np.frombuffer(classes + (classes2 or b""), "<i8")
+                links = link_block(unpack(sizes, features), unpack(sizes2, features2) if classes2 is not None else None, rule)
+                yield pa.RecordBatch.from_arrays([pa.array(names[links[:, 0]]), pa.array(names[links[:, 1]])], names=["a", "b"])
+
+    return jobs.mapInArrow(step, "a long, b long")
+
+
+def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b) links between classes that connect every component."""
+    kept = kept_rows(signature_rows(docs, rule))
+    hot = kept.filter("hot").select("class", F.min("class").over(Window.partitionBy("sig")).alias("rep")).filter("class <> rep").distinct()
+    family = checkpoint(components(hot.select(F.col("rep").alias("a"), F.col("class").alias("b")))
+                        .select(F.col("node").alias("class"), F.col("label").alias("family")))
+    whole = checkpoint(classes.filter("class is not null").groupBy("class").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    # pairs within a family are compared there
+    fa, fb = (family.select(F.col("class").alias(c), F.col("family").alias("f" + c)) for c in ("a", "b"))
+    pairs = bucket_pairs(kept).join(fa, "a", "left").join(fb, "b", "left").filter("fa is null or fb is null or fa <> fb")
+    pairs = near_sketches(pairs.select("a", "b"), whole, rule)
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(family.select("class"))
+    # one document of a class brings its set
+    chosen = small(checkpoint(wanted.distinct().join(whole.select("class", "doc_id"), "class")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(chosen, F.col("_id").eqNullSafe(F.col("doc_id"))).select("class", "text")
+    sets = checkpoint(shingle_sets(texts, rule))
+    return checkpoint(verified(pairs, sets, rule).unionByName(family_links(sets, rule, family)))
 
 
 def jaccard_join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id per document row."""
     classes = checkpoint(class_rows(docs, rule))
-    found = buckets(signature_rows(docs, rule))
-    # one document of each class that shares a signature brings the class's set
-    wanted = found.select("class").distinct()
+    labels = components(class_links(docs, classes, rule)).withColumnRenamed("node", "class")
     first = classes.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    chosen = small(checkpoint(wanted.join(first, "class")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("class", "text")
-    sets = checkpoint(shingle_sets(texts, rule))
-    labels = linked_classes(found, sets, rule)
-    if labels is None:
-        leaders = first.withColumnRenamed("doc_id", "least")
-    else:
-        named = first.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        named = checkpoint(named)
-        least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
-        leaders = named.join(least, "label").select("class", "least")
-    out = classes.join(leaders, "class", "left")
+    named = checkpoint(first.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
+    out = classes.select("doc_id", "n", "class").join(named.join(least, "label").select("class", "least"), "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 

@@ -2,6 +2,7 @@ import itertools
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from adlytics.llm import op4_jaccard_join as op
@@ -63,19 +64,39 @@ def rows():
     return data + [(3, out[3]), (4, out[9]), (None, out[0])]
 
 
-@pytest.mark.parametrize("rule", [op.Rule(), op.Rule(5, 8, 10, 2), op.Rule(5, 8, 10, 3), op.Rule(1, 8, 10, 3)])
+@pytest.mark.parametrize("rule", [op.Rule(), op.Rule(5, 8, 10, 2, 50), op.Rule(1, 8, 10, 3)])
 def test_equals_brute_force(spark, rule):
     data = rows()
     got = [tuple(x) for x in op.jaccard_join(with_clashes(documents(spark, data)), rule).collect()]
     assert sorted(got, key=str) == brute(data, rule)
 
 
-def test_large_mixed_buckets(spark, monkeypatch):
-    """Buckets are split by second signatures and worked off with growing pivots."""
-    monkeypatch.setattr(op, "LARGE_BUCKET", 3)
+@pytest.mark.parametrize("hot, block, spare", [(1, 300, 50), (2, 1000, 0), (8, 10 ** 9, 100), (10 ** 9, 300, 30)])
+def test_hot_buckets_and_blocks(spark, monkeypatch, hot, block, spare):
+    """Results do not depend on what counts as hot, nor on the blocks."""
+    monkeypatch.setattr(op, "HOT", hot)
+    monkeypatch.setattr(op, "BLOCK", block)
     data = rows()
-    got = [tuple(x) for x in op.jaccard_join(documents(spark, data), op.Rule(1, 8, 10, 3)).collect()]
-    assert sorted(got, key=str) == brute(data, op.Rule(1, 8, 10, 3))
+    rule = op.Rule(2, 8, 10, 2, spare)
+    got = [tuple(x) for x in op.jaccard_join(documents(spark, data), rule).collect()]
+    assert sorted(got, key=str) == brute(data, rule)
+
+
+def test_linked_sets_share_a_signature():
+    r = np.random.default_rng(2)
+    rule = op.Rule(5, 8, 10, 2, 50)
+    for _ in range(300):
+        n = int(r.integers(1, 400))
+        a = r.integers(0, 2 ** 64, n, dtype=np.uint64)
+        k = int(r.integers(0, max(1, n // 9 + 1)))
+        b = np.unique(np.concatenate([a[k:], r.integers(0, 2 ** 64, k, dtype=np.uint64)]))
+        a = np.unique(a)
+        c = len(np.intersect1d(a, b))
+        if c * 10 >= 8 * (len(a) + len(b) - c):
+            sig, of, _, _ = op.signatures([a, b], rule, op.band_edges())
+            assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+            apart = np.abs(np.frombuffer(op.sketch(a), np.uint8).astype(int) - np.frombuffer(op.sketch(b), np.uint8)).sum()
+            assert apart <= len(a) + len(b) - 2 * c
 
 
 def test_empty_table_and_no_links(spark):
