@@ -1,4 +1,4 @@
-"""adlytics — marketing, A/B-test and revenue-forecast analytics on Spark.
+"""adlytics — marketing, A/B-test and revenue analytics on Spark.
 
 Layout
 ------
@@ -9,7 +9,7 @@ operators/  reusable DataFrame operators (windows, reshape, statistics,
             resampling, regression, curve fitting, Bayesian A/B, forecasting)
 plans/      the end-to-end analyses, one function per query
 oracle/     independent DuckDB SQL for the same queries (correctness gate)
-streaming/  intentionally empty: the analyses are batch only
+llm/        training-data operators (optional; nothing else imports them)
 """
 
 from adlytics.session import get_spark, checkpoint_dir

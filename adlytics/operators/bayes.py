@@ -32,6 +32,14 @@ from adlytics.functions.draws import fast_uniform
 E = F.col
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A few rows that are about to be exploded, dealt to as many tasks as a
+    shuffle has (an explicit count, which adaptive coalescing leaves alone)."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def daily_arms(df: DataFrame, test_col: str, date_col: str, n_col: str, k_col: str,
                control: str, variant: str) -> DataFrame:
     """B-1: per arm and date the sample size and conversions, with the
@@ -67,7 +75,7 @@ def posterior_params(daily: DataFrame, alpha: float = 1.0, beta: float = 1.0, da
 
 
 def _log_kernel(x: Column, a: Column, b: Column) -> Column:
-    return (a - 1) * F.ln(x) + (b - 1) * F.ln(1 - x)
+    return (a - 1) * F.ln(x) + (b - 1) * F.log1p(-x)
 
 
 def quadrature(post: DataFrame, grid: int = 20000, key: list[str] | None = None) -> DataFrame:
@@ -81,7 +89,7 @@ def quadrature(post: DataFrame, grid: int = 20000, key: list[str] | None = None)
     g = g.withColumns({"h": (E("hi") - E("lo")) / grid,
                        "lb_c": lbeta(E("a_c"), E("b_c")), "lb_v": lbeta(E("a_v"), E("b_v"))})   # per day, not per cell
     extra = [c for c in post.columns if c not in key and c not in ("a_c", "b_c", "a_v", "b_v")]
-    pts = (g.select(*key, "lo", "h", "a_c", "b_c", "a_v", "b_v", "lb_c", "lb_v", *extra,
+    pts = (spread(g, *key).select(*key, "lo", "h", "a_c", "b_c", "a_v", "b_v", "lb_c", "lb_v", *extra,
                     F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
             .withColumn("x", E("lo") + (E("i") + 0.5) * E("h"))
             .withColumns({"lc": _log_kernel(E("x"), E("a_c"), E("b_c")),
@@ -104,11 +112,13 @@ def quadrature(post: DataFrame, grid: int = 20000, key: list[str] | None = None)
                                                            "lo", "h")))
 
     carry = [c for c in post.columns if c not in key]
+    mass = F.sum("pc") * F.sum("pv")
     agg = pts.groupBy(*key).agg(
         *[F.first(c).alias(c) for c in carry if c in pts.columns],
-        F.sum(E("pv") * E("Fc")).alias("prob_variant_better_than_control"),
-        F.sum(E("pv") * (E("x") * E("Fc") - E("Mc"))).alias("control_expected_loss"),
-        F.sum(E("pc") * (E("x") * E("Fv") - E("Mv"))).alias("variant_expected_loss"),
+        # divided by the grid masses, so that errors of the log Beta at large samples cancel
+        (F.sum(E("pv") * E("Fc")) / mass).alias("prob_variant_better_than_control"),
+        (F.sum(E("pv") * (E("x") * E("Fc") - E("Mc"))) / mass).alias("control_expected_loss"),
+        (F.sum(E("pc") * (E("x") * E("Fv") - E("Mv"))) / mass).alias("variant_expected_loss"),
         *[q(p, lev).alias(f"_q_{p}_{nm}") for p in ("c", "v") for lev, nm in ((0.025, "lower"), (0.975, "upper"))])
     for p, arm in (("c", "control"), ("v", "variant")):
         for nm in ("lower", "upper"):
@@ -140,11 +150,6 @@ def normal_draw(seed, *parts) -> Column:
     return F.sqrt(-2 * F.ln(F.greatest(u1, F.lit(1e-300)))) * F.cos(2 * F.pi() * u2)
 
 
-def log_beta_pdf(x: Column, a: Column, b: Column) -> Column:
-    from adlytics.functions.special import lbeta
-    return F.when((x > 0) & (x < 1), _log_kernel(x, a, b) - lbeta(a, b))
-
-
 def log_normal_pdf(x: Column, m: Column, s: Column) -> Column:
     return -F.ln(s) - 0.5 * F.ln(2 * F.pi()) - 0.5 * ((x - m) / s) * ((x - m) / s)
 
@@ -162,7 +167,7 @@ def importance_sampling(post: DataFrame, n_draws: int = 500000, simulations: int
                               "lb_c": lbeta(E("a_c"), E("b_c")), "lb_v": lbeta(E("a_v"), E("b_v"))}))
     # two-level explode (blocks of 1024) instead of one n_draws-long array per row
     blk = 1024
-    d = (sims.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((n_draws - 1) // blk))))
+    d = (spread(sims.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((n_draws - 1) // blk)))), "simulation", "day", "_b")
              .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blk - 1))))
              .withColumn("i", E("_b") * blk + E("_o")).filter(E("i") < n_draws).drop("_b", "_o"))
     d = d.withColumns({"xc": E("mean_c") + E("sc") * normal_draw(seed, E("simulation"), E("day"), E("i"), "c"),
@@ -231,7 +236,7 @@ def posterior_draws(post: DataFrame, n_draws: int = 5000, grid: int = 20000, see
         "hi_v": F.least(E("mean_v") + 10 * F.sqrt(E("var_v")), F.lit(1.0))})
     out = None
     for p in ("c", "v"):
-        cells = (g.select(*key, E(f"lo_{p}").alias("lo"), ((E(f"hi_{p}") - E(f"lo_{p}")) / grid).alias("h"),
+        cells = (spread(g, *key).select(*key, E(f"lo_{p}").alias("lo"), ((E(f"hi_{p}") - E(f"lo_{p}")) / grid).alias("h"),
                           E(f"a_{p}").alias("a"), E(f"b_{p}").alias("b"),
                           F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
                  .withColumn("x", E("lo") + (E("i") + 0.5) * E("h"))
@@ -246,7 +251,7 @@ def posterior_draws(post: DataFrame, n_draws: int = 5000, grid: int = 20000, see
         nb = grid
         cells = cells.withColumn("bucket", F.explode(F.sequence(
             F.floor(E("lo_cdf") * nb).cast("int"), F.least(F.floor(E("hi_cdf") * nb).cast("int"), F.lit(nb - 1)))))
-        draws = (g.select(*key).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+        draws = (spread(g.select(*key), *key).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
                   .withColumn("u", fast_uniform(seed, E("day"), E("d"), p))
                   .withColumn("bucket", F.floor(E("u") * nb).cast("int")))
         hit = (draws.join(cells, [*key, "bucket"])
@@ -256,10 +261,18 @@ def posterior_draws(post: DataFrame, n_draws: int = 5000, grid: int = 20000, see
     return out.withColumn("lift", E("v") - E("c"))
 
 
-def hdi(draws: DataFrame, value: str, key: list[str], alpha: float = 0.05) -> DataFrame:
+def hdi(draws: DataFrame, value: str, key: list[str], alpha: float = 0.05, n_draws: int | None = None) -> DataFrame:
     """B-10: highest-density interval of draws per key: the narrowest window
-    of floor((1 - alpha) n) steps among the sorted draws."""
+    of floor((1 - alpha) n) steps among the sorted draws.  With ``n_draws``, the
+    same for every key, the other end of a window is a ``lead``; else an
+    equi-join on the position."""
     w = Window.partitionBy(*key).orderBy(value)
+    if n_draws:
+        d = draws.select(*key, E(value).alias("_lo"), F.lead(value, int((1.0 - alpha) * n_draws)).over(w).alias("_hi"),
+                         F.row_number().over(w).alias("_r")).filter(E("_hi").isNotNull())
+        best = d.groupBy(*key).agg(F.min_by(F.struct(E("_lo").alias("hdi_lower"), E("_hi").alias("hdi_upper")),
+                                            F.struct((E("_hi") - E("_lo")).alias("w"), E("_r"))).alias("s"))
+        return best.select(*key, "s.hdi_lower", "s.hdi_upper")
     n = F.count(F.lit(1)).over(Window.partitionBy(*key))
     d = draws.select(*key, value).withColumns({"_r": F.row_number().over(w) - 1, "_n": n})
     d = d.withColumn("_inc", F.floor((1.0 - alpha) * E("_n")).cast("int"))

@@ -7,8 +7,8 @@ Nonlinear curves (power, diminishing, Gaussian bump, sigmoid) use
 Levenberg-Marquardt where every iteration is ONE grouped aggregate over the
 data (J'J, J'r and the residual sum of squares as ``sum`` columns); the
 driver solves the k x k systems of all groups with numpy and sends the new
-parameters back as a small table keyed by group (size = groups x k, bounded
-by the number of groups, not by the data).  All groups advance together.
+parameters back as a table keyed by group, joined null-safely.  All groups
+advance together.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ class Curve:
     params: list[str]
     f: Callable[[Column, list[Column]], Column]
     grads: Callable[[Column, list[Column]], list[Column]]
-    np_f: Callable
 
 
 def _pow(x, b):
@@ -40,30 +39,26 @@ CURVES: dict[str, Curve] = {
     "power": Curve(
         "power", ["a", "b"],
         lambda x, p: F.exp(p[0]) * _pow(x, p[1]),
-        lambda x, p: [F.exp(p[0]) * _pow(x, p[1]), F.when(x > 0, F.exp(p[0]) * _pow(x, p[1]) * F.ln(x)).otherwise(0.0)],
-        lambda x, a, b: np.exp(a) * x ** b),
+        lambda x, p: [F.exp(p[0]) * _pow(x, p[1]), F.when(x > 0, F.exp(p[0]) * _pow(x, p[1]) * F.ln(x)).otherwise(0.0)]),
     "diminishing": Curve(
         "diminishing", ["a", "b", "c"],
         lambda x, p: p[0] + _pow(x, p[1]) / p[2],
         lambda x, p: [F.lit(1.0), F.when(x > 0, _pow(x, p[1]) * F.ln(x) / p[2]).otherwise(0.0),
-                      -_pow(x, p[1]) / (p[2] * p[2])],
-        lambda x, a, b, c: a + x ** b / c),
+                      -_pow(x, p[1]) / (p[2] * p[2])]),
     "gauss": Curve(
         "gauss", ["a", "x0", "sigma"],
         lambda x, p: p[0] * F.exp(-(x - p[1]) * (x - p[1]) / (2 * p[2] * p[2])),
         lambda x, p: [F.exp(-(x - p[1]) * (x - p[1]) / (2 * p[2] * p[2])),
                       p[0] * F.exp(-(x - p[1]) * (x - p[1]) / (2 * p[2] * p[2])) * (x - p[1]) / (p[2] * p[2]),
                       p[0] * F.exp(-(x - p[1]) * (x - p[1]) / (2 * p[2] * p[2])) * (x - p[1]) * (x - p[1])
-                      / (p[2] * p[2] * p[2])],
-        lambda x, a, x0, s: a * np.exp(-(x - x0) ** 2 / (2 * s ** 2))),
+                      / (p[2] * p[2] * p[2])]),
     "sigmoid": Curve(
         "sigmoid", ["A", "k", "x0", "offset"],
         lambda x, p: p[0] / (1 + F.exp(-p[1] * (x - p[2]))) + p[3],
         lambda x, p: [1 / (1 + F.exp(-p[1] * (x - p[2]))),
                       p[0] * (x - p[2]) * F.exp(-p[1] * (x - p[2])) / ((1 + F.exp(-p[1] * (x - p[2]))) ** 2),
                       -p[0] * p[1] * F.exp(-p[1] * (x - p[2])) / ((1 + F.exp(-p[1] * (x - p[2]))) ** 2),
-                      F.lit(1.0)],
-        lambda x, A, k, x0, off: A / (1 + np.exp(-k * (x - x0))) + off),
+                      F.lit(1.0)]),
 }
 
 
@@ -142,53 +137,47 @@ def bounded_step(jtj: np.ndarray, jtr: np.ndarray, lam: float, p: np.ndarray, bo
 
 
 def lm_fit(df: DataFrame, group: list[str], x: str, y: str, curve: str, p0: DataFrame,
-           bounds: tuple[float, float] | None = None, max_iter: int = 100, tol: float = 1.49012e-8,
+           bounds: tuple[float, float] | None = None, max_iter: int = 200, tol: float = 1.49012e-8,
            xtol: float = 1.49012e-8) -> DataFrame:
     """Least squares of ``curve`` per group.  ``p0``: one row per group with
     the start values (columns named as the curve's parameters).  Returns
-    params, SSR, n, parameter sd (sqrt diag of s^2 (J'J)^-1) and status."""
+    params, SSR, n, parameter sd (sqrt diag of s^2 (J'J)^-1), whether a
+    parameter lies on a bound (its sd means nothing then), the iterations and
+    a status per group:
+
+    ``converged``; ``max_iter`` (the best point so far is returned);
+    ``no_start`` (start value missing or the curve undefined there);
+    ``no_step`` (no damping gives a better point, or a singular system).
+
+    The data are met only by grouped aggregates.  The driver holds a few
+    numbers per group (k parameters, k x k sums), so groups are to be keys of
+    an analysis, not of rows."""
     cv = CURVES[curve]
     k = len(cv.params)
     spark = df.sparkSession
     data = df.select(*group, E(x).cast("double").alias("_x"), E(y).cast("double").alias("_y")).persist()
-    start = {tuple(r[g] for g in group): np.array([float(r[p]) for p in cv.params]) for r in p0.collect()}
-    best = {g: p.copy() for g, p in start.items()}
-    trial = {g: p.copy() for g, p in start.items()}
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*group).schema.fields}
+    ptab_schema = ", ".join([f"`_g_{g}` {kinds[g]}" for g in group] + [f"_p{i} double" for i in range(k)])
+    start = {tuple(r[g] for g in group): [r[p] for p in cv.params] for r in p0.collect()}
+    best = {g: np.array([np.nan if v is None else float(v) for v in p]) for g, p in start.items()}
+    trial = {g: p.copy() for g, p in best.items()}
     lam = {g: 1e-3 for g in start}
     best_ssr = {g: np.inf for g in start}
     best_jtj: dict = {}
     best_jtr: dict = {}
-    done = {g: False for g in start}
+    status = {g: "no_start" if np.isnan(best[g]).any() else None for g in start}
     n_obs: dict = {}
-    iters = 0
+    taken = {g: 0 for g in start}
 
     def stats_at(params: dict) -> dict:
-        live = {g: p for g, p in params.items() if not done[g]}
-        if not live:
-            return {}
-        if len(live) <= 64:
-            # few groups: parameters as literal CASE columns (no join, no
-            # driver -> cluster table per iteration)
-            match = {g: F.lit(True) for g in live}
-            for g in live:
-                for col_name, val in zip(group, g):
-                    match[g] = match[g] & (E(col_name) == F.lit(val))
-            keep = None
-            for g in live:
-                keep = match[g] if keep is None else (keep | match[g])
-            j = data.filter(keep)
-            p = []
-            for i in range(k):
-                expr = None
-                for g, pv in live.items():
-                    expr = (F.when(match[g], F.lit(float(pv[i]))) if expr is None
-                            else expr.when(match[g], F.lit(float(pv[i]))))
-                p.append(expr)
-        else:
-            rows = [(*g, *map(float, pv)) for g, pv in live.items()]
-            ptab = spark.createDataFrame(rows, [*group, *[f"_p{i}" for i in range(k)]])
-            j = data.join(F.broadcast(ptab), group)
-            p = [E(f"_p{i}") for i in range(k)]
+        # one way for any number of groups: a parameter frame joined null-safely
+        ptab = spark.createDataFrame([(*g, *map(float, pv)) for g, pv in params.items()], ptab_schema)
+        on = None
+        for g in group:
+            same = data[g].eqNullSafe(ptab[f"_g_{g}"])
+            on = same if on is None else on & same
+        j = data.join(ptab, on)
+        p = [E(f"_p{i}") for i in range(k)]
         r = E("_y") - cv.f(E("_x"), p)
         g = cv.grads(E("_x"), p)
         aggs = [F.sum(r * r).alias("ssr"), F.count(F.lit(1)).alias("n")]
@@ -205,32 +194,39 @@ def lm_fit(df: DataFrame, group: list[str], x: str, y: str, curve: str, p0: Data
             out[key] = (row["ssr"], jtj, jtr, row["n"])
         return out
 
-    while iters < max_iter and not all(done.values()):
-        iters += 1
-        st = stats_at(trial)
-        for g, (ssr, jtj, jtr, n) in st.items():
+    for _ in range(max_iter):
+        live = {g: p for g, p in trial.items() if status[g] is None}
+        if not live:
+            break
+        st = stats_at(live)
+        for g in live:
+            ssr, jtj, jtr, n = st.get(g, (None, None, None, 0))
             n_obs[g] = n
+            taken[g] += 1
             ok = ssr is not None and np.isfinite(ssr) and np.all(np.isfinite(jtj))
+            if not ok and g not in best_jtj:
+                status[g] = "no_start"
+                continue
             if ok and ssr <= best_ssr[g]:
                 improvement = (best_ssr[g] - ssr) / max(ssr, 1e-300) if np.isfinite(best_ssr[g]) else np.inf
                 best[g], best_ssr[g], best_jtj[g], best_jtr[g] = trial[g].copy(), ssr, jtj, jtr
                 lam[g] = max(lam[g] / 10, 1e-12)
                 if improvement < tol:
-                    done[g] = True
+                    status[g] = "converged"
                     continue
             else:
                 lam[g] *= 10
-                if lam[g] > 1e12 or g not in best_jtj:
-                    done[g] = True
+                if lam[g] > 1e12:
+                    status[g] = "no_step"
                     continue
             try:
                 nxt = bounded_step(best_jtj[g], best_jtr[g], lam[g], best[g], bounds)
             except np.linalg.LinAlgError:
-                done[g] = True
+                status[g] = "no_step"
                 continue
-            # relative parameter change below xtol: converged (as MINPACK's xtol)
+            # relative parameter change below xtol: converged
             if np.linalg.norm(nxt - best[g]) <= xtol * (np.linalg.norm(best[g]) + xtol):
-                done[g] = True
+                status[g] = "converged"
             trial[g] = nxt
     data.unpersist()
     rows = []
@@ -244,16 +240,19 @@ def lm_fit(df: DataFrame, group: list[str], x: str, y: str, curve: str, p0: Data
                 sd = [float(np.sqrt(v)) if v >= 0 else None for v in np.diag(cov)]
             except np.linalg.LinAlgError:
                 pass
-        rows.append((*g, *map(float, p), *sd, float(best_ssr[g]) if np.isfinite(best_ssr[g]) else None, int(n), iters))
-    cols = [*group, *cv.params, *[f"sd_{q}" for q in cv.params], "ssr", "n", "iterations"]
-    schema = ", ".join([f"`{c}` {'string' if c in group else 'double'}" for c in cols[:len(group) + 2 * k + 1]]
-                       + ["`n` bigint", "`iterations` int"])
+        on_bound = bounds is not None and bool(((p <= bounds[0]) | (p >= bounds[1])).any())
+        values = [None if np.isnan(v) else float(v) for v in p]
+        rows.append((*g, *values, *sd, float(best_ssr[g]) if np.isfinite(best_ssr[g]) else None, int(n), taken[g],
+                     on_bound, status[g] or "max_iter"))
+    schema = ", ".join([f"`{g}` {kinds[g]}" for g in group] + [f"`{c}` double" for c in cv.params]
+                       + [f"`sd_{c}` double" for c in cv.params]
+                       + ["ssr double", "n bigint", "iterations int", "on_bound boolean", "status string"])
     return spark.createDataFrame(rows, schema)
 
 
 def predict(df: DataFrame, params: DataFrame, group: list[str], x: str, curve: str, out: str = "pred") -> DataFrame:
-    """Curve value per row with the group's parameters (params broadcast:
-    one row per group)."""
+    """Curve value per row with the group's parameters (one row per group;
+    Spark broadcasts them when they are measured small)."""
     if curve in CURVES:
         cv = CURVES[curve]
         names = cv.params
@@ -267,7 +266,7 @@ def predict(df: DataFrame, params: DataFrame, group: list[str], x: str, curve: s
     else:
         raise ValueError(curve)
     ptab = params.select(*group, *[E(n).alias(f"_q_{n}") for n in names])
-    j = df.join(F.broadcast(ptab), group)
+    j = df.join(ptab, group)
     return j.withColumn(out, fn(E(x), [E(f"_q_{n}") for n in names])).drop(*[f"_q_{n}" for n in names])
 
 
@@ -284,89 +283,3 @@ def curve_grid(bounds: DataFrame, params: DataFrame, group: list[str], curve: st
     g = bounds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     g = g.withColumn("x", E("lo") + (E("hi") - E("lo")) * E("i") / (points - 1))
     return predict(g, params, group, "x", curve, "y")
-
-
-# ------------------------------------------------------ per-group (small) fits
-def lm_numpy(f, x: np.ndarray, y: np.ndarray, p0: np.ndarray, bounds=None, maxfev: int = 1000,
-             ftol: float = 1.49012e-8, xtol: float = 1.49012e-8) -> tuple[np.ndarray, float, np.ndarray | None, int]:
-    """Levenberg-Marquardt with a forward-difference Jacobian (the MINPACK
-    scheme behind ``curve_fit``), at most ``maxfev`` function evaluations.
-    Returns (params, SSR, covariance s^2 (J'J)^-1 or None, evaluations)."""
-    p = np.asarray(p0, dtype=float).copy()
-    k = len(p)
-    nfev = 0
-
-    def res(q):
-        nonlocal nfev
-        nfev += 1
-        with np.errstate(all="ignore"):
-            return y - f(x, *q)
-
-    r = res(p)
-    ssr = float(r @ r) if np.all(np.isfinite(r)) else np.inf
-    lam = 1e-3
-    J = None
-    while nfev < maxfev:
-        eps = np.sqrt(np.finfo(float).eps) * np.maximum(np.abs(p), 1.0)
-        J = np.empty((len(y), k))
-        for i in range(k):
-            q = p.copy()
-            q[i] += eps[i]
-            J[:, i] = (r - res(q)) / eps[i]          # d f / d p_i
-        if not np.all(np.isfinite(J)):
-            break
-        jtj, jtr = J.T @ J, J.T @ r
-        improved = False
-        while nfev < maxfev:
-            try:
-                nxt = bounded_step(jtj, jtr, lam, p, bounds)
-            except np.linalg.LinAlgError:
-                break
-            rn = res(nxt)
-            sn = float(rn @ rn) if np.all(np.isfinite(rn)) else np.inf
-            if sn <= ssr:
-                small_x = np.linalg.norm(nxt - p) <= xtol * (np.linalg.norm(p) + xtol)
-                small_f = (ssr - sn) <= ftol * max(sn, 1e-300)
-                p, r, ssr = nxt, rn, sn
-                lam = max(lam / 10, 1e-12)
-                improved = True
-                if small_x or small_f:
-                    improved = False
-                break
-            lam *= 10
-            if lam > 1e16:
-                break
-        if not improved:
-            break
-    cov = None
-    if J is not None and len(y) > k and np.all(np.isfinite(J)):
-        try:
-            cov = ssr / (len(y) - k) * np.linalg.inv(J.T @ J)
-        except np.linalg.LinAlgError:
-            cov = None
-    return p, ssr, cov, nfev
-
-
-def lm_fit_groups(df: DataFrame, group: list[str], x: str, y: str, curve: str, p0: DataFrame,
-                  bounds=None, maxfev: int = 1000) -> DataFrame:
-    """Per-group least squares for inputs that are small per group (a
-    day-level table): each group is one ``applyInPandas`` task running
-    :func:`lm_numpy`; groups run in parallel.  Same output as ``lm_fit``."""
-    import pandas as pd
-    cv = CURVES[curve]
-    k = len(cv.params)
-    start = p0.select(*group, *[E(q).cast("double").alias(f"_p0_{q}") for q in cv.params])
-    d = df.select(*group, E(x).cast("double").alias("_x"), E(y).cast("double").alias("_y")).join(start, group)
-    cols = [*group, *cv.params, *[f"sd_{q}" for q in cv.params], "ssr", "n", "iterations"]
-    schema = ", ".join([f"`{c}` string" for c in group] + [f"`{c}` double" for c in cols[len(group):-2]]
-                       + ["`n` bigint", "`iterations` int"])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        p0v = np.array([pdf[f"_p0_{q}"].iloc[0] for q in cv.params], dtype=float)
-        p, ssr, cov, nfev = lm_numpy(cv.np_f, pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), p0v, bounds, maxfev)
-        sd = [float(np.sqrt(v)) if cov is not None and v >= 0 else None for v in (np.diag(cov) if cov is not None else [None] * k)]
-        row = {**{g: str(pdf[g].iloc[0]) for g in group}, **dict(zip(cv.params, map(float, p))),
-               **{f"sd_{q}": s for q, s in zip(cv.params, sd)}, "ssr": float(ssr), "n": len(pdf), "iterations": nfev}
-        return pd.DataFrame([row], columns=cols)
-
-    return d.groupBy(*group).applyInPandas(fit, schema)

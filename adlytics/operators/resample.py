@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlytics.functions.draws import hash_int
+from adlytics.operators.bayes import spread
 
 E = F.col
 
@@ -33,7 +34,7 @@ def _fetch(draws: DataFrame, series: DataFrame, key: str) -> DataFrame:
 def iid_bootstrap(series: DataFrame, reps: int, seed: int = 42, key: str = "series") -> DataFrame:
     """X-1/X-5: n draws with replacement per replicate."""
     n = series_lengths(series, key)
-    d = (n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    d = (spread(n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))), key, "rep")
           .withColumn("idx", F.explode(F.sequence(F.lit(0), E("n").cast("int") - 1)))
           .withColumn("src", F.pmod(hash_int(seed, E(key), E("rep"), E("idx")), E("n"))))
     return _fetch(d, series, key)
@@ -51,7 +52,7 @@ def circular_block_bootstrap(series: DataFrame, reps: int, seed: int = 42, key:
     n = series_lengths(series, key)
     n = n.withColumn("b", F.lit(size) if size else block_size(E("n")))
     n = n.withColumn("nb", F.ceil(E("n") / E("b")).cast("int"))
-    d = (n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    d = (spread(n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))), key, "rep")
           .withColumn("blk", F.explode(F.sequence(F.lit(0), E("nb") - 1)))
           .withColumn("start", F.pmod(hash_int(seed, E(key), E("rep"), E("blk")), E("n")))
           .withColumn("off", F.explode(F.sequence(F.lit(0), E("b") - 1)))

@@ -25,7 +25,7 @@ VIEW_SQL: dict[str, str] = {
                ts AS session_timestamp,
                CASE WHEN event_type = 'signup' THEN user_id END AS uref,
                'site' || CAST(user_id % 4 AS VARCHAR) || CASE WHEN user_id % 4 = 0 THEN '.de' ELSE '.ch' END AS site_id,
-               CASE user_id % 7 WHEN 0 THEN 'feries' WHEN 1 THEN 'amivac' WHEN 2 THEN 'edomizil' ELSE 'main' END AS legal_entity_short_name,
+               CASE user_id % 7 WHEN 0 THEN 'vacaro' WHEN 1 THEN 'villamo' WHEN 2 THEN 'domiva' ELSE 'main' END AS legal_entity_short_name,
                CASE WHEN user_id % 2 = 0 THEN 'google/ch/' ELSE 'bing/ch/' END || CAST(user_id AS VARCHAR) AS adword_30_days,
                'camp' || CAST(user_id % 3 AS VARCHAR) AS campaign_30_days,
                CASE WHEN event_id % 3 = 0 THEN 'g' || CAST(event_id AS VARCHAR) END AS google_click_id_30_days,
@@ -53,17 +53,17 @@ VIEW_SQL: dict[str, str] = {
     "interactions": """
         SELECT * FROM (
           SELECT event_id - event_id % 3 AS session_id,
-                 CASE WHEN event_id % 4 <> 3 THEN 'app_install_large_overlay_deeplink_cta_click'
-                      ELSE 'app_install_large_overlay_close' END AS metric_name,
-                 CASE WHEN user_id % 3 <> 1 THEN 'app_install_large_overlay' ELSE 'other' END AS se_category,
+                 CASE WHEN event_id % 4 <> 3 THEN 'overlay_cta_click'
+                      ELSE 'install_overlay_close' END AS metric_name,
+                 CASE WHEN user_id % 3 <> 1 THEN 'install_overlay' ELSE 'other' END AS se_category,
                  event_id AS interactions_key,
                  ts AS interaction_timestamp
           FROM events WHERE event_type = 'click') x
         UNION ALL
         SELECT * FROM (
-          SELECT event_id - event_id % 3, CASE WHEN event_id % 4 <> 3 THEN 'app_install_large_overlay_deeplink_cta_click'
-                      ELSE 'app_install_large_overlay_close' END,
-                 CASE WHEN user_id % 3 <> 1 THEN 'app_install_large_overlay' ELSE 'other' END,
+          SELECT event_id - event_id % 3, CASE WHEN event_id % 4 <> 3 THEN 'overlay_cta_click'
+                      ELSE 'install_overlay_close' END,
+                 CASE WHEN user_id % 3 <> 1 THEN 'install_overlay' ELSE 'other' END,
                  event_id, ts
           FROM events WHERE event_type = 'click') y""",
     "installs": """
@@ -77,10 +77,10 @@ VIEW_SQL: dict[str, str] = {
                CASE WHEN user_id % 20 < 10 THEN 'com.app' ELSE '1104' END AS app_id,
                CASE WHEN user_id % 10 < 4 THEN 'organic' WHEN user_id % 10 < 6 THEN 'Facebook Ads'
                     WHEN user_id % 10 < 8 THEN 'googleadwords_int' ELSE 'Apple Search Ads' END AS media_source,
-               user_id AS appsflyer_id,
+               user_id AS tracker_id,
                user_id AS app_user_id,
-               CASE event_id % 4 WHEN 0 THEN 'web_app_install_large_overlay_deals'
-                    WHEN 1 THEN 'web_app_install_large_overlay_deals_dach'
+               CASE event_id % 4 WHEN 0 THEN 'overlay_deals'
+                    WHEN 1 THEN 'overlay_deals_south'
                     ELSE 'camp' || CAST(event_id % 4 AS VARCHAR) END AS campaign_name
         FROM events""",
     "uploads": """
@@ -168,7 +168,7 @@ VIEW_SQL: dict[str, str] = {
     "conversions": """
         SELECT o_orderdate AS conversion_date,
                o_orderkey AS on_site_order_id,
-               CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS is_hometogo_payment
+               CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS is_platform_payment
         FROM orders""",
     "inventory": """
         SELECT CAST(l_shipdate AS DATE) AS dt,
@@ -177,8 +177,8 @@ VIEW_SQL: dict[str, str] = {
         FROM lineitem""",
     "dim_site": """
         SELECT 'site' || CAST(n_nationkey AS VARCHAR) || CASE WHEN n_nationkey % 2 = 0 THEN '.de' ELSE '.ch' END AS site_id,
-               CASE WHEN n_nationkey % 7 = 0 THEN NULL WHEN n_nationkey % 7 = 1 THEN 'feries'
-                    WHEN n_nationkey % 7 = 2 THEN 'casamundo' ELSE 'hometogo' END AS legal_entity
+               CASE WHEN n_nationkey % 7 = 0 THEN NULL WHEN n_nationkey % 7 = 1 THEN 'vacaro'
+                    WHEN n_nationkey % 7 = 2 THEN 'casalia' ELSE 'northstay' END AS legal_entity
         FROM nation""",
     "main_revenues": """
         SELECT CAST(o.o_orderdate AS DATE) AS date,
@@ -186,7 +186,7 @@ VIEW_SQL: dict[str, str] = {
                'site' || CAST(n.n_nationkey AS VARCHAR) || CASE WHEN n.n_nationkey % 2 = 0 THEN '.de' ELSE '.ch' END AS site_id,
                r.r_name AS site_global_region,
                o.o_custkey % 10 = 0 AS inter_company_group,
-               CASE WHEN c.c_mktsegment = 'HOUSEHOLD' THEN 'Others - CPC & CPL' ELSE c.c_mktsegment END AS deal_type,
+               CASE WHEN c.c_mktsegment = 'HOUSEHOLD' THEN 'Click and lead deals' ELSE c.c_mktsegment END AS deal_type,
                CAST(1 AS BIGINT) AS conversions,
                o.o_totalprice AS est_revenue_before_cancellations,
                CASE WHEN o.o_orderstatus = 'F' THEN 0.0 ELSE o.o_totalprice END AS est_revenue,

@@ -78,8 +78,9 @@ def _bayes_sql(daily_cte: str, n: str, k: str) -> str:
          FROM p5 WINDOW r AS (PARTITION BY day ORDER BY i ROWS UNBOUNDED PRECEDING))
 , p7 AS (SELECT *, ec - pc / 2 AS fc, ev - pv / 2 AS fv, sc - pc * x / 2 AS mc, sv - pv * x / 2 AS mv FROM p6)
 , q AS (
-  SELECT day, sum(pv * fc) AS prob_variant_better_than_control,
-         sum(pv * (x * fc - mc)) AS control_expected_loss, sum(pc * (x * fv - mv)) AS variant_expected_loss,
+  SELECT day, sum(pv * fc) / (sum(pc) * sum(pv)) AS prob_variant_better_than_control,
+         sum(pv * (x * fc - mc)) / (sum(pc) * sum(pv)) AS control_expected_loss,
+         sum(pc * (x * fv - mv)) / (sum(pc) * sum(pv)) AS variant_expected_loss,
          min(i) FILTER (WHERE ec >= 0.025) AS i_cl, min(i) FILTER (WHERE ec >= 0.975) AS i_cu,
          min(i) FILTER (WHERE ev >= 0.025) AS i_vl, min(i) FILTER (WHERE ev >= 0.975) AS i_vu
   FROM p7 GROUP BY day)
@@ -137,18 +138,40 @@ SELECT min(day) FILTER (WHERE control_expected_loss < {EPS}) AS first_day_contro
     "ab_sessions"))(bookings_first_safe_day)
 
 
+_REPORT_SQL = """
+, final AS (SELECT * FROM byday QUALIFY row_number() OVER (ORDER BY day DESC) = 1)
+, lines AS (
+  SELECT unnest([
+    {'g': 'control', 'm': 'CvR', 'v': printf('%.5f', control_cvr)},
+    {'g': 'control', 'm': 'sample size', 'v': CAST(control_sample_size AS VARCHAR)},
+    {'g': 'control', 'm': 'conversions', 'v': CAST(control_conversions AS VARCHAR)},
+    {'g': 'control', 'm': '95% credible interval', 'v': printf('(%.5f, %.5f)', control_cvr_lower, control_cvr_upper)},
+    {'g': 'variant', 'm': 'CvR', 'v': printf('%.5f', variant_cvr)},
+    {'g': 'variant', 'm': 'sample size', 'v': CAST(variant_sample_size AS VARCHAR)},
+    {'g': 'variant', 'm': 'conversions', 'v': CAST(variant_conversions AS VARCHAR)},
+    {'g': 'variant', 'm': '95% credible interval', 'v': printf('(%.5f, %.5f)', variant_cvr_lower, variant_cvr_upper)},
+    {'g': 'outcome', 'm': 'uplift', 'v': printf('%.3f%%', (variant_cvr - control_cvr) / control_cvr * 100)},
+    {'g': 'outcome', 'm': 'control expected loss', 'v': printf('%.8f', control_expected_loss)},
+    {'g': 'outcome', 'm': 'variant expected loss', 'v': printf('%.8f', variant_expected_loss)},
+    {'g': 'outcome', 'm': 'prob (variant >= control)', 'v': printf('%.3f%%', prob_variant_better_than_control * 100)}]) AS l
+  FROM final)
+SELECT l.g AS "group", l.m AS metric, l.v AS value FROM lines WHERE l.v IS NOT NULL"""
+
+
 def bookings_verdict(v: Views) -> DataFrame:
     return B.verdict(bookings_by_day(v))
 
 
-register("c34_bayes_verdict", note="formatted long table; checked in tests")(bookings_verdict)
+register("c34_bayes_verdict", oracle=with_views(
+    _bayes_sql(_BOOKINGS_DAILY, "users", "onsite_bookings") + _REPORT_SQL, "ab_sessions"))(bookings_verdict)
 
 
 def subscriptions_verdict(v: Views) -> DataFrame:
     return B.verdict(subscriptions_by_day(v))
 
 
-register("c34_bayes_verdict_subscriptions", note="formatted long table; checked in tests")(subscriptions_verdict)
+register("c34_bayes_verdict_subscriptions", oracle=with_views(
+    _bayes_sql(_SUBS_DAILY, "cookie_user_ids", "subscribers") + _REPORT_SQL, "ab_sessions", "sessions", "crm_users"))(subscriptions_verdict)
 
 
 def bookings_importance_sampling(v: Views) -> DataFrame:
@@ -165,7 +188,7 @@ def bookings_lift_hdi(v: Views) -> DataFrame:
     draws = B.posterior_draws(post, N_DRAWS, GRID, seed=7)
     stats = draws.groupBy("day").agg(F.avg((E("v") >= E("c")).cast("double")).alias("share_variant_better"),
                                      F.avg("lift").alias("mean_lift"))
-    return B.hdi(draws, "lift", ["day"], 0.05).join(stats, "day")
+    return B.hdi(draws, "lift", ["day"], 0.05, N_DRAWS).join(stats, "day")
 
 
 register("c34_bayes_lift_hdi", note="posterior draws; checked in tests")(bookings_lift_hdi)

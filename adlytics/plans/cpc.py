@@ -28,10 +28,10 @@ def estimate_error(v: Views) -> DataFrame:
     diff = E("actual_offsite_booking_rev") - E("_prev_est")
     pct = diff / E("actual_offsite_booking_rev").cast("double")   # FLOAT(6) is a 64-bit float in the warehouse
     return (j.withColumn("date", F.to_date("click_id_timestamp"))
-             .withColumn("estimattion_diff_v2", diff)
-             .withColumn("percent_diff_v2", pct)
-             .withColumn("est_power", F.when(E("percent_diff_v2") <= 0.2, "good").otherwise("bad"))
-             .withColumn("est_power_strict", F.when(E("percent_diff_v2") <= 0.1, "good").otherwise("bad"))
+             .withColumn("estimation_diff", diff)
+             .withColumn("percent_diff", pct)
+             .withColumn("est_power", F.when(E("percent_diff") <= 0.2, "good").otherwise("bad"))
+             .withColumn("est_power_strict", F.when(E("percent_diff") <= 0.1, "good").otherwise("bad"))
              .drop("_prev_est"))
 
 
@@ -39,15 +39,15 @@ _EST_SQL = """
 , est AS (
   SELECT *, CAST(click_id_timestamp AS DATE) AS date,
          actual_offsite_booking_rev - lag(estimated_offsite_booking_rev, 1) OVER (
-             PARTITION BY provider_id, site_id, device_type, app_id ORDER BY click_id_timestamp) AS estimattion_diff_v2
+             PARTITION BY provider_id, site_id, device_type, app_id ORDER BY click_id_timestamp) AS estimation_diff
   FROM estimates)
-, est2 AS (SELECT *, estimattion_diff_v2 / CAST(actual_offsite_booking_rev AS DOUBLE) AS percent_diff_v2 FROM est)
-, est3 AS (SELECT *, CASE WHEN percent_diff_v2 <= 0.2 THEN 'good' ELSE 'bad' END AS est_power,
-                  CASE WHEN percent_diff_v2 <= 0.1 THEN 'good' ELSE 'bad' END AS est_power_strict FROM est2)"""
+, est2 AS (SELECT *, estimation_diff / CAST(actual_offsite_booking_rev AS DOUBLE) AS percent_diff FROM est)
+, est3 AS (SELECT *, CASE WHEN percent_diff <= 0.2 THEN 'good' ELSE 'bad' END AS est_power,
+                  CASE WHEN percent_diff <= 0.1 THEN 'good' ELSE 'bad' END AS est_power_strict FROM est2)"""
 
 register("c14_estimate_error",
-         floats={"actual_offsite_booking_rev": 6, "estimated_offsite_booking_rev": 6, "estimattion_diff_v2": 6,
-                 "percent_diff_v2": 6},
+         floats={"actual_offsite_booking_rev": 6, "estimated_offsite_booking_rev": 6, "estimation_diff": 6,
+                 "percent_diff": 6},
          oracle=with_views(_EST_SQL + "\nSELECT * FROM est3", "estimates"))(estimate_error)
 
 
@@ -85,12 +85,12 @@ FROM s GROUP BY 1""", "estimates"))(estimate_share_wide)
 
 def estimate_totals(v: Views) -> DataFrame:
     e = estimate_error(v)
-    return e.agg(F.sum("estimattion_diff_v2").alias("sum_estimation_diff"),
+    return e.agg(F.sum("estimation_diff").alias("sum_estimation_diff"),
                  F.sum("actual_offsite_booking_rev").alias("sum_actual"))
 
 
 register("c14_estimate_totals", floats={"sum_estimation_diff": 4, "sum_actual": 4}, oracle=with_views(_EST_SQL + """
-SELECT sum(estimattion_diff_v2) AS sum_estimation_diff, sum(actual_offsite_booking_rev) AS sum_actual FROM est3""",
+SELECT sum(estimation_diff) AS sum_estimation_diff, sum(actual_offsite_booking_rev) AS sum_actual FROM est3""",
     "estimates"))(estimate_totals)
 
 

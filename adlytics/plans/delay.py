@@ -80,16 +80,16 @@ def delay_daily(v: Views, allowance: int = ALLOWANCE_DAILY, as_of: str = AS_OF)
 
 
 _DELAY_SQL = _GAPS_SQL + """
-, cte_delay AS (
+, gaps AS (
   SELECT CAST(response_ts AS DATE) AS dt,
          avg(diff_in_hours) AS "mean", stddev_samp(diff_in_hours) AS std, max(diff_in_hours) AS "max",
          avg(diff_in_hours_intraday) AS mean_intraday, stddev_samp(diff_in_hours_intraday) AS std_intraday,
          max(diff_in_hours_intraday) AS max_intraday, sum(diff_in_hours_intraday) AS sum_intraday
   FROM diffs GROUP BY 1)
-, cte_delay_f AS (
+, gaps_filled AS (
   SELECT *, CASE WHEN max_intraday > 12 + {allowance} THEN 1 WHEN sum_intraday < 16 - {allowance} THEN 1
                  WHEN "max" >= 24 THEN 1 ELSE 0 END AS delay
-  FROM cte_delay)
+  FROM gaps)
 , ads AS (
   SELECT CAST(date AS DATE) AS dt, sum(cost) AS spend, CAST(sum(clicks) AS BIGINT) AS clicks, sum(revenue) AS revenue
   FROM ads_report WHERE date >= TIMESTAMP '""" + START + """' GROUP BY 1)
@@ -100,7 +100,7 @@ register("c08_delay_daily",
          oracle=with_views(_DELAY_SQL.format(allowance=ALLOWANCE_DAILY) + f"""
 SELECT dt, "mean", std, "max", mean_intraday, std_intraday, max_intraday, CAST(sum_intraday AS BIGINT) AS sum_intraday,
        delay, spend, clicks, revenue
-FROM cte_delay_f FULL JOIN ads USING (dt)
+FROM gaps_filled FULL JOIN ads USING (dt)
 WHERE dt < DATE '{AS_OF}'""", "uploads", "ads_report"))(delay_daily)
 
 
@@ -120,6 +120,6 @@ register("c09_delay_weekly", floats={"spend": 4, "revenue": 4},
   SELECT CAST(date_trunc('week', dt) AS DATE) AS week,
          CASE WHEN sum(delay) > 0 THEN 1 ELSE 0 END AS delay_in_week,
          sum(spend) AS spend, CAST(sum(clicks) AS BIGINT) AS clicks, sum(revenue) AS revenue
-  FROM cte_delay_f FULL JOIN ads USING (dt)
+  FROM gaps_filled FULL JOIN ads USING (dt)
   GROUP BY ALL)
 SELECT * FROM f WHERE week < DATE '{AS_OF}'""", "uploads", "ads_report"))(delay_weekly)

@@ -110,15 +110,15 @@ def subscription_rate(v: Views, start: str = START_LATE) -> DataFrame:
 
     ``uref`` is kept only for subscribers registered since ``start``; that
     condition depends on the CRM side alone, so the CRM table is filtered
-    before the join instead of after it.  Only sessions with a user
-    reference take part in the session join (the others cannot match).
+    before the join instead of after it.
     """
     a = traffic(v, start).select("session_id", "session_timestamp", "id", "cookie_user_id")
     s = v.sessions.filter(E("uref").isNotNull()).select("session_id", "uref")
     c = (v.crm_users.filter((E("registration_date") >= F.lit(start).cast("date")) & E("is_subscriber"))
          .select(E("uref").alias("c_uref")))
-    j = (a.join(s, "session_id", "left")
-          .join(c, E("uref") == E("c_uref"), "left"))
+    # the two small sides meet first: the wide table is then joined once, on its own key
+    hit = s.join(c, E("uref") == E("c_uref")).select("session_id", "c_uref")
+    j = a.join(hit, "session_id", "left")
     daily = j.groupBy("id", day_of("session_timestamp").alias("dt")).agg(
         F.count("cookie_user_id").alias("cookie_user_ids"), F.count("c_uref").alias("subscribers"))
     out = running(daily, ["id"], "dt", {"cum_users": "cookie_user_ids", "cum_subscribers": "subscribers"})
@@ -161,13 +161,13 @@ def subscription_rate_events(v: Views, start: str = START, test_id: str = TEST_I
         F.count_distinct("cookie_user_id").alias("users"),
         F.sum("account_subscription").alias("account_subscriptions"),
         F.sum("account_creation").alias("account_creations"))
-    out = running(daily, ["id"], "dt", {"cum_users": "users", "cum_account_subcription": "account_subscriptions",
+    out = running(daily, ["id"], "dt", {"cum_users": "users", "cum_account_subscription": "account_subscriptions",
                                         "cum_account_creation": "account_creations"})
-    return out.withColumns({"subcription_rate": safe_div("cum_account_subcription", "cum_users"),
+    return out.withColumns({"subscription_rate": safe_div("cum_account_subscription", "cum_users"),
                             "creation_rate": safe_div("cum_account_creation", "cum_users")})
 
 
-register("c03_subscription_rate_events", floats={"subcription_rate": 6, "creation_rate": 6}, oracle=with_views(f"""
+register("c03_subscription_rate_events", floats={"subscription_rate": 6, "creation_rate": 6}, oracle=with_views(f"""
 , a AS ({_traffic_sql(START)})
 , m AS (
   SELECT session_id,
@@ -182,9 +182,9 @@ register("c03_subscription_rate_events", floats={"subcription_rate": 6, "creatio
          CAST(sum(account_creation) AS BIGINT) AS account_creations
   FROM j GROUP BY ALL)
 SELECT *, CAST(sum(users) OVER w AS BIGINT) AS cum_users,
-       CAST(sum(account_subscriptions) OVER w AS BIGINT) AS cum_account_subcription,
+       CAST(sum(account_subscriptions) OVER w AS BIGINT) AS cum_account_subscription,
        CAST(sum(account_creations) OVER w AS BIGINT) AS cum_account_creation,
-       sum(account_subscriptions) OVER w / sum(users) OVER w AS subcription_rate,
+       sum(account_subscriptions) OVER w / sum(users) OVER w AS subscription_rate,
        sum(account_creations) OVER w / sum(users) OVER w AS creation_rate
 FROM g WINDOW w AS (PARTITION BY id ORDER BY dt)""", "ab_sessions", "crm_modals"))(subscription_rate_events)
 
@@ -218,7 +218,7 @@ FROM (PIVOT u ON id IN ('arm0', 'arm1') USING count(uref) GROUP BY origin_source
 
 
 # --------------------------------------------------------------------- C-5
-OVERLAY = ("web_app_install_large_overlay_deals", "web_app_install_large_overlay_deals_dach")
+OVERLAY = ("overlay_deals", "overlay_deals_south")
 
 
 def overlay_installs(v: Views, start: str = INSTALL_START) -> DataFrame:
@@ -254,8 +254,8 @@ def overlay_clicks(v: Views, start: str = START_LATE) -> DataFrame:
     s = traffic(v, start).select("session_id", "id")
     clicks = (v.interactions
               .filter((E("interaction_timestamp") >= F.lit(start).cast("timestamp"))
-                      & (E("se_category") == "app_install_large_overlay")
-                      & (E("metric_name") == "app_install_large_overlay_deeplink_cta_click"))
+                      & (E("se_category") == "install_overlay")
+                      & (E("metric_name") == "overlay_cta_click"))
               .select("session_id", "metric_name", "interactions_key")
               .join(s.select("session_id"), "session_id", "left_semi")
               .distinct())
@@ -264,9 +264,9 @@ def overlay_clicks(v: Views, start: str = START_LATE) -> DataFrame:
     n_sessions = s.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("sessions"))
     n_clicks = (s.distinct().join(clicks, "session_id")
                 .select("id", "interactions_key").distinct()
-                .groupBy("id").agg(F.count(F.lit(1)).alias("app_install_large_overlay")))
+                .groupBy("id").agg(F.count(F.lit(1)).alias("install_overlay")))
     return (n_sessions.join(n_clicks, "id", "left")
-            .select("id", "sessions", F.coalesce("app_install_large_overlay", F.lit(0)).alias("app_install_large_overlay")))
+            .select("id", "sessions", F.coalesce("install_overlay", F.lit(0)).alias("install_overlay")))
 
 
 register("c06_overlay_clicks", oracle=with_views(f"""
@@ -274,11 +274,11 @@ register("c06_overlay_clicks", oracle=with_views(f"""
 , o AS (
   SELECT session_id, metric_name, interactions_key FROM interactions
   WHERE interaction_timestamp >= TIMESTAMP '{START_LATE}'
-    AND se_category = 'app_install_large_overlay'
-    AND metric_name = 'app_install_large_overlay_deeplink_cta_click'
+    AND se_category = 'install_overlay'
+    AND metric_name = 'overlay_cta_click'
     AND session_id IN (SELECT DISTINCT session_id FROM s)
   GROUP BY ALL)
-SELECT id, count(DISTINCT s.session_id) AS sessions, count(DISTINCT o.interactions_key) AS app_install_large_overlay
+SELECT id, count(DISTINCT s.session_id) AS sessions, count(DISTINCT o.interactions_key) AS install_overlay
 FROM s LEFT JOIN o USING (session_id)
 GROUP BY ALL""", "ab_sessions", "interactions"))(overlay_clicks)
 

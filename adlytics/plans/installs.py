@@ -31,9 +31,9 @@ def installs_daily(v: Views, start: str = START, end: str = END) -> DataFrame:
                  & E("app_id").isin(*APP_IDS))
          .select(day_of("date").alias("dt"), E("os_name").alias("platform"),
                  F.when(E("os_name") == "ios", F.concat(F.lit("id"), E("app_id"))).otherwise(E("app_id")).alias("app_id"),
-                 "media_source", "appsflyer_id", "event_name"))
+                 "media_source", "tracker_id", "event_name"))
     keys = ["dt", "platform", "app_id", "media_source"]
-    per_id = i.groupBy(*keys, "appsflyer_id").agg(
+    per_id = i.groupBy(*keys, "tracker_id").agg(
         F.max(E("event_name") == "install").alias("is_install"),
         F.max(E("event_name") == "retargeting").alias("is_retargeting"),
         F.max(E("event_name") == "uninstall").alias("is_uninstall"),
@@ -49,12 +49,12 @@ _INSTALLS_SQL = f"""
 , inst AS (
   SELECT CAST(date AS DATE) AS dt, os_name AS platform,
          CASE WHEN os_name = 'ios' THEN 'id' || app_id ELSE app_id END AS app_id, media_source,
-         count(DISTINCT CASE WHEN event_name = 'install' THEN appsflyer_id END)
+         count(DISTINCT CASE WHEN event_name = 'install' THEN tracker_id END)
            + CAST(sum(CASE WHEN event_name = 'af_skad_install' THEN 1 ELSE 0 END) AS BIGINT) AS total_installs,
-         count(DISTINCT CASE WHEN event_name = 'install' THEN appsflyer_id END) AS regular_installs,
+         count(DISTINCT CASE WHEN event_name = 'install' THEN tracker_id END) AS regular_installs,
          CAST(sum(CASE WHEN event_name = 'af_skad_install' THEN 1 ELSE 0 END) AS BIGINT) AS skad_installs,
-         count(DISTINCT CASE WHEN event_name = 'retargeting' THEN appsflyer_id END) AS retargeting,
-         count(DISTINCT CASE WHEN event_name = 'uninstall' THEN appsflyer_id END) AS uninstalls,
+         count(DISTINCT CASE WHEN event_name = 'retargeting' THEN tracker_id END) AS retargeting,
+         count(DISTINCT CASE WHEN event_name = 'uninstall' THEN tracker_id END) AS uninstalls,
          0 AS cost
   FROM installs
   WHERE date BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' AND app_id IN ('com.app', '1104')

@@ -39,9 +39,9 @@ _MASTER_SQL = f"""
 , master AS (
   SELECT {', '.join(MASTER_COLS)} FROM keyword_master
   WHERE is_blacklisted = 'False' AND is_blacklisted_amenity = 'False' AND market = '{MARKET}')
-, herodb AS (SELECT master.*, amenity.sv_last12m FROM master JOIN amenity USING (keyword))"""
+, with_volume AS (SELECT master.*, amenity.sv_last12m FROM master JOIN amenity USING (keyword))"""
 
-register("c31_keywords_with_volume", oracle=with_views(_MASTER_SQL + "\nSELECT * FROM herodb",
+register("c31_keywords_with_volume", oracle=with_views(_MASTER_SQL + "\nSELECT * FROM with_volume",
                                                        "keyword_volume", "keyword_master"))(keywords_with_volume)
 
 
@@ -107,7 +107,7 @@ def keyword_match(v: Views, market: str = MARKET) -> DataFrame:
 
 register("c33_keyword_match", floats={"cr": 6, "roas": 6, "bookings": 4, "revenue": 4}, oracle=with_views(
     _MASTER_SQL + _SEM_SQL + """
-, h AS (SELECT * REPLACE (lower(trim(keyword)) AS keyword) FROM herodb)
+, h AS (SELECT * REPLACE (lower(trim(keyword)) AS keyword) FROM with_volume)
 SELECT * FROM h FULL JOIN sem ON h.keyword = sem.search_term""",
     "keyword_volume", "keyword_master", "search_terms_raw"))(keyword_match)
 
@@ -123,7 +123,7 @@ def match_counts(v: Views, market: str = MARKET) -> DataFrame:
 
 
 register("c33_match_counts", oracle=with_views(_MASTER_SQL + _SEM_SQL + """
-, h AS (SELECT * REPLACE (lower(trim(keyword)) AS keyword) FROM herodb)
+, h AS (SELECT * REPLACE (lower(trim(keyword)) AS keyword) FROM with_volume)
 , m AS (SELECT * FROM h FULL JOIN sem ON h.keyword = sem.search_term)
 SELECT count(*) AS rows, CAST(count_if(search_term IS NOT NULL AND keyword IS NOT NULL) AS BIGINT) AS matched,
        CAST(count_if(search_term IS NULL) AS BIGINT) AS keywords_without_sem,
@@ -138,6 +138,6 @@ def keywords_without_search_data(v: Views, market: str = MARKET) -> DataFrame:
 
 
 register("c33_keywords_without_sem", oracle=with_views(_MASTER_SQL + _SEM_SQL + """
-, h AS (SELECT * REPLACE (lower(trim(keyword)) AS keyword) FROM herodb)
+, h AS (SELECT * REPLACE (lower(trim(keyword)) AS keyword) FROM with_volume)
 SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM sem WHERE sem.search_term = h.keyword)""",
     "keyword_volume", "keyword_master", "search_terms_raw"))(keywords_without_search_data)

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from adlytics.oracle.views import rounded
 from adlytics.sources.views import Views
 
-_VIEWS: dict[tuple[int, str], Views] = {}
+_VIEWS: dict[tuple[str, str], Views] = {}
 
 
 def views_for(spark: SparkSession, sf_dir: str) -> Views:
-    key = (id(spark), sf_dir)
+    # views of a session that has stopped must not come back
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _VIEWS:
         _VIEWS[key] = Views(spark, sf_dir)
     return _VIEWS[key]
@@ -68,6 +69,6 @@ def all_queries() -> dict[str, Query]:
     # Import the plan modules so that their @register calls run.
     from adlytics.plans import (  # noqa: F401
         experiment, delay, feed, bidding, cpc, installs, cases, revenue, keywords, bayes_ab,
-        resampling, fits, forecast,
+        resampling, fits,
     )
     return REGISTRY

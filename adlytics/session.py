@@ -51,10 +51,13 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``.  Only a local master may do
+    without it (a fresh scratch folder); elsewhere executors share no local disk."""
     d = checkpoint_dir(spark)
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="adlytics-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -62,12 +65,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+# The queries' results depend on these; all else is left as the caller set it.
+QUERY_CONF = {"spark.sql.session.timeZone": "UTC"}
+
+
 def apply_session_conf(spark: SparkSession) -> None:
-    """Apply the runtime-settable part of BASE_CONF to an existing session."""
-    for k, v in BASE_CONF.items():
-        if k.startswith("spark.ui."):
-            continue
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a running session
-            pass
+    """Set what the queries' results depend on in an existing session."""
+    for k, v in QUERY_CONF.items():
+        spark.conf.set(k, v)

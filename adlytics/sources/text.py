@@ -1,9 +1,7 @@
 """Delimited-text sources and sinks (S-4 .. S-7).
 
 * :func:`read_report` reads an ad-console export: UTF-16, tab separated,
-  free-text preamble lines before the header.  ``multiLine`` is required for
-  UTF-16 (the line-splitting reader assumes an ASCII-compatible encoding);
-  with it each file is one task, and many files read in parallel.
+  free-text preamble lines before the header.
 * :func:`write_tsv` writes a tab-separated UTF-8 file set with header.
 * :func:`transcode_report` is read + write: a batch re-encoding job.
 * :func:`cached` is the "query or reload from disk" helper: a result is
@@ -12,9 +10,10 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
+import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,24 +26,28 @@ REPORT_NAMES = ["search_term", "impr", "clicks", "cr", "roas", "bookings", "reve
 def read_report(spark: SparkSession, path: str, header_first: str = "Search term",
                 encoding: str = "UTF-16", sep: str = "\t") -> DataFrame:
     """Rows after the header line of each file, all columns as strings
-    (named as ``REPORT_NAMES``).  Lines before the header (any number) are
-    dropped per file; lines with a wrong field count are dropped
-    (``on_bad_lines='skip'``)."""
+    (named as ``REPORT_NAMES``).
+
+    The preamble is what stands before the first header line of a file, by
+    position.  A line with fewer fields keeps what it has, the rest is NULL; an
+    empty field is NULL; only a line with too many fields is left out.  A file
+    without a header line is an error.
+
+    Each file is read whole by one task (UTF-16 cannot be split at bytes); many
+    files are read in parallel.  Quotes have no meaning in these exports.
+    """
     n = len(REPORT_NAMES)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)]
-                          + [T.StructField("_corrupt", T.StringType())])
-    raw = (spark.read.option("encoding", encoding).option("sep", sep).option("multiLine", True)
-           .option("header", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .schema(schema).csv(path)
-           .withColumn("_file", F.input_file_name())
-           .withColumn("_pos", F.monotonically_increasing_id()))
-    # One file is one task (multiLine), so positions increase along each file.
-    hdr = (raw.filter(F.col("c0") == header_first).groupBy("_file").agg(F.min("_pos").alias("_hdr")))
-    body = raw.join(F.broadcast(hdr), "_file").filter((F.col("_pos") > F.col("_hdr")) & F.col("_corrupt").isNull())
-    # a preamble line has a single field; a body line must have the last field
-    body = body.filter(F.col(f"c{n - 1}").isNotNull())
-    return body.select(*[F.col(f"c{i}").alias(REPORT_NAMES[i]) for i in range(n)])
+    files = (spark.read.format("binaryFile").load(path)
+             .select("path", F.decode("content", encoding).alias("body")))
+    lines = F.split(F.regexp_replace("body", "\r\n?", "\n"), "\n")
+    files = files.select("path", F.transform(lines, lambda x: F.split(x, sep, -1)).alias("lines"))
+    first = F.array_position(F.transform("lines", lambda x: F.element_at(x, 1) == header_first), F.lit(True)).cast("int")
+    missing = F.raise_error(F.concat(F.lit("no header line in "), "path"))
+    files = files.withColumn("_head", F.when(first > 0, first).otherwise(missing.cast("int")))
+    rows = files.select(F.explode(F.slice("lines", F.col("_head") + 1, F.size("lines"))).alias("f"))
+    # the text after the last line end is no line
+    rows = rows.filter((F.size("f") <= n) & ~((F.size("f") == 1) & (F.element_at("f", 1) == "")))
+    return rows.select(*[F.nullif(F.get("f", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(REPORT_NAMES)])
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -63,14 +66,17 @@ def transcode_report(spark: SparkSession, src: str, dst: str) -> int:
     return spark.read.option("sep", "\t").option("header", True).csv(dst).count()
 
 
-def cached(spark: SparkSession, name: str, build, reload: bool = True) -> DataFrame:
-    """Load ``name`` from the shared folder if present (and ``reload``),
-    else build it, write it there as parquet and read it back.  The write
-    cuts the lineage, so a lost executor recomputes nothing before it."""
-    base = os.path.join(ensure_checkpoint_dir(spark), "adlytics-cache", name)
-    marker = base.rstrip("/") + "/_SUCCESS"
-    local = base.startswith("/") or base.startswith("file:")
-    if reload and local and os.path.exists(marker.replace("file:", "")):
-        return spark.read.parquet(base)
-    build().write.mode("overwrite").parquet(base)
+def cached(spark: SparkSession, name: str, build, source: str = "", params: dict | None = None,
+           reload: bool = True) -> DataFrame:
+    """Load a result from the shared folder if it is complete there (and
+    ``reload``), else build it, write it there as parquet and read it back.
+
+    The key is the name with the data folder ``source`` and ``params``, so another
+    folder or parameter set never gets the old result.  Presence is asked of
+    the folder's own file system.  The write cuts the lineage."""
+    key = hashlib.sha256(json.dumps([name, source, params or {}], sort_keys=True, default=str).encode()).hexdigest()[:16]
+    base = f"{ensure_checkpoint_dir(spark)}/adlytics-cache/{name}-{key}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(base + "/_SUCCESS")
+    if not (reload and done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)):
+        build().write.mode("overwrite").parquet(base)
     return spark.read.parquet(base)

@@ -39,7 +39,7 @@ SOURCE_BY_EVENT = {"click": "Clickout", "purchase": "Onsite-Booking", "view": "O
                    "signup": "Inline-Ad", "error": "Popunder"}
 INSTALL_EVENT_BY_TYPE = {"signup": "install", "click": "af_skad_install", "view": "retargeting",
                          "error": "uninstall"}    # else 'other'
-OVERLAY_CAMPAIGNS = ("web_app_install_large_overlay_deals", "web_app_install_large_overlay_deals_dach")
+OVERLAY_CAMPAIGNS = ("overlay_deals", "overlay_deals_south")
 LANGUAGE_BY_MOD8 = {0: "DE", 1: "EN", 2: "NL", 3: "IT", 4: "ES", 5: "FR", 6: "PL"}   # else 'SV'
 
 
@@ -93,7 +93,7 @@ class Views:
             E("ts").alias("session_timestamp"),
             F.when(E("event_type") == "signup", E("user_id")).alias("uref"),
             F.concat(F.lit("site"), _str(m4), F.when(m4 == 0, ".de").otherwise(".ch")).alias("site_id"),
-            _case(E("user_id") % 7, {0: "feries", 1: "amivac", 2: "edomizil"}, "main").alias("legal_entity_short_name"),
+            _case(E("user_id") % 7, {0: "vacaro", 1: "villamo", 2: "domiva"}, "main").alias("legal_entity_short_name"),
             F.concat(F.when(E("user_id") % 2 == 0, "google/ch/").otherwise("bing/ch/"), _str(E("user_id"))).alias("adword_30_days"),
             F.concat(F.lit("camp"), _str(E("user_id") % 3)).alias("campaign_30_days"),
             F.when(E("event_id") % 3 == 0, F.concat(F.lit("g"), _str(E("event_id")))).alias("google_click_id_30_days"),
@@ -130,9 +130,9 @@ class Views:
         e = self.t.events.filter(E("event_type") == "click")
         one = e.select(
             (E("event_id") - E("event_id") % 3).alias("session_id"),
-            F.when(E("event_id") % 4 != 3, "app_install_large_overlay_deeplink_cta_click")
-             .otherwise("app_install_large_overlay_close").alias("metric_name"),
-            F.when(E("user_id") % 3 != 1, "app_install_large_overlay").otherwise("other").alias("se_category"),
+            F.when(E("event_id") % 4 != 3, "overlay_cta_click")
+             .otherwise("install_overlay_close").alias("metric_name"),
+            F.when(E("user_id") % 3 != 1, "install_overlay").otherwise("other").alias("se_category"),
             E("event_id").alias("interactions_key"),
             E("ts").alias("interaction_timestamp"),
         )
@@ -156,7 +156,7 @@ class Views:
             _case(E("event_id") % 4, {0: OVERLAY_CAMPAIGNS[0], 1: OVERLAY_CAMPAIGNS[1]},
                   None).alias("_c"),
             E("event_id"),
-            E("user_id").alias("appsflyer_id"),
+            E("user_id").alias("tracker_id"),
             E("user_id").alias("app_user_id"),
         ).withColumn("campaign_name", F.coalesce(E("_c"), F.concat(F.lit("camp"), _str(E("event_id") % 4)))) \
          .drop("_c", "event_id")
@@ -280,7 +280,7 @@ class Views:
         return o.select(
             E("o_orderdate").alias("conversion_date"),
             E("o_orderkey").alias("on_site_order_id"),
-            F.when(E("o_orderstatus") == "P", 1).otherwise(0).alias("is_hometogo_payment"),
+            F.when(E("o_orderstatus") == "P", 1).otherwise(0).alias("is_platform_payment"),
         )
 
     def _build_inventory(self) -> DataFrame:
@@ -298,8 +298,8 @@ class Views:
         return n.select(
             F.concat(F.lit("site"), _str(E("n_nationkey")),
                      F.when(E("n_nationkey") % 2 == 0, ".de").otherwise(".ch")).alias("site_id"),
-            F.when(m7 == 0, F.lit(None).cast("string")).when(m7 == 1, "feries").when(m7 == 2, "casamundo")
-             .otherwise("hometogo").alias("legal_entity"),
+            F.when(m7 == 0, F.lit(None).cast("string")).when(m7 == 1, "vacaro").when(m7 == 2, "casalia")
+             .otherwise("northstay").alias("legal_entity"),
         )
 
     def _build_main_revenues(self) -> DataFrame:
@@ -321,7 +321,7 @@ class Views:
                      F.when(E("n_nationkey") % 2 == 0, ".de").otherwise(".ch")).alias("site_id"),
             E("r_name").alias("site_global_region"),
             (E("o_custkey") % 10 == 0).alias("inter_company_group"),
-            F.when(E("c_mktsegment") == "HOUSEHOLD", "Others - CPC & CPL").otherwise(E("c_mktsegment")).alias("deal_type"),
+            F.when(E("c_mktsegment") == "HOUSEHOLD", "Click and lead deals").otherwise(E("c_mktsegment")).alias("deal_type"),
             F.lit(1).cast("bigint").alias("conversions"),
             E("o_totalprice").alias("est_revenue_before_cancellations"),
             F.when(E("o_orderstatus") == "F", F.lit(0.0)).otherwise(E("o_totalprice")).alias("est_revenue"),

