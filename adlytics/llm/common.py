@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``checkpoint``, as a compressed table, for what is large."""
+    spark = df.sparkSession
+    use_shared_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files when the driver's garbage collector finds
+    nothing that refers to it; after a step with a large shuffle, ask it to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adlytics.llm.common import byte_table, checkpoint, load, mix64, span_hashes, text_blocks, words_of
+from adlytics.llm.common import byte_table, checkpoint, forget, load, mix64, span_hashes, text_blocks, words_of, written
 from adlytics.llm.components import components
 
 LIGHT = 3
@@ -97,14 +97,23 @@ def class_of(s: np.ndarray) -> np.ndarray:
     return mix64(mix64(s + np.uint64(77)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s))).view(np.int64)[0]
 
 
-def band_edges(limit: int = 1 << 40) -> np.ndarray:
-    """Smallest size of each band."""
+def band_edges() -> np.ndarray:
+    """Smallest size of each band; 63 bands reach beyond any text."""
     out = [1]
-    while out[-1] < limit:
+    while len(out) < 64:
         out.append(max(out[-1] + 1, int(np.ceil(out[-1] * BAND_RATIO))))
     return np.array(out, np.int64)
 
 
+def layout(edges: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By band: largest difference k, partitions n1, spare partitions among them."""
+    hi = edges[1:] - 1
+    k = 2 * hi * (rule.den - rule.num) // (rule.den + rule.num)
+    base = k // 2 + 1
+    spare = np.where(base >= 5, -(-base * rule.spare // 100), 0)
+    return k, np.where(k == 0, 1, base + spare), spare
+
+
 def sketch(s: np.ndarray) -> bytes:
     """Features by cell of a coarse partition, up to 255 in a cell."""
     cell = (mix64(s + np.uint64(5)) % np.uint64(SKETCH)).astype(np.int64)
@@ -112,8 +121,10 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
-    """(signature, index of the set, band and partition, partitions the set may
-    still do without)."""
+    """(signature, index of the set).  From the high bits: 41 of the subset's hash,
+    6 band, 13 partition, and in 4 bits how many fifteenths of its band's spare
+    partitions the set may still do without (rounded down; none if the
+    partitions do not fit their bits)."""
     size = np.array([len(s) for s in sets], np.int64)
     own = np.searchsorted(edges, size, side="right") - 1
     top = np.searchsorted(edges, size * rule.den // rule.num, side="right") - 1
@@ -122,13 +133,8 @@ def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
     inst_set = np.concatenate([some, extra])
     band = np.concatenate([own[some], own[extra] + 1])
     if not len(inst_set):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    hi = edges[band + 1] - 1
-    k = 2 * hi * (rule.den - rule.num) // (rule.den + rule.num)
-    base = k // 2 + 1
-    spare = np.where(base >= 5, -(-base * rule.spare // 100), 0)
-    n1 = np.where(k == 0, 1, base + spare)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    k, n1, spare = (x[band] for x in layout(edges, rule))
     m = rule.cells
     start = np.concatenate([[0], np.cumsum(n1 * m)])
     n_feat = size[inst_set]
@@ -160,7 +166,9 @@ def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
     row = np.concatenate([row, whole])
     sig = np.concatenate([sig[row[:len(col)], col], whole_sig])
     of = row_inst[row]
-    return sig, inst_set[of], name[row], left[of]
+    fifteenths = np.where((spare > 0) & (n1 <= 1 << 13), 15 * left // np.maximum(spare, 1), 0)[of]
+    low = (band[of] << 17) | ((row_part[row] & 0x1FFF) << 4) | fifteenths
+    return (sig & ~np.uint64(0x7FFFFF)) | low.astype(np.uint64), inst_set[of]
 
 
 def class_rows(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -179,7 +187,7 @@ def class_rows(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """sig, class, part, left: each class once per task that meets it."""
+    """sig, class: each class once per task that meets it."""
     def step(batches):
         table, edges, met = byte_table(WORD_SEED), band_edges(), set()
         for batch in batches:
@@ -194,24 +202,29 @@ def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                             met.add(c)
                             fresh.append(s)
                             classes.append(c)
-                sig, of, part, left = signatures(fresh, rule, edges)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(sig.view(np.int64)), pa.array(np.array(classes, np.int64)[of]), pa.array(part),
-                    pa.array(left.astype(np.int32))], names=["sig", "class", "part", "left"])
-
-    return docs.select("text").mapInArrow(step, "sig long, class long, part long, left int")
-
-
-def kept_rows(rows: DataFrame) -> DataFrame:
-    """sig, class, hot: the shared signatures that the classes keep."""
-    by_sig = Window.partitionBy("sig")
-    rows = (rows.withColumn("lo", F.min("class").over(by_sig)).withColumn("hi", F.max("class").over(by_sig))
-            .filter("lo < hi").select("sig", "class", "part", "left").distinct()
-            .withColumn("hot", F.count("*").over(by_sig) > HOT))
-    rows = checkpoint(rows.withColumn("band", F.shiftright("part", 32)))
-    met = rows.filter("hot").groupBy("class", "band").agg(F.count_distinct("part").alias("met"))
-    rows = rows.join(met, ["class", "band"], "left")
-    return checkpoint(rows.filter(~F.col("hot") | (F.col("met") > F.col("left"))).select("sig", "class", "hot"))
+                sig, of = signatures(fresh, rule, edges)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.array(classes, np.int64)[of])], names=["sig", "class"])
+
+    return docs.select("text").mapInArrow(step, "sig long, class long")
+
+
+def kept_rows(rows: DataFrame, rule: Rule) -> DataFrame:
+    """key, class, hot: the shared signatures that the classes keep."""
+    key = F.shiftright("sig", 4)  # without the fifteenths, which differ by class
+    by_key = Window.partitionBy("key")
+    rows = rows.withColumn("key", key)
+    rows = (rows.withColumn("lo", F.min("class").over(by_key)).withColumn("hi", F.max("class").over(by_key))
+            .filter("lo < hi").select("key", "sig", "class").distinct()
+            .withColumn("hot", F.count("*").over(by_key) > HOT))
+    # the signatures of a class come together, as many as its text is long
+    sigs = rows.withColumn("band", F.shiftright("sig", 17).bitwiseAND(63)).groupBy("class", "band").agg(
+        F.collect_list(F.struct("sig", "hot")).alias("l"))
+    part = lambda x: F.shiftright(x["sig"], 4).bitwiseAND(0x1FFF)
+    met = F.size(F.array_distinct(F.transform(F.filter("l", lambda x: x["hot"]), part)))
+    spare = F.element_at(F.array(*[F.lit(int(x)) for x in layout(band_edges(), rule)[2]]), (F.col("band") + 1).cast("int"))
+    left = F.floor(F.element_at("l", 1)["sig"].bitwiseAND(15) * spare / 15)
+    sigs = sigs.withColumn("keeps", met > left).select("class", "keeps", F.explode("l").alias("x"))
+    return written(sigs.filter("keeps or not x.hot").select(F.shiftright("x.sig", 4).alias("key"), "class", F.col("x.hot").alias("hot")))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -221,7 +234,7 @@ def small(df: DataFrame) -> DataFrame:
 
 def bucket_pairs(kept: DataFrame) -> DataFrame:
     """(a, b) classes that share a signature few classes have."""
-    lists = kept.filter("not hot").groupBy("sig").agg(F.collect_set("class").alias("l"))
+    lists = kept.filter("not hot").groupBy("key").agg(F.collect_set("class").alias("l"))
     pairs = lists.select(F.explode("l").alias("a"), "l").select("a", F.explode(F.filter("l", lambda x: x > F.col("a"))).alias("b"))
     return pairs.distinct()
 
@@ -307,16 +320,16 @@ def link_block(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, rule:
 
 def family_links(sets: DataFrame, rule: Rule, family: DataFrame) -> DataFrame:
     """(a, b): verified links that connect what is connected within each family."""
-    members = sets.join(family, "class").withColumn("n", F.size("shingles"))
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    members = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    members = sets.join(small(family), "class").withColumn("n", F.size("shingles"))
+    blocks = checkpoint(members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")))
+    members = members.join(small(blocks), "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
         sizes = f["n"].to_numpy("<i8")
         return pd.DataFrame({"family": [f["family"].iloc[0]], "block": [f["block"].iloc[0]], "classes": [f["class"].to_numpy("<i8").tobytes()],
                              "sizes": [sizes.tobytes()], "features": [b"".join(np.asarray(x, "<i8").tobytes() for x in f["shingles"])]})
 
-    packed = checkpoint(members.select("family", "block", "class", "n", "shingles").groupBy("family", "block").applyInPandas(
+    packed = written(members.select("family", "block", "class", "n", "shingles").groupBy("family", "block").applyInPandas(
         pack, "family long, block long, classes binary, sizes binary, features binary"))
     other = packed.select("family", F.col("block").alias("block2"), F.col("classes").alias("classes2"),
                           F.col("sizes").alias("sizes2"), F.col("features").alias("features2"))
@@ -343,8 +356,9 @@ def family_links(sets: DataFrame, rule: Rule, family: DataFrame) -> DataFrame:
 
 def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(a, b) links between classes that connect every component."""
-    kept = kept_rows(signature_rows(docs, rule))
-    hot = kept.filter("hot").select("class", F.min("class").over(Window.partitionBy("sig")).alias("rep")).filter("class <> rep").distinct()
+    kept = kept_rows(signature_rows(docs, rule), rule)
+    forget(docs.sparkSession)
+    hot = kept.filter("hot").select("class", F.min("class").over(Window.partitionBy("key")).alias("rep")).filter("class <> rep").distinct()
     family = checkpoint(components(hot.select(F.col("rep").alias("a"), F.col("class").alias("b")))
                         .select(F.col("node").alias("class"), F.col("label").alias("family")))
     whole = checkpoint(classes.filter("class is not null").groupBy("class").agg(
@@ -357,7 +371,10 @@ def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     # one document of a class brings its set
     chosen = small(checkpoint(wanted.distinct().join(whole.select("class", "doc_id"), "class")))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(chosen, F.col("_id").eqNullSafe(F.col("doc_id"))).select("class", "text")
-    sets = checkpoint(shingle_sets(texts, rule))
+    sets = shingle_sets(texts, rule)
+    if not classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["class"])
+    sets = written(sets)
     return checkpoint(verified(pairs, sets, rule).unionByName(family_links(sets, rule, family)))
 
 
@@ -405,7 +422,7 @@ def shingle_sets(texts: DataFrame, rule: Rule) -> DataFrame:
                     pa.array([want[i] for i in ok], pa.int64()),
                     pa.array([sets[i].view(np.int64) for i in ok], pa.list_(pa.int64()))], names=["class", "shingles"])
 
-    return texts.select("class", "text").mapInArrow(step, "class long, shingles array<long>").dropDuplicates(["class"])
+    return texts.select("class", "text").mapInArrow(step, "class long, shingles array<long>")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
