@@ -210,14 +210,14 @@ def cpc_band_repeat_objects(v: Views, as_of: str = AS_OF) -> DataFrame:
 
 
 register("c17_cpc_band_repeat", floats=BAND_FLOATS, oracle=with_views(f"""
-, cte_object AS (
+, repeat_objects AS (
   SELECT object FROM (
     SELECT {_OBJ} AS object, row_number() OVER (PARTITION BY {_OBJ} ORDER BY click_id_timestamp) AS rn
     FROM micro_conversions WHERE revenue_cpc > 0 AND click_id_timestamp > DATE '{AS_OF}' - 90) q
   WHERE rn > 1)""" + _band_sql(f"""
   SELECT click_id_timestamp, {_OBJ} AS object, revenue_cpc FROM micro_conversions
   WHERE revenue_cpc > 0 AND click_id_timestamp > DATE '{AS_OF}' - 90
-    AND {_OBJ} IN (SELECT DISTINCT object FROM cte_object)""") + "\nSELECT * FROM band",
+    AND {_OBJ} IN (SELECT DISTINCT object FROM repeat_objects)""") + "\nSELECT * FROM band",
     "micro_conversions"))(cpc_band_repeat_objects)
 
 
@@ -230,14 +230,14 @@ def top_objects(v: Views, k: int = 10) -> DataFrame:
 
 
 _C17_SQL = f"""
-, cte_object AS (
+, repeat_objects AS (
   SELECT object FROM (
     SELECT {_OBJ} AS object, row_number() OVER (PARTITION BY {_OBJ} ORDER BY click_id_timestamp) AS rn
     FROM micro_conversions WHERE revenue_cpc > 0 AND click_id_timestamp > DATE '{AS_OF}' - 90) q
   WHERE rn > 1)""" + _band_sql(f"""
   SELECT click_id_timestamp, {_OBJ} AS object, revenue_cpc FROM micro_conversions
   WHERE revenue_cpc > 0 AND click_id_timestamp > DATE '{AS_OF}' - 90
-    AND {_OBJ} IN (SELECT DISTINCT object FROM cte_object)""")
+    AND {_OBJ} IN (SELECT DISTINCT object FROM repeat_objects)""")
 
 register("c18_top_objects", oracle=with_views(_C17_SQL + """
 SELECT object, count(*) AS clicks FROM band GROUP BY 1 ORDER BY clicks DESC, object LIMIT 10""",
@@ -255,9 +255,12 @@ def top_object_histograms(v: Views, k: int = 10, bins: int = 20) -> DataFrame:
                                      F.count(F.lit(1)).alias("n"))
     rng = rng.withColumns({"lo": F.when(E("lo") == E("hi"), E("lo") - 0.5).otherwise(E("lo")),
                            "hi": F.when(E("lo") == E("hi"), E("hi") + 0.5).otherwise(E("hi"))})
-    h = (rows.join(F.broadcast(rng), "object")
-             .withColumn("bin", bounded_bucket("revenue_cpc", E("lo"), E("hi"), bins))
-             .groupBy("object", "bin", "lo", "hi", "n").agg(F.count(F.lit(1)).alias("count")))
+    hit = (rows.join(F.broadcast(rng), "object")
+               .withColumn("bin", bounded_bucket("revenue_cpc", E("lo"), E("hi"), bins).cast("bigint"))
+               .groupBy("object", "bin").agg(F.count(F.lit(1)).alias("count")))
+    # every bin of every object, also the empty ones
+    every = rng.withColumn("bin", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))))
+    h = every.join(hit, ["object", "bin"], "left").fillna(0, ["count"])
     width = (E("hi") - E("lo")) / bins
     return h.select("object", "bin", (E("lo") + (E("bin") - 1) * width).alias("bin_start"),
                     "count", (E("count") / (E("n") * width)).alias("density"))
@@ -269,10 +272,12 @@ register("c18_top_object_histograms", floats={"bin_start": 6, "density": 6}, ora
 , r0 AS (SELECT object, min(revenue_cpc) AS lo0, max(revenue_cpc) AS hi0, count(*) AS n FROM rows_ GROUP BY 1)
 , rng AS (SELECT object, n, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
                  CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM r0)
-, h AS (
-  SELECT rows_.object, least(CAST(floor((revenue_cpc - lo) / (hi - lo) * 20) AS BIGINT) + 1, 20) AS bin, lo, hi, n,
-         count(*) AS count
+, hit AS (
+  SELECT rows_.object, least(CAST(floor((revenue_cpc - lo) / (hi - lo) * 20) AS BIGINT) + 1, 20) AS bin, count(*) AS hits
   FROM rows_ JOIN rng USING (object) GROUP BY ALL)
+, h AS (
+  SELECT e.*, coalesce(hits, 0) AS count
+  FROM (SELECT *, unnest(range(1, 21)) AS bin FROM rng) e LEFT JOIN hit USING (object, bin))
 SELECT object, bin, lo + (bin - 1) * ((hi - lo) / 20) AS bin_start, count,
        count / (n * ((hi - lo) / 20)) AS density
 FROM h""", "micro_conversions"))(top_object_histograms)
@@ -282,13 +287,17 @@ def mismatch_histogram(v: Views, bins: int = 11, lo: float = -0.001, hi: float =
     """Counts of pct_mismatch in ``bins`` equal bins over [lo, hi] (values
     outside the range are left out, the maximum goes to the last bin)."""
     b = cpc_band_repeat_objects(v).filter((E("pct_mismatch") >= lo) & (E("pct_mismatch") <= hi))
-    return (b.groupBy(bounded_bucket("pct_mismatch", lo, hi, bins).alias("bin"))
-             .agg(F.count(F.lit(1)).alias("count")))
+    hit = (b.groupBy(bounded_bucket("pct_mismatch", lo, hi, bins).cast("bigint").alias("bin"))
+            .agg(F.count(F.lit(1)).alias("count")))
+    every = v.spark.range(1, bins + 1).withColumnRenamed("id", "bin")
+    return every.join(hit, "bin", "left").fillna(0, ["count"])
 
 
 register("c18_mismatch_histogram", oracle=with_views(_C17_SQL + """
-SELECT least(CAST(floor((pct_mismatch - (-0.001)) / (0.001 - (-0.001)) * 11) AS BIGINT) + 1, 11) AS bin, count(*) AS count
-FROM band WHERE pct_mismatch >= -0.001 AND pct_mismatch <= 0.001 GROUP BY 1""", "micro_conversions"))(mismatch_histogram)
+, hit AS (
+  SELECT least(CAST(floor((pct_mismatch - (-0.001)) / (0.001 - (-0.001)) * 11) AS BIGINT) + 1, 11) AS bin, count(*) AS hits
+  FROM band WHERE pct_mismatch >= -0.001 AND pct_mismatch <= 0.001 GROUP BY 1)
+SELECT b.bin, coalesce(hits, 0) AS count FROM (SELECT unnest(range(1, 12)) AS bin) b LEFT JOIN hit USING (bin)""", "micro_conversions"))(mismatch_histogram)
 
 
 def mismatch_value_counts(v: Views) -> DataFrame:
