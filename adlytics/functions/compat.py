@@ -33,10 +33,6 @@ def week_of(c: str | Column) -> Column:
     return F.to_date(F.date_trunc("WEEK", col(c)))
 
 
-def month_of(c: str | Column) -> Column:
-    return F.trunc(F.to_date(col(c)), "month")
-
-
 def safe_div(num: str | Column, den: str | Column) -> Column:
     """Division that yields NULL for a zero or NULL denominator."""
     return F.try_divide(col(num), col(den))
@@ -52,16 +48,6 @@ def full_match(c: str | Column, pattern: str) -> Column:
     return col(c).rlike(f"^(?:{pattern})$")
 
 
-def iff(cond: Column, a, b) -> Column:
-    """``IFF(c, a, b)``: NULL condition takes the else branch."""
-    return F.when(cond, a).otherwise(b)
-
-
-def not_equal_or_null(c: str | Column, value) -> Column:
-    """``(x <> v or x is null)``."""
-    return ~col(c).eqNullSafe(F.lit(value))
-
-
 def nvl(*cols) -> Column:
     return F.coalesce(*[col(c) if isinstance(c, (str, Column)) else F.lit(c) for c in cols])
 

@@ -30,11 +30,6 @@ def uniform(seed, *parts) -> Column:
     return hash_int(seed, *parts) / F.lit(TWO_32)
 
 
-def index_draw(n: Column, seed, *parts) -> Column:
-    """Uniform integer in [0, n)."""
-    return F.pmod(hash_int(seed, *parts), n.cast("bigint"))
-
-
 def sql_hash_int(seed_sql: str, *parts_sql: str) -> str:
     """DuckDB text of :func:`hash_int` (for the oracle)."""
     key = " || '-' || ".join([f"CAST({seed_sql} AS VARCHAR)"] + [f"CAST({p} AS VARCHAR)" for p in parts_sql])

@@ -20,11 +20,6 @@ def running(df: DataFrame, partition: list[str], order: str | Column, sums: dict
     return df.withColumns({out: F.sum(src).over(w) for out, src in sums.items()})
 
 
-def rolling_rows(partition: list[str] | list[Column], order: str | Column, start: int, end: int) -> Window:
-    """``ROWS BETWEEN start AND end`` frame (negative = preceding)."""
-    return Window.partitionBy(*partition).orderBy(order).rowsBetween(start, end)
-
-
 def first_difference(df: DataFrame, order: str, cols: list[str], partition: list[str] | None = None,
                      suffix: str = "") -> DataFrame:
     """pandas ``diff()``: x - lag(x) for each column, NULL on the first row."""
@@ -59,15 +54,6 @@ def global_lead(df: DataFrame, ts: str, out: str = "next", in_day_out: str | Non
     return res.drop("_day", "_next_first", "_lead_day")
 
 
-def day_index(df: DataFrame, date_col: str, partition: list[str] | None = None,
-              out: str = "day") -> DataFrame:
-    """0-based position after sorting by date (``make_day_index``), plus the
-    weekday name.  Applied to day-level tables only."""
-    w = Window.partitionBy(*(partition or [])).orderBy(date_col)
-    return df.withColumns({out: F.row_number().over(w) - 1,
-                           "week_day": F.date_format(F.col(date_col), "EEEE")})
-
-
 def split_lag(df: DataFrame, keys: list[str], ts: str, value: str, out: str,
               direction: int = -1) -> DataFrame:
     """``lag(value, 1)`` (direction -1) or ``lead(value, 1)`` (+1) over

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlytics.operators import bayes as B
+from adlytics.operators.reshape import expand_trials
 from adlytics.oracle.views import with_views
 from adlytics.plans import experiment as X
 from adlytics.plans.registry import register
@@ -207,3 +208,18 @@ register("c34_daily_cvr", floats={"cvr": 6}, oracle=with_views(_BOOKINGS_DAILY +
 SELECT arm, date, CAST(row_number() OVER (PARTITION BY arm ORDER BY date) - 1 AS INTEGER) AS day,
        dayname(date) AS week_day, n, k, k / n AS cvr
 FROM arms""", "ab_sessions"))(daily_cvr)
+
+
+def trial_moments(v: Views) -> DataFrame:
+    """R-8: the arms' counts as single 0/1 trials, and their moments."""
+    t = expand_trials(bookings_daily(v).select("arm", "n", "k"), "n", "k")
+    return t.groupBy("arm").agg(F.count("trial").alias("trials"), F.sum("trial").alias("successes"),
+                                F.avg("trial").alias("mean"), F.var_samp("trial").alias("variance"))
+
+
+register("c34_trial_moments", floats={"mean": 6, "variance": 6}, oracle=with_views(_BOOKINGS_DAILY + f"""
+, t AS (SELECT CASE WHEN id = '{CONTROL}' THEN 'control' ELSE 'variant' END AS arm, CAST(sum(users) AS BIGINT) AS trials,
+               CAST(sum(onsite_bookings) AS BIGINT) AS successes
+        FROM d WHERE id IN ('{CONTROL}', '{VARIANT}') GROUP BY 1)
+SELECT arm, trials, successes, successes / trials AS mean,
+       (successes - successes * successes / trials) / (trials - 1) AS variance FROM t""", "ab_sessions"))(trial_moments)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from adlytics.functions.compat import day_of, hour_boundaries, week_of
 from adlytics.operators.windows import global_lead
 from adlytics.oracle.views import with_views
-from adlytics.plans.registry import register
+from adlytics.plans.registry import REGISTRY, register
 from adlytics.sources.views import Views
 
 E = F.col
@@ -123,3 +123,13 @@ register("c09_delay_weekly", floats={"spend": 4, "revenue": 4},
   FROM gaps_filled FULL JOIN ads USING (dt)
   GROUP BY ALL)
 SELECT * FROM f WHERE week < DATE '{AS_OF}'""", "uploads", "ads_report"))(delay_weekly)
+
+
+def delay_tail(v: Views, days: int = 5) -> DataFrame:
+    """The last days of C-8 in date order (O-3), a short report."""
+    return delay_daily(v).orderBy(E("dt").desc_nulls_last()).limit(days).orderBy("dt")
+
+
+_DAILY = REGISTRY["c08_delay_daily"]
+register("c08_delay_tail", floats=_DAILY.floats,
+         oracle=f"SELECT * FROM (SELECT * FROM ({_DAILY.oracle}) ORDER BY dt DESC NULLS LAST LIMIT 5) ORDER BY dt")(delay_tail)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlytics.functions.compat import day_of, safe_div
+from adlytics.functions.compat import asc_last, day_of, safe_div
 from adlytics.operators.windows import running
 from adlytics.oracle.views import with_views
-from adlytics.plans.registry import register
+from adlytics.operators.reshape import melt
+from adlytics.plans.registry import REGISTRY, register
 from adlytics.sources.views import Views
 
 E = F.col
@@ -308,3 +309,29 @@ SELECT CAST(install_time AS DATE) AS dt,
 FROM installs
 WHERE activity_kind = 'install' AND install_time > TIMESTAMP '{INSTALL_START}'
 GROUP BY 1""", "installs"))(overlay_installs_sql)
+
+
+# ------------------------------------------- ordered and long forms (O-1, R-6)
+_KPIS = REGISTRY["c01_daily_kpis"]
+
+
+def daily_kpis_report(v: Views) -> DataFrame:
+    """C-1 as the report prints it: ordered, missing values last."""
+    return daily_kpis(v).orderBy(asc_last("dt"), asc_last("id"))
+
+
+register("c01_daily_kpis_report", floats=_KPIS.floats,
+         oracle=f"SELECT * FROM ({_KPIS.oracle}) ORDER BY dt NULLS LAST, id NULLS LAST")(daily_kpis_report)
+
+LONG_METRICS = ["rpu", "onsite_booking_per_user", "returning_users_share", "returning_sessions_share"]
+
+
+def daily_kpis_long(v: Views) -> DataFrame:
+    """The ratios of C-1, one row per day, arm and metric."""
+    return melt(daily_kpis(v).select("dt", "id", *LONG_METRICS), ["dt", "id"], LONG_METRICS, "metric", "value")
+
+
+register("c01_daily_kpis_long", floats={"value": 6}, oracle=f"""
+SELECT dt, id, metric, value FROM (
+  UNPIVOT (SELECT dt, id, {", ".join(LONG_METRICS)} FROM ({_KPIS.oracle}))
+  ON {", ".join(LONG_METRICS)} INTO NAME metric VALUE value)""")(daily_kpis_long)

@@ -55,10 +55,6 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("header", True).schema(schema).csv(path)
-
-
 def transcode_report(spark: SparkSession, src: str, dst: str) -> int:
     """UTF-16 report -> UTF-8 tab file without the preamble; returns rows written."""
     df = read_report(spark, src)
