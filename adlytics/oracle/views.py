@@ -84,8 +84,11 @@ VIEW_SQL: dict[str, str] = {
                     ELSE 'camp' || CAST(event_id % 4 AS VARCHAR) END AS campaign_name
         FROM events""",
     "uploads": """
-        SELECT ts AS export_updated_at_utc FROM events
-        WHERE event_type = 'signup' AND user_id % 30 = 0""",
+        SELECT DISTINCT ts AS export_updated_at_utc FROM (
+          SELECT ts, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value DESC, event_id DESC) AS top,
+                 row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value, event_id) AS low,
+                 max(ts) OVER (PARTITION BY CAST(ts AS DATE)) AS late
+          FROM events WHERE event_type = 'signup') WHERE top = 1 OR low = 1 OR ts = late""",
     "ads_report": """
         SELECT ts AS date, value * 0.1 AS cost, CAST(1 AS BIGINT) AS clicks, value AS revenue
         FROM events WHERE event_type = 'click' AND dayofmonth(ts) > 2""",
@@ -124,7 +127,7 @@ VIEW_SQL: dict[str, str] = {
                CASE WHEN event_id % 3 = 0 THEN 'g' || CAST(event_id AS VARCHAR) END AS session_google_click_id_30_days,
                CASE WHEN event_id % 3 = 1 THEN 'm' || CAST(event_id AS VARCHAR) END AS session_microsoft_click_id_30_days,
                value AS imputed_revenue_after_cancellations_adjusted
-        FROM events WHERE event_type = 'purchase' AND user_id % 11 = 0""",
+        FROM events WHERE event_type = 'purchase'""",
     "subscription_revenue": """
         SELECT event_id AS click_id,
                CASE WHEN event_id % 2 = 0 THEN 'B2C_limited_leads' ELSE 'other' END AS subscription_type,
@@ -144,7 +147,7 @@ VIEW_SQL: dict[str, str] = {
         SELECT CAST(l_shipdate AS DATE) AS mkt_date,
                l_orderkey AS id,
                l_suppkey AS mkt_account_id,
-               l_partkey % 40 AS bid_strategy_id,
+               CASE WHEN l_linenumber < 7 THEN l_partkey % 40 END AS bid_strategy_id,
                l_quantity * 100 AS day_budget,
                l_quantity * 120 AS recommended_budget_amount,
                l_extendedprice * l_tax AS conversions_value,
@@ -155,7 +158,7 @@ VIEW_SQL: dict[str, str] = {
         SELECT CAST(l_shipdate AS DATE) AS mkt_date,
                l_partkey % 40 AS bidding_strategy_id,
                CASE WHEN (l_partkey % 40) % 2 = 0 THEN 'Target ROAS' ELSE 'Maximize Conversion Value' END AS bidding_strategy_type
-        FROM lineitem WHERE l_partkey % 40 < 30""",
+        FROM lineitem""",
     "cases": """
         SELECT l_orderkey * 10 + l_linenumber AS case_id,
                l_shipdate AS created_datetime,
@@ -232,7 +235,7 @@ VIEW_SQL: dict[str, str] = {
                      CAST(round(p_retailprice * 100) AS BIGINT) AS cents,
                      CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN ' ' || p_name || '  '
                           ELSE p_name END AS t0
-              FROM part WHERE length(p_name) % 2 = 0) q""",
+              FROM part) q""",
 }
 
 

@@ -163,9 +163,13 @@ class Views:
 
     # --------------------------------------------------------------- delays
     def _build_uploads(self) -> DataFrame:
-        e = self.t.events
-        return (e.filter((E("event_type") == "signup") & (E("user_id") % 30 == 0))
-                .select(E("ts").alias("export_updated_at_utc")))
+        # A sparse log from all signups: of each day the times of the largest and
+        # of the smallest value, and the last time.
+        e = self.t.events.filter(E("event_type") == "signup")
+        day = e.groupBy(F.to_date("ts").alias("d")).agg(
+            F.max_by("ts", F.struct("value", "event_id")).alias("a"), F.min_by("ts", F.struct("value", "event_id")).alias("b"),
+            F.max("ts").alias("c"))
+        return day.select(F.explode(F.array("a", "b", "c")).alias("export_updated_at_utc")).distinct()
 
     def _build_ads_report(self) -> DataFrame:
         e = self.t.events
@@ -209,7 +213,7 @@ class Views:
         )
 
     def _build_unqualified_bookings(self) -> DataFrame:
-        e = self.t.events.filter((E("event_type") == "purchase") & (E("user_id") % 11 == 0))
+        e = self.t.events.filter(E("event_type") == "purchase")
         return e.select(
             E("event_id").alias("session_id"),
             E("ts").alias("click_id_timestamp"),
@@ -246,7 +250,8 @@ class Views:
             F.to_date("l_shipdate").alias("mkt_date"),
             E("l_orderkey").alias("id"),
             E("l_suppkey").alias("mkt_account_id"),
-            (E("l_partkey") % 40).alias("bid_strategy_id"),
+            # the last lines of an order run without a strategy
+            F.when(E("l_linenumber") < 7, E("l_partkey") % 40).alias("bid_strategy_id"),
             (E("l_quantity") * 100).alias("day_budget"),
             (E("l_quantity") * 120).alias("recommended_budget_amount"),
             (E("l_extendedprice") * E("l_tax")).alias("conversions_value"),
@@ -255,7 +260,7 @@ class Views:
         )
 
     def _build_strategies(self) -> DataFrame:
-        li = self.t.lineitem.filter(E("l_partkey") % 40 < 30)
+        li = self.t.lineitem
         sid = E("l_partkey") % 40
         return li.select(
             F.to_date("l_shipdate").alias("mkt_date"),
@@ -362,8 +367,8 @@ class Views:
         """Search-term report rows as raw text, the way the ad console
         exports them: thousands separators, ' --' for missing, percent and
         currency signs, mixed case and blanks around the term; several
-        campaign rows per term, half of the keyword names plus unknown terms."""
-        p = self.t.part.filter(F.length("p_name") % 2 == 0)
+        campaign rows per term, the keyword names plus unknown terms."""
+        p = self.t.part
         k = E("p_partkey")
         term = (F.when(k % 3 == 0, F.upper("p_name"))
                  .when(k % 3 == 1, F.concat(F.lit(" "), E("p_name"), F.lit("  ")))
