@@ -29,7 +29,7 @@ keeps a common signature.
   features (as many as similar sets cannot all differ in), and candidates not
   yet in one component are verified.  No block pair returns more rows than it has sets.
 
-Shingles and classes are 64-bit hashes.  Null texts and texts without words have
+Shingles are 64-bit, classes 60-bit hashes.  Null texts and texts without words have
 an empty set and link with nothing.  Repeated rows share a class.  Extra columns are ignored.
 """
 
@@ -93,8 +93,8 @@ def set_blocks(batch: pa.RecordBatch, words: int, table: np.ndarray):
 
 
 def class_of(s: np.ndarray) -> np.ndarray:
-    """64-bit hash of a set, whatever its order."""
-    return mix64(mix64(s + np.uint64(77)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s))).view(np.int64)[0]
+    """60-bit hash of a set, whatever its order."""
+    return mix64(mix64(s + np.uint64(77)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s)))[0] >> np.uint64(4)
 
 
 def band_edges() -> np.ndarray:
@@ -121,10 +121,10 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
-    """(signature, index of the set).  From the high bits: 41 of the subset's hash,
-    6 band, 13 partition, and in 4 bits how many fifteenths of its band's spare
-    partitions the set may still do without (rounded down; none if the
-    partitions do not fit their bits)."""
+    """(key, index of the set, fifteenths).  A key has, from the high bits, 45 of
+    the subset's hash, 6 of the band and 13 of the partition.  The fifteenths tell how
+    many of its band's spare partitions the set may still do without (rounded
+    down; none if the partitions do not fit their bits)."""
     size = np.array([len(s) for s in sets], np.int64)
     own = np.searchsorted(edges, size, side="right") - 1
     top = np.searchsorted(edges, size * rule.den // rule.num, side="right") - 1
@@ -133,7 +133,7 @@ def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
     inst_set = np.concatenate([some, extra])
     band = np.concatenate([own[some], own[extra] + 1])
     if not len(inst_set):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     k, n1, spare = (x[band] for x in layout(edges, rule))
     m = rule.cells
     start = np.concatenate([[0], np.cumsum(n1 * m)])
@@ -167,8 +167,8 @@ def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
     sig = np.concatenate([sig[row[:len(col)], col], whole_sig])
     of = row_inst[row]
     fifteenths = np.where((spare > 0) & (n1 <= 1 << 13), 15 * left // np.maximum(spare, 1), 0)[of]
-    low = (band[of] << 17) | ((row_part[row] & 0x1FFF) << 4) | fifteenths
-    return (sig & ~np.uint64(0x7FFFFF)) | low.astype(np.uint64), inst_set[of]
+    low = (band[of] << 13) | (row_part[row] & 0x1FFF)
+    return (sig & ~np.uint64(0x7FFFF)) | low.astype(np.uint64), inst_set[of], fifteenths
 
 
 def class_rows(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -187,7 +187,7 @@ def class_rows(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """sig, class: each class once per task that meets it."""
+    """key, tagged (class and fifteenths): each class once per task that meets it."""
     def step(batches):
         table, edges, met = byte_table(WORD_SEED), band_edges(), set()
         for batch in batches:
@@ -202,29 +202,33 @@ def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                             met.add(c)
                             fresh.append(s)
                             classes.append(c)
-                sig, of = signatures(fresh, rule, edges)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.array(classes, np.int64)[of])], names=["sig", "class"])
+                key, of, fifteenths = signatures(fresh, rule, edges)
+                tagged = (np.array(classes, np.int64)[of] << 4) | fifteenths
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tagged)], names=["key", "tagged"])
 
-    return docs.select("text").mapInArrow(step, "sig long, class long")
+    return docs.select("text").mapInArrow(step, "key long, tagged long")
 
 
 def kept_rows(rows: DataFrame, rule: Rule) -> DataFrame:
     """key, class, hot: the shared signatures that the classes keep."""
-    key = F.shiftright("sig", 4)  # without the fifteenths, which differ by class
     by_key = Window.partitionBy("key")
-    rows = rows.withColumn("key", key)
-    rows = (rows.withColumn("lo", F.min("class").over(by_key)).withColumn("hi", F.max("class").over(by_key))
-            .filter("lo < hi").select("key", "sig", "class").distinct()
+    rows = rows.repartition("key")  # two longs a row; all else is derived behind the shuffle
+    rows = (rows.withColumn("lo", F.min("tagged").over(by_key)).withColumn("hi", F.max("tagged").over(by_key))
+            .filter("lo < hi").select("key", "tagged").distinct()
             .withColumn("hot", F.count("*").over(by_key) > HOT))
-    # the signatures of a class come together, as many as its text is long
-    sigs = rows.withColumn("band", F.shiftright("sig", 17).bitwiseAND(63)).groupBy("class", "band").agg(
-        F.collect_list(F.struct("sig", "hot")).alias("l"))
-    part = lambda x: F.shiftright(x["sig"], 4).bitwiseAND(0x1FFF)
-    met = F.size(F.array_distinct(F.transform(F.filter("l", lambda x: x["hot"]), part)))
+    # the keys of a class come together, as many as its text is long
+    band = F.shiftright("key", 13).bitwiseAND(63)
+    sets = rows.withColumn("band", band).groupBy("tagged", "band").agg(
+        F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hots"), F.collect_list(F.when(~F.col("hot"), F.col("key"))).alias("cold"))
+    met = F.size(F.array_distinct(F.transform("hots", lambda x: x.bitwiseAND(0x1FFF))))
     spare = F.element_at(F.array(*[F.lit(int(x)) for x in layout(band_edges(), rule)[2]]), (F.col("band") + 1).cast("int"))
-    left = F.floor(F.element_at("l", 1)["sig"].bitwiseAND(15) * spare / 15)
-    sigs = sigs.withColumn("keeps", met > left).select("class", "keeps", F.explode("l").alias("x"))
-    return written(sigs.filter("keeps or not x.hot").select(F.shiftright("x.sig", 4).alias("key"), "class", F.col("x.hot").alias("hot")))
+    left = F.floor(F.col("tagged").bitwiseAND(15) * spare / 15)
+
+    def flagged(name: str, hot: bool):
+        return F.transform(name, lambda x: F.struct(x.alias("key"), F.lit(hot).alias("hot")))
+
+    keys = F.when(met > left, F.concat(flagged("cold", False), flagged("hots", True))).otherwise(flagged("cold", False))
+    return written(sets.select(F.shiftrightunsigned("tagged", 4).alias("class"), F.explode(keys).alias("x")).select("x.key", "class", "x.hot"))
 
 
 def small(df: DataFrame) -> DataFrame:
