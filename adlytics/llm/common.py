@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,16 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def share(spark: SparkSession, value):
+    """A broadcast of a value of bounded size whose class is of this subpackage:
+    sent by value, as the functions are, for executors without the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(shared):
+    return pickle.loads(shared.value)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlytics.llm.common import load, mix64, text_blocks
+from adlytics.llm.common import load, mix64, share, shared_value, text_blocks
 
 ORDER = 5
 FIT_CHARS = 8_000_000
@@ -272,10 +272,10 @@ def train(labelled: DataFrame, fit_chars: int = FIT_CHARS, fit_rows: int = FIT_R
 
 def _score(docs: DataFrame, models: Models, table: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
     """keep columns, best (index), score, entropy, n (symbols), letters."""
-    shared = docs.sparkSession.sparkContext.broadcast((models, table))
+    shared = share(docs.sparkSession, (models, table))
 
     def step(batches):
-        models, table = shared.value
+        models, table = shared_value(shared)
         for batch in batches:
             for first, last, data, offsets in text_blocks(batch):
                 h, n, letters = models.entropies(data, offsets, table)

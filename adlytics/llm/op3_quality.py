@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlytics.llm.common import byte_table, load, span_hashes, text_blocks, words_of
+from adlytics.llm.common import byte_table, load, share, shared_value, span_hashes, text_blocks, words_of
 from adlytics.llm.op10_language_id import fold
 
 BUCKETS = 1 << 15
@@ -227,10 +227,10 @@ def _pool(rows: DataFrame, shared, keep) -> DataFrame:
 
 def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns and score in [0, 1]: how likely label 1 is."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def step(batches):
-        table, vectors, network = shared.value
+        table, vectors, network = shared_value(shared)
         for batch in batches:
             for first, last, data, offsets in text_blocks(batch):
                 x = pooled(data, offsets, table, vectors)

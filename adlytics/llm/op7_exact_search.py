@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adlytics.llm.common import checkpoint, load
+from adlytics.llm.common import checkpoint, load, share, shared_value
 
 K = 5
 PIVOTS = 32
@@ -134,10 +134,10 @@ def top_k(df: DataFrame, is_query, k: int = K, scale: int = 256) -> DataFrame:
         return empty
     dim = max(size["dim"], 1)
     sample = vectors.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).select("v").toPandas()["v"]
-    shared = spark.sparkContext.broadcast(Index(stack(sample, dim), dim, size["top"], float(size["largest"] or 0)))
+    shared = share(spark, Index(stack(sample, dim), dim, size["top"], float(size["largest"] or 0)))
 
     def assign(frames):
-        index = shared.value
+        index = shared_value(shared)
         for f in frames:
             x = stack(f["v"], dim)
             yield pd.DataFrame({"ring": index.ring(x), "vec_id": f["vec_id"], "v": [_pack(r) for r in x]})
@@ -161,7 +161,7 @@ def top_k(df: DataFrame, is_query, k: int = K, scale: int = 256) -> DataFrame:
     def visits(first_wave: bool):
         """Per block of queries one row for each annulus that some of them visit."""
         def step(frames):
-            index = shared.value
+            index = shared_value(shared)
             for f in frames:
                 for a in range(0, len(f), QUERY_BLOCK):
                     g = f.iloc[a:a + QUERY_BLOCK]
@@ -177,7 +177,7 @@ def top_k(df: DataFrame, is_query, k: int = K, scale: int = 256) -> DataFrame:
         return step
 
     def score(frames):
-        index = shared.value
+        index = shared_value(shared)
         for f in frames:
             for q_ids, qs, ids, xs in zip(f["q_ids"], f["qs"], f["ids"], f["xs"]):
                 q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")

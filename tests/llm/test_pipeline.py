@@ -62,3 +62,26 @@ def test_empty_documents(spark):
     docs = documents(spark, [])
     for k in range(5):
         assert stage(k, spark, docs).count() == 0
+
+
+def test_executors_need_no_package(tmp_path):
+    """The tasks run in workers that cannot import the library."""
+    import subprocess
+    import sys
+    import textwrap
+    from pathlib import Path
+    root = str(Path(p.__file__).parent)
+    (tmp_path / "run.py").write_text(textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {root!r})
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+        from adlytics.llm.queries import QUERIES
+        for name, query in QUERIES.items():
+            assert query(spark, {SF!r}).count() > 0, name
+        print("ALL RAN")
+    """))
+    import os
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "ALL RAN" in done.stdout, done.stderr[-2000:]
