@@ -21,10 +21,9 @@ keeps a common signature.
 
 * Buckets of at most HOT classes give their pairs (28 a bucket at most).  A
   sketch, the counts of features by cell of a coarse partition, bounds the
-  difference from below and rules most false pairs out; the others are verified
-  on the sets.
-* The larger buckets that are kept give families: components of the classes that
-  share them.  A family is compared in blocks of at most about BLOCK features: within a
+  difference from below and rules most false pairs out.
+* The pairs left and the larger buckets that are kept give families: components of
+  candidates.  A family is compared in blocks of at most about BLOCK features: within a
   block, or a pair of blocks, sets are candidates if they share one of their rarest
   features (as many as similar sets cannot all differ in), and candidates not
   yet in one component are verified.  No block pair returns more rows than it has sets.
@@ -259,15 +258,6 @@ def near_sketches(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
     return checkpoint(pairs.join(one, "a").join(two, "b").mapInArrow(step, "a long, b long"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    alike = shared * rule.den >= (F.size("sa") + F.size("sb") - shared) * rule.num
-    return pairs.join(one, "a").join(two, "b").filter(alike).select("a", "b")
-
-
 # ------------------------------------------------------------------- families
 
 def link_block(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, rule: Rule) -> np.ndarray:
@@ -322,25 +312,30 @@ def link_block(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, rule:
     return np.array(links, np.int64).reshape(-1, 2)
 
 
-def family_links(sets: DataFrame, rule: Rule, family: DataFrame) -> DataFrame:
-    """(a, b): verified links that connect what is connected within each family."""
-    members = sets.join(small(family), "class").withColumn("n", F.size("shingles"))
-    blocks = checkpoint(members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")))
-    members = members.join(small(blocks), "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+def family_links(sets: DataFrame, family: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): verified links that connect what is connected within each family.
+    ``family``: class, family, n (the size of the class's set)."""
+    blocks = checkpoint(family.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")))
+    place = checkpoint(family.join(blocks, "family").select(
+        "class", "family", "n", F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block"), "blocks"))
+    members = sets.join(small(place), "class")
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
         sizes = f["n"].to_numpy("<i8")
-        return pd.DataFrame({"family": [f["family"].iloc[0]], "block": [f["block"].iloc[0]], "classes": [f["class"].to_numpy("<i8").tobytes()],
+        return pd.DataFrame({"family": [f["family"].iloc[0]], "block": [f["block"].iloc[0]], "blocks": [f["blocks"].iloc[0]],
+                             "classes": [f["class"].to_numpy("<i8").tobytes()],
                              "sizes": [sizes.tobytes()], "features": [b"".join(np.asarray(x, "<i8").tobytes() for x in f["shingles"])]})
 
-    packed = written(members.select("family", "block", "class", "n", "shingles").groupBy("family", "block").applyInPandas(
-        pack, "family long, block long, classes binary, sizes binary, features binary"))
-    other = packed.select("family", F.col("block").alias("block2"), F.col("classes").alias("classes2"),
+    packed = written(members.select("family", "block", "class", "n", "shingles", "blocks").groupBy("family", "block").applyInPandas(
+        pack, "family long, block long, blocks long, classes binary, sizes binary, features binary"))
+    forget(sets.sparkSession)
+    several = packed.filter("blocks > 1")
+    other = several.select("family", F.col("block").alias("block2"), F.col("classes").alias("classes2"),
                           F.col("sizes").alias("sizes2"), F.col("features").alias("features2"))
     # a block with itself needs no second copy
     alone = packed.withColumns({"classes2": F.lit(None).cast("binary"), "sizes2": F.lit(None).cast("binary"), "features2": F.lit(None).cast("binary")})
     columns = ["classes", "sizes", "features", "classes2", "sizes2", "features2"]
-    jobs = alone.select(*columns).unionByName(packed.join(other, "family").filter("block < block2").select(*columns))
+    jobs = alone.select(*columns).unionByName(several.join(other, "family").filter("block < block2").select(*columns))
 
     def unpack(sizes, features):
         cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))])
@@ -363,23 +358,20 @@ def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     kept = kept_rows(signature_rows(docs, rule), rule)
     forget(docs.sparkSession)
     hot = kept.filter("hot").select("class", F.min("class").over(Window.partitionBy("key")).alias("rep")).filter("class <> rep").distinct()
-    family = checkpoint(components(hot.select(F.col("rep").alias("a"), F.col("class").alias("b")))
-                        .select(F.col("node").alias("class"), F.col("label").alias("family")))
     whole = checkpoint(classes.filter("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    # pairs within a family are compared there
-    fa, fb = (family.select(F.col("class").alias(c), F.col("family").alias("f" + c)) for c in ("a", "b"))
-    pairs = bucket_pairs(kept).join(fa, "a", "left").join(fb, "b", "left").filter("fa is null or fb is null or fa <> fb")
-    pairs = near_sketches(pairs.select("a", "b"), whole, rule)
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(family.select("class"))
+    pairs = near_sketches(bucket_pairs(kept), whole, rule)
+    candidates = hot.select(F.col("rep").alias("a"), F.col("class").alias("b")).unionByName(pairs)
+    family = components(candidates).select(F.col("node").alias("class"), F.col("label").alias("family"))
+    family = checkpoint(family.join(whole.select("class", "doc_id", "n"), "class"))
     # one document of a class brings its set
-    chosen = small(checkpoint(wanted.distinct().join(whole.select("class", "doc_id"), "class")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(chosen, F.col("_id").eqNullSafe(F.col("doc_id"))).select("class", "text")
+    chosen = small(family.select("class", F.col("doc_id").alias("_id")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
     sets = shingle_sets(texts, rule)
     if not classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
         sets = sets.dropDuplicates(["class"])
-    sets = written(sets)
-    return checkpoint(verified(pairs, sets, rule).unionByName(family_links(sets, rule, family)))
+    forget(docs.sparkSession)
+    return checkpoint(family_links(sets, family.select("class", "family", "n"), rule))
 
 
 def jaccard_join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -57,7 +57,7 @@ def test_long_texts_are_linear(spark):
 
 def test_disclosing_words(spark):
     same = [(i, f"text {'abcdefgh'[i]} by Quentin Foobar mail q.f@site.example now number {'ijklmnop'[i]}") for i in range(8)]
-    rest = [(100 + i, f"mail from someone number {i} here {'xyzw'[i % 4]}") for i in range(60)]
+    rest = [(1000 + i, f"mail from someone number {i} here {'xyzw'[i % 4]}") for i in range(400)]
     copies = [(200 + i, "copied word Unicorn mail u@site.example") for i in range(20)]  # one text only
     got = {x.doc_id: x for x in found(documents(spark, same + rest + copies))}
     text = dict(same)
