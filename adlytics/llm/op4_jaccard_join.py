@@ -49,7 +49,7 @@ LIGHT = 3
 HOT = 8
 BAND_RATIO = 1.5
 SKETCH = 128              # cells of a sketch, one byte each
-BLOCK = 3_000_000         # features of a family's block
+BLOCK = 2_000_000         # features of a family's block
 MAX_BROADCAST = 500_000   # rows of one or two longs
 WORD_SEED = 41
 
@@ -267,11 +267,24 @@ def link_block(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, rule:
     n, first = len(sets), len(sets_a)
     size = np.array([len(s) for s in sets], np.int64)
     start = np.concatenate([[0], np.cumsum(size)])
-    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # each set's features from the rarest on: similar sets share one of the first
-    doc = np.repeat(np.arange(n), size)
-    place = np.lexsort((ids, often[ids], doc))
-    ids = ids[place]
+    # features numbered; then each set's from the rarest on: similar sets share one of the first
+    every = np.concatenate(sets)
+    order = np.argsort(every)
+    every = every[order]
+    number = np.zeros(len(every), np.int32)
+    np.cumsum(every[1:] != every[:-1], out=number[1:])
+    ids = np.empty(len(every), np.int32)
+    ids[order] = number
+    del every, order, number
+    often = np.bincount(ids).astype(np.int32)
+    doc = np.repeat(np.arange(n, dtype=np.int32), size)
+    if n < 1 << 20 and len(often) < 1 << 23:  # set, frequency and number in one word to sort
+        key = (doc.astype(np.int64) << 43) | (np.minimum(often, (1 << 20) - 1)[ids].astype(np.int64) << 23) | ids
+        key.sort()
+        ids = (key & ((1 << 23) - 1)).astype(np.int32)
+        del key
+    else:
+        ids = ids[np.lexsort((ids, often[ids], doc))]
     depth = size - -(-size * rule.num // rule.den) + 1
     early = (np.arange(len(ids)) - start[doc] < depth[doc]) & (often[ids] > 1)
     listed = doc < first if sets_b is not None else np.ones(len(doc), bool)
