@@ -49,7 +49,7 @@ LIGHT = 3
 HOT = 8
 BAND_RATIO = 1.5
 SKETCH = 128              # cells of a sketch, one byte each
-BLOCK = 2_000_000         # features of a family's block
+BLOCK = 1_500_000         # features of a family's block
 MAX_BROADCAST = 500_000   # rows of one or two longs
 WORD_SEED = 41
 
@@ -384,7 +384,15 @@ def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     if not classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
         sets = sets.dropDuplicates(["class"])
     forget(docs.sparkSession)
-    return checkpoint(family_links(sets, family.select("class", "family", "n"), rule))
+    links = family_links(sets, family.select("class", "family", "n"), rule)
+    # a row holds one or two blocks: do not gather many of them in a batch
+    spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 20))
+    try:
+        return checkpoint(links)
+    finally:
+        spark.conf.set(name, before)
 
 
 def jaccard_join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
