@@ -49,7 +49,7 @@ LIGHT = 3
 HOT = 8
 BAND_RATIO = 1.5
 SKETCH = 128              # cells of a sketch, one byte each
-BLOCK = 1_500_000         # features of a family's block
+BLOCK = 750_000           # features of a family's block
 MAX_BROADCAST = 500_000   # rows of one or two longs
 WORD_SEED = 41
 
