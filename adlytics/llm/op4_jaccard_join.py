@@ -171,18 +171,19 @@ def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
 
 
 def class_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, class (null for an empty set), sketch."""
+    """doc_id, h (hash of the text), n, class (null for an empty set), sketch."""
     def step(batches):
         table = byte_table(WORD_SEED)
         for batch in batches:
             for first, last, sets in set_blocks(batch, rule.words, table):
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first),
+                    pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([int(class_of(s)) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "class", "sketch"])
+                    pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "h", "n", "class", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        step, "doc_id long, n long, class long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(
+        step, "doc_id long, h long, n long, class long, sketch binary")
 
 
 def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -395,35 +396,61 @@ def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
         spark.conf.set(name, before)
 
 
-def jaccard_join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id per document row."""
+def labelled(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The rows of class_rows; and class, label (of its component), least doc_id
+    of the class."""
     classes = checkpoint(class_rows(docs, rule))
     labels = components(class_links(docs, classes, rule)).withColumnRenamed("node", "class")
     first = classes.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    named = checkpoint(first.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
+    return classes, checkpoint(first.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
+
+
+def jaccard_join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles, component_id per document row."""
+    classes, named = labelled(docs, rule)
     least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
     out = classes.select("doc_id", "n", "class").join(named.join(least, "label").select("class", "least"), "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One row of each component: that of its smallest doc_id (the first text in
-    order if the id repeats).  Rows without a doc_id stay where nothing they link
-    with has one, once per equal row."""
-    joined = checkpoint(jaccard_join(docs, rule))
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = joined.filter(~same).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    again = joined.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
-    again = checkpoint(again)
+    """One row of each component: that of its smallest doc_id (null after all
+    others), the first text in order if the id repeats.  Rows without words link
+    with nothing and stay, once per equal row."""
+    classes, named = labelled(docs, rule)
+    named = named.select("class", "label")
+    keys = checkpoint(classes.filter("class is not null").select("doc_id", "h", "class").distinct().join(named, "class").select("doc_id", "h", "label"))
+    # aggregates skip nulls: the least is null only where no row has an id
+    least = keys.groupBy("label").agg(F.min("doc_id").alias("least"))
+    top = keys.join(least, "label").filter(F.col("doc_id").eqNullSafe(F.col("least")))
+    best = checkpoint(top.groupBy("label").agg(F.min("least").alias("least"), F.min("h").alias("best"), F.max("h").alias("other")))
+    here = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
+
+    def meets(keys: DataFrame):
+        return (F.col("_h") == keys["h"]) & F.col("_id").eqNullSafe(keys["doc_id"])
+
+    ties = best.filter("best <> other").select("label")
+    if not ties.isEmpty():  # an id with several texts of a component
+        tied = small(checkpoint(top.join(ties, "label").select("doc_id", "h", "label")))
+        texts = here.select("_id", "_h", "text").join(tied, meets(tied)).groupBy("label").agg(F.min("text").alias("text"))
+        texts = texts.select("label", F.xxhash64("text").alias("first"))
+        best = checkpoint(best.join(texts, "label", "left").select("label", "least", F.coalesce("first", "best").alias("best")))
+    gone = keys.join(best, "label").filter((F.col("h") != F.col("best")) | ~F.col("doc_id").eqNullSafe(F.col("least")))
+    gone = small(checkpoint(gone.select("doc_id", "h")))
+    kept = here.join(gone, meets(gone), "left_anti")
+    again = checkpoint(classes.groupBy("doc_id", "h").agg(F.count("*").alias("rows"), F.max("n").alias("n")).filter("rows > 1"))
     if again.isEmpty():
-        return kept
-    repeats = F.col("doc_id").cast("long").eqNullSafe(F.col("_again"))
-    others = [c for c in docs.columns if c != "doc_id"]
-    first = (kept.join(small(again), repeats, "left_semi").groupBy("doc_id")
-             .agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("_row")))
-    first = first.select("doc_id", *[F.col("_row")[c].alias(c) for c in others]).select(*docs.columns)
-    return kept.join(small(again), repeats, "left_anti").unionByName(first)
+        return kept.select(*docs.columns)
+    every = small(again.select("doc_id", "h"))
+    alone = kept.join(every, meets(every), "left_anti").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    some = small(again.filter("n > 0").select("doc_id", "h"))
+    first = (kept.join(some, meets(some), "left_semi").groupBy("_id", "_h")
+             .agg(F.min(F.struct("text", "doc_id", *others)).alias("_row")))
+    first = first.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    blank = small(again.filter("n = 0").select("doc_id", "h"))
+    empty = kept.join(blank, meets(blank), "left_semi").select(*docs.columns).distinct()
+    return alone.unionByName(first).unionByName(empty)
 
 
 def shingle_sets(texts: DataFrame, rule: Rule) -> DataFrame:

@@ -115,6 +115,22 @@ def test_keep_one(spark):
     assert sorted(x.doc_id for x in op.keep_one(documents(spark, data), op.Rule(5, 8, 10, 2)).collect()) == [2, 4, 7, 9]
 
 
+def test_keep_one_null_and_repeated_ids(spark):
+    """Nulls and ids that repeat decide by row, not for all rows of the id."""
+    r = rng(10)
+    voc = vocabulary(r)
+    a, b, c, d, e = (words(r, 60, voc) for _ in range(5))
+    data = [(5, a), (None, a + " end"),              # linked with an id: goes
+            (None, b), (None, b + " end"),           # linked with each other: the first text stays
+            (None, c), (None, c), (None, None), (None, None), (None, ""),
+            (7, d), (7, e), (3, d + " end")]         # one text of 7 goes, the other stays
+    docs = documents(spark, data)
+    kept = [(x.doc_id, x.text) for x in op.keep_one(docs, op.Rule(5, 8, 10, 2)).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (None, b), (None, c), (None, None), (None, ""), (7, e), (3, d + " end")], key=str)
+    blank = documents(spark, [(None, None)] * 2).unionByName(documents(spark, [(None, None)]).replace("s", "other", "source"))
+    assert op.keep_one(blank, op.Rule(5, 8, 10, 2)).count() == 2
+
+
 def test_components(spark):
     r = rng(11)
     pairs = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 6000 + i) for i in range(100)]
