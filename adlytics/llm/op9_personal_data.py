@@ -9,13 +9,15 @@ are rewritten as runs of one character class over a text whose inner dots or
 separators are marked; long runs then need neither recursion nor retries.
 
 Terms: information-theoretic sanitisation.  A protected entity is the value
-of a base span.  For a word near an entity, corpus co-occurrence gives
-P(entity | word) = texts with the word near the entity / texts with the word.
-A word discloses an entity if at least MIN_TEXTS different texts support it,
-P(entity | word) >= MIN_SHARE and the pointwise mutual information
-log2(P(entity | word) / P(entity)) is at least MIN_BITS.  Its occurrences near
-that entity become ``term`` spans, and are removed like the others.  Different
-texts count, so copies do not add evidence.  Counts cover all texts.
+of a base span.  A word is a run of letters outside the base spans, of any length and
+anywhere in the text.  Corpus co-occurrence gives P(entity | word) = texts with
+both / texts with the word.  A word discloses an entity if at least MIN_TEXTS different
+texts hold both, P(entity | word) >= MIN_SHARE and the pointwise mutual information
+log2(P(entity | word) / P(entity)) is at least MIN_PART of what there is to know,
+-log2 P(entity).  An entity that every text holds has nothing to disclose.  All
+occurrences of such a word, in any text, become ``term`` spans and are removed like
+the others.  Different texts count, so copies do not add evidence.  Counts cover
+all texts.
 
 A null text is empty.  Rows are judged alone except for the counts; repeated rows
 get equal results.  Input columns named like an output column are replaced.
@@ -32,8 +34,7 @@ from adlytics.llm.common import checkpoint, load
 
 KINDS = ("email", "ip", "card", "phone")
 DOT, SEP, CUT, NEUTRAL = "\ue000", "\ue001", "\ue002", "\ue003"  # private-use code points
-MIN_TEXTS, MIN_SHARE, MIN_BITS = 5, 0.5, 4.0
-REACH, NEAR_WORDS = 64, 3     # code points and words looked at on either side of a span
+MIN_TEXTS, MIN_SHARE, MIN_PART = 5, 0.5, 0.5
 MAX_BROADCAST = 100_000
 RUN = 64
 
@@ -59,10 +60,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def find(text: Column, pattern: str) -> Column:
+def find(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, body>> of the matches, in time linear in the
     text: starts are prefix sums over the pieces, RUN pieces at a time."""
-    pieces = F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.lit(f"{CUT}$1{CUT}")), CUT, -1)
+    pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    pieces = F.split(F.regexp_replace(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(f"{CUT}$1{CUT}")), CUT, -1)
     total = lambda lengths: F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n)
 
     def spans(p):
@@ -122,24 +124,28 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.withColumns({**base_spans(F.col("_clean")), "text_key": F.xxhash64("text")}).drop("_clean")
 
 
-def near_words(based: DataFrame) -> DataFrame:
-    """text_key, doc_id, entity, term, start, end: the words around each base span."""
-    spans = reduce(lambda a, b: F.concat(a, b), [F.col(k) for k in KINDS])
-    # the outer form, since a filter on the arrays would be pushed down and compute them twice
-    rows = (based.select("doc_id", "text_key", "text", F.explode_outer(spans).alias("s")).filter(F.col("s").isNotNull())
-            .select("doc_id", "text_key", "text", F.translate(F.lower("s.body"), DOT + SEP, ".").alias("entity"),
-                    F.col("s.start").alias("a"), F.col("s.end").alias("b")))
-    left = F.greatest(F.col("a") - REACH, F.lit(0).cast("long"))
-    rows = rows.withColumns({"left": left, "before": F.substring("text", (left + 1).cast("int"), (F.col("a") - left).cast("int")),
-                             "after": F.substring("text", (F.col("b") + 1).cast("int"), F.lit(REACH))})
-    word = r"\p{L}++"
-    before = F.filter(find(clean(F.col("before")), word), lambda s: (s["start"] > 0) | (F.col("left") == 0))
-    after = F.filter(find(clean(F.col("after")), word), lambda s: s["end"] < REACH)
-    shift = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), F.lower(s["body"]).alias("term")))
-    nearest = F.when(F.size(before) > NEAR_WORDS, F.slice(before, -NEAR_WORDS, NEAR_WORDS)).otherwise(before)
-    words = F.concat(shift(nearest, F.col("left")), shift(F.slice(after, 1, NEAR_WORDS), F.col("b")))
-    return (rows.select("doc_id", "text_key", "entity", F.explode(words).alias("w"))
-            .select("doc_id", "text_key", "entity", "w.term", "w.start", "w.end").filter(F.length("term") >= 4))
+def all_spans() -> Column:
+    return reduce(lambda a, b: F.concat(a, b), [F.col(k) for k in KINDS])
+
+
+def masked(text: Column) -> Column:
+    """The cleaned text with every sign of a base span replaced, so that offsets stay."""
+    def step(acc, s):
+        gap = F.substring(text, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int"))
+        gap = F.when(s["start"] > acc["pos"], gap).otherwise(F.lit(""))
+        rest = (s["end"] - F.greatest(acc["pos"], s["start"])).cast("int")
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], gap, F.repeat(F.lit(NEUTRAL), rest)).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["pos"] + 1).cast("int"), F.length(text)))
+    spans = F.array_sort(F.transform(all_spans(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+
+
+def forms() -> Column:
+    """The different words of the text as written, base spans left out."""
+    words = F.array_distinct(F.split(masked(clean(F.col("text"))), r"[^\p{L}]+"))
+    return F.filter(words, lambda w: w != "")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -148,29 +154,45 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame) -> DataFrame | None:
-    """doc_id, text_key, terms: spans of disclosing words (None if there are none)."""
-    based = with_base(docs.select("doc_id", "text"))
-    near = checkpoint(near_words(based))
-    together = near.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
-    # a word stands in at least as many texts as it stands near any entity, which
+    """text_key, forms: the disclosing words of a text, as written (None if there
+    are none)."""
+    based = with_base(docs.select("text"))
+    # the outer form, since a filter on the arrays would be pushed down and compute them twice
+    held = checkpoint(based.select("text_key", F.explode_outer(all_spans()).alias("s")).filter(F.col("s").isNotNull())
+                      .select("text_key", F.translate(F.lower("s.body"), DOT + SEP, ".").alias("entity")).distinct())
+    entity = checkpoint(held.groupBy("entity").agg(F.count("*").alias("texts")).filter(F.col("texts") >= MIN_TEXTS))
+    if entity.isEmpty():
+        return None
+    holders = small(checkpoint(held.join(small(entity.select("entity")), "entity")
+                               .groupBy("text_key").agg(F.collect_list("entity").alias("entities"))))
+    # each text once, with its entities and a null that stands for any of them
+    some = (based.join(holders, "text_key").select("text_key", "entities", F.array_distinct(F.transform(forms(), F.lower)).alias("terms"))
+            .dropDuplicates(["text_key"]))
+    rows = (some.select(F.concat("entities", F.array(F.lit(None).cast("string"))).alias("entities"), F.explode("terms").alias("term"))
+            .select("term", F.explode("entities").alias("entity")))
+    counts = checkpoint(rows.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= MIN_TEXTS))
+    # a word stands in at least as many texts as it shares with any entity, which
     # already rules out most words
-    anywhere = near.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("at_least"))
-    pairs = checkpoint(together.filter(F.col("together") >= MIN_TEXTS).join(anywhere, "term")
+    at_least = counts.filter("entity is null").select("term", F.col("together").alias("at_least"))
+    pairs = checkpoint(counts.filter("entity is not null").join(at_least, "term")
                        .filter(F.col("together") >= MIN_SHARE * F.col("at_least")).drop("at_least"))
     if pairs.isEmpty():
         return None
     wanted = small(pairs.select("term").distinct())
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    n_texts = texts.agg(F.approx_count_distinct("text_key", 0.01)).first()[0]
-    word = F.explode(F.array_distinct(F.transform(F.split("text", r"[^\p{L}]+"), F.lower))).alias("term")
-    alone = (texts.select("text_key", word).join(wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("alone")))
-    entity = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("texts"))
+    copies = checkpoint(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).groupBy("text_key").agg(F.count("*").alias("copies")))
+    n_texts = copies.count()
+    several = small(checkpoint(copies.filter("copies > 1")))
+    # a copy counts for its part of a text, so that the counts combine before the shuffle
+    weight = 1.0 / F.coalesce("copies", F.lit(1))
+    alone = (based.join(several, "text_key", "left").select(weight.alias("w"), F.explode(F.array_distinct(F.transform(forms(), F.lower))).alias("term"))
+             .join(wanted, "term").groupBy("term").agg(F.round(F.sum("w")).cast("long").alias("alone")))
     share = F.col("together") / F.col("alone")
+    known = F.log2(F.lit(n_texts) / F.col("texts"))
     found = (pairs.join(alone, "term").join(entity, "entity")
-             .filter((share >= MIN_SHARE) & (F.log2(share * n_texts / F.col("texts")) >= MIN_BITS)).select("entity", "term"))
-    hits = near.join(small(checkpoint(found)), ["entity", "term"])
-    return checkpoint(hits.groupBy("doc_id", "text_key").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("body")))).alias("term")))
+             .filter((share >= MIN_SHARE) & (known > 0) & (F.log2(share) + known >= MIN_PART * known)).select("term").distinct())
+    found = small(checkpoint(found))
+    places = based.select("text_key", F.explode(forms()).alias("form")).withColumn("term", F.lower("form")).join(found, "term")
+    return checkpoint(places.groupBy("text_key").agg(F.collect_set("form").alias("forms")))
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -180,9 +202,11 @@ def detect(docs: DataFrame) -> DataFrame:
     based = with_base(docs)
     if terms is None:
         return based.withColumn("term", none()).drop("text_key")
-    terms = small(terms.withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_key", "_key"))
-    out = based.join(terms, (based["text_key"] == terms["_key"]) & based["doc_id"].eqNullSafe(terms["_doc"]), "left")
-    return out.withColumn("term", F.coalesce("term", none())).drop("_doc", "_key", "text_key")
+    terms = small(terms.select(F.col("text_key").alias("_key"), F.col("forms").alias("_forms")))
+    out = based.join(terms, based["text_key"] == terms["_key"], "left")
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("_forms", "|"), F.lit(r")(?!\p{L})"))
+    spans = F.when(F.col("_forms").isNotNull(), find(masked(clean(F.col("text"))), pattern)).otherwise(none())
+    return out.withColumn("term", spans).drop("_key", "_forms", "text_key")
 
 
 def sanitised(text: Column, kinds: tuple[str, ...] = (*KINDS, "term")) -> Column:

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -85,3 +87,41 @@ def test_main_path_is_native(spark):
     df = op.op9_personal_data(spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def plain_terms(rows):
+    """Positions of disclosing words by row, counted over whole texts."""
+    def spans(t):
+        return [(m.start(), m.end(), re.sub("[ -]", "", m.group().lower())) for _, p, ok in KINDS for m in re.finditer(p, t) if ok(m.group())]
+
+    def words(t):
+        out = list(t)
+        for a, b, _ in spans(t):
+            out[a:b] = "0" * (b - a)
+        return [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]+", "".join(out))]
+
+    texts = {t or "" for _, t in rows}
+    has = {t: ({e for _, _, e in spans(t)}, {w for _, _, w in words(t)}) for t in texts}
+    alone, held, both = Counter(), Counter(), Counter()
+    for e, w in has.values():
+        alone.update(w)
+        held.update(e)
+        both.update((x, y) for x in e for y in w)
+    found = set()
+    for (e, w), n in both.items():
+        known = math.log2(len(texts) / held[e])
+        if n >= op.MIN_TEXTS and n / alone[w] >= op.MIN_SHARE and known > 0 and math.log2(n / alone[w]) + known >= op.MIN_PART * known - 1e-12:
+            found.add(w)
+    return [[(a, b) for a, b, w in words(t or "") if w in found] for _, t in rows]
+
+
+def test_terms_far_from_the_entity_and_without_it(spark):
+    """Names a sentence away, short ones, of an entity in many texts, repeated, and in other texts."""
+    rows = [(i, f"Jo Foobar wrote this. {'abcdefghij'[i]} After it stands some long sentence here, then q.f@site.example {i}. FOOBAR") for i in range(10)]
+    rows += [(100 + i, f"someone sees {'Foobar' if i < 3 else 'another'} with number {i} here, then other some jo{i}") for i in range(60)]
+    rows += [(200 + i, f"Call Wally about it {i}, at 1.2.3.4 please") for i in range(40)]
+    rows += [(None, rows[0][1]), (3, rows[4][1]), (7, None)]
+    want = sorted((str(i), t or "", w) for (i, t), w in zip(rows, plain_terms(rows)))
+    got = found(documents(spark, rows))
+    assert sorted((str(x.doc_id), x.text, [(s.start, s.end) for s in x.term]) for x in got) == want
+    assert not any(re.search("foobar|wally", x.clean, re.I) for x in got)
