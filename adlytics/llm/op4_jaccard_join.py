@@ -14,10 +14,12 @@ linked sets share one.
 
 The spare partitions allow signatures that say little to be left out: subsets of
 fewer than LIGHT features, and signatures that more than HOT classes share (a
-passage that many documents hold).  A set that meets such signatures in no more
-than ``spare`` partitions drops them; one that meets them in more keeps them all.
-Both sets of a pair see the same subset and the same bucket, so a linked pair
-keeps a common signature.
+passage that many documents hold).  A set with light subsets in no more than a
+quarter of ``spare`` partitions drops them, else it keeps them all and that quarter
+is lost.  It drops shared signatures if it meets them in no more than the rest of the
+spare partitions.  Both sets of a pair see the same subset and the same bucket: light
+and shared ones that either drops fill at most ``spare`` of the partitions with a
+common subset, so a linked pair keeps a common signature.
 
 * Buckets of at most HOT classes give their pairs (28 a bucket at most).  A
   sketch, the counts of features by cell of a coarse partition, bounds the
@@ -46,6 +48,7 @@ from adlytics.llm.common import byte_table, checkpoint, forget, load, mix64, spa
 from adlytics.llm.components import components
 
 LIGHT = 3
+LIGHT_PART = 4            # one in so many spare partitions is for light subsets
 HOT = 8
 BAND_RATIO = 1.5
 SKETCH = 128              # cells of a sketch, one byte each
@@ -154,8 +157,9 @@ def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
     row_part = np.arange(len(row_inst)) - np.repeat(start[:-1] // m, n1)
     light = sub_count < LIGHT
     n_light = np.bincount(row_inst, weights=light.any(axis=1), minlength=len(inst_set)).astype(np.int64)
-    drop = light & (n_light <= spare)[row_inst][:, None]
-    left = np.where(n_light <= spare, spare - n_light, spare)
+    most = spare // LIGHT_PART
+    drop = light & (n_light <= most)[row_inst][:, None]
+    left = spare - np.minimum(n_light, most)  # a partner may drop up to ``most`` that this set keeps
     zero_k = (k == 0)[row_inst]
     name = (band[row_inst] << 32) + row_part
     sig = mix64(sub_sum + mix64((name[:, None] * 8 + np.arange(m)[None, :]).astype(np.uint64)) + sub_count.astype(np.uint64))

@@ -99,6 +99,30 @@ def test_linked_sets_share_a_signature():
             assert apart <= len(a) + len(b) - 2 * c
 
 
+@pytest.mark.parametrize("rule", [op.Rule(5, 8, 10, 2, 50), op.Rule(3, 9, 10, 2, 100), op.Rule(3, 9, 10, 3, 100)])
+def test_light_and_hot_share_the_spare_partitions(rule):
+    """Whatever buckets are hot, more partitions hold a common signature than either set may drop."""
+    r = np.random.default_rng(5)
+    checked = 0
+    for _ in range(3000):
+        n = int(r.integers(60, 500))
+        common = r.integers(0, 2 ** 64, n, dtype=np.uint64)
+        differ = n * (rule.den - rule.num) // rule.num  # of both sets together
+        k = int(r.integers(0, differ + 1))
+        a, b = (np.unique(np.concatenate([common, r.integers(0, 2 ** 64, x, dtype=np.uint64)])) for x in (k, differ - k))
+        key, of, fifteenths = op.signatures([a, b], rule, op.band_edges())
+        spare = op.layout(op.band_edges(), rule)[2]
+        shared = np.intersect1d(key[of == 0], key[of == 1])
+        for band in np.unique((shared >> np.uint64(13)) & np.uint64(63)).tolist():
+            here = ((key >> np.uint64(13)) & np.uint64(63)) == band
+            parts = len(np.unique(shared[((shared >> np.uint64(13)) & np.uint64(63)) == band] & np.uint64(0x1FFF)))
+            left = max(int(fifteenths[here & (of == i)].max()) * int(spare[band]) // 15 for i in (0, 1))
+            if max(len(a), len(b)) < op.band_edges()[band + 1] and max(len(a), len(b)) >= op.band_edges()[band]:
+                assert parts > left
+                checked += 1
+    assert checked > 1000
+
+
 def test_empty_table_and_no_links(spark):
     assert op.jaccard_join(documents(spark, [])).count() == 0
     got = [tuple(x) for x in op.jaccard_join(documents(spark, [(2, "a b c d"), (1, "e f g h"), (3, None)])).orderBy("doc_id").collect()]
