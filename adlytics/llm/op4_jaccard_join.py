@@ -377,17 +377,18 @@ def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     forget(docs.sparkSession)
     hot = kept.filter("hot").select("class", F.min("class").over(Window.partitionBy("key")).alias("rep")).filter("class <> rep").distinct()
     whole = checkpoint(classes.filter("class is not null").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     pairs = near_sketches(bucket_pairs(kept), whole, rule)
     candidates = hot.select(F.col("rep").alias("a"), F.col("class").alias("b")).unionByName(pairs)
     family = components(candidates).select(F.col("node").alias("class"), F.col("label").alias("family"))
-    family = checkpoint(family.join(whole.select("class", "doc_id", "n"), "class"))
-    # one document of a class brings its set
-    chosen = small(family.select("class", F.col("doc_id").alias("_id")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
+    family = checkpoint(family.join(whole.select("class", "row.doc_id", "row.h", "n"), "class"))
+    # one text of a class brings its set
+    chosen = small(family.select("class", F.col("doc_id").alias("_id"), F.col("h").alias("_h")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    texts = texts.join(chosen, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
+    if not classes.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["class"])
     sets = shingle_sets(texts, rule)
-    if not classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        sets = sets.dropDuplicates(["class"])
     forget(docs.sparkSession)
     links = family_links(sets, family.select("class", "family", "n"), rule)
     # a row holds one or two blocks: do not gather many of them in a batch
@@ -458,8 +459,8 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, rule: Rule) -> DataFrame:
-    """class, shingles: a row per class (should a doc_id repeat with other texts,
-    only the text of the class counts)."""
+    """class, shingles: a row per class (should hashes of texts clash, only the
+    text of the class counts)."""
     def step(batches):
         table = byte_table(WORD_SEED)
         for batch in batches:

@@ -123,6 +123,19 @@ def test_light_and_hot_share_the_spare_partitions(rule):
     assert checked > 1000
 
 
+def test_one_text_a_class_without_ids(spark, monkeypatch):
+    """Classes without an id fetch their own text, not that of every row without one."""
+    r = rng(12)
+    voc = vocabulary(r)
+    texts = [words(r, 60, voc) for _ in range(12)]
+    data = [(None, t + end) for t in texts for end in ("", " end")] + [(None, texts[0])]
+    plain, met = op.shingle_sets, []
+    monkeypatch.setattr(op, "shingle_sets", lambda texts, rule: met.append(texts.count()) or plain(texts, rule))
+    rule = op.Rule(5, 8, 10, 2)
+    got = [tuple(x) for x in op.jaccard_join(documents(spark, data), rule).collect()]
+    assert sorted(got, key=str) == brute(data, rule) and met == [24]
+
+
 def test_empty_table_and_no_links(spark):
     assert op.jaccard_join(documents(spark, [])).count() == 0
     got = [tuple(x) for x in op.jaccard_join(documents(spark, [(2, "a b c d"), (1, "e f g h"), (3, None)])).orderBy("doc_id").collect()]
