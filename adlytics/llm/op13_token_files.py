@@ -20,10 +20,10 @@ or twice leaves the same file.  Files go to a folder below ``spark.checkpoint.di
 through pyarrow's file systems (local or mounted folders, hdfs, s3, gs).  The driver
 sees one row a slice at most; files are counted in Spark.
 
-Texts are encoded with the tokenizers library.  A single blank between two other characters
-that are no white space always starts a match of the byte-level pattern, so texts are cut
-there, and each distinct piece of a task is encoded once (at most PIECES are
-kept).  Names of special tokens in a text are ordinary text.
+Texts are encoded with the tokenizers library.  Where no match of the byte-level pattern can
+hold the characters on both sides (a letter and a comma, a letter and a blank) a text may
+be cut without changing its ids; each distinct piece of a task is encoded once (about
+PIECES are kept).  Names of special tokens in a text are ordinary text.
 
 A null text is empty: END alone.  Null ids come first, rows that share an id are ordered
 by a hash of their text, equal rows follow each other.  Texts of any length are encoded whole.  An empty
@@ -33,10 +33,10 @@ table gives no rows and no files.  Extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +44,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adlytics.llm.common import checkpoint, load, shuffle_width, use_shared_folder
+from adlytics.llm.common import checkpoint, load, shuffle_width, text_blocks, use_shared_folder
 
 END = 0
 BLOCK = 1024
 PERCENT = 95
 FILE_IDS = 1 << 22
 PIECES = 1 << 20
+BLOCK_TEXT = 1 << 23      # bytes of text encoded at once
+SLICE_BYTES = 1 << 26     # bytes of text in a slice
 MAGIC = b"PFORIDS1"
 HEADER = "<8sQQQQ"     # magic, ids, blocks, documents, payload bytes
 BLOCK_HEADER = "<IBH"   # least id, width, exceptions
-GROUP = 256                            # blocks packed or unpacked at once
+GROUP = 16                             # blocks packed or unpacked at once
 
 
 # ------------------------------------------------------------------ blocks
@@ -165,7 +167,41 @@ class TokenFile:
 
 # ------------------------------------------------------------------ texts
 
-CUT = re.compile(r"(?<=\S)(?= \S)")
+# Characters by byte: what may be in one match of the pattern with its neighbour.
+WHITE, LETTER, DIGIT, MARK, QUOTE, OTHER = range(6)
+
+
+def byte_classes() -> np.ndarray:
+    """Class of each ASCII byte; OTHER is what a cut keeps away from."""
+    out = np.full(256, OTHER, np.uint8)
+    out[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = WHITE
+    out[0x21:0x7F] = MARK
+    out[0x30:0x3A] = DIGIT
+    out[0x41:0x5B] = out[0x61:0x7B] = LETTER
+    out[0x27] = QUOTE
+    return out
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Places where a match of the byte-level pattern must start: no match holds
+    the characters on both sides.  Not all such places, only those that bytes tell."""
+    kind = classes[data]
+    # U+00C0 to U+024F are letters but for the signs of multiplication and division
+    latin = (data >= 0xC3) & (data <= 0xC9)
+    signs = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    latin[signs] = False
+    kind[latin] = LETTER
+    kind[1:][latin[:-1]] = LETTER
+    was, now = kind[:-1], kind[1:]
+    cut = np.zeros(len(data) + 1, bool)
+    ends = (was != OTHER) & (now != OTHER) & (was != now)
+    ends &= ~((was == QUOTE) & (now != WHITE)) & ~((was == MARK) & (now == QUOTE))   # marks, contractions
+    # a blank goes with what follows; of a longer run of white space the last one may, too
+    single = np.zeros(len(was), bool)
+    single[1:] = (kind[:-2] != WHITE) & (kind[:-2] != OTHER) & (data[1:-1] != 0x20)
+    cut[1:-1] = ends & ((was != WHITE) | single)
+    cut[offsets] = True
+    return np.flatnonzero(cut[:-1])
 
 
 class Encoder:
@@ -175,34 +211,47 @@ class Encoder:
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.classes = byte_classes()
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, END after each text; and the number of ids of each text."""
-        pieces = [CUT.split(t) if t else [] for t in texts]
+        self.number: dict[bytes, int] = {b"": 0}   # stands for END
+        # ids of all pieces behind each other; both arrays grow by doubling
+        self.flat, self.ends, self.used = np.full(1024, END, np.uint32), np.ones(1024, np.int64), 1
+
+    def add(self, pieces: list[bytes]) -> None:
+        found = [e.ids for e in self.model.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        known = len(self.number)
+        self.number.update(zip(pieces, range(known, known + len(pieces))))
+        ends = self.used + np.cumsum([len(x) for x in found])
+        while len(self.ends) < known + len(pieces):
+            self.ends = np.concatenate([self.ends, self.ends])
+        while len(self.flat) < ends[-1]:
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.ends[known:known + len(pieces)] = ends
+        self.flat[self.used:ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]) - self.used)
+        self.used = int(ends[-1])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts in UTF-8, END after each; and the number of ids of each."""
         if len(self.number) > PIECES:
             self.forget()
-        number = self.number
-        fresh = [p for p in {p for ps in pieces for p in ps} if p not in number]
+        starts = piece_starts(data, offsets, self.classes)
+        bounds = np.append(starts, len(data)).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        fresh = [p for p in distinct if p not in self.number]
         if fresh:
-            for p, e in zip(fresh, self.model.encode_batch_fast(fresh, add_special_tokens=False)):
-                number[p] = len(self.parts)
-                self.parts.append(np.array(e.ids, np.uint32))
-        # END is the piece after the last one
-        lengths = np.array([len(p) for p in self.parts] + [1], np.int64)
-        flat = np.concatenate([*self.parts, np.array([END], np.uint32)])
-        end = len(self.parts)
-        codes = np.array([c for ps in pieces for c in (*[number[p] for p in ps], end)], np.int64)
-        starts = (np.cumsum(lengths) - lengths)[codes]
-        lengths = lengths[codes]
-        after = np.cumsum(lengths)
-        ids = flat[np.arange(int(after[-1]) if len(after) else 0) + np.repeat(starts - (after - lengths), lengths)]
-        ends = np.cumsum([len(ps) + 1 for ps in pieces]) - 1
-        return ids, np.diff(after[ends], prepend=0)
+            self.add(fresh)
+        number = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
+        codes = number[pieces.indices.to_numpy()]
+        after = np.searchsorted(starts, offsets[1:])      # pieces up to the end of each text
+        codes = np.insert(codes, after, 0)
+        length = self.ends[codes] - np.where(codes > 0, self.ends[codes - 1], 0)
+        total = np.cumsum(length)
+        place = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(self.ends[codes] - total, length)
+        return self.flat[place], np.diff(total[after + np.arange(len(after))], prepend=0)
 
 
 # ------------------------------------------------------------------ files
@@ -234,11 +283,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
             return row
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                found, sizes = encoder.encode(part.column("text").to_pylist())
+            for first, last, data, offsets in text_blocks(batch, limit=BLOCK_TEXT):
+                found, sizes = encoder.encode(data, offsets)
                 ids.append(found)
-                doc_ids += part.column("doc_id").to_pylist()
+                doc_ids += batch.column("doc_id").slice(first, last - first).to_pylist()
                 counts += sizes.tolist()
                 held += len(found)
                 if held >= file_ids:
@@ -250,7 +298,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     keys = [F.col("doc_id").asc_nulls_first(), "_h", "_row"]  # ids that repeat are split
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"),
                        F.monotonically_increasing_id().alias("_row"))
-    slices = rows.repartitionByRange(shuffle_width(docs.sparkSession), *keys).sortWithinPartitions(*keys)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SLICE_BYTES))
+    slices = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     return checkpoint(slices.select("doc_id", "text").mapInArrow(step, "slice int, file int, path string, n_ids long"))
 
 

@@ -60,20 +60,34 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(list(" \t\n\r \x1c\x85'ab1!é中<|>")), st.characters(exclude_categories=["Cs"])), max_size=60))
+def encoded(encoder, texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    return encoder.encode(data, np.cumsum([0] + [len(t.encode()) for t in texts]))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(list(" \t\n\r \x0b\x1c\x85'abstrelvmd1²!.é×÷ſǅ中<|>\u3000\u200b")), st.integers(0, 0x10FFFF).map(lambda c: chr(c) if not 0xD800 <= c < 0xE000 else "a")), max_size=60))
 def test_cuts_change_nothing(text):
     encoder = test_cuts_change_nothing.__dict__.setdefault("encoder", op.Encoder(PATH))
-    ids, counts = encoder.encode([text, "", text])
+    ids, counts = encoded(encoder, [text, "", text])
     want = encoder.model.encode(text, add_special_tokens=False).ids + [0]
     assert ids.tolist() == want + [0] + want and counts.tolist() == [len(want), 1, len(want)]
 
 
+def test_latin_letters_and_pairs(library):
+    """ASCII and the edges of the Latin letters before and after the kinds of others."""
+    encoder = op.Encoder(PATH)
+    texts = [a + chr(c) + b for c in [*range(0x80), 0x85, 0xA0, 0xAA, 0xC0, 0xD7, 0xD8, 0xF7, 0xFF, 0x100, 0x1BB, 0x24F] for a in ("a", "1", " ", "!", "'", "\n", "é") for b in ("s", "2", " x", "?", "'s", "\n\n")]
+    ids, counts = encoded(encoder, texts)
+    want = [e.ids + [0] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_forgetting_pieces(monkeypatch):
     encoder = op.Encoder(PATH)
-    first = encoder.encode(["one two three"])[0].tolist()
+    first = encoded(encoder, ["one two three"])[0].tolist()
     monkeypatch.setattr(op, "PIECES", 1)
-    assert encoder.encode(["four five"])[0].tolist()[-1] == 0 and encoder.encode(["one two three"])[0].tolist() == first
+    assert encoded(encoder, ["four five"])[0].tolist()[-1] == 0 and encoded(encoder, ["one two three"])[0].tolist() == first
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000])
