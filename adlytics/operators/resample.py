@@ -73,3 +73,21 @@ def holdout_split(df: DataFrame, key: list[str], row_id: str, share: float = 0.1
     return (df.withColumns({"_r": F.row_number().over(w), "_n": n})
               .withColumn("is_test", E("_r") <= F.ceil(E("_n") * share))
               .drop("_r", "_n"))
+
+
+def replicate_arrays(parts: DataFrame, keys: list[str], reps: int, seed: int = 42, blocks: bool = True) -> DataFrame:
+    """X-4: residual bootstrap of decomposed series, one row (keys, rep, ys) a replicate.
+    ``parts`` has keys and the arrays trend, season, residual; trend and season
+    stay at their day (J-9), residuals are drawn by X-2 (``blocks``) or X-1.  Nothing is joined or
+    shuffled but the (keys, rep) rows.  Replicates that are all negative go (P-19)."""
+    rows = spread(parts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))), *keys, "rep")
+    n = F.size("residual")
+    rows = rows.withColumns({"n": n, "b": block_size(n) if blocks else F.lit(1)})
+
+    def day(t, i):
+        block = F.floor(i / E("b")).cast("int")
+        start = F.pmod(hash_int(seed, *[E(k) for k in keys], E("rep"), block), E("n"))
+        return t + E("season")[i] + E("residual")[F.pmod(start + i % E("b"), E("n")).cast("int")]
+
+    rows = rows.withColumn("ys", F.transform("trend", day)).select(*keys, "rep", "ys")
+    return rows.filter(F.exists("ys", lambda v: v >= 0))

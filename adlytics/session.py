@@ -16,6 +16,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # array folds (decomposition, smoothing) nest functions deeper than Spark's 100 passes resolve
+    "spark.sql.analyzer.maxIterations": "1000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -66,7 +68,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 # The queries' results depend on these; all else is left as the caller set it.
-QUERY_CONF = {"spark.sql.session.timeZone": "UTC"}
+QUERY_CONF = {k: BASE_CONF[k] for k in ("spark.sql.session.timeZone", "spark.sql.analyzer.maxIterations")}
 
 
 def apply_session_conf(spark: SparkSession) -> None:
