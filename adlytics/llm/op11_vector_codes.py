@@ -13,12 +13,12 @@ smallest value then names the entry, so ties go to the lower index.  Narrow valu
 one limb, wide ones two or three; the result does not depend on the limbs.
 
 Each round is one pass over the vectors.  A task keeps 256 sums a part and returns
-them once, so entries that draw most vectors cost no more than others, and what goes to
+them once, so entries that draw most vectors cost no more than the rest, and what goes to
 the driver is a codebook: entries * dimension integers.
 
 Rows whose vector is null or holds null or non-finite components are left out.  Shorter
 vectors, and a dimension that the parts do not divide, count as padded with zeros.
-Repeated rows each count.  Null ids come after all others, ties of an id in the
+Repeated rows each count.  Null ids come last, ties of an id in the
 order of the vectors.  Integers are held to +-limit, the largest size whose
 squared distances fit 63 bits (over 180,000 before scaling at 64 dimensions); a
 label's error beyond 63 bits is null.  An empty table gives no rows.  Extra columns are ignored.
@@ -200,7 +200,7 @@ def coded(vectors: DataFrame, model: Model) -> DataFrame:
 def with_label_error(codes: DataFrame) -> DataFrame:
     """label_error: the errors summed over equal labels, nulls together.  Sums are
     combined before the shuffle; labels of at least one in HOT_SHARE rows (so fewer than
-    HOT_SHARE labels) are joined by broadcast, the others by a shuffle without hot keys."""
+    HOT_SHARE labels) are joined by broadcast, the rest by a shuffle without hot keys."""
     codes = written(codes)
     sums = written(codes.groupBy("label").agg(F.count("*").alias("rows"), F.try_sum("error").alias("label_error")))
     least = max((sums.agg(F.sum("rows")).first()[0] or 0) // HOT_SHARE, 1)

@@ -11,7 +11,7 @@ document never cut.  A file has
     places and values of the exceptions
 
 A block holds BLOCK ids (the last one of a file fewer).  Its least id is subtracted, the
-rest is packed at the width that PERCENT of them fit, and the others are stored whole
+rest is packed at the width that PERCENT of them fit, and larger ones are stored whole
 in the exception list, so a few rare ids do not widen a block.  The index gives
 any range of ids without reading the blocks before it (``read_ids``).
 

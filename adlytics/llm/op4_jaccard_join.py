@@ -316,7 +316,7 @@ def link_block(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, rule:
         c = c[np.minimum(size[c], size[d]) * rule.den >= np.maximum(size[c], size[d]) * rule.num]
         mark[mine] = True
         while len(c):
-            # some at a time, since a link makes others of its component needless
+            # some at a time, since a link makes more of its component needless
             some, c = c[:64], c[64:]
             spans = [ids[start[x]:start[x + 1]] for x in some.tolist()]
             shared = np.add.reduceat(mark[np.concatenate(spans)], np.concatenate([[0], np.cumsum(size[some])[:-1]]), dtype=np.int64)
@@ -419,8 +419,8 @@ def jaccard_join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One row of each component: that of its smallest doc_id (null after all
-    others), the first text in order if the id repeats.  Rows without words link
+    """One row of each component: that of its smallest doc_id (null after
+    every id), the first text in order if the id repeats.  Rows without words link
     with nothing and stay, once per equal row."""
     classes, named = labelled(docs, rule)
     named = named.select("class", "label")
@@ -448,10 +448,10 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
         return kept.select(*docs.columns)
     every = small(again.select("doc_id", "h"))
     alone = kept.join(every, meets(every), "left_anti").select(*docs.columns)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     some = small(again.filter("n > 0").select("doc_id", "h"))
     first = (kept.join(some, meets(some), "left_semi").groupBy("_id", "_h")
-             .agg(F.min(F.struct("text", "doc_id", *others)).alias("_row")))
+             .agg(F.min(F.struct("text", "doc_id", *rest)).alias("_row")))
     first = first.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
     blank = small(again.filter("n = 0").select("doc_id", "h"))
     empty = kept.join(blank, meets(blank), "left_semi").select(*docs.columns).distinct()

@@ -5,7 +5,7 @@
    target stops at ``cap`` times its words and the excess is shared again by
    weight until none is above.  That fixed point is a water level: with the
    sources ordered by cap/weight, the first so many are at their cap and the
-   others get weight * level.
+   rest get weight * level.
 3. rate = target / words of the source.  Each document is taken floor(rate)
    times plus once more if its hash draw is below the fraction.
 

@@ -16,7 +16,7 @@ texts hold both, P(entity | word) >= MIN_SHARE and the pointwise mutual informat
 log2(P(entity | word) / P(entity)) is at least MIN_PART of what there is to know,
 -log2 P(entity).  An entity that every text holds has nothing to disclose.  All
 occurrences of such a word, in any text, become ``term`` spans and are removed like
-the others.  Different texts count, so copies do not add evidence.  Counts cover
+the rest.  Different texts count, so copies do not add evidence.  Counts cover
 all texts.
 
 A null text is empty.  Rows are judged alone except for the counts; repeated rows

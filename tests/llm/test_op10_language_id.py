@@ -57,6 +57,6 @@ def test_sorted_hashes():
     keys = np.unique(r.integers(0, 2 ** 64, 5000, dtype=np.uint64))
     table = op.SortedHashes(keys, np.zeros((len(keys), 1)))
     assert (table.find(keys) == np.arange(len(keys))).all()
-    others = np.setdiff1d(r.integers(0, 2 ** 64, 5000, dtype=np.uint64), keys)
-    assert (table.find(others) == -1).all()
+    absent = np.setdiff1d(r.integers(0, 2 ** 64, 5000, dtype=np.uint64), keys)
+    assert (table.find(absent) == -1).all()
     assert table.find(np.array([2 ** 64 - 1], np.uint64)).tolist() == [-1]

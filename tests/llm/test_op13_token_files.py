@@ -75,7 +75,7 @@ def test_cuts_change_nothing(text):
 
 
 def test_latin_letters_and_pairs(library):
-    """ASCII and the edges of the Latin letters before and after the kinds of others."""
+    """ASCII and the edges of the Latin letters before and after characters of each kind."""
     encoder = op.Encoder(PATH)
     texts = [a + chr(c) + b for c in [*range(0x80), 0x85, 0xA0, 0xAA, 0xC0, 0xD7, 0xD8, 0xF7, 0xFF, 0x100, 0x1BB, 0x24F] for a in ("a", "1", " ", "!", "'", "\n", "é") for b in ("s", "2", " x", "?", "'s", "\n\n")]
     ids, counts = encoded(encoder, texts)
