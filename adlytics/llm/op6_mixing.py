@@ -13,8 +13,9 @@ Per-source rows go through one window: there are as many as sources, never as
 documents.  The rates return to the documents by a broadcast if there are at
 most MAX_BROADCAST sources, else by a join that AQE splits when a source is hot.
 
-Null texts have size 0, a null source is a source (weighed last).  Equal
-doc_ids share a draw, a null doc_id draws like the text 'null'.  Sources
+Null texts have size 0, a null source is a source (weighed last).  A draw is of
+doc_id and text, so documents without an id, or that share one, draw each for
+itself; only rows equal in both share a draw (a null counts as the text 'null').  Sources
 without words have target 0.  Input columns named like an output column are
 replaced.  An empty table gives no rows.
 """
@@ -39,9 +40,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(key: Column, seed: str = SEED) -> Column:
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     """A number in [0, 1) from 52 bits of an md5, the same in every run."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))
+    text = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.md5(text), F.lit("null")))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
 
 
@@ -78,7 +79,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, budget: Fraction = BUDGET, cap: i
     out = sized.join(targets, sized["source"].eqNullSafe(targets["_source"]), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    extra = (draw(F.col("doc_id"), seed) < rate - whole).cast("long")
+    extra = (draw(F.col("doc_id"), F.col("text"), seed) < rate - whole).cast("long")
     return out.withColumn("copies", F.least(whole + extra, F.lit(cap).cast("long")))
 
 
@@ -96,7 +97,8 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle(docs: str = "documents") -> str:
     return f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         coalesce(md5(text), 'null') AS of_text
   FROM {docs}),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -120,7 +122,7 @@ targets AS (
 rated AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS draw
+         CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || d.of_text), 1, 13)) AS BIGINT) / 4503599627370496.0 AS draw
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(least(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END, 2) AS BIGINT) * size AS taken

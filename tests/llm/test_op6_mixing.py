@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from adlytics.llm import op6_mixing as op
 from adlytics.oracle.check import compare, duck
@@ -28,8 +29,9 @@ def targets(sizes):
     return out
 
 
-def draw(doc_id):
-    return int(hashlib.md5(f"{op.SEED}:{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / 2 ** 52
+def draw(doc_id, text):
+    of_text = "null" if text is None else hashlib.md5(text.encode()).hexdigest()
+    return int(hashlib.md5(f"{op.SEED}:{'null' if doc_id is None else doc_id}:{of_text}".encode()).hexdigest()[:13], 16) / 2 ** 52
 
 
 @pytest.mark.parametrize("sources", [["a", "b", "c"], ["a"], ["é", "Z", "a", None, "b", "c", "d"], ["a", "b", "hollow"]])
@@ -51,12 +53,21 @@ def test_equals_brute_force(spark, sources):
         rate = float(want[x.source]) / per[x.source] if per[x.source] else 0.0
         assert x.source_size == per[x.source] and abs(x.target - float(want[x.source])) <= 1e-6 * max(1, x.target)
         assert x["size"] == size(x.text)
-        if abs(draw(x.doc_id) - (rate - int(rate))) > 1e-9:
-            assert x.copies == int(rate) + (draw(x.doc_id) < rate - int(rate))
+        if abs(draw(x.doc_id, x.text) - (rate - int(rate))) > 1e-9:
+            assert x.copies == int(rate) + (draw(x.doc_id, x.text) < rate - int(rate))
         assert x.copies <= 2
     assert op.emit_mix(op.plan_mix(df)).count() == sum(x.copies for x in got)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_without_ids_the_mix_comes_near_its_targets(spark, doc_id):
+    """3,000 documents that have no id, or share one, in three equal sources."""
+    data = [(doc_id, f"word{i} " * 4, "abc"[i % 3]) for i in range(3000)]
+    got = op.plan_mix(spark.createDataFrame(data, "doc_id long, text string, source string")).groupBy("source", "target").agg(
+        F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()
+    assert len(got) == 3 and all(abs(x.taken - x.target) < 0.06 * x.target for x in got)
+
+
 def test_empty_table(spark):
     assert op.plan_mix(documents(spark, [])).count() == 0
 
