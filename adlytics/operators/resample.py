@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlytics.functions.draws import hash_int
+from adlytics.functions.draws import TWO_32, hash_int
 from adlytics.operators.bayes import spread
 
 E = F.col
@@ -62,6 +62,22 @@ def circular_block_bootstrap(series: DataFrame, reps: int, seed: int = 42, key:
     return _fetch(d, series, key)
 
 
+def stationary_bootstrap(series: DataFrame, reps: int, mean_length: float, seed: int = 42, key: str = "series") -> DataFrame:
+    """X-7: blocks of geometric length.  Every place starts a new block with probability
+    1 / mean_length (the first one always) at a drawn day; else it takes the
+    day after its neighbour's, wrapping modulo n.  The start of a place's block is
+    a running maximum within (series, replicate), whose length the calendar bounds."""
+    from pyspark.sql import Window
+    n = series_lengths(series, key)
+    d = spread(n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))), key, "rep")
+    d = d.withColumn("idx", F.explode(F.sequence(F.lit(0), E("n").cast("int") - 1)))
+    fresh = (E("idx") == 0) | (hash_int(seed, E(key), E("rep"), E("idx"), "cut") * mean_length < TWO_32)
+    w = Window.partitionBy(key, "rep").orderBy("idx")
+    d = d.withColumn("_at", F.max(F.when(fresh, E("idx"))).over(w))
+    start = hash_int(seed, E(key), E("rep"), E("_at"), "start")
+    return _fetch(d.withColumn("src", F.pmod(start + E("idx") - E("_at"), E("n"))), series, key)
+
+
 def holdout_split(df: DataFrame, key: list[str], row_id: str, share: float = 0.15, seed: int = 42) -> DataFrame:
     """X-8: per key, the ceil(share * n) rows with the smallest hash of
     (seed, row id) form the test set.  The ranking window is partitioned

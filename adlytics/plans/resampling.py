@@ -81,6 +81,23 @@ FROM d5 JOIN s ON s.series = d5.series AND s.idx = d5.src""",
     "main_revenues"))(block_bootstrap)
 
 
+STATIONARY_REPS, STATIONARY_LENGTH = 20, 7.0
+
+
+def stationary_bootstrap(v: Views) -> DataFrame:
+    return R.stationary_bootstrap(daily_series(v).select("series", "idx", "value"), STATIONARY_REPS, STATIONARY_LENGTH, SEED)
+
+
+register("x06_stationary_bootstrap", floats={"value": 2}, oracle=with_views(_SERIES_SQL + f"""
+, d AS (SELECT series, n, unnest(range(0, {STATIONARY_REPS})) AS rep FROM n)
+, d2 AS (SELECT series, n, rep, unnest(range(0, n)) AS idx FROM d)
+, d3 AS (SELECT *, idx = 0 OR {sql_hash_int(str(SEED), 'series', 'rep', 'idx', "'cut'")} * {STATIONARY_LENGTH} < 4294967296 AS fresh FROM d2)
+, d4 AS (SELECT *, max(idx) FILTER (WHERE fresh) OVER (PARTITION BY series, rep ORDER BY idx) AS opened FROM d3)
+, d5 AS (SELECT *, ({sql_hash_int(str(SEED), 'series', 'rep', 'opened', "'start'")} + idx - opened) % n AS src FROM d4)
+SELECT d5.series, CAST(rep AS INTEGER) AS rep, CAST(d5.idx AS INTEGER) AS idx, src, s.value
+FROM d5 JOIN s ON s.series = d5.series AND s.idx = d5.src""", "main_revenues"))(stationary_bootstrap)
+
+
 def holdout(v: Views) -> DataFrame:
     """X-8 on the paid/organic daily table: 15 % test days per platform."""
     d = I.paid_organic_daily(v).withColumn("day_key", F.date_format("dt", "yyyy-MM-dd"))

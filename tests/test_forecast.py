@@ -103,3 +103,15 @@ def test_one_plan_for_all_cut_offs(spark):
 def test_short_series_have_no_parts(spark):
     df = spark.createDataFrame([("s", i, 1.0) for i in range(13)], "series string, idx int, value double")
     assert decompose_arrays(as_arrays(df, ["series"]), Seasons(7, inner=1, outer=0)).count() == 0
+
+
+def test_stationary_blocks(spark):
+    """Days follow each other within a block, and blocks have the mean length asked for."""
+    from adlytics.operators.resample import stationary_bootstrap
+    n, reps, length = 400, 30, 7.0
+    df = spark.createDataFrame([("s", i, float(i)) for i in range(n)], "series string, idx int, value double")
+    rows = stationary_bootstrap(df, reps, length).orderBy("rep", "idx").collect()
+    assert len(rows) == n * reps and all(r.value == r.src for r in rows)
+    breaks = sum(1 for a, b in zip(rows, rows[1:]) if a.rep == b.rep and b.src != (a.src + 1) % n) + reps
+    assert 0.8 * length < n * reps / breaks < 1.25 * length
+    assert len({r.src for r in rows}) > 0.95 * n
