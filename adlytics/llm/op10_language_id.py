@@ -35,7 +35,6 @@ from adlytics.llm.common import load, mix64, share, shared_value, text_blocks
 ORDER = 5
 FIT_CHARS = 8_000_000
 FIT_ROWS = 200
-MAX_LANGUAGES = 200
 UNKNOWN = "und"
 BLANK = 32
 SHORT = 400   # spread of the cross-entropy shrinks with length up to here
@@ -228,9 +227,7 @@ def train(labelled: DataFrame, fit_chars: int = FIT_CHARS, fit_rows: int = FIT_R
     spark = labelled.sparkSession
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows"))
-    sizes = sorted(sizes.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = sorted(sizes.collect(), key=lambda r: r["lang"])  # one row a language
     table = letter_table()
     if not sizes:
         return None, table

@@ -60,3 +60,12 @@ def test_sorted_hashes():
     absent = np.setdiff1d(r.integers(0, 2 ** 64, 5000, dtype=np.uint64), keys)
     assert (table.find(absent) == -1).all()
     assert table.find(np.array([2 ** 64 - 1], np.uint64)).tolist() == [-1]
+
+
+def test_many_languages(spark):
+    """More than 200 values of lang, none of them lost."""
+    names = [f"l{k:03d}" for k in range(201)]
+    train = [(k * 10 + i, f"w{chr(0x4E00 + 7 * k)}{chr(0x4E01 + 7 * k)} " * (3 + i), names[k]) for k in range(201) for i in range(6)]
+    docs = [(5000 + k, f"w{chr(0x4E00 + 7 * k)}{chr(0x4E01 + 7 * k)} " * 5, None) for k in range(201)]
+    got = {x.doc_id: x.lang_pred for x in op.identify(spark.createDataFrame(docs, KIND), spark.createDataFrame(train, KIND)).collect()}
+    assert [got[5000 + k] for k in range(201)] == names
