@@ -21,6 +21,11 @@ spare partitions.  Both sets of a pair see the same subset and the same bucket:
 and shared ones that either drops fill at most ``spare`` of the partitions with a
 common subset, so a linked pair keeps a common signature.
 
+A pair needs its shared signatures only if both its sets keep some.  With ``Rule.again`` such
+sets get signatures of a second kind instead: fewer partitions with more cells, of which
+a subset leaves ``leave`` out, so that a signature says more.  (Of floor(k/(leave + 1)) + 1 +
+spare partitions at least 1 + spare hold at most ``leave`` differing features.)
+
 * Buckets of at most HOT classes give their pairs (28 a bucket at most).  A
   sketch, the counts of features by cell of a coarse partition, bounds the
   difference from below and rules most false pairs out.
@@ -37,6 +42,7 @@ an empty set and link with nothing.  Repeated rows share a class.  Extra columns
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -59,13 +65,16 @@ WORD_SEED = 41
 
 @dataclass(frozen=True)
 class Rule:
-    """Words per shingle, the threshold num/den, cells per partition, and the
-    share of spare partitions in percent."""
+    """Words per shingle, the threshold num/den, cells per partition, the
+    share of spare partitions in percent, the cells that a subset leaves out, and the
+    rule of the second signatures, for sets that keep shared ones (None: no second)."""
     words: int = 3
     num: int = 9
     den: int = 10
     cells: int = 3
     spare: int = 20
+    leave: int = 1
+    again: "Rule | None" = None
 
 
 def set_blocks(batch: pa.RecordBatch, words: int, table: np.ndarray):
@@ -111,7 +120,7 @@ def layout(edges: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.nd
     """By band: largest difference k, partitions n1, spare partitions among them."""
     hi = edges[1:] - 1
     k = 2 * hi * (rule.den - rule.num) // (rule.den + rule.num)
-    base = k // 2 + 1
+    base = k // (rule.leave + 1) + 1
     spare = np.where(base >= 5, -(-base * rule.spare // 100), 0)
     return k, np.where(k == 0, 1, base + spare), spare
 
@@ -150,9 +159,10 @@ def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
     np.add.at(sums, at, mix64(features + np.uint64(1002)))
     count = np.bincount(at, minlength=start[-1]).reshape(-1, m)
     sums = sums.reshape(-1, m)
-    # a subset leaves one cell out
-    sub_sum = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums
-    sub_count = count.sum(axis=1, keepdims=True) - count
+    # a subset leaves some cells out
+    out = np.array(list(combinations(range(m), rule.leave)), np.int64)
+    sub_sum = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums[:, out].sum(axis=2, dtype=np.uint64)
+    sub_count = count.sum(axis=1, keepdims=True) - count[:, out].sum(axis=2)
     row_inst = np.repeat(np.arange(len(inst_set)), n1)
     row_part = np.arange(len(row_inst)) - np.repeat(start[:-1] // m, n1)
     light = sub_count < LIGHT
@@ -162,10 +172,10 @@ def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
     left = spare - np.minimum(n_light, most)  # a partner may drop up to ``most`` that this set keeps
     zero_k = (k == 0)[row_inst]
     name = (band[row_inst] << 32) + row_part
-    sig = mix64(sub_sum + mix64((name[:, None] * 8 + np.arange(m)[None, :]).astype(np.uint64)) + sub_count.astype(np.uint64))
+    sig = mix64(sub_sum + mix64((name[:, None] * 256 + np.arange(len(out))[None, :]).astype(np.uint64)) + sub_count.astype(np.uint64))
     row, col = np.nonzero(~drop & ~zero_k[:, None])
     whole = np.flatnonzero(zero_k)  # linked sets are equal: one signature, of the whole set
-    whole_sig = mix64(sums[whole].sum(axis=1, dtype=np.uint64) + mix64((name[whole] * 8 + 7).astype(np.uint64)))
+    whole_sig = mix64(sums[whole].sum(axis=1, dtype=np.uint64) + mix64((name[whole] * 256 + 255).astype(np.uint64)))
     row = np.concatenate([row, whole])
     sig = np.concatenate([sig[row[:len(col)], col], whole_sig])
     of = row_inst[row]
@@ -371,24 +381,34 @@ def family_links(sets: DataFrame, family: DataFrame, rule: Rule) -> DataFrame:
     return jobs.mapInArrow(step, "a long, b long")
 
 
+def class_texts(docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
+    """class, text: one text of each of ``classes`` (class, doc_id, h).  ``repeated``:
+    rows of docs repeat, so that a class may meet its text more than once."""
+    chosen = small(classes.select("class", F.col("doc_id").alias("_id"), F.col("h").alias("_h")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    texts = texts.join(chosen, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
+    return texts.dropDuplicates(["class"]) if repeated else texts
+
+
 def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(a, b) links between classes that connect every component."""
     kept = kept_rows(signature_rows(docs, rule), rule)
     forget(docs.sparkSession)
-    hot = kept.filter("hot").select("class", F.min("class").over(Window.partitionBy("key")).alias("rep")).filter("class <> rep").distinct()
     whole = checkpoint(classes.filter("class is not null").groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    where = whole.select("class", "row.doc_id", "row.h", "n")
+    repeated = not classes.groupBy("doc_id", "h").count().filter("count > 1").isEmpty()
     pairs = near_sketches(bucket_pairs(kept), whole, rule)
+    if rule.again is not None:
+        hard = checkpoint(kept.filter("hot").select("class").distinct().join(where, "class"))
+        kept = kept_rows(signature_rows(class_texts(docs, hard, repeated), rule.again), rule.again)
+        forget(docs.sparkSession)
+        pairs = pairs.unionByName(near_sketches(bucket_pairs(kept), whole, rule))
+    hot = kept.filter("hot").select("class", F.min("class").over(Window.partitionBy("key")).alias("rep")).filter("class <> rep").distinct()
     candidates = hot.select(F.col("rep").alias("a"), F.col("class").alias("b")).unionByName(pairs)
     family = components(candidates).select(F.col("node").alias("class"), F.col("label").alias("family"))
-    family = checkpoint(family.join(whole.select("class", "row.doc_id", "row.h", "n"), "class"))
-    # one text of a class brings its set
-    chosen = small(family.select("class", F.col("doc_id").alias("_id"), F.col("h").alias("_h")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    texts = texts.join(chosen, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
-    if not classes.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
-        texts = texts.dropDuplicates(["class"])
-    sets = shingle_sets(texts, rule)
+    family = checkpoint(family.join(where, "class"))
+    sets = shingle_sets(class_texts(docs, family, repeated), rule)
     forget(docs.sparkSession)
     links = family_links(sets, family.select("class", "family", "n"), rule)
     # a row holds one or two blocks: do not gather many of them in a batch

@@ -64,20 +64,25 @@ def rows():
     return data + [(3, out[3]), (4, out[9]), (None, out[0])]
 
 
-@pytest.mark.parametrize("rule", [op.Rule(), op.Rule(5, 8, 10, 2, 50), op.Rule(1, 8, 10, 3)])
+AGAIN = op.Rule(5, 8, 10, 2, 50, again=op.Rule(5, 8, 10, 5, 30, leave=2))
+
+
+@pytest.mark.parametrize("rule", [op.Rule(), op.Rule(5, 8, 10, 2, 50), op.Rule(1, 8, 10, 3), AGAIN])
 def test_equals_brute_force(spark, rule):
     data = rows()
     got = [tuple(x) for x in op.jaccard_join(with_clashes(documents(spark, data)), rule).collect()]
     assert sorted(got, key=str) == brute(data, rule)
 
 
-@pytest.mark.parametrize("hot, block, spare", [(1, 300, 50), (2, 1000, 0), (8, 10 ** 9, 100), (10 ** 9, 300, 30)])
-def test_hot_buckets_and_blocks(spark, monkeypatch, hot, block, spare):
+@pytest.mark.parametrize("hot, block, spare, again", [
+    (1, 300, 50, None), (2, 1000, 0, None), (8, 10 ** 9, 100, None), (10 ** 9, 300, 30, None),
+    (1, 300, 0, op.Rule(2, 8, 10, 5, 30, leave=2)), (2, 1000, 20, op.Rule(2, 8, 10, 4, 0, leave=3))])
+def test_hot_buckets_and_blocks(spark, monkeypatch, hot, block, spare, again):
     """Results do not depend on what counts as hot, nor on the blocks."""
     monkeypatch.setattr(op, "HOT", hot)
     monkeypatch.setattr(op, "BLOCK", block)
     data = rows()
-    rule = op.Rule(2, 8, 10, 2, spare)
+    rule = op.Rule(2, 8, 10, 2, spare, again=again)
     got = [tuple(x) for x in op.jaccard_join(documents(spark, data), rule).collect()]
     assert sorted(got, key=str) == brute(data, rule)
 
@@ -99,7 +104,8 @@ def test_linked_sets_share_a_signature():
             assert apart <= len(a) + len(b) - 2 * c
 
 
-@pytest.mark.parametrize("rule", [op.Rule(5, 8, 10, 2, 50), op.Rule(3, 9, 10, 2, 100), op.Rule(3, 9, 10, 3, 100)])
+@pytest.mark.parametrize("rule", [op.Rule(5, 8, 10, 2, 50), op.Rule(3, 9, 10, 2, 100), op.Rule(3, 9, 10, 3, 100),
+                                  op.Rule(5, 8, 10, 5, 30, leave=2)])
 def test_light_and_hot_share_the_spare_partitions(rule):
     """Whatever buckets are hot, more partitions hold a common signature than either set may drop."""
     r = np.random.default_rng(5)
