@@ -30,7 +30,8 @@ windows of its contexts are counted one by one instead, by a grouping with map-s
 combine.  The result is the same.
 
 A null text is empty; texts under LENGTH bytes keep all bytes.  Repeated rows (equal
-doc_id and text) repeat each other, as any equal texts do.  Extra columns are ignored.
+doc_id and text) repeat each other, as any equal texts do: nothing of them is left if they have
+LENGTH bytes, and one of them stands for all in the search.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlytics.llm.common import byte_table, checkpoint, load, mix64, shuffle_width, text_blocks
+from adlytics.llm.common import byte_table, checkpoint, load, mix64, shuffle_width, text_blocks, written
 
 LENGTH = 200          # bytes of a repeat
 GRAM = 16             # bytes hashed to choose anchors
@@ -425,8 +426,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """k1, k2, text, spans: every row with the (overlapping) byte intervals
     that repeated strings cover."""
-    spark = docs.sparkSession
     texts = keyed(docs)
+    again = checkpoint(texts.groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2"))
+    if again.isEmpty():
+        return spans_of(texts, hot)
+    alone, copies = texts.join(again, ["k1", "k2"], "left_anti"), texts.join(again, ["k1", "k2"], "left_semi")
+    once = written(alone.unionByName(copies.dropDuplicates(["k1", "k2"])))
+    found = spans_of(once, hot).join(again, ["k1", "k2"], "left_anti")
+    size = F.octet_length("text").cast("long")
+    whole = F.when(size >= LENGTH, F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end"))))
+    return found.unionByName(copies.withColumn("spans", whole))
+
+
+def spans_of(texts: DataFrame, hot: int) -> DataFrame:
+    """``repeated_spans`` of rows of which no two have one key."""
+    spark = texts.sparkSession
     common = checkpoint(anchor_rows(texts, False).groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"))
     placed = anchor_rows(texts, True)
 

@@ -55,6 +55,17 @@ def test_empty_table_and_null_id(spark):
     assert one.doc_id is None and one.n_removed == 300
 
 
+def test_many_equal_rows_without_id(spark):
+    """Equal rows go as a whole, once searched, and count for the other rows."""
+    r = rng(9)
+    text = "".join(r.choice("abcdefgh ") for _ in range(2300))
+    other = [(7, "begin " + text[500:900] + " end"), (8, text[:150]), (None, "z" * 120)]
+    rows = [(None, text)] * 10_000 + [(None, "short")] * 3 + [(3, text)] * 2 + other
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, len(x.removed)) for x in op.remove_repeats(documents(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 2300, 2300, 1)] * 10_000 + [(None, 5, 0, 0)] * 3 + [(3, 2300, 2300, 1)] * 2
+                         + [(7, 410, 400, 1), (8, 150, 0, 0), (None, 120, 0, 0)], key=str)
+
+
 def test_merge_equals_sort():
     r = rng(3)
     strings = ["".join(r.choice("ab") for _ in range(r.randint(0, 30))).encode() for _ in range(300)]
