@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adlytics.functions.draws import sql_hash_int
 from adlytics.operators import curves as CV
+from adlytics.operators import projection as PJ
 from adlytics.operators import regress as RG
 from adlytics.operators.windows import first_difference
 from adlytics.oracle.views import with_views
@@ -143,28 +144,28 @@ register("c21_fit_logarithm", floats={"a": 6, "b": 6, "c": 6, "d": 6, "r2": 6, "
         FROM tr WHERE x > 0 GROUP BY 1)""" + _score_sql("p", "a + b * ln(CASE WHEN x > 0 THEN x * c END) / ln(d)"), "installs"))(fit_logarithm)
 
 
-def fit_gauss(v: Views) -> DataFrame:
-    """Start [1, weighted mean of x, weighted sd of x] with y as weights."""
+def _projected(v: Views, curve: str) -> DataFrame:
+    """The curve by variable projection, with the parameters' sd at that point.  ``status``
+    tells whether the data determine the curve (``on_edge``: they do not)."""
     train = _split(v).filter(~E("is_test"))
-    w = train.groupBy("platform").agg((F.sum(E("paid") * E("organic")) / F.sum("organic")).alias("x0"))
-    p0 = (train.join(w, "platform").groupBy("platform", "x0")
-          .agg(F.sqrt(F.sum(E("organic") * (E("paid") - E("x0")) ** 2) / F.sum("organic")).alias("sigma"))
-          .withColumn("a", F.lit(1.0)))
-    p = CV.lm_fit(train, ["platform"], "paid", "organic", "gauss", p0)
-    return _scored(v, p, "gauss")
+    p = PJ.projected_fit(train, ["platform"], "paid", "organic", curve)
+    sd = CV.lm_fit(train, ["platform"], "paid", "organic", curve, p, max_iter=1)
+    sd = sd.select("platform", *[c for c in sd.columns if c.startswith("sd_")])
+    p = p.join(sd, "platform").withColumn("on_bound", E("status") == "on_edge")
+    return _scored(v, p, curve)
+
+
+def fit_gauss(v: Views) -> DataFrame:
+    """Centre and width searched within the box of the training range, height solved."""
+    return _projected(v, "gauss")
 
 
 register("c21_fit_gauss", note="nonlinear least squares; checked in tests")(fit_gauss)
 
 
 def fit_sigmoid(v: Views) -> DataFrame:
-    """Start (max y, 0.1, median x, min y) in the order of the signature
-    (A, k, x0, offset)."""
-    train = _split(v).filter(~E("is_test"))
-    p0 = train.groupBy("platform").agg(F.max("organic").alias("A"), F.lit(0.1).alias("k"),
-                                       F.median("paid").alias("x0"), F.min("organic").alias("offset"))
-    p = CV.lm_fit(train, ["platform"], "paid", "organic", "sigmoid", p0)
-    return _scored(v, p, "sigmoid")
+    """Centre and slope searched within the box of the training range, height and offset solved."""
+    return _projected(v, "sigmoid")
 
 
 register("c21_fit_sigmoid", note="nonlinear least squares; checked in tests")(fit_sigmoid)
