@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlytics.oracle.views import with_views
 from adlytics.plans.registry import register
+from adlytics.session import ensure_checkpoint_dir
+from adlytics.sources import text
 from adlytics.sources.views import Views
 
 E = F.col
@@ -96,6 +100,36 @@ register("c32_search_terms", floats={"cr": 6, "roas": 6, "bookings": 4, "revenue
          oracle=with_views(_SEM_SQL + "\nSELECT * FROM sem", "search_terms_raw"))(search_terms)
 
 
+def _exported(v: Views, name: str) -> str:
+    """The search-term rows as a UTF-16 report in a new shared folder."""
+    path = f"{ensure_checkpoint_dir(v.spark)}/adlytics-reports/{name}-{uuid.uuid4().hex}"
+    raw = v.search_terms_raw.select(*[E(n).alias(c) for n, c in zip(text.REPORT_NAMES, text.REPORT_COLUMNS)])
+    text.write_tsv(raw, path + "/utf16", "UTF-16LE")
+    return path
+
+
+def search_terms_from_report(v: Views) -> DataFrame:
+    """S-4, S-5: the cleaned search terms from a UTF-16 export read in byte ranges."""
+    return clean_search_terms(text.read_report_split(v.spark, _exported(v, "terms") + "/utf16"))
+
+
+register("c32_search_terms_report", floats={"cr": 6, "roas": 6, "bookings": 4, "revenue": 4},
+         oracle=with_views(_SEM_SQL + "\nSELECT * FROM sem", "search_terms_raw"))(search_terms_from_report)
+
+
+def report_transcoded(v: Views) -> DataFrame:
+    """S-6, S-7: the UTF-16 export written again as UTF-8 and read back, with
+    the count taken while writing."""
+    path = _exported(v, "transcoded")
+    n = text.transcode_report(v.spark, path + "/utf16", path + "/utf8")
+    return text.read_tsv(v.spark, path + "/utf8").withColumn("rows_written", F.lit(n).cast("bigint"))
+
+
+register("c32_report_transcoded", oracle=with_views(f"""
+SELECT {', '.join(text.REPORT_NAMES)}, count(*) OVER () AS rows_written FROM search_terms_raw""",
+    "search_terms_raw"))(report_transcoded)
+
+
 # -------------------------------------------------------------------- C-33
 def keyword_match(v: Views, market: str = MARKET) -> DataFrame:
     """Full outer match of cleaned master keywords with cleaned search terms,

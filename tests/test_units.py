@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -191,7 +192,6 @@ def test_cache_key_holds_source_and_parameters(spark):
 
 def test_report_rows_kept(spark, tmp_path):
     """Short lines and empty fields become NULL, only over-long lines go."""
-    import pytest
     from adlytics.sources import text
     head = "\t".join(text.REPORT_COLUMNS)
     body = ["full\t1\t2\t3%\t4%\t5\t6", "empty last\t1\t2\t3%\t4%\t5\t", "short\t1\t2", "long\t1\t2\t3\t4\t5\t6\t7", "only"]
@@ -224,3 +224,35 @@ def test_fit_status(spark):
     assert abs(got["good"].a - math.log(2)) < 1e-3 and abs(got["good"].b - 0.5) < 1e-3 and got[None].on_bound
     few = {r.g: r for r in CV.lm_fit(d, ["g"], "x", "y", "power", p0, max_iter=1).collect()}
     assert few["good"].status == "max_iter"
+
+
+def test_report_read_in_byte_ranges(spark, tmp_path):
+    """Ranges of any length, both byte orders and line ends, preamble, and
+    code units that hold the bytes of a line feed across their border."""
+    from adlytics.sources import text
+    head = "\t".join(text.REPORT_COLUMNS)
+    lines = [f"term {i} \u00fc\u4e2d\t{i}\t2\t3%\t4%\t\t6" for i in range(400)] + ["short\t1", "", "Search term\t9"]
+    false_end = {"UTF-16LE": "\u0a95\u3000", "UTF-16BE": "\u3000\u0a95"}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for enc, pair in false_end.items():
+            assert "\n".encode(enc) in pair.encode(enc)
+            for k, (end, extra) in enumerate([("\n", []), ("\r\n", []), ("\n", [f"x{pair * j}y{i}\t{pair}\t5" for i in range(40) for j in range(1, 4)])]):
+                body = end.join(["Report", "All\ttime", head, *lines, *extra, *lines[:50]]) + end
+                p = tmp_path / f"{enc}{k}.csv"
+                p.write_bytes(("\ufeff" + body).encode(enc))
+                spark.conf.set("spark.sql.files.maxPartitionBytes", "100000000")
+                want = sorted(map(str, text.read_report(spark, str(p)).collect()))
+                assert len(want) == 452 + len(extra)
+                for size in (997, 1000, 4001):
+                    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+                    got = text.read_report_split(spark, str(p), encoding=enc)
+                    assert sorted(map(str, got.collect())) == want, (enc, k, size)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4001")
+        tasks = spark.read.option("lineSep", "\n").option("encoding", "UTF-16LE").text(str(tmp_path / "UTF-16LE0.csv"))
+        assert tasks.rdd.getNumPartitions() > 4
+        (tmp_path / "none.csv").write_bytes("no header\n1\t2\n".encode("utf-16-le"))
+        with pytest.raises(Exception, match="no header line"):
+            text.read_report_split(spark, str(tmp_path / "none.csv")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
