@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlytics.functions.compat import bounded_bucket, safe_div
+from adlytics.operators.quantile import exact_quantile
 from adlytics.operators.windows import rolling_prev_rows, split_lag
 from adlytics.oracle.views import with_views
 from adlytics.plans.registry import register
@@ -24,7 +25,7 @@ def estimate_error(v: Views) -> DataFrame:
     (provider, site, device, app); percentage error and good/bad labels
     (a NULL percentage is 'bad', as IFF's else branch)."""
     e = v.estimates
-    j = split_lag(e, ESTIMATE_KEYS, "click_id_timestamp", "estimated_offsite_booking_rev", "_prev_est")
+    j = split_lag(e, ESTIMATE_KEYS, "click_id_timestamp", "estimated_offsite_booking_rev", "_prev_est", tie=["click_id"])
     diff = E("actual_offsite_booking_rev") - E("_prev_est")
     pct = diff / E("actual_offsite_booking_rev").cast("double")   # FLOAT(6) is a 64-bit float in the warehouse
     return (j.withColumn("date", F.to_date("click_id_timestamp"))
@@ -39,7 +40,7 @@ _EST_SQL = """
 , est AS (
   SELECT *, CAST(click_id_timestamp AS DATE) AS date,
          actual_offsite_booking_rev - lag(estimated_offsite_booking_rev, 1) OVER (
-             PARTITION BY provider_id, site_id, device_type, app_id ORDER BY click_id_timestamp) AS estimation_diff
+             PARTITION BY provider_id, site_id, device_type, app_id ORDER BY click_id_timestamp, click_id) AS estimation_diff
   FROM estimates)
 , est2 AS (SELECT *, estimation_diff / CAST(actual_offsite_booking_rev AS DOUBLE) AS percent_diff FROM est)
 , est3 AS (SELECT *, CASE WHEN percent_diff <= 0.2 THEN 'good' ELSE 'bad' END AS est_power,
@@ -106,14 +107,16 @@ def cpc_profile(v: Views, as_of: str = AS_OF) -> DataFrame:
     joined to each click of 91 days with its mean of the previous 7 clicks.
     The join is on the four key columns (the concatenated key can merge
     different keys, D20)."""
-    prof = (_clicks(v, 90, as_of).filter(E("revenue_cpc") > 0)
-            .groupBy(*OBJECT_KEYS)
-            .agg(F.avg("revenue_cpc").alias("avg_revenue_cpc"), F.median("revenue_cpc").alias("median_revenue_cpc"),
-                 F.stddev_samp("revenue_cpc").alias("std_revenue_cpc")))
-    m = _clicks(v, 91, as_of).select(*OBJECT_KEYS, "object", "click_id_timestamp", "revenue_cpc")
-    j = m.join(prof, OBJECT_KEYS)
+    p = _clicks(v, 90, as_of).filter(E("revenue_cpc") > 0)
+    prof = (p.groupBy(*OBJECT_KEYS).agg(F.avg("revenue_cpc").alias("avg_revenue_cpc"),
+                                        F.stddev_samp("revenue_cpc").alias("std_revenue_cpc"))
+            .join(exact_quantile(p, OBJECT_KEYS, "revenue_cpc", 0.5, "median_revenue_cpc"), OBJECT_KEYS))
+    profile = ["avg_revenue_cpc", "median_revenue_cpc", "std_revenue_cpc"]
+    m = _clicks(v, 91, as_of).select(*OBJECT_KEYS, "object", "click_id", "click_id_timestamp", "revenue_cpc")
+    j = m.join(prof, OBJECT_KEYS).select("object", "click_id_timestamp", "revenue_cpc", "click_id", *profile)
     # 7 previous clicks per object, computed in (object, day) partitions
-    j = rolling_prev_rows(j, ["object"], "click_id_timestamp", "revenue_cpc", 7, {"avg_7d": "avg"})
+    j = rolling_prev_rows(j, ["object"], "click_id_timestamp", "revenue_cpc", 7, {"avg_7d": "avg"},
+                          tie=["click_id", *profile])
     return (j
              .select("click_id_timestamp", "object", "revenue_cpc", "avg_7d",
                      (E("avg_7d") - E("revenue_cpc")).alias("cpc_mismatch"),
@@ -131,7 +134,7 @@ register("c15_cpc_profile",
   FROM micro_conversions WHERE revenue_cpc > 0 AND click_id_timestamp > DATE '{AS_OF}' - 90
   GROUP BY 1, 2, 3, 4)
 , mm AS (
-  SELECT m.click_id_timestamp, {_OBJ.replace('provider_id', 'm.provider_id').replace('site_id', 'm.site_id').replace('device_type', 'm.device_type').replace('offer_bidding_tags', 'm.offer_bidding_tags')} AS object,
+  SELECT m.click_id, m.click_id_timestamp, {_OBJ.replace('provider_id', 'm.provider_id').replace('site_id', 'm.site_id').replace('device_type', 'm.device_type').replace('offer_bidding_tags', 'm.offer_bidding_tags')} AS object,
          m.revenue_cpc, c.avg_revenue_cpc, c.median_revenue_cpc, c.std_revenue_cpc
   FROM micro_conversions m
   JOIN c ON m.provider_id = c.provider_id AND m.site_id = c.site_id AND m.device_type = c.device_type
@@ -141,15 +144,16 @@ SELECT click_id_timestamp, object, revenue_cpc,
        avg(revenue_cpc) OVER w AS avg_7d,
        avg(revenue_cpc) OVER w - revenue_cpc AS cpc_mismatch,
        avg_revenue_cpc, median_revenue_cpc, std_revenue_cpc
-FROM mm WINDOW w AS (PARTITION BY object ORDER BY click_id_timestamp ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""",
+FROM mm WINDOW w AS (PARTITION BY object ORDER BY click_id_timestamp, click_id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""",
     "micro_conversions"))(cpc_profile)
 
 
 # -------------------------------------------------------------- C-16, C-17
-def _band(df: DataFrame) -> DataFrame:
+def _band(df: DataFrame, alone: bool = True) -> DataFrame:
     """Prediction band from the previous 7 clicks of the same object."""
-    r = rolling_prev_rows(df, ["object"], "click_id_timestamp", "revenue_cpc", 7,
-                          {"_avg7": "avg", "_std7": "stddev"})
+    r = rolling_prev_rows(df.select("object", "click_id_timestamp", "click_id", "revenue_cpc"), ["object"],
+                          "click_id_timestamp", "revenue_cpc", 7, {"_avg7": "avg", "_std7": "stddev"},
+                          tie=["click_id"], alone=alone)
     return (r.withColumn("avg_7clicks", F.coalesce(F.col("_avg7"), F.lit(0.0)))
               .withColumn("std_7clicks", F.coalesce(F.col("_std7"), F.lit(0.0)))
               .drop("_avg7", "_std7")
@@ -169,7 +173,7 @@ BAND_FLOATS = {c: 6 for c in BAND_COLS[3:9]}
 
 
 def cpc_band_all(v: Views, as_of: str = AS_OF) -> DataFrame:
-    m = _clicks(v, 91, as_of).filter(E("revenue_cpc") > 0).select("object", "click_id_timestamp", "revenue_cpc")
+    m = _clicks(v, 91, as_of).filter(E("revenue_cpc") > 0)
     return _band(m).select(*BAND_COLS)
 
 
@@ -180,7 +184,7 @@ def _band_sql(src: str) -> str:
   SELECT click_id_timestamp, object, revenue_cpc,
          coalesce(avg(revenue_cpc) OVER w, 0) AS avg_7clicks,
          coalesce(stddev_samp(revenue_cpc) OVER w, 0) AS std_7clicks
-  FROM b0 WINDOW w AS (PARTITION BY object ORDER BY click_id_timestamp ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+  FROM b0 WINDOW w AS (PARTITION BY object ORDER BY click_id_timestamp, click_id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
 , b2 AS (
   SELECT *, avg_7clicks - 1.96 * std_7clicks AS lower_bound_revenue_cpc,
          avg_7clicks + 1.96 * std_7clicks AS upper_bound_revenue_cpc,
@@ -194,19 +198,15 @@ def _band_sql(src: str) -> str:
 
 
 register("c16_cpc_band", floats=BAND_FLOATS, oracle=with_views(_band_sql(f"""
-  SELECT click_id_timestamp, {_OBJ} AS object, revenue_cpc FROM micro_conversions
-  WHERE revenue_cpc > 0 AND click_id_timestamp > DATE '{AS_OF}' - 91""") + "\nSELECT * FROM band",
+  SELECT click_id, click_id_timestamp, {_OBJ} AS object, revenue_cpc FROM micro_conversions
+  WHERE revenue_cpc > 0 AND click_id_timestamp > DATE '{AS_OF}' - 91""") + f"\nSELECT {', '.join(BAND_COLS)} FROM band",
     "micro_conversions"))(cpc_band_all)
 
 
 def cpc_band_repeat_objects(v: Views, as_of: str = AS_OF) -> DataFrame:
-    """The band for objects with at least two clicks in 90 days: the
-    qualifying objects (row_number > 1, i.e. QUALIFY) feed a semi join."""
-    m = _clicks(v, 90, as_of).filter(E("revenue_cpc") > 0).select("object", "click_id_timestamp", "revenue_cpc")
-    # row_number > 1 exists  <=>  the object has >= 2 clicks: a count per
-    # object gives the same set without ordering every object's clicks.
-    repeat = m.groupBy("object").agg(F.count(F.lit(1)).alias("n")).filter(E("n") > 1).select("object")
-    return _band(m.join(repeat, "object", "left_semi")).select(*BAND_COLS)
+    """The band for objects with at least two clicks in 90 days (row_number > 1,
+    i.e. QUALIFY: the rolling window leaves out objects of a single click)."""
+    return _band(_clicks(v, 90, as_of).filter(E("revenue_cpc") > 0), alone=False).select(*BAND_COLS)
 
 
 register("c17_cpc_band_repeat", floats=BAND_FLOATS, oracle=with_views(f"""
@@ -215,17 +215,18 @@ register("c17_cpc_band_repeat", floats=BAND_FLOATS, oracle=with_views(f"""
     SELECT {_OBJ} AS object, row_number() OVER (PARTITION BY {_OBJ} ORDER BY click_id_timestamp) AS rn
     FROM micro_conversions WHERE revenue_cpc > 0 AND click_id_timestamp > DATE '{AS_OF}' - 90) q
   WHERE rn > 1)""" + _band_sql(f"""
-  SELECT click_id_timestamp, {_OBJ} AS object, revenue_cpc FROM micro_conversions
+  SELECT click_id, click_id_timestamp, {_OBJ} AS object, revenue_cpc FROM micro_conversions
   WHERE revenue_cpc > 0 AND click_id_timestamp > DATE '{AS_OF}' - 90
-    AND {_OBJ} IN (SELECT DISTINCT object FROM repeat_objects)""") + "\nSELECT * FROM band",
+    AND {_OBJ} IN (SELECT DISTINCT object FROM repeat_objects)""") + f"\nSELECT {', '.join(BAND_COLS)} FROM band",
     "micro_conversions"))(cpc_band_repeat_objects)
 
 
 # -------------------------------------------------------------------- C-18
-def top_objects(v: Views, k: int = 10) -> DataFrame:
-    """The k objects with most clicks (ties by object name): a top-k report."""
-    b = cpc_band_repeat_objects(v)
-    c = b.groupBy("object").agg(F.count(F.lit(1)).alias("clicks"))
+def top_objects(v: Views, k: int = 10, as_of: str = AS_OF) -> DataFrame:
+    """The k objects with most clicks (ties by object name): a top-k report.
+    The band has every click of an object with two or more, so they are counted without it."""
+    m = _clicks(v, 90, as_of).filter(E("revenue_cpc") > 0)
+    c = m.groupBy("object").agg(F.count(F.lit(1)).alias("clicks")).filter(E("clicks") > 1)
     return c.orderBy(E("clicks").desc(), E("object").asc()).limit(k)
 
 
@@ -235,7 +236,7 @@ _C17_SQL = f"""
     SELECT {_OBJ} AS object, row_number() OVER (PARTITION BY {_OBJ} ORDER BY click_id_timestamp) AS rn
     FROM micro_conversions WHERE revenue_cpc > 0 AND click_id_timestamp > DATE '{AS_OF}' - 90) q
   WHERE rn > 1)""" + _band_sql(f"""
-  SELECT click_id_timestamp, {_OBJ} AS object, revenue_cpc FROM micro_conversions
+  SELECT click_id, click_id_timestamp, {_OBJ} AS object, revenue_cpc FROM micro_conversions
   WHERE revenue_cpc > 0 AND click_id_timestamp > DATE '{AS_OF}' - 90
     AND {_OBJ} IN (SELECT DISTINCT object FROM repeat_objects)""")
 
@@ -248,16 +249,17 @@ def top_object_histograms(v: Views, k: int = 10, bins: int = 20) -> DataFrame:
     """Density histogram (``bins`` equal-width bins over each object's own
     min..max) of the CPC of the top-k objects.  The top-k list is at most k
     rows and is broadcast into a semi join."""
-    b = cpc_band_repeat_objects(v)
     top = F.broadcast(top_objects(v, k).select("object"))
-    rows = b.join(top, "object", "left_semi")
+    # equal values are counted once, for the range and for the bins
+    rows = (_clicks(v, 90, AS_OF).filter(E("revenue_cpc") > 0).join(top, "object", "left_semi")
+            .groupBy("object", "revenue_cpc").agg(F.count(F.lit(1)).alias("c")))
     rng = rows.groupBy("object").agg(F.min("revenue_cpc").alias("lo"), F.max("revenue_cpc").alias("hi"),
-                                     F.count(F.lit(1)).alias("n"))
+                                     F.sum("c").alias("n"))
     rng = rng.withColumns({"lo": F.when(E("lo") == E("hi"), E("lo") - 0.5).otherwise(E("lo")),
                            "hi": F.when(E("lo") == E("hi"), E("hi") + 0.5).otherwise(E("hi"))})
     hit = (rows.join(F.broadcast(rng), "object")
                .withColumn("bin", bounded_bucket("revenue_cpc", E("lo"), E("hi"), bins).cast("bigint"))
-               .groupBy("object", "bin").agg(F.count(F.lit(1)).alias("count")))
+               .groupBy("object", "bin").agg(F.sum("c").alias("count")))
     # every bin of every object, also the empty ones
     every = rng.withColumn("bin", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))))
     h = every.join(hit, ["object", "bin"], "left").fillna(0, ["count"])

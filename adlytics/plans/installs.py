@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlytics.functions.compat import day_of
-from adlytics.operators.reshape import date_spine
 from adlytics.oracle.views import with_views
 from adlytics.plans.registry import register
 from adlytics.sources.views import Views
@@ -67,16 +66,18 @@ register("c19_installs_daily", oracle=with_views(_INSTALLS_SQL + "\nSELECT * FRO
 def paid_organic_daily(v: Views) -> DataFrame:
     """Daily paid and organic installs per platform on a gap-free calendar
     (days without installs count 0, as pandas ``resample('1D').sum()``)."""
-    d = installs_daily(v)
-    paid = (d.filter(E("media_source").isin(*PAID_SOURCES)).groupBy("dt", "platform")
-             .agg(F.sum("total_installs").alias("paid")))
-    org = (d.filter(E("media_source") == "organic").groupBy("dt", "platform")
-             .agg(F.sum("total_installs").alias("organic")))
-    spine = date_spine(d.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")), "lo", "hi", "dt")
-    grid = spine.withColumn("platform", F.explode(F.array(*[F.lit(p) for p in PLATFORMS])))
-    return (grid.join(paid, ["dt", "platform"], "left").join(org, ["dt", "platform"], "left")
-                .select("dt", "platform", F.coalesce("paid", F.lit(0)).alias("paid"),
-                        F.coalesce("organic", F.lit(0)).alias("organic")))
+    # one row a day and platform, then one row in all, whose length the calendar bounds
+    d = installs_daily(v).groupBy("dt", "platform").agg(
+        F.sum(F.when(E("media_source").isin(*PAID_SOURCES), E("total_installs"))).alias("paid"),
+        F.sum(F.when(E("media_source") == "organic", E("total_installs"))).alias("organic"))
+    known = F.when(E("platform").isin(*PLATFORMS), F.struct(F.struct("dt", "platform"), F.struct("paid", "organic")))
+    one = d.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi"), F.map_from_entries(F.collect_list(known)).alias("found"))
+    grid = (one.filter(E("lo").isNotNull())
+            .select(F.explode(F.sequence("lo", "hi")).alias("dt"), "found")
+            .select("dt", F.explode(F.array(*[F.lit(p) for p in PLATFORMS])).alias("platform"), "found")
+            .select("dt", "platform", F.try_element_at("found", F.struct("dt", "platform")).alias("x")))
+    return grid.select("dt", "platform", F.coalesce("x.paid", F.lit(0)).alias("paid"),
+                       F.coalesce("x.organic", F.lit(0)).alias("organic"))
 
 
 _PO_SQL = _INSTALLS_SQL + """

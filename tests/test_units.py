@@ -149,6 +149,14 @@ def test_rolling_prev_rows_equals_window(spark):
     norm = lambda rs: sorted(((r.k, r.ts, None if r.a is None else round(r.a, 9),
                                None if r.s is None else round(r.s, 9)) for r in rs), key=str)
     assert norm(want.collect()) == norm(got.collect())
+    # rows of one timestamp in the order of tie; keys of one row left out
+    tied = spark.createDataFrame([(k, t0 + dt.timedelta(hours=6 * (i // 5)), i * 7 % 60, float(i * i % 31))
+                                  for k, n in (("hot", 60), (None, 20), ("one", 1)) for i in range(n)],
+                                 "k string, ts timestamp, id int, v double")
+    w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(-7, -1)
+    want = tied.filter("k is null or k <> 'one'").select("k", F.col("id").alias("ts"), F.avg("v").over(w).alias("a"), F.stddev_samp("v").over(w).alias("s"))
+    got = rolling_prev_rows(tied, ["k"], "ts", "v", 7, {"a": "avg", "s": "stddev"}, tie=["id"], alone=False)
+    assert norm(want.collect()) == norm(got.select("k", F.col("id").alias("ts"), "a", "s").collect())
 
 
 def test_reshape_helpers(spark):
@@ -256,3 +264,60 @@ def test_report_read_in_byte_ranges(spark, tmp_path):
             text.read_report_split(spark, str(tmp_path / "none.csv")).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_exact_quantile(spark):
+    """Hot, small, constant and NULL groups; both sides of ``small``; heavy values."""
+    import random
+    import numpy as np
+    from adlytics.operators.quantile import exact_quantile
+    rnd = random.Random(3)
+    groups = {("hot", 1): [rnd.lognormvariate(0, 3) for _ in range(9000)] + [0.5] * 700, ("even", 1): [1.0, 2.0, 4.0, 8.0],
+              ("even", None): [3.0], (None, None): [float(i % 7) for i in range(500)], ("same", 2): [2.5] * 300,
+              ("inf", 1): [float("-inf"), 1.0, float("inf"), float("inf")]}
+    rows = [(a, b, x) for (a, b), xs in groups.items() for x in [*xs, None]] + [("none", 1, None)]
+    df = spark.createDataFrame(rows, "a string, b int, x double").repartition(8)
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        for small, bins in ((4096, 256), (10, 16), (100000, 4)):
+            got = {(r.a, r.b): r.m for r in exact_quantile(df, ["a", "b"], "x", q, "m", bins, small, 8).collect()}
+            assert set(got) == set(groups)
+            for k, xs in groups.items():
+                want = float(np.quantile(xs, q)) if k[0] != "inf" else None
+                assert want is None or abs(got[k] - want) <= 1e-12 * max(1, abs(want)), (k, q, small)
+    assert got[("inf", 1)] == float("inf")
+    none = exact_quantile(df.filter("a = 'none'"), ["a", "b"], "x")
+    assert none.columns == ["a", "b", "quantile"] and none.count() == 0
+
+
+def test_exact_quantile_spreads_a_hot_group(spark):
+    """90 % of the rows in one group: no task of the count reads over 3 times the median."""
+    from adlytics.operators.quantile import exact_quantile, in_ranges, value_runs
+    df = spark.range(200_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 1000).otherwise(0).alias("k"),
+                                     F.rand(1).alias("x"))
+    plan = exact_quantile(df, ["k"], "x", 0.5, "m", small=256)
+    want = df.groupBy("k").agg(F.median("x").alias("w"))
+    assert plan.join(want, "k").filter(F.abs(F.col("m") - F.col("w")) > 1e-12).count() == 0 and plan.count() == want.count()
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, off in zip(old, ("false", "-1")):
+            spark.conf.set(c, off)
+        runs, large = value_runs(df, ["k"], "x", 256, 64)
+        assert large.select("_k").distinct().count() == 1
+        runs = in_ranges(runs.join(large, ["_k", "_s"], "left_semi"), 256, 64)
+        sizes = sorted(r[0] for r in runs.groupBy(F.spark_partition_id()).count().select("count").collect())
+        assert sum(sizes) == 180_200 and len(sizes) == 8 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+        largest = runs.groupBy("_k", "_bin").count().agg(F.max("count")).first()[0]
+        assert largest < 3 * 180_000 / 256
+    finally:
+        for c, was in old.items():
+            spark.conf.set(c, was)
+
+
+def test_band_reads_clicks_once(spark):
+    """C-17: one exchange of the clicks, used again by tail and first rows."""
+    import re
+    from adlytics.plans.registry import all_queries
+    q = all_queries()["c17_cpc_band_repeat"].run(spark, "/root/testdata/sf0.001")
+    q.collect()
+    text = q._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet", text)) == 1 and "ReusedExchange" in text
