@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from adlytics.functions.draws import sql_hash_int
 from adlytics.operators import curves as CV
 from adlytics.operators import projection as PJ
+from adlytics.operators import refit as RF
 from adlytics.operators import regress as RG
 from adlytics.operators.windows import first_difference
 from adlytics.oracle.views import with_views
@@ -324,15 +325,8 @@ def bootstrap_linear_refit(v: Views, trials: int = BOOT_TRIALS) -> DataFrame:
     training days (X-5 index draws, md5-seeded), one row per (platform,
     replicate); the replicate is just another grouping key of the closed
     form."""
-    from adlytics.operators import resample as R
     train = _split(v).filter(~E("is_test"))
-    w = Window.partitionBy("platform").orderBy("dt")
-    s = train.withColumn("idx", F.row_number().over(w) - 1)
-    pairs = s.select(E("platform").alias("series"), "idx", F.struct("paid", "organic").alias("value"))
-    boot = R.iid_bootstrap(pairs, trials, seed=11)
-    d = boot.select(E("series").alias("platform"), "rep", E("value.paid").alias("paid"),
-                    E("value.organic").alias("organic"))
-    return CV.linear_fit(d, ["platform", "rep"], "paid", "organic").select("platform", "rep", "a", "b")
+    return RF.bootstrap_fit(train, "platform", "dt", "paid", "organic", "linear", trials).select("platform", "rep", "a", "b")
 
 
 _REFIT_SQL = _SPLIT_SQL + f"""
@@ -359,6 +353,37 @@ SELECT platform, avg(a) AS mean_a, stddev_samp(a) AS sd_a, avg(b) AS mean_b, std
 FROM refit GROUP BY 1""", "installs"))(bootstrap_refit_summary)
 
 
+def bootstrap_unpaired(v: Views, trials: int = BOOT_TRIALS) -> DataFrame:
+    """X-6, unpaired: x and y drawn on their own, mean, sd and 95 % bounds of the line."""
+    train = _split(v).filter(~E("is_test"))
+    r = RF.bootstrap_fit(train, "platform", "dt", "paid", "organic", "linear", trials, paired=False)
+    return RF.spread_of(r, "platform", ["a", "b"])
+
+
+register("c21_bootstrap_unpaired", floats={c: 5 for c in ("mean_a", "sd_a", "a_lower", "a_upper", "mean_b", "sd_b", "b_lower", "b_upper")},
+         oracle=with_views(_SPLIT_SQL + f"""
+, ix AS (SELECT platform, row_number() OVER (PARTITION BY platform ORDER BY dt) - 1 AS idx, x, y FROM tr)
+, nn AS (SELECT platform, count(*) AS n FROM ix GROUP BY 1)
+, dr AS (SELECT platform, rep, unnest(range(0, n)) AS i, n FROM (SELECT *, unnest(range(0, {BOOT_TRIALS})) AS rep FROM nn))
+, pk AS (SELECT *, {sql_hash_int('11', 'platform', 'rep', 'i')} % n AS xi, {sql_hash_int('12', 'platform', 'rep', 'i')} % n AS yi FROM dr)
+, refit AS (SELECT pk.platform, rep, regr_intercept(b.y, a.x) AS a, regr_slope(b.y, a.x) AS b
+            FROM pk JOIN ix a ON a.platform = pk.platform AND a.idx = xi JOIN ix b ON b.platform = pk.platform AND b.idx = yi
+            GROUP BY ALL)
+SELECT platform, count(*) AS trials, count(*) AS fitted, avg(a) AS mean_a, stddev_samp(a) AS sd_a,
+       quantile_cont(a, 0.025) AS a_lower, quantile_cont(a, 0.975) AS a_upper, avg(b) AS mean_b, stddev_samp(b) AS sd_b,
+       quantile_cont(b, 0.025) AS b_lower, quantile_cont(b, 0.975) AS b_upper
+FROM refit GROUP BY 1""", "installs"))(bootstrap_unpaired)
+
+
+def bootstrap_refit_sigmoid(v: Views, trials: int = BOOT_TRIALS) -> DataFrame:
+    """X-6 of a curve without a closed form: one row per (platform, replicate)."""
+    train = _split(v).filter(~E("is_test"))
+    return RF.bootstrap_fit(train, "platform", "dt", "paid", "organic", "sigmoid", trials)
+
+
+register("c21_bootstrap_refit_sigmoid", note="variable projection; checked in tests")(bootstrap_refit_sigmoid)
+
+
 # -------------------------------------------------------------------- T-10
 N_CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8

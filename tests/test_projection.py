@@ -53,3 +53,42 @@ def test_projected_fit(spark, curve):
     span = np.geomspace(2, 300, 60) if curve == "gauss" else np.geomspace(0.012, 2, 60)
     assert here <= min(_ssr(curve, x, noisy, u, w) for u in np.linspace(-40, 130, 120) for w in span) + 1e-9
     assert got["line"].status in ("on_edge", "converged")
+
+
+def test_bootstrap_refit(spark):
+    """Many replicates at once give what each gives alone; the sd of a line
+    comes near its closed form; unpaired draws lose the slope."""
+    from adlytics.operators import curves as CV
+    from adlytics.operators import refit as RF
+    r = np.random.default_rng(8)
+    rows = [(g, i, float(x), float(3 + b * x + r.normal(0, 2)))
+            for g, b in (("up", 2.0), ("down", -1.0)) for i, x in enumerate(r.uniform(0, 10, 60))]
+    df = spark.createDataFrame(rows, "g string, t int, x double, y double")
+    closed = {z.g: z for z in CV.linear_fit(df, ["g"], "x", "y").collect()}
+    for paired in (True, False):
+        got = {z.g: z for z in RF.spread_of(RF.bootstrap_fit(df, "g", "t", "x", "y", "linear", 300, paired), "g", ["a", "b"]).collect()}
+        for g, slope in (("up", 2.0), ("down", -1.0)):
+            assert got[g].trials == got[g].fitted == 300 and got[g].b_lower < got[g].mean_b < got[g].b_upper
+            if paired:
+                assert 0.7 < got[g].sd_b / closed[g].se_b < 1.4 and abs(got[g].mean_b - slope) < 0.2
+            else:
+                assert got[g].b_lower < 0 < got[g].b_upper
+    t = TRUE["sigmoid"]
+    x = np.linspace(0, 90, 40)
+    rows = [(g, i, float(a), float(t["A"] * _shape("sigmoid", a, t["x0"], t["k"]) + t["offset"] + r.normal(0, 1)))
+            for g in ("p", "q") for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, t int, x double, y double")
+    fits = RF.bootstrap_fit(df, "g", "t", "x", "y", "sigmoid", 8)
+    got = {(z.g, z.rep): z for z in fits.collect()}
+    assert len(got) == 16
+    sample = RF.bootstrap_pairs(df, "g", "t", "x", "y", 8).toPandas()
+    for key in (("p", 0), ("q", 5)):
+        one = sample[(sample.g == key[0]) & (sample.rep == key[1])]
+        assert len(one) == 40
+        here = _ssr("sigmoid", one.x.to_numpy(), one.y.to_numpy(), got[key].x0, got[key].k)
+        assert abs(got[key].ssr - here) < 1e-6 * here
+        grid = min(_ssr("sigmoid", one.x.to_numpy(), one.y.to_numpy(), u, w)
+                   for u in np.linspace(20, 70, 60) for w in np.geomspace(0.05, 2, 60))
+        assert here <= grid + 1e-9
+    back = RF.spread_of(fits, "g", ["x0"]).collect()
+    assert all(abs(z.mean_x0 - t["x0"]) < 2 and z.fitted == 8 for z in back)
