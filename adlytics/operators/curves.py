@@ -7,7 +7,7 @@ Nonlinear curves (power, diminishing, Gaussian bump, sigmoid) use
 Levenberg-Marquardt where every iteration is ONE grouped aggregate over the
 data (J'J, J'r and the residual sum of squares as ``sum`` columns); the
 driver solves the k x k systems of all groups with numpy and sends the new
-parameters back as a table keyed by group, joined null-safely.  All groups
+parameters back as a broadcast table keyed by group, joined null-safely.  All groups
 advance together.
 """
 
@@ -170,8 +170,9 @@ def lm_fit(df: DataFrame, group: list[str], x: str, y: str, curve: str, p0: Data
     taken = {g: 0 for g in start}
 
     def stats_at(params: dict) -> dict:
-        # one way for any number of groups: a parameter frame joined null-safely
-        ptab = spark.createDataFrame([(*g, *map(float, pv)) for g, pv in params.items()], ptab_schema)
+        # one way for any number of groups: a parameter frame joined null-safely; broadcast, as the
+        # driver holds it anyway and a join by shuffle would sort a whole group in one task
+        ptab = F.broadcast(spark.createDataFrame([(*g, *map(float, pv)) for g, pv in params.items()], ptab_schema))
         on = None
         for g in group:
             same = data[g].eqNullSafe(ptab[f"_g_{g}"])

@@ -151,3 +151,19 @@ def test_trend_model(spark, queries):
     assert resid.std() < t.y.std()
     cps = queries["c35_trend_changepoints"].run(spark, SF_MID).toPandas()
     assert len(cps) <= 25 and (cps.delta.abs() > 0).all()
+
+
+def test_curve_fit_sorts_no_group(spark, monkeypatch):
+    """Each step of the fit meets its few parameters by broadcast: a join by
+    shuffle would bring all rows of a group, nulls too, into one task's sort."""
+    from adlytics.operators.curves import lm_fit
+    rows = [(g, float(x), float(np.exp(0.5) * x ** b)) for g, b in (("a", 0.4), ("b", 0.7), (None, 0.9)) for x in range(1, 40)]
+    d = spark.createDataFrame(rows, "g string, x double, y double")
+    p0 = spark.createDataFrame([(g, 1.0, 1.0) for g in ("a", "b", None)], "g string, a double, b double")
+    plans, collect = [], type(d).collect
+    monkeypatch.setattr(type(d), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    fit = lm_fit(d, ["g"], "x", "y", "power", p0, bounds=(0.0, 1.0))
+    assert any("BroadcastHashJoin" in p for p in plans) and not any("SortMergeJoin" in p for p in plans)
+    got = {r.g: r for r in fit.collect()}
+    assert all(got[g].status == "converged" and np.allclose([got[g].a, got[g].b], [0.5, b], atol=1e-5)
+               for g, b in (("a", 0.4), ("b", 0.7), (None, 0.9)))
