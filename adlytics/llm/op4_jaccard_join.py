@@ -24,7 +24,9 @@ common subset, so a linked pair keeps a common signature.
 A pair needs its shared signatures only if both its sets keep some.  With ``Rule.again`` such
 sets get signatures of a second kind instead: fewer partitions with more cells, of which
 a subset leaves ``leave`` out, so that a signature says more.  (Of floor(k/(leave + 1)) + 1 +
-spare partitions at least 1 + spare hold at most ``leave`` differing features.)
+spare partitions at least 1 + spare hold at most ``leave`` differing features.)  A rule of many
+subsets has many signatures: SUBSETS of a partition's are made, shuffled and reduced to the shared
+ones at a time, so that the disk holds no more of them than of a rule with as few.
 
 * Buckets of at most HOT classes give their pairs (28 a bucket at most).  A
   sketch, the counts of features by cell of a coarse partition, bounds the
@@ -42,7 +44,9 @@ an empty set and link with nothing.  Repeated rows share a class.  Extra columns
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -58,6 +62,7 @@ LIGHT_PART = 4            # one in so many spare partitions is for light subsets
 HOT = 8
 BAND_RATIO = 1.5
 SKETCH = 128              # cells of a sketch, one byte each
+SUBSETS = 3               # subsets of a partition whose signatures are shuffled at once
 BLOCK = 750_000           # features of a family's block
 MAX_BROADCAST = 500_000   # rows of one or two longs
 WORD_SEED = 41
@@ -131,11 +136,16 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount(cell, minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
-def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
-    """(key, index of the set, fifteenths).  A key has, from the high bits, 45 of
-    the subset's hash, 6 of the band and 13 of the partition.  The fifteenths tell how
-    many of its band's spare partitions the set may still do without (rounded
-    down; none if the partitions do not fit their bits)."""
+def turns(rule: Rule) -> int:
+    """Into how many turns the subsets of a partition are dealt."""
+    return -(-comb(rule.cells, rule.leave) // SUBSETS)
+
+
+def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray, turn: int = 0, of_turns: int = 1):
+    """(key, index of the set, fifteenths) of the subsets dealt to one of the turns.
+    A key has, from the high bits, 45 of the subset's hash, 6 of the band and 13 of the
+    partition.  The fifteenths tell how many of its band's spare partitions the set may
+    still do without (rounded down; none if the partitions do not fit their bits)."""
     size = np.array([len(s) for s in sets], np.int64)
     own = np.searchsorted(edges, size, side="right") - 1
     top = np.searchsorted(edges, size * rule.den // rule.num, side="right") - 1
@@ -161,20 +171,21 @@ def signatures(sets: list[np.ndarray], rule: Rule, edges: np.ndarray):
     sums = sums.reshape(-1, m)
     # a subset leaves some cells out
     out = np.array(list(combinations(range(m), rule.leave)), np.int64)
-    sub_sum = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums[:, out].sum(axis=2, dtype=np.uint64)
+    mine = np.arange(turn, len(out), of_turns)
+    sub_sum = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums[:, out[mine]].sum(axis=2, dtype=np.uint64)
     sub_count = count.sum(axis=1, keepdims=True) - count[:, out].sum(axis=2)
     row_inst = np.repeat(np.arange(len(inst_set)), n1)
     row_part = np.arange(len(row_inst)) - np.repeat(start[:-1] // m, n1)
     light = sub_count < LIGHT
     n_light = np.bincount(row_inst, weights=light.any(axis=1), minlength=len(inst_set)).astype(np.int64)
     most = spare // LIGHT_PART
-    drop = light & (n_light <= most)[row_inst][:, None]
+    drop = (light & (n_light <= most)[row_inst][:, None])[:, mine]
     left = spare - np.minimum(n_light, most)  # a partner may drop up to ``most`` that this set keeps
     zero_k = (k == 0)[row_inst]
     name = (band[row_inst] << 32) + row_part
-    sig = mix64(sub_sum + mix64((name[:, None] * 256 + np.arange(len(out))[None, :]).astype(np.uint64)) + sub_count.astype(np.uint64))
+    sig = mix64(sub_sum + mix64((name[:, None] * 256 + mine[None, :]).astype(np.uint64)) + sub_count[:, mine].astype(np.uint64))
     row, col = np.nonzero(~drop & ~zero_k[:, None])
-    whole = np.flatnonzero(zero_k)  # linked sets are equal: one signature, of the whole set
+    whole = np.flatnonzero(zero_k if turn == 0 else [])  # linked sets are equal: one signature, of the whole set
     whole_sig = mix64(sums[whole].sum(axis=1, dtype=np.uint64) + mix64((name[whole] * 256 + 255).astype(np.uint64)))
     row = np.concatenate([row, whole])
     sig = np.concatenate([sig[row[:len(col)], col], whole_sig])
@@ -200,8 +211,9 @@ def class_rows(docs: DataFrame, rule: Rule) -> DataFrame:
         step, "doc_id long, h long, n long, class long, sketch binary")
 
 
-def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """key, tagged (class and fifteenths): each class once per task that meets it."""
+def signature_rows(docs: DataFrame, rule: Rule, turn: int, of_turns: int) -> DataFrame:
+    """key, tagged (class and fifteenths): each class once per task that meets it;
+    the signatures of one of the turns."""
     def step(batches):
         table, edges, met = byte_table(WORD_SEED), band_edges(), set()
         for batch in batches:
@@ -216,20 +228,33 @@ def signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                             met.add(c)
                             fresh.append(s)
                             classes.append(c)
-                key, of, fifteenths = signatures(fresh, rule, edges)
+                key, of, fifteenths = signatures(fresh, rule, edges, turn, of_turns)
                 tagged = (np.array(classes, np.int64)[of] << 4) | fifteenths
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tagged)], names=["key", "tagged"])
 
     return docs.select("text").mapInArrow(step, "key long, tagged long")
 
 
-def kept_rows(rows: DataFrame, rule: Rule) -> DataFrame:
-    """key, class, hot: the shared signatures that the classes keep."""
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """key, tagged, hot: the signatures that several classes have."""
     by_key = Window.partitionBy("key")
     rows = rows.repartition("key")  # two longs a row; all else is derived behind the shuffle
-    rows = (rows.withColumn("lo", F.min("tagged").over(by_key)).withColumn("hi", F.max("tagged").over(by_key))
+    return (rows.withColumn("lo", F.min("tagged").over(by_key)).withColumn("hi", F.max("tagged").over(by_key))
             .filter("lo < hi").select("key", "tagged").distinct()
             .withColumn("hot", F.count("*").over(by_key) > HOT))
+
+
+def kept_rows(docs: DataFrame, rule: Rule) -> DataFrame:
+    """key, class, hot: the shared signatures that the classes keep."""
+    n = turns(rule)
+    if n == 1:
+        rows = shared_rows(signature_rows(docs, rule, 0, 1))
+    else:  # the docs are read each turn, and a turn's shuffle goes before the next
+        parts = []
+        for turn in range(n):
+            parts.append(written(shared_rows(signature_rows(docs, rule, turn, n))))
+            forget(docs.sparkSession)
+        rows = reduce(DataFrame.unionByName, parts)
     # the keys of a class come together, as many as its text is long
     band = F.shiftright("key", 13).bitwiseAND(63)
     sets = rows.withColumn("band", band).groupBy("tagged", "band").agg(
@@ -392,7 +417,7 @@ def class_texts(docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFram
 
 def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(a, b) links between classes that connect every component."""
-    kept = kept_rows(signature_rows(docs, rule), rule)
+    kept = kept_rows(docs, rule)
     forget(docs.sparkSession)
     whole = checkpoint(classes.filter("class is not null").groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
@@ -401,7 +426,7 @@ def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     pairs = near_sketches(bucket_pairs(kept), whole, rule)
     if rule.again is not None:
         hard = checkpoint(kept.filter("hot").select("class").distinct().join(where, "class"))
-        kept = kept_rows(signature_rows(class_texts(docs, hard, repeated), rule.again), rule.again)
+        kept = kept_rows(written(class_texts(docs, hard, repeated)), rule.again)
         forget(docs.sparkSession)
         pairs = pairs.unionByName(near_sketches(bucket_pairs(kept), whole, rule))
     hot = kept.filter("hot").select("class", F.min("class").over(Window.partitionBy("key")).alias("rep")).filter("class <> rep").distinct()

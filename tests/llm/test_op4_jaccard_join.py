@@ -191,3 +191,28 @@ def test_components(spark):
     loops = {a for a, b in pairs if a == b}
     assert all(got[x] == find(x) for x in parent if x in got)
     assert set(parent) - set(got) <= loops
+
+
+@pytest.mark.parametrize("rule", [op.Rule(5, 8, 10, 5, 30, leave=2), op.Rule(5, 8, 10, 3, 20)])
+def test_turns_deal_out_the_signatures(rule):
+    """The turns have all signatures, each once, and none has more than its share of them."""
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 2 ** 64, n, dtype=np.uint64)) for n in (1, 2, 4, 30, 200, 700)]
+    n = op.turns(rule)
+    parts = [op.signatures(sets, rule, op.band_edges(), t, n) for t in range(n)]
+    every = sorted(zip(*(x.tolist() for x in op.signatures(sets, rule, op.band_edges()))))
+    assert sorted(y for p in parts for y in zip(*(x.tolist() for x in p))) == every and len(set(every)) == len(every)
+    subsets = len(list(itertools.combinations(range(rule.cells), rule.leave)))
+    assert all(len(p[0]) <= len(every) * (op.SUBSETS + .5) / subsets for p in parts)
+
+
+def test_second_signatures_are_shuffled_in_turns(spark, monkeypatch):
+    """No shuffle has all signatures of a rule with many subsets."""
+    r = rng(14)
+    voc = vocabulary(r)
+    passage = words(r, 300, voc)
+    data = [(i, passage + " " + words(r, 10, voc)) for i in range(12)]
+    plain, met = op.signature_rows, []
+    monkeypatch.setattr(op, "signature_rows", lambda docs, rule, *turn: met.append((rule, turn)) or plain(docs, rule, *turn))
+    op.jaccard_join(documents(spark, data), AGAIN).collect()
+    assert met == [(AGAIN, (0, 1))] + [(AGAIN.again, (t, 4)) for t in range(4)]
