@@ -28,10 +28,16 @@ spare partitions at least 1 + spare hold at most ``leave`` differing features.)
 subsets has many signatures: SUBSETS of a partition's are made, shuffled and reduced to the shared
 ones at a time, so that the disk holds no more of them than of a rule with as few.
 
+Classes that keep shared signatures to the end meet by their rarest features instead: of
+as many of them as similar sets cannot all differ in, linked sets share one.  How often a
+feature comes is counted among these classes alone; one that a single class has finds nothing
+and is not shuffled again.
+
 * Buckets of at most HOT classes give their pairs (28 a bucket at most).  A
   sketch, the counts of features by cell of a coarse partition, bounds the
-  difference from below and rules most false pairs out.
-* The pairs left and the larger buckets that are kept give families: components of
+  difference from below and rules most false pairs out.  Its cells grow with the set, or it
+  would rule out no pair of long texts; that of a pair's longer set is folded to the shorter's.
+* The pairs left and the larger buckets of rarest features give families: components of
   candidates.  A family is compared in blocks of at most about BLOCK features: within a
   block, or a pair of blocks, sets are candidates if they share one of their rarest
   features (as many as similar sets cannot all differ in), and candidates not
@@ -61,7 +67,9 @@ LIGHT = 3
 LIGHT_PART = 4            # one in so many spare partitions is for light subsets
 HOT = 8
 BAND_RATIO = 1.5
-SKETCH = 128              # cells of a sketch, one byte each
+SKETCH = 128              # least cells of a sketch, one byte each
+CELL_FEATURES = 8         # features a cell, beyond which a sketch has twice the cells
+MOST_CELLS = 1 << 16
 SUBSETS = 3               # subsets of a partition whose signatures are shuffled at once
 BLOCK = 750_000           # features of a family's block
 MAX_BROADCAST = 500_000   # rows of one or two longs
@@ -131,9 +139,26 @@ def layout(edges: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Features by cell of a coarse partition, up to 255 in a cell."""
-    cell = (mix64(s + np.uint64(5)) % np.uint64(SKETCH)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """Features by cell of a coarse partition, up to 255 in a cell; SKETCH cells or,
+    for larger sets, a power of two times as many."""
+    cells = SKETCH
+    while cells * CELL_FEATURES < len(s) and cells < MOST_CELLS:
+        cells *= 2
+    cell = (mix64(s + np.uint64(5)) % np.uint64(cells)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def sketches_apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """For each pair of sketches a lower bound of the features in which its sets differ."""
+    apart = np.zeros(len(one), np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(one, two)], np.int64).reshape(-1, 2)
+    for a, b in np.unique(sizes, axis=0).tolist():
+        cells, rows = min(a, b), np.flatnonzero((sizes == [a, b]).all(axis=1))
+        for at in np.array_split(rows, -(-len(rows) * max(a, b) // (1 << 22))):
+            x, y = (np.frombuffer(b"".join([side[i] for i in at.tolist()]), np.uint8).reshape(len(at), -1, cells).sum(axis=1, dtype=np.int32)
+                    for side in (one, two))
+            apart[at] = np.abs(x - y).sum(axis=1)
+    return apart
 
 
 def turns(rule: Rule) -> int:
@@ -270,6 +295,20 @@ def kept_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     return written(sets.select(F.shiftrightunsigned("tagged", 4).alias("class"), F.explode(keys).alias("x")).select("x.key", "class", "x.hot"))
 
 
+def rarest_rows(texts: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """key (a feature), class, hot: the features that come with several of the classes among
+    their rarest, of which linked sets share one.  ``texts``: class, text, a row per class;
+    ``sizes``: class, n."""
+    by_key = Window.partitionBy("key")
+    rows = feature_rows(texts, rule).repartition("key").withColumn("often", F.count("*").over(by_key)).filter("often > 1")
+    sets = rows.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("l")).join(sizes.select("class", "n"), "class")
+    # the features of this class alone are its rarest, and left out above
+    many = F.greatest(F.size("l") + 1 - F.expr(f"(n * {rule.num} + {rule.den - 1}) div {rule.den}"), F.lit(0)).cast("int")
+    rows = sets.select("class", F.explode(F.slice("l", 1, many)).alias("x")).select("x.key", "class")
+    rows = rows.repartition("key").withColumn("often", F.count("*").over(by_key)).filter("often > 1")
+    return written(rows.select("key", "class", (F.col("often") > HOT).alias("hot")))
+
+
 def small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if it has few rows; else joined by shuffle."""
     return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
@@ -287,8 +326,7 @@ def near_sketches(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
     def step(batches):
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sa", "sb"))
-            apart = np.abs(sa - sb).sum(axis=1)
+            apart = sketches_apart(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())
             ok = (np.minimum(na, nb) * rule.den >= np.maximum(na, nb) * rule.num) & (
                 apart <= (na + nb) * (rule.den - rule.num) // (rule.den + rule.num))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
@@ -429,6 +467,10 @@ def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
         kept = kept_rows(written(class_texts(docs, hard, repeated)), rule.again)
         forget(docs.sparkSession)
         pairs = pairs.unionByName(near_sketches(bucket_pairs(kept), whole, rule))
+    hard = checkpoint(kept.filter("hot").select("class").distinct().join(where, "class"))
+    kept = rarest_rows(class_texts(docs, hard, repeated), hard, rule)
+    forget(docs.sparkSession)
+    pairs = pairs.unionByName(near_sketches(bucket_pairs(kept), whole, rule))
     hot = kept.filter("hot").select("class", F.min("class").over(Window.partitionBy("key")).alias("rep")).filter("class <> rep").distinct()
     candidates = hot.select(F.col("rep").alias("a"), F.col("class").alias("b")).unionByName(pairs)
     family = components(candidates).select(F.col("node").alias("class"), F.col("label").alias("family"))
@@ -519,5 +561,21 @@ def shingle_sets(texts: DataFrame, rule: Rule) -> DataFrame:
     return texts.select("class", "text").mapInArrow(step, "class long, shingles array<long>")
 
 
+def feature_rows(texts: DataFrame, rule: Rule) -> DataFrame:
+    """key, class: a row per shingle of each class (texts as in ``shingle_sets``)."""
+    def step(batches):
+        table = byte_table(WORD_SEED)
+        for batch in batches:
+            for first, last, sets in set_blocks(batch, rule.words, table):
+                want = batch.column("class").slice(first, last - first).to_pylist()
+                ok = [i for i, s in enumerate(sets) if len(s) and int(class_of(s)) == want[i]]
+                if ok:
+                    key = np.concatenate([sets[i] for i in ok]).view(np.int64)
+                    of = np.repeat(np.array([want[i] for i in ok], np.int64), [len(sets[i]) for i in ok])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of)], names=["key", "class"])
+
+    return texts.select("class", "text").mapInArrow(step, "key long, class long")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(load(spark, sf_dir, "documents"))

@@ -216,3 +216,48 @@ def test_second_signatures_are_shuffled_in_turns(spark, monkeypatch):
     monkeypatch.setattr(op, "signature_rows", lambda docs, rule, *turn: met.append((rule, turn)) or plain(docs, rule, *turn))
     op.jaccard_join(documents(spark, data), AGAIN).collect()
     assert met == [(AGAIN, (0, 1))] + [(AGAIN.again, (t, 4)) for t in range(4)]
+
+
+def test_sketches_of_long_sets():
+    """Unrelated sets are ruled out whatever their size; the bound holds where the sketches differ in length."""
+    r = np.random.default_rng(8)
+    for n in (300, 1500, 6000, 40_000):
+        a, b = (np.unique(r.integers(0, 2 ** 64, n, dtype=np.uint64)) for _ in range(2))
+        assert op.sketches_apart([op.sketch(a)], [op.sketch(b)])[0] > 2 * n * 2 // 18
+    ones, twos, most = [], [], []
+    for n in (200, 1020, 1024, 2040, 5000, 9000) * 3:
+        common = r.integers(0, 2 ** 64, n, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, r.integers(0, 2 ** 64, int(x), dtype=np.uint64)])) for x in (r.integers(0, 9), r.integers(0, n // 5)))
+        ones.append(op.sketch(a))
+        twos.append(op.sketch(b))
+        most.append(len(a) + len(b) - 2 * n)
+    assert any(len(x) != len(y) for x, y in zip(ones, twos))
+    assert (op.sketches_apart(ones, twos) <= most).all() and (op.sketches_apart(twos, ones) <= most).all()
+    assert len(op.sketches_apart([], [])) == 0
+
+
+@pytest.mark.parametrize("rule", [op.Rule(5, 8, 10, 2, 0), AGAIN])
+def test_shared_passages_make_no_family(spark, monkeypatch, rule):
+    """Texts that share a passage and are not similar are not compared with one another."""
+    r = rng(15)
+    voc = vocabulary(r, 2000)
+    passage = words(r, 150, voc)
+    data = [(i, passage + " " + words(r, 100, voc)) for i in range(30)]
+    data += [(100, data[3][1] + " end")]
+    plain, met = op.family_links, []
+    monkeypatch.setattr(op, "family_links", lambda sets, family, rule: met.append(family.count()) or plain(sets, family, rule))
+    got = [tuple(x) for x in op.jaccard_join(documents(spark, data), rule).collect()]
+    assert sorted(got, key=str) == brute(data, rule) and met == [2]
+
+
+def test_long_texts_that_share_words(spark, monkeypatch):
+    """Long texts with common shingles make no family, and near copies of them are found."""
+    r = rng(16)
+    voc = vocabulary(r, 40)
+    data = [(i, words(r, 4000, voc)) for i in range(12)]
+    data += [(20, data[5][1] + " end of it"), (21, " ".join(data[7][1].split()[300:]))]
+    plain, met = op.family_links, []
+    monkeypatch.setattr(op, "family_links", lambda sets, family, rule: met.append(family.count()) or plain(sets, family, rule))
+    rule = op.Rule(3, 8, 10, 2, 50)
+    got = [tuple(x) for x in op.jaccard_join(documents(spark, data), rule).collect()]
+    assert sorted(got, key=str) == brute(data, rule) and met == [4]
